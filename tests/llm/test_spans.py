@@ -1,0 +1,106 @@
+"""Personal data and secrets against plain regexes."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tessella.llm import pii, queries, secrets
+
+SMALL = "/root/testdata/sf0.001"
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+
+
+def brute(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    good = {
+        "email": (EMAIL, lambda s: True),
+        "ip": (IP, lambda s: all(int(x) <= 255 for x in s.split("."))),
+        "card": (CARD, lambda s: 12 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        "phone": (PHONE, lambda s: 9 <= len(digits(s)) <= 15),
+    }
+    out = [(m.start(), i, m.end(), k) for i, (k, (r, ok)) in enumerate(good.items()) for m in r.finditer(text or "") if ok(m[0])]
+    return [(k, a, b) for a, _, b, k in sorted(out)]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="a@.+-1234567890 ()é%_", max_size=60))
+def test_pii_equals_regexes(text):
+    assert [s for s in pii.find(text) if s[0] in pii.BASE] == brute(text)
+
+
+def test_pii_random_digits():
+    rng = random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choice("0123456789 -.+(x@") for _ in range(rng.randint(0, 80)))
+        assert [s for s in pii.find(text) if s[0] in pii.BASE] == brute(text)
+
+
+def test_pii_added_kinds():
+    found = pii.find("see https://u:p@host.example/a?b=1, IBAN GB82 x iban: GB82WEST12345698765432. SSN 078-05-1120 account=12345678")
+    assert [k for k, _, _ in found if k not in pii.BASE] == ["url", "account", "account", "account"]
+
+
+def test_pii_query(spark, texts):
+    got = {r.doc_id: r for r in queries.op2_pii(spark, SMALL).collect()}
+    assert len(got) == len(texts)
+    for i, t in texts:
+        own = brute(t)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in own).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in pii.BASE] == [sum(s[0] == k for s in own) for k in pii.BASE]
+
+
+def test_pii_odd(odd, none):
+    assert pii.find_pii(odd).count() == odd.count() and pii.find_pii(none).count() == 0
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
+
+
+def brute_secrets(text):
+    found = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text or "") if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text or "") if len(m[0]) >= 24]
+    return [(k, a, b) for a, _, b, k in sorted(found)]
+
+
+def sha(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def test_secrets_query(spark, texts):
+    got = {r.doc_id: r for r in queries.op10_secrets(spark, SMALL).collect()}
+    assert {i: got[i].base_sha256 for i, _ in texts} == {i: sha(brute_secrets(t)) for i, t in texts}
+
+
+def test_secrets_random(spark):
+    rng = random.Random(2)
+    parts = ["password", "TOKEN", "api_key", "apikey", "=", ":", " ", '"', "'", "é", "🎉", "abc", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "/", "\n"]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(0, 25)))) for i in range(800)]
+    rows += [(900, "token=key"), (901, "secret=token :abcdefgh"), (902, None), (903, "")]
+    docs = spark.createDataFrame([(i, t, "o") for i, t in rows], "doc_id long, text string, source string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind in secrets.BASE] for r in secrets.scan_secrets(docs).collect()}
+    assert got == {i: brute_secrets(t) for i, t in rows}
+
+
+def test_secrets_owners(spark):
+    rows = [(1, "token=abcdef123456789", "a"), (2, "token=abcdef123456789", "b"), (3, "x password: Zx9kQw81Lm0p", "a"), (4, "password=EXAMPLE12345", "c"), (5, "password=hunter", None), (5, "password=hunter", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.spans[0].verdict, r.spans[0].owners) for r in secrets.scan_secrets(docs).collect())
+    assert got == [(1, "example", 2), (2, "example", 2), (3, "live", 1), (4, "example", 1), (5, "weak", 1), (5, "weak", 1)]
+    assert {r.doc_id: r.text for r in secrets.redacted(docs).collect()}[3] == "x password: [SECRET]"
+
+
+@pytest.mark.parametrize("run", [secrets.scan_secrets, secrets.redacted])
+def test_secrets_odd(run, odd, none):
+    assert run(odd).count() == odd.count() and run(none).count() == 0
