@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import pii, secrets
+from tessella.llm import merkle, pii, secrets, tokenfiles, warc
 from tessella.llm.decontaminate import decontaminate
+from tessella.llm.storage import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +27,30 @@ def _span_columns(base: tuple[str, ...]) -> list[Column]:
     return [*map(count, base), F.sha2(span_text(own), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans")]
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    tokenfiles.write_token_files(table(spark, sf_dir, "documents"), path)
+    out = tokenfiles.read_token_files(spark, path)
+    return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents")).select("doc_id", *_span_columns(pii.BASE))
 
 
+def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_warc(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    captures = warc.assemble(warc.read_records(spark, [r.file for r in files.collect()], payloads=False))
+    fields = F.col("metadata")[0]["fields"]
+    number = lambda k: F.try_element_at(fields, F.lit(k)).cast("long")
+    response = F.col("response")
+    return captures.select(number("page-id").alias("page_id"), number("payload-bytes").alias("payload_bytes"), response["payload_digest"].alias("payload_digest"), response["type"].alias("record_type"), F.when(response["type"] == "revisit", number("original-page-id")).alias("refers_to"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
@@ -43,7 +64,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
     "op2_pii": op2_pii,
+    "op4_merkle": op4_merkle,
+    "op6_warc": op6_warc,
     "op8_decontaminate": op8_decontaminate,
     "op10_secrets": op10_secrets,
 }
@@ -52,6 +76,13 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+CASE WHEN n >= 100 AND page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN n >= 100 AND page_id > least THEN least END AS refers_to FROM m""",
     "op8_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
