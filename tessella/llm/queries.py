@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import merkle, pii, secrets, tokenfiles, warc
+from tessella.llm import merkle, neardup, pii, secrets, tokenfiles, warc
 from tessella.llm.decontaminate import decontaminate
 from tessella.llm.storage import new_path
 
@@ -42,6 +42,10 @@ def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_warc(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
     captures = warc.assemble(warc.read_records(spark, [r.file for r in files.collect()], payloads=False))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_pii": op2_pii,
     "op4_merkle": op4_merkle,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_warc": op6_warc,
     "op8_decontaminate": op8_decontaminate,
     "op10_secrets": op10_secrets,
