@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import merkle, neardup, pii, secrets, tokenfiles, warc
+from tessella.llm import merkle, neardup, pieces, pii, secrets, tokenfiles, warc
 from tessella.llm.decontaminate import decontaminate
 from tessella.llm.storage import new_path
 
@@ -38,6 +38,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents")).select("doc_id", *_span_columns(pii.BASE))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each whole text and whether they decode to it. Both ways run in one pass over the rows."""
+    docs = table(spark, sf_dir, "documents")
+    return pieces.round_trips(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), "round_trip")
+
+
 def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -70,6 +76,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_pii": op2_pii,
+    "op3_pieces": op3_pieces,
     "op4_merkle": op4_merkle,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_warc": op6_warc,
