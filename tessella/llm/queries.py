@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import merkle, neardup, pieces, pii, secrets, tokenfiles, warc
+from tessella.llm import langid, merkle, neardup, pieces, pii, secrets, tokenfiles, warc
 from tessella.llm.decontaminate import decontaminate
 from tessella.llm.storage import new_path
 
@@ -61,6 +61,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select(number("page-id").alias("page_id"), number("payload-bytes").alias("payload_bytes"), response["payload_digest"].alias("payload_digest"), response["type"].alias("record_type"), F.when(response["type"] == "revisit", number("original-page-id")).alias("refers_to"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_merkle": op4_merkle,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_warc": op6_warc,
+    "op7_language": op7_language,
     "op8_decontaminate": op8_decontaminate,
     "op10_secrets": op10_secrets,
 }
