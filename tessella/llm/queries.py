@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import langid, merkle, neardup, pieces, pii, secrets, tokenfiles, warc
+from tessella.llm import langid, lm, merkle, neardup, pieces, pii, secrets, tokenfiles, warc
 from tessella.llm.decontaminate import decontaminate
 from tessella.llm.storage import new_path
 
@@ -73,6 +73,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     verdict = lambda v: F.size(F.filter("spans", lambda s: s["verdict"] == v)).cast("long").alias(f"n_{v}")
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_language": op7_language,
     "op8_decontaminate": op8_decontaminate,
+    "op9_katz": op9_katz,
     "op10_secrets": op10_secrets,
 }
 
