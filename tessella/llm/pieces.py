@@ -3,6 +3,7 @@
 The model file gives pieces, scores and types. A text's spaces become the meta symbol (one is put in
 front, as the model says) and the text is cut where a meta symbol follows another character: no
 piece crosses such a place, so that the best segmentation of the parts is the best of the whole.
+Control characters that no piece has are parts of their own for the same reason.
 Distinct parts ("words") of equal length advance together: at each place the substring hashes of
 every piece length are probed in the sorted hashes of the pieces, and the maxima of score and its
 backpointer are taken for all words at once. A character without a piece becomes its bytes' pieces.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,9 +34,8 @@ from tessella.llm.storage import bounded_batches
 from tessella.llm.wordhash import U, mix
 
 META = "▁"
-PART = re.compile(f"{META}*[^{META}]+|{META}+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 BYTE_SCORE = -1e6
 GROUP_CHARS = 1 << 16
 
@@ -91,8 +92,11 @@ class Model:
             if k == BYTE:
                 self.bytes[int(p[3:5], 16)] = i
         usable = [i for i, k in enumerate(self.kinds) if k in (NORMAL, USER)]
+        inside = {c for i in usable for c in self.pieces[i]}
+        # Line breaks and the like, in no piece, are parts of their own.
+        lone = "".join(re.escape(c) for c in map(chr, range(0x20)) if c not in inside)
+        self.part = re.compile(f"{META}*[^{META}{lone}]+|{META}+" + (f"|[{lone}]" if lone else ""))
         self.longest = max((len(self.pieces[i]) for i in usable), default=1)
-        self.starts_chars = sorted({self.pieces[i][0] for i in usable})
         by_length: dict[int, list[int]] = {}
         for i in usable:
             by_length.setdefault(len(self.pieces[i]), []).append(i)
@@ -114,8 +118,8 @@ def substring_hashes(chars: np.ndarray, n: int) -> np.ndarray:
         return mix(h + U(n))
 
 
-def viterbi(model: Model, words: list[str]) -> list[list[int]]:
-    """Ids of words of one length."""
+def viterbi(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words of one length, one word after another, and each word's number of ids."""
     n, rows = len(words[0]), len(words)
     chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(rows, n)
     best = np.full((rows, n + 1), -np.inf)
@@ -150,7 +154,6 @@ def viterbi(model: Model, words: list[str]) -> list[list[int]]:
             length[better] = m
             last[better] = which[better, end - m]
         best[:, end], back[:, end], piece[:, end] = top, length, last
-    out: list[list[int]] = [[] for _ in words]
     at, lanes = np.full(rows, n), np.arange(rows)
     steps = []
     while len(lanes):
@@ -158,27 +161,35 @@ def viterbi(model: Model, words: list[str]) -> list[list[int]]:
         steps.append((lanes, piece[lanes, ends], chars[lanes, ends - 1]))
         at[lanes] = ends - np.maximum(back[lanes, ends], 1)
         lanes = lanes[at[lanes] > 0]
-    for rows_, ids, last_chars in reversed(steps):
-        for r, i, c in zip(rows_.tolist(), ids.tolist(), last_chars.tolist()):
-            if i >= 0:
-                out[r].append(i)
-            else:
-                out[r] += model.bytes[list(chr(c).encode())].tolist()
-    return out
-
-
-def segment(model: Model, words: list[str]) -> list[list[int]]:
-    """Ids of any words: those of equal length together, in groups of bounded size."""
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    out: list[list[int]] = [[] for _ in words]
-    for n, rows in by_length.items():
-        step = max(1, GROUP_CHARS // n)
-        for a in range(0, len(rows), step):
-            for i, ids in zip(rows[a : a + step], viterbi(model, [words[i] for i in rows[a : a + step]])):
-                out[i] = ids
-    return out
+    row, ids, char = (np.concatenate([s[i] for s in reversed(steps)]) for i in range(3))
+    order = np.argsort(row, kind="stable")  # by word, each from its first piece on
+    row, ids, char = row[order], ids[order], char[order]
+    lost = np.flatnonzero(ids < 0)
+    if len(lost):
+        raw = [chr(c).encode() for c in char[lost].tolist()]
+        count = np.ones(len(ids), np.int64)
+        count[lost] = [len(x) for x in raw]
+        places = np.repeat(ids < 0, count)
+        row, ids = np.repeat(row, count), np.repeat(ids, count)
+        ids[places] = model.bytes[np.frombuffer(b"".join(raw), np.uint8)]
+    return ids, np.bincount(row, minlength=rows)
+
+
+def segment(model: Model, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words by length, their ids one after another and each one's number of ids.
+
+    Those of equal length go together, in groups of bounded size.
+    """
+    words = sorted(words, key=len)
+    ids, counts, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    while at < len(words):
+        n = len(words[at])
+        to = min(bisect_right(words, n, lo=at, key=len), at + max(1, GROUP_CHARS // n))
+        own, count = viterbi(model, words[at:to])
+        ids.append(own)
+        counts.append(count)
+        at = to
+    return words, np.concatenate(ids), np.concatenate(counts)
 
 
 def prepared(model: Model, text: str) -> str:
@@ -200,27 +211,29 @@ class Encoder:
         self.flat, self.begins = np.zeros(1 << 20, np.int32), np.zeros(CACHED_WORDS + 1, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        for word, ids in zip(words, segment(self.model, words)):
-            n = len(self.known)
-            at = self.begins[n]
-            while at + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if n + 2 > len(self.begins):
-                self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
-            self.flat[at : at + len(ids)] = ids
-            self.begins[n + 1] = at + len(ids)
-            self.known[word] = n
+        words, ids, counts = segment(self.model, words)
+        n = len(self.known)
+        at = self.begins[n]
+        while at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(words) + 1 > len(self.begins):
+            self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
+        self.flat[at : at + len(ids)] = ids
+        self.begins[n + 1 : n + 1 + len(words)] = at + np.cumsum(counts)
+        self.known.update(zip(words, range(n, n + len(words))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one entry more)."""
-        parts = [PART.findall(prepared(self.model, t)) for t in texts]
+        cut = self.model.part.findall
+        parts = [cut(prepared(self.model, t)) for t in texts]
         words = [w for p in parts for w in p]
-        new = list({*words} - self.known.keys())
-        if len(self.known) + len(new) > CACHED_WORDS:
+        if len(self.known) > CACHED_WORDS:
             self._clear()
-            new = list({*words})
-        self._learn(new)
-        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        get = self.known.get
+        which = np.array([get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(which < 0).tolist()
+        self._learn(list({words[i] for i in new}))
+        which[new] = [get(words[i]) for i in new]
         sizes = self.begins[which + 1] - self.begins[which]
         stops = np.cumsum(sizes)
         places = np.repeat(self.begins[which] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)
@@ -228,6 +241,12 @@ class Encoder:
         return self.flat[places], ends
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, which later tasks use again."""
+    return Encoder(path)
+
+
 def decode(model: Model, ids: list[int]) -> str:
     out, raw = [], bytearray()
     for i in ids:
@@ -257,7 +276,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+        encoder = encoder_of(model)
         for batch in batches:
             ids, ends = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             mask = pa.array(batch.column(1).is_null().to_numpy(zero_copy_only=False))
