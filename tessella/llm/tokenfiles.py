@@ -16,9 +16,12 @@ follow the order of their texts' hashes; an empty table gives a manifest without
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -32,10 +35,16 @@ from pyspark.sql import functions as F
 from tessella.llm.blocks import key, range_of, ranges
 from tessella.llm.storage import bounded_batches
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
+PUNCTUATION = b".,;:!?%$&*#"
 MANIFEST = "shard int, documents long, tokens long, start long"
 
 
+def letters(word: bytes) -> bool:
+    """Whether it is letters alone, also as the normaliser leaves it."""
+    return word.isalpha() or (not word.isascii() and unicodedata.normalize("NFC", word.decode()).lower().isalpha())
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, which is asked once for each distinct piece between white space.
 
@@ -49,51 +58,91 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.whole_words, self.lower = whole_words, lower
+        model = json.loads(self.tokenizer.to_str())["model"]
+        self.ends = None  # by id: whether the token ends a word
+        if suffix := model.get("end_of_word_suffix"):
+            self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+            self.ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 20, self.dtype)
-        self.begins = np.zeros(CACHED_WORDS + 1, np.int64)
+        self.parts: dict[bytes, int] = {b"": 0}  # place of a part's ids, which end at ends_at[place]
+        self.flat, self.ends_at = np.zeros(1 << 20, self.dtype), np.zeros(CACHED_WORDS, np.int64)
+        self.words: dict[bytes, int] = {b"": 0}  # place of a word's two parts
+        self.two = np.zeros((CACHED_WORDS, 2), np.int64)
+
+    def _keep(self, parts: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        """ids of parts one after another, each up to its end."""
+        n = len(self.parts)
+        at = self.ends_at[n - 1]
+        while at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(parts) > len(self.ends_at):
+            self.ends_at = np.concatenate([self.ends_at, np.zeros_like(self.ends_at)])
+        self.flat[at : at + len(ids)] = ids
+        self.ends_at[n : n + len(parts)] = at + ends
+        self.parts.update(zip(parts, range(n, n + len(parts))))
+
+    def _encode(self, parts: list[bytes]) -> None:
+        """Letters alone are encoded many at a time, and cut after tokens that end a word."""
+        joined = self.ends is not None
+        plain = [w for w in parts if joined and letters(w)]
+        for i in range(0, len(plain), 2048):
+            some = plain[i : i + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.dtype)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some):
+                self._keep(some, ids, stops)
+        rest = [w for w in parts if w not in self.parts]
+        for i in range(0, len(rest), 4096):
+            done = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in rest[i : i + 4096]], add_special_tokens=False)]
+            self._keep(rest[i : i + 4096], np.array([x for ids in done for x in ids], self.dtype), np.cumsum([len(ids) for ids in done]))
 
     def _learn(self, words: list[bytes]) -> None:
-        done = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for word, e in zip(words, done):
-            n, at = len(self.known), self.begins[len(self.known)]
-            ids = e.ids
-            while at + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if n + 2 > len(self.begins):
-                self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
-            self.flat[at : at + len(ids)] = ids
-            self.begins[n + 1] = at + len(ids)
-            self.known[word] = n
+        """Trailing punctuation behind letters is a pre-token of its own."""
+        pairs = []
+        for w in words:
+            stem = w.rstrip(PUNCTUATION) if self.ends is not None else w
+            pairs.append((stem, w[len(stem) :]) if len(stem) < len(w) and letters(stem) else (w, b""))
+        self._encode(list({p for pair in pairs for p in pair} - self.parts.keys()))
+        n = len(self.words)
+        while n + len(words) > len(self.two):
+            self.two = np.concatenate([self.two, np.zeros_like(self.two)])
+        if words:
+            self.two[n : n + len(words)] = [(self.parts[a], self.parts[b]) for a, b in pairs]
+        self.words.update(zip(words, range(n, n + len(words))))
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by end, and where each text's begin (one entry more)."""
         if not self.whole_words:
             done = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
             sizes = [len(e.ids) + 1 for e in done]
-            return np.array([i for e in done for i in (*e.ids, end)], self.dtype), np.concatenate([[0], np.cumsum(sizes)])
+            return np.array([i for e in done for i in (*e.ids, end)], self.dtype), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         # Spelled-out special tokens are case-sensitive: texts with their first characters keep their case.
         pieces = [(t.lower() if self.lower and b"<|" not in t else t).split() for t in texts]
-        words = [w for p in pieces for w in (*p, b"")]  # an empty piece stands for the end
-        new = list({*words} - self.known.keys() - {b""})
-        if len(self.known) + len(new) > CACHED_WORDS:
+        words = [w for p in pieces for w in p]
+        if len(self.words) > CACHED_WORDS:
             self._clear()
-            new = list({*words} - {b""})
-        for i in range(0, len(new), 4096):
-            self._learn(new[i : i + 4096])
-        get = self.known.get
-        which = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        last = which < 0
-        sizes = np.where(last, 1, self.begins[which + 1] - self.begins[which])
-        stops = np.cumsum(sizes)
-        from_ = np.repeat(np.where(last, 0, self.begins[which]) - (stops - sizes), sizes)
-        ids = self.flat[from_ + np.arange(stops[-1] if len(stops) else 0)]
-        ids[stops[last] - 1] = end
-        return ids, np.concatenate([[0], stops[last]])
+        get = self.words.get
+        which = np.array([get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(which < 0).tolist()
+        self._learn(list({words[i] for i in new}))
+        which[new] = [get(words[i]) for i in new]
+        parts = self.two[which].ravel()
+        stops = self.ends_at[parts]
+        starts = self.ends_at[np.maximum(parts - 1, 0)]
+        sizes = stops - starts
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.repeat(starts - total[:-1], sizes) + np.arange(total[-1])]
+        bounds = total[2 * np.cumsum([len(p) for p in pieces], dtype=np.int64)]  # where each text's ids end
+        return np.insert(ids, bounds, self.dtype(end)), np.concatenate([[0], bounds + np.arange(1, len(bounds) + 1)])
+
+
+@cache
+def encoder(path: str, whole_words: bool) -> Encoder:
+    """A worker's encoder, which later tasks use again."""
+    return Encoder(path, whole_words)
 
 
 class _Shard:
@@ -143,12 +192,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     pafs.FileSystem.from_uri(path)[0].create_dir(pafs.FileSystem.from_uri(path)[1], recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder(tokenizer, whole_words), None
+        own, shard = encoder(tokenizer, whole_words), None
         number = TaskContext.get().partitionId()
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            shard = shard or _Shard(path, number, encoder.dtype, batch.column(0).type, length, rows)
-            shard.add(batch.column(0), *encoder.encode(texts, end_id))
+            shard = shard or _Shard(path, number, own.dtype, batch.column(0).type, length, rows)
+            shard.add(batch.column(0), *own.encode(texts, end_id))
         if shard:
             shard.close()
             yield pa.record_batch([pa.array([number], pa.int32()), pa.array([shard.documents]), pa.array([shard.tokens])], ["shard", "documents", "tokens"])
