@@ -21,6 +21,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -37,8 +38,6 @@ from tessella.llm.storage import bounded_batches, written
 from tessella.llm.wordhash import U, grams, mix, text_words
 
 TABLE_BITS = 16
-#: A candidate's share of equal samples may be so much below the threshold (3 standard errors of 224 samples).
-SLACK = 0.08
 BITSET_BITS = 22
 LISTED = 2_000_000
 
@@ -51,11 +50,16 @@ class Settings:
     rows: int = 8
     rare: float = 0.01
     block: int = 2048
+    fine: int = 1024
 
     @property
     def samples(self) -> int:
         return self.bands * self.rows
 
+    def least(self, n: int) -> float:
+        """The share of n samples that a candidate must have equal: the threshold less 3 standard errors."""
+        return self.threshold - 3 * math.sqrt(self.threshold * (1 - self.threshold) / n)
+
 
 @dataclass(frozen=True)
 class Weights:
@@ -120,7 +124,8 @@ def _sample_keys(index: np.ndarray, log_weight: np.ndarray | float) -> np.ndarra
 
 @cache
 def _multipliers(n: int) -> np.ndarray:
-    return np.random.default_rng(7).integers(0, 1 << 63, n, dtype=np.uint64) * U(2) + U(1)
+    """The first n of one sequence, so that fewer samples are the first of more."""
+    return np.random.default_rng(7).integers(0, 1 << 63, 4096, dtype=np.uint64)[:n] * U(2) + U(1)
 
 
 @cache
@@ -244,10 +249,10 @@ def among(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
 
 
 def like(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) whose shares of equal samples reach the threshold less SLACK."""
+    """The pairs (a, b) that have enough equal samples."""
     own = nodes.select("node", "samples")
     rows = pairs.join(own.select(F.col("node").alias("a"), F.col("samples").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("samples").alias("y")), "b").select("a", "b", "x", "y")
-    least = settings.threshold - SLACK
+    least = settings.least(settings.samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,6 +263,21 @@ def like(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def finer(docs: DataFrame, ids: DataFrame, weights: Weights, settings: Settings) -> DataFrame:
+    """(node, samples) of the texts of ids (a table of one column, node), with more samples each."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    texts = among(docs.select("id", "text"), "id", ids).join(ids.select(F.col("node").alias("id")), "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = samples(shingles(as_bytes(part.column(1)), settings.words), shared.value, settings.fine)
+                yield pa.record_batch([part.column(0), pa.array([x.astype(np.uint8).tobytes() for x in found], pa.binary())], ["node", "samples"])
+
+    return texts.select("id", "text").mapInArrow(run, "node long, samples binary")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, weights: Weights, settings: Settings) -> DataFrame:
     """The pairs (a, b) whose whole texts are similar, with the similarity."""
     pairs = written(pairs, "pairs")
@@ -279,7 +299,7 @@ def verified(pairs: DataFrame, docs: DataFrame, weights: Weights, settings: Sett
 
 
 def _across(group: pd.DataFrame, settings: Settings) -> pd.DataFrame:
-    """Pairs of a block whose classes differ and whose samples are alike. second: of a pair of blocks, the later one."""
+    """Pairs of a block whose classes differ and whose samples are alike."""
     x = np.frombuffer(b"".join(group["samples"]), np.uint8).reshape(len(group), -1)
     node, label, part = group["node"].to_numpy(), group["label"].to_numpy(), group["part"].to_numpy()
     two = part.min() != part.max()
@@ -289,14 +309,14 @@ def _across(group: pd.DataFrame, settings: Settings) -> pd.DataFrame:
     for n, i in enumerate(left):
         others = right if two else right[n + 1 :]
         others = others[label[others] != label[i]]
-        if len(others):
-            others = others[(x[others] == x[i]).mean(axis=1) >= settings.threshold - SLACK]
-            out += [(min(node[i], node[j]), max(node[i], node[j])) for j in others]
+        for size in (settings.samples, settings.fine):
+            others = others[(x[others, :size] == x[i, :size]).mean(axis=1) >= settings.least(size)] if len(others) else others
+        out += [(min(node[i], node[j]), max(node[i], node[j])) for j in others]
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """Per row: id_col, class_id (the least id of its class) and text_id (the least id of its text)."""
+    """Per row: id_col, class_id (the least id of its class), text_id (the least id of its text) and the text's digest."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     weights = heavy_shingles(docs, settings)
@@ -316,7 +336,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = shared.join(labels, "node", "left").select("node", "band", "n", F.coalesce("label", "node").alias("label"))
     mixed = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
     parts = F.ceil(F.col("n") / settings.block).cast("int")
-    rest = known.join(mixed, "band").join(nodes.select("node", "samples"), "node").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rest = written(known.join(mixed, "band"), "mixed")
+    fine = written(finer(docs, rest.select("node").distinct(), weights, settings), "finer")
+    rest = rest.join(fine, "node").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rest = rest.withColumn("other", other).select("band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "label", "samples")
 
@@ -327,5 +349,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.select("a", "b").union(verified(more, docs, weights, settings).select("a", "b"))
     labels = components(links)
     classes = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"), F.col("node").alias("text_id"))
-    out = rows.select("id", "digest").join(classes, "digest").select("id", "class_id", "text_id")
-    return out.withColumnRenamed("id", id_col)
+    return rows.select(F.col("id").alias(id_col), "digest").join(classes, "digest").select(id_col, "class_id", "text_id", "digest")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """docs with one row of each class: that with the least id (of a class without ids, any)."""
+    found = written(near_duplicates(docs, id_col, text_col, settings), "classes")
+    kept = found.where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).cast("long").alias("__kept")).distinct()
+    with_id = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    alone = found.where(F.col(id_col).isNull() & (F.col("class_id") < 0)).select(F.col("digest").alias("__digest")).distinct()
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    without = docs.where(F.col(id_col).isNull()).withColumn("__digest", digest).join(alone, "__digest", "left_semi").dropDuplicates(["__digest"])
+    return with_id.unionByName(without.select(*docs.columns))
