@@ -1,20 +1,40 @@
-"""A corpus pipeline: each stage works on what its predecessor kept."""
+"""A corpus pipeline: language ID, near-duplicates, decontamination, secrets and token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on what its predecessor kept; all but the last
+return the columns of documents. Rows with null or empty texts go with the first stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import secrets
+from tessella.llm import langid, neardup, pieces, secrets
 from tessella.llm.decontaminate import decontaminate as find_leaks
 from tessella.llm.storage import written
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(row, text): operators carry the whole row as their id."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents of which one known language has half of the letters at least."""
+    model = langid.fit(docs.where(~langid.held_out()))
+    found = langid.predict(whole_rows(docs), model, "row")
+    return found.where("lang_pred <> 'und' and score >= 0.5").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class."""
+    return neardup.deduplicated(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents without a window of a benchmark item."""
-    found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = found.where("size(spans) > 0").select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("__leak")), "left_anti")
+    found = find_leaks(whole_rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row")
+    return found.where("size(spans) = 0").select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +42,17 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return secrets.redacted(docs)
 
 
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and whether they decode to the text."""
+    return pieces.round_trips(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
 STAGES = [
+    ("language", identify),
+    ("near_duplicates", drop_near_duplicates),
     ("decontaminate", decontaminate),
     ("secrets", redact_secrets),
+    ("pieces", tokenize),
 ]
 
 #: SQL can't express the trained model, the sampled sketches or the segmentation.

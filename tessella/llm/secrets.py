@@ -55,14 +55,32 @@ def _matches(rank: int, kind: str, regex: str, group: int, least: int) -> Column
     return F.when(text.rlike(regex), F.aggregate(found, begin, step)["out"]).otherwise(empty)
 
 
+def _row_key(id_col: str, text_col: str, owner_col: str) -> Column:
+    """Rows with equal ids, owners and texts have equal spans."""
+    return F.sha2(F.to_json(F.struct(F.col(id_col).cast("string").alias("a"), F.col(owner_col).cast("string").alias("b"), F.coalesce(F.col(text_col), F.lit("")).alias("c"))), 256)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
     """Per row: id, key, owner, repo and spans (start, rank, end, kind, value), by start and kind."""
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("\x00"))
     repo = F.coalesce(F.col(repo_col).cast("string"), F.lit("\x00")) if repo_col else owner
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(F.col(id_col).alias("id"), owner.alias("owner"), repo.alias("repo"), text.alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col, owner_col).alias("key"), owner.alias("owner"), repo.alias("repo"), text.alias("text"))
     spans = F.array_sort(F.concat(*(_matches(i, *rule) for i, rule in enumerate(RULES))))
-    return docs.select("id", F.sha2(F.concat_ws("\x00", F.col("id").cast("string"), "owner", "text"), 256).alias("key"), "owner", "repo", spans.alias("spans"))
+    return docs.select("id", "key", "owner", "repo", spans.alias("spans"))
+
+
+def judged(found: DataFrame, common_owners: int) -> DataFrame:
+    """Per key of candidates() with spans: the spans with owners, repositories and a verdict."""
+    each = found.where("size(spans) > 0").select("key", "owner", "repo", F.explode("spans").alias("s"))
+    each = each.withColumn("hash", F.sha2("s.value", 256))
+    # Two steps, so that one very common value is first reduced to a row for each owner and repository.
+    stats = each.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count_distinct("owner").cast("long").alias("owners"), F.count_distinct("repo").cast("long").alias("repositories"))
+    value = F.col("s.value")
+    random = (F.length(value) >= 12) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    verdict = F.when((F.col("owners") >= common_owners) | value.rlike(PLACEHOLDER), "example").when(random | F.col("s.kind").isin("pem", "github", "jwt"), "live").otherwise("weak")
+    span = F.struct(F.col("s.start").alias("start"), F.col("s.rank").alias("rank"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"), value.alias("value"), F.col("owners"), F.col("repositories"), verdict.alias("verdict"))
+    return each.dropDuplicates(["key", "s"]).join(stats, "hash").groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, common_owners: int = 2) -> DataFrame:
@@ -72,38 +90,28 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least a digit and a letter among 12 characters or more) or weak.
     """
     found = written(candidates(docs, id_col, text_col, owner_col, repo_col), "secrets")
-    each = found.where("size(spans) > 0").select("key", "owner", "repo", F.explode("spans").alias("s"))
-    each = each.withColumn("hash", F.sha2("s.value", 256))
-    # Two steps, so that one very common value is first reduced to a row for each owner and repository.
-    stats = each.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count_distinct("owner").cast("long").alias("owners"), F.count_distinct("repo").cast("long").alias("repositories"))
-    value = F.col("s.value")
-    verdict = F.when((F.col("owners") >= common_owners) | value.rlike(PLACEHOLDER), "example").when((F.length(value) >= 12) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") | F.col("s.kind").isin("pem", "github", "jwt"), "live").otherwise("weak")
-    judged = each.dropDuplicates(["key", "s"]).join(stats, "hash")
-    span = F.struct(F.col("s.start").alias("start"), F.col("s.rank").alias("rank"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"), value.alias("value"), F.col("owners"), F.col("repositories"), verdict.alias("verdict"))
-    by_row = judged.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    by_row = judged(found, common_owners)
     none = F.array().cast(by_row.schema["spans"].dataType)
     return found.drop("spans").join(by_row, "key", "left").select(F.col("id").alias(id_col), F.coalesce("spans", none).alias("spans"))
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, common_owners: int = 2) -> DataFrame:
     """docs, each live secret's value replaced by [SECRET] in text_col (and n_chars, if there, counted anew)."""
-    columns = docs.columns
-    spans = scan_secrets(docs, id_col, text_col, owner_col)
+    found = written(candidates(docs, id_col, text_col, owner_col, repo_col).where("size(spans) > 0"), "secrets")
     live = F.filter("spans", lambda s: s["verdict"] == "live")
-    spans = spans.select(F.col(id_col).alias("__id"), live.alias("__live")).where("size(__live) > 0").dropDuplicates(["__id", "__live"])
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col(text_col)
+    spans = judged(found, common_owners).select(F.col("key").alias("__key"), live.alias("__live")).where("size(__live) > 0")
+    out = docs.withColumn("__key", _row_key(id_col, text_col, owner_col)).join(spans, "__key", "left")
+    begin, text = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
-        first = s["end"] - F.length(s["value"])
+        first = s["end"] - F.length(s["value"])  # a value ends its match
         again = first < acc["at"]  # inside what an earlier span has covered
         more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, first - acc["at"]), F.lit("[SECRET]"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(again, acc["out"]).otherwise(more).alias("out"))
 
-    done = F.aggregate(F.array_sort("__live"), begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = docs.join(spans, docs[id_col].eqNullSafe(F.col("__id")), "left")
-    new = F.when(F.col("__live").isNull(), text).otherwise(done)
-    out = out.withColumn(text_col, new)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("__live").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    by_value = F.array_sort(F.transform("__live", lambda s: F.struct((s["end"] - F.length(s["value"])).alias("first"), s["end"].alias("end"), s["value"].alias("value"))))
+    done = F.aggregate(by_value, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = F.col("__live").isNull()
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length(done)).cast(docs.schema["n_chars"].dataType))
+    return out.withColumn(text_col, F.when(clean, text).otherwise(done)).select(*docs.columns)
