@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import langid, lm, merkle, neardup, pieces, pii, secrets, tokenfiles, warc
 from tessella.llm.decontaminate import decontaminate
-from tessella.llm.storage import new_path
+from tessella.llm.storage import new_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +49,14 @@ def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_warc(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
-    captures = warc.assemble(warc.read_records(spark, [r.file for r in files.collect()], payloads=False))
+    # Written, so that the archives are read once and the planner knows the records' size.
+    records = written(warc.read_records(spark, [r.file for r in files.collect()], payloads=False), "records")
+    captures = warc.assemble(records)
     fields = F.col("metadata")[0]["fields"]
     number = lambda k: F.try_element_at(fields, F.lit(k)).cast("long")
     response = F.col("response")
