@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.model import TOP_MERGE_ZOOM
 from tessella.operators.packed import ingest_tiles, merge_level
 from tessella.plans.planner import execute
-from tessella.sources.archives import read_tiles
+from tessella.sources import read_tiles
 from tessella.sources.store import TileStore
 
 

@@ -1,0 +1,18 @@
+"""Tile sources, chosen by a path's ending."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessella.sources.archives import SqliteTiles, TarTiles, read_folder
+from tessella.sources.sevenzip import SevenZipTiles
+
+
+def read_tiles(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+    """By the path's ending: .7z, .tar.gz, .tgz, .tar or .db, else a folder."""
+    for kind in (TarTiles, SqliteTiles, SevenZipTiles):
+        spark.dataSource.register(kind)
+    for endings, name in (((".7z",), "tessella_7z"), ((".tar.gz", ".tgz", ".tar"), "tessella_tar"), ((".db",), "tessella_sqlite")):
+        if path.endswith(endings):
+            return spark.read.format(name).option("mode", mode).load(path)
+    return read_folder(spark, path, mode)

@@ -1,4 +1,4 @@
-"""Tile sources: folders, tar archives and SQLite files of leaf tiles, and the choice among them.
+"""Tile sources: folders, tar archives and SQLite files of leaf tiles.
 
 A path a/b/X/Y.png gives x = X, y = Y at the leaf zoom; the suffix may be missing. Rows whose path or
 content is not a tile are left out, or fail the read with mode=FAILFAST. A damaged archive always fails.
@@ -124,16 +124,3 @@ class SqliteTiles(DataSource):
 
     def reader(self, schema) -> SqliteReader:
         return SqliteReader(self.options["path"], int(self.options.get("ranges", "8")))
-
-
-def read_tiles(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """By the path's ending: .tar.gz, .tgz or .tar, .db, else a folder."""
-    for kind in (TarTiles, SqliteTiles):
-        spark.dataSource.register(kind)
-    if path.endswith(".7z"):
-        raise ValueError("7z archives can't be read here: unpack them to a folder first")
-    if path.endswith((".tar.gz", ".tgz", ".tar")):
-        return spark.read.format("tessella_tar").option("mode", mode).load(path)
-    if path.endswith(".db"):
-        return spark.read.format("tessella_sqlite").load(path)
-    return read_folder(spark, path, mode)

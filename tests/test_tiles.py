@@ -1,6 +1,7 @@
 """PNG codec, packed operators, sources, store, whole jobs and streams."""
 
 import io
+import lzma
 import random
 import sqlite3
 import struct
@@ -15,7 +16,7 @@ from tessella import api
 from tessella.functions import png
 from tessella.operators import packed
 from tessella.operators import pixels as px
-from tessella.sources.archives import read_tiles
+from tessella.sources import read_tiles, sevenzip
 from tessella.sources.store import TileStore
 from tessella.streaming import daily
 from test_pixels import frame, halved, majority, plain, world
@@ -133,8 +134,61 @@ def test_sources(spark, tmp_path):
     (tmp_path / "cut.tar.gz").write_bytes(archive.read_bytes()[:200])
     with pytest.raises(Exception, match="ReadError|EOFError"):
         read_tiles(spark, str(tmp_path / "cut.tar.gz")).collect()
-    with pytest.raises(ValueError, match="7z"):
-        read_tiles(spark, "x.7z")
+
+
+def seven_zip(spark, path, files, method):
+    """Written by another implementation, which comes with Spark."""
+    jvm = spark._jvm
+    base = "org.apache.commons.compress.archivers.sevenz"
+    out = getattr(jvm, f"{base}.SevenZOutputFile")(jvm.java.io.File(str(path)))
+    out.setContentCompression(getattr(getattr(jvm, f"{base}.SevenZMethod"), method))
+    for name, data in files.items():
+        entry = getattr(jvm, f"{base}.SevenZArchiveEntry")()
+        entry.setName(name)
+        entry.setDirectory(data is None)
+        out.putArchiveEntry(entry)
+        if data:
+            out.write(bytearray(data))
+        out.closeArchiveEntry()
+    out.close()
+
+
+@pytest.mark.parametrize("method", ["COPY", "LZMA", "LZMA2", "DEFLATE", "BZIP2"])
+def test_seven_zip(spark, tmp_path, method):
+    files = {"arc": None, "arc/1036/704.png": image(1), "a/b/5/6.png": image(2), "arc/5/7": bytes(3_000_000), "arc/5/readme.txt": b"x", "arc/9/9.png": b""}
+    path = tmp_path / "a.7z"
+    seven_zip(spark, path, files, method)
+    rows = {(r.x, r.y): bytes(r.data) for r in read_tiles(spark, str(path)).collect()}
+    assert rows == {(1036, 704): image(1), (5, 6): image(2), (5, 7): bytes(3_000_000)}
+    with pytest.raises(Exception, match="not a tile"):
+        read_tiles(spark, str(path), mode="FAILFAST").collect()
+    data = bytearray(path.read_bytes())
+    data[60] ^= 255
+    path.write_bytes(data)
+    with pytest.raises(Exception, match="checksum|rror|ends inside"):
+        read_tiles(spark, str(path)).collect()
+
+
+def test_solid_seven_zip(tmp_path):
+    """A block with several files and a packed header, put together here."""
+    number = lambda n: bytes([n]) if n < 128 else bytes([0x80 | n >> 8, n & 255])
+    files = {"x/1/2.png": b"one", "x/3/4.png": b"three" * 20}
+    whole, names = b"".join(files.values()), "".join(n + "\0" for n in files).encode("utf-16-le")
+    filters = [{"id": lzma.FILTER_LZMA2, "dict_size": 1 << 16}]
+    pack = lambda d: lzma.compress(d, lzma.FORMAT_RAW, filters=filters)
+    streams = lambda at, packed, size: bytes([6]) + number(at) + b"\1\x09" + number(packed) + b"\0\x07\x0b\1\0\1\x21\x21\1\x0a\x0c" + number(size) + b"\0"
+    body = pack(whole)
+    crcs = b"".join(struct.pack("<I", zlib.crc32(d)) for d in files.values())
+    header = b"\1\4" + streams(0, len(body), len(whole)) + b"\x08\x0d\2\x09" + number(3) + b"\x0a\1" + crcs + b"\0\0" + b"\5\2\x11" + number(len(names) + 1) + b"\0" + names + b"\0\0"
+    packed_header = pack(header)
+    coded = b"\x17" + streams(len(body), len(packed_header), len(header)) + b"\0"
+    start = struct.pack("<QQI", len(body) + len(packed_header), len(coded), zlib.crc32(coded))
+    data = sevenzip.MAGIC + b"\0\4" + struct.pack("<I", zlib.crc32(start)) + start + body + packed_header + coded
+    stream = io.BytesIO(data)
+    (block,) = sevenzip.contents(stream)
+    assert [(n, d) for n, _, d in sevenzip.entries(stream, block)] == list(files.items())
+    with pytest.raises(ValueError, match="damaged"):
+        sevenzip.contents(io.BytesIO(data[:-1] + b"\xff"))
 
 
 def test_store(spark, tmp_path):
