@@ -101,7 +101,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+def _secret_rule_sql(rank: int, kind: str, regex: str, group: int, least: int) -> str:
+    regex = regex.replace("'", "''")
+    parts = f"regexp_extract_all(t, '{regex}', 0) AS m, regexp_extract_all(t, '{regex}', {group}) AS v, string_split_regex(t, '{regex}') AS g"
+    return f"SELECT rid, owner, {rank} AS rank, '{kind}' AS kind, {least} AS least, {parts} FROM d"
+
+
+def _secrets_sql() -> str:
+    count = lambda cond, name: f"CAST(count(*) FILTER ({cond}) AS BIGINT) AS n_{name}"
+    text = lambda cond: f"coalesce(string_agg(kind || ':' || pos || ':' || (pos + n), ',' ORDER BY pos, rank) FILTER ({cond}), '')"
+    columns = [count(f"verdict = '{v}'", v) for v in ("live", "example")] + [count(f"kind = '{k}'", k) for k in secrets.BASE]
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(0)) AS owner, coalesce(text, '') AS t FROM documents),
+a AS ({' UNION ALL '.join(_secret_rule_sql(i, *r) for i, r in enumerate(secrets.RULES))}),
+e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM a WHERE len(m) > 0),
+x AS (SELECT rid, owner, rank, kind, v[i] AS value, length(m[i]) AS n, CAST(list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS pos FROM e WHERE length(v[i]) >= least),
+o AS (SELECT value, count(DISTINCT owner) AS owners FROM x GROUP BY value),
+w AS (SELECT x.*, CASE WHEN owners >= 2 OR regexp_matches(value, '{secrets.PLACEHOLDER}') THEN 'example'
+ WHEN (length(value) >= 12 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')) OR kind IN ('pem', 'github', 'jwt') THEN 'live' ELSE 'weak' END AS verdict FROM x JOIN o USING (value))
+SELECT doc_id, {', '.join(columns)}, sha256({text("kind IN ('assign', 'access', 'hex')")}) AS base_sha256, {text('kind IS NOT NULL')} AS spans
+FROM d LEFT JOIN w USING (rid) GROUP BY rid, doc_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_secrets": _secrets_sql(),
     "op6_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
