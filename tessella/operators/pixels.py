@@ -106,7 +106,7 @@ def _best(cells: list[Column], count_transparent: bool) -> Column:
         packed = n * (1 << 40) + (3 - i) * (1 << 36) + value
         return packed if count_transparent else F.when(value == 0, F.lit(0)).otherwise(packed)
 
-    return F.greatest(*(key(i, c) for i, c in enumerate(cells))).bitwiseAND((1 << 36) - 1).cast("int")
+    return F.greatest(*(key(i, c) for i, c in enumerate(cells))).bitwiseAND((1 << 36) - 1)
 
 
 def _quads(pixels: DataFrame, carry: list[str]) -> DataFrame:
@@ -119,8 +119,9 @@ def _quads(pixels: DataFrame, carry: list[str]) -> DataFrame:
 def downsample(pixels: DataFrame, strategy: str = "majority", carry: list[str] | None = None) -> DataFrame:
     """Halves the map. majority: most frequent visible colour; mode: transparent counts too; weighted: see block_mode.
 
-    Ties go to the first of top left, top right, bottom left, bottom right. carry: columns that are
-    equal within a block and stay (a partitioning on them is kept).
+    Ties go to the first of top left, top right, bottom left, bottom right. A colour may be any number
+    under 2^36, such as packed RGBA. carry: columns that are equal within a block and stay (a
+    partitioning on them is kept).
     """
     if strategy == "weighted":
         return block_mode(pixels, 2)
@@ -128,7 +129,7 @@ def downsample(pixels: DataFrame, strategy: str = "majority", carry: list[str] |
         raise ValueError(f"strategy {strategy!r} is none of {STRATEGIES}")
     carry = carry or []
     cells = [F.col(f"q{i}") for i in range(4)]
-    return _quads(pixels, carry).select(*carry, *AT, _best(cells, strategy == "mode").alias("color")).where("color <> 0")
+    return _quads(pixels, carry).select(*carry, *AT, _best(cells, strategy == "mode").cast(pixels.schema["color"].dataType).alias("color")).where("color <> 0")
 
 
 def block_mode(pixels: DataFrame, block: int) -> DataFrame:
@@ -158,6 +159,17 @@ def average(pixels: DataFrame) -> DataFrame:
     return own.groupBy(F.shiftright("gx", 1).alias("gx"), F.shiftright("gy", 1).alias("gy")).agg(*mean)
 
 
+def complete_parents(tiles: DataFrame) -> DataFrame:
+    """Parents of which all four children are among tiles."""
+    own = tiles.select("x", "y").distinct().groupBy(F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y"))
+    return own.agg(F.count(F.lit(1)).alias("n")).where("n = 4").select("x", "y")
+
+
+def average_tiles(pixels: DataFrame, tiles: DataFrame, side: int) -> DataFrame:
+    """average() of the parents that have all four children."""
+    return tile_of(average(pixels), side).join(complete_parents(tiles), ["x", "y"], "left_semi").drop("x", "y")
+
+
 def pyramid(pixels: DataFrame, leaf_zoom: int, coarsest: int = 0, strategy: str = "majority", shuffle_zoom: int | None = None, side: int = 1000) -> DataFrame:
     """All levels below leaf_zoom: z, gx, gy, color.
 

@@ -232,6 +232,13 @@ def downsample_avg(spark: SparkSession, sf: str) -> DataFrame:
     return px.average(state(spark, sf))
 
 
+@query(f"""WITH avg AS ({ORACLE_SQL['downsample_avg']}), {NEW[5:]}, f AS (SELECT CAST(gx // 16 AS INTEGER) AS x, CAST(gy // 16 AS INTEGER) AS y FROM new GROUP BY gx // 16, gy // 16 HAVING count(DISTINCT (gx // 8) * 1000 + gy // 8) = 4)
+SELECT avg.* FROM avg SEMI JOIN f ON f.x = avg.gx // {SIDE} AND f.y = avg.gy // {SIDE}""")
+def average_complete_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    own = state(spark, sf)
+    return px.average_tiles(own, px.tiles(own, SIDE), SIDE)
+
+
 @query(f"""{NEW}, l6 AS (SELECT gx, gy, color FROM new), {', '.join(f"l{z} AS ({_majority(f'l{z + 1}')})" for z in range(5, -1, -1))}
 {' UNION ALL '.join(f"SELECT CAST({z} AS INTEGER) AS z, gx, gy, color FROM l{z}" for z in range(6))}""")
 def pyramid_all_levels(spark: SparkSession, sf: str) -> DataFrame:

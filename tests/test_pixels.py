@@ -44,6 +44,13 @@ def test_all_quads(spark, strategy, rule):
     assert all(got.get(n, 0) == rule(q) for n, q in enumerate(QUADS))
 
 
+def test_rgba_quads(spark):
+    wide = [tuple(v * 0x3FFFFFFF for v in q) for q in QUADS]
+    rows = [(p % 2, 2 * n + p // 2, v) for n, q in enumerate(wide) for p, v in enumerate(q) if v]
+    got = {r.gy: r.color for r in px.downsample(spark.createDataFrame(rows, "gx long, gy long, color long")).collect()}
+    assert all(got.get(n, 0) == majority(q) for n, q in enumerate(wide))
+
+
 @pytest.mark.parametrize("block", [3, 5])
 def test_weighted_blocks(spark, block):
     rng = random.Random(block)
