@@ -35,7 +35,7 @@ from tessella.llm.wordhash import U, mix
 
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 BYTE_SCORE = -1e6
 GROUP_CHARS = 1 << 16
 
@@ -97,6 +97,8 @@ class Model:
         lone = "".join(re.escape(c) for c in map(chr, range(0x20)) if c not in inside)
         self.part = re.compile(f"{META}*[^{META}{lone}]+|{META}+" + (f"|[{lone}]" if lone else ""))
         self.longest = max((len(self.pieces[i]) for i in usable), default=1)
+        plain = np.array([k not in (BYTE, CONTROL, UNKNOWN) for k in self.kinds])
+        self.table = np.array(self.pieces, object), plain  # pieces, and whether their characters are the text's
         by_length: dict[int, list[int]] = {}
         for i in usable:
             by_length.setdefault(len(self.pieces[i]), []).append(i)
@@ -241,12 +243,6 @@ class Encoder:
         return self.flat[places], ends
 
 
-@cache
-def encoder_of(path: str) -> Encoder:
-    """A worker's encoder, which later tasks use again."""
-    return Encoder(path)
-
-
 def decode(model: Model, ids: list[int]) -> str:
     out, raw = [], bytearray()
     for i in ids:
@@ -276,7 +272,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(model)
+        encoder = Encoder(model)  # of this task alone, so that idle workers hold no words
         for batch in batches:
             ids, ends = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             mask = pa.array(batch.column(1).is_null().to_numpy(zero_copy_only=False))
@@ -285,6 +281,20 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     return docs.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
+def texts_of(model: Model, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The texts of ids one after another, each up to its end."""
+    pieces, plain = model.table
+    out = []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        own = ids[a:b]
+        if plain[own].all():
+            text = "".join(pieces[own])
+            out.append((text[1:] if model.dummy_prefix and text.startswith(META) else text).replace(META, " "))
+        else:
+            out.append(decode(model, own.tolist()))
+    return out
+
+
 def decoded(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str | None = None) -> DataFrame:
     """Per row: id_col and text."""
     model = model or default_model()
@@ -292,30 +302,34 @@ def decoded(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mo
     kind = encoded.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = load(model)
-        pieces = np.array(own.pieces, object)
-        plain = np.array([k not in (BYTE, CONTROL, UNKNOWN) for k in own.kinds])
         for batch in batches:
-            texts = []
-            for x in batch.column(1):
-                if not x.is_valid:
-                    texts.append(None)
-                    continue
-                ids = x.values.to_numpy()
-                if plain[ids].all():
-                    text = "".join(pieces[ids])
-                    texts.append((text[1:] if own.dummy_prefix and text.startswith(META) else text).replace(META, " "))
-                else:
-                    texts.append(decode(own, ids.tolist()))
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
+            column = batch.column(1)
+            ids = column.flatten().to_numpy()
+            ends = np.concatenate([[0], np.cumsum([len(x) if x is not None else 0 for x in column.to_pylist()])]).astype(np.int64)
+            texts = pa.array(texts_of(load(model), ids, ends), pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False))
+            yield pa.record_batch([batch.column(0), texts], ["id", "text"])
 
     return encoded.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """Per row: id_col, ids and round_trip, whether the ids decode to the text (a null text: null)."""
-    own = docs.select(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text")).alias("row"))
-    both = encode(own.select("row", F.col("row.text").alias("text")), "row", "text", model)
-    both = decoded(both.select(F.struct("row", "ids").alias("row"), "ids"), "row", "ids", model)
-    same = F.col("text") == F.translate(F.col("row.row.text"), META, " ")
-    return both.select(F.col("row.row.id").alias(id_col), F.col("row.ids").alias("ids"), same.alias("round_trip"))
+    """Per row: id_col, ids and round_trip, whether the ids decode to the text (a null text: null).
+
+    One pass in one worker encodes and decodes.
+    """
+    model = model or default_model()
+    bounded_batches(docs.sparkSession)
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(model)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ids, ends = encoder.encode(texts)
+            same = [a == b.replace(META, " ") for a, b in zip(texts_of(encoder.model, ids, ends), texts)]
+            lost = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array(lost))
+            yield pa.record_batch([batch.column(0), column, pa.array(same, pa.bool_(), mask=lost)], ["id", "ids", "round_trip"])
+
+    return docs.mapInArrow(run, f"id {kind}, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
