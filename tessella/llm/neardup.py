@@ -10,8 +10,8 @@ similarity of `threshold` or more of the whole texts links them. Classes are con
 
 No bucket's pairs are listed. Equal texts are one node. In each bucket every text meets the bucket's
 most central text (the one with most bucket mates over all bands); after the classes of these links
-are known, texts of different classes in a bucket meet in blocks, where samples are compared in
-memory and only pairs near the threshold are emitted.
+are known, texts outside a bucket's largest class visit the bucket's blocks, where samples are compared
+in memory and only pairs near the threshold are emitted.
 
 Defined cases: a null text counts as empty; texts without words are only copies of equal texts; a
 null id makes a class of its own with its copies; rows with equal ids are one document (one class);
@@ -184,7 +184,7 @@ def heavy_shingles(docs: DataFrame, settings: Settings) -> Weights:
                 for s, _ in shingles(as_bytes(batch.column(0)), settings.words):
                     held.append(s if known is None else known[np.isin(known, s, assume_unique=True)] if len(known) < len(s) // 8 else s[np.isin(s, known, assume_unique=True)])
                 n += batch.num_rows
-                if n >= 2048 or sum(map(len, held)) > 4_000_000:
+                if n >= 2048 or sum(map(len, held)) > 2_000_000:
                     yield flush()
                     held, n = [], 0
             if n:
@@ -299,16 +299,17 @@ def verified(pairs: DataFrame, docs: DataFrame, weights: Weights, settings: Sett
 
 
 def _across(group: pd.DataFrame, settings: Settings) -> pd.DataFrame:
-    """Pairs of a block whose classes differ and whose samples are alike."""
+    """Pairs of a visitor and a resident of a block whose classes differ and whose samples are alike.
+
+    A pair whose both texts visit is taken once, by the visitor with the lesser node.
+    """
     x = np.frombuffer(b"".join(group["samples"]), np.uint8).reshape(len(group), -1)
-    node, label, part = group["node"].to_numpy(), group["label"].to_numpy(), group["part"].to_numpy()
-    two = part.min() != part.max()
-    left = np.flatnonzero(part == part.min())
-    right = np.flatnonzero(part == part.max())
+    node, label, minor = group["node"].to_numpy(), group["label"].to_numpy(), group["minor"].to_numpy()
+    visitor = group["visitor"].to_numpy()
+    residents = np.flatnonzero(~visitor)
     out = []
-    for n, i in enumerate(left):
-        others = right if two else right[n + 1 :]
-        others = others[label[others] != label[i]]
+    for i in np.flatnonzero(visitor):
+        others = residents[(label[residents] != label[i]) & (~minor[residents] | (node[residents] > node[i]))]
         for size in (settings.samples, settings.fine):
             others = others[(x[others, :size] == x[i, :size]).mean(axis=1) >= settings.least(size)] if len(others) else others
         out += [(min(node[i], node[j]), max(node[i], node[j])) for j in others]
@@ -332,20 +333,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = shared.join(central, "band").where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     links = verified(like(stars, nodes, settings), docs, weights, settings)
     labels = components(links)
-    # Buckets that still hold several classes: texts of different classes meet in blocks.
+    # Buckets that still hold several classes: texts outside the bucket's largest class visit all its
+    # blocks, each of which holds at most about `block` of the bucket's texts.
     known = shared.join(labels, "node", "left").select("node", "band", "n", F.coalesce("label", "node").alias("label"))
-    mixed = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    parts = F.ceil(F.col("n") / settings.block).cast("int")
-    rest = written(known.join(mixed, "band"), "mixed")
+    largest = known.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max(F.struct("c", "label"))["label"].alias("largest"), F.count(F.lit(1)).alias("classes"))
+    rest = written(known.join(largest.where("classes > 1").select("band", "largest"), "band"), "mixed")
     fine = written(finer(docs, rest.select("node").distinct(), weights, settings), "finer")
-    rest = rest.join(fine, "node").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rest = rest.withColumn("other", other).select("band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "label", "samples")
+    parts = F.ceil(F.col("n") / settings.block).cast("int")
+    rest = rest.join(fine, "node").withColumn("minor", F.col("label") != F.col("largest"))
+    home = F.pmod(F.xxhash64("node"), parts).cast("int")
+    stays = rest.select("band", home.alias("part"), "node", "label", "samples", "minor", F.lit(False).alias("visitor"))
+    visits = rest.where("minor").select("band", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", "label", "samples", "minor", F.lit(True).alias("visitor"))
+    rest = stays.unionByName(visits)
 
     def across(group: pd.DataFrame) -> pd.DataFrame:
         return _across(group, settings)
 
-    more = rest.groupBy("band", "p", "q").applyInPandas(across, "a long, b long").distinct()
+    more = rest.groupBy("band", "part").applyInPandas(across, "a long, b long").distinct()
     links = links.select("a", "b").union(verified(more, docs, weights, settings).select("a", "b"))
     labels = components(links)
     classes = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"), F.col("node").alias("text_id"))
