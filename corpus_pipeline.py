@@ -20,10 +20,10 @@ def whole_rows(docs: DataFrame) -> DataFrame:
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents of which one known language has half of the letters at least."""
+    """Keeps the documents of which one known language has two fifths of the letters at least."""
     model = langid.fit(docs.where(~langid.held_out()))
     found = langid.predict(whole_rows(docs), model, "row")
-    return found.where("lang_pred <> 'und' and score >= 0.5").select("row.*")
+    return found.where("lang_pred <> 'und' and score >= 0.4").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
