@@ -14,6 +14,8 @@ may be null or repeated (rows are joined by a key of their content); an empty ta
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +36,14 @@ BASE = KINDS[:3]
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0000"
 
 
+def _scanned(kind: str, regex: str, least: int) -> str:
+    """hex runs too short to count can be left unmatched: a longer run never begins inside one."""
+    return regex[:-1] + "{%d,}" % least if kind == "hex" else regex
+
+
 def _matches(rank: int, kind: str, regex: str, group: int, least: int) -> Column:
     """Array of (start, rank, end, kind, value) of one rule over the column text."""
-    # hex runs too short to count can be left unmatched: a longer run never begins inside one.
-    regex = regex[:-1] + "{%d,}" % least if kind == "hex" else regex
+    regex = _scanned(kind, regex, least)
     text, pattern = F.col("text"), F.lit(regex)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     value = F.regexp_extract_all(text, pattern, F.lit(group)) if group else whole
@@ -100,7 +106,9 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
     found = written(candidates(docs, id_col, text_col, owner_col, repo_col).where("size(spans) > 0"), "secrets")
     live = F.filter("spans", lambda s: s["verdict"] == "live")
     spans = judged(found, common_owners).select(F.col("key").alias("__key"), live.alias("__live")).where("size(__live) > 0")
-    out = docs.withColumn("__key", _row_key(id_col, text_col, owner_col)).join(spans, "__key", "left")
+    # Only rows with a match of some rule are joined, so that other texts aren't shuffled.
+    some = F.coalesce(reduce(lambda a, b: a | b, (F.col(text_col).rlike(_scanned(kind, regex, least)) for kind, regex, _, least in RULES)), F.lit(False))
+    out = docs.where(some).withColumn("__key", _row_key(id_col, text_col, owner_col)).join(spans, "__key", "left")
     begin, text = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
@@ -114,4 +122,5 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
     clean = F.col("__live").isNull()
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length(done)).cast(docs.schema["n_chars"].dataType))
-    return out.withColumn(text_col, F.when(clean, text).otherwise(done)).select(*docs.columns)
+    out = out.withColumn(text_col, F.when(clean, text).otherwise(done)).select(*docs.columns)
+    return docs.where(~some).unionByName(out)
