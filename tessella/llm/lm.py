@@ -3,24 +3,26 @@
 Text. A-Z is lower-cased; words are runs of characters other than white space; each document ends
 with an end token, which is also the context of its first word.
 
-Probability of a token w after h, over classes k(.): a class is a word in a share `rare` of the
-training tokens at least, the end, or one class for all other words.
+Probability of a token w after h, over classes k(.): every training word is a class, as are the end
+and all other words together. (With `rare` above 0, so are only words in that share of the training
+tokens at least; by default no word is left out.)
     P(w | h) = P(k(w) | k(h)) * P(w | k(w))
     P(k | g) = d(c) c / C(g)          for a pair (g, k) seen c times in training, C(g) its context's total
              = alpha(g) P(k)          otherwise
     P(k)     = (C(k) + 0.1) / (N + 0.1 K)
 d is Katz's discount with Good-Turing counts for c up to 5 and 1 above; alpha(g) makes the sum over
 all K classes 1. A context whose pairs leave nothing (all above 5) counts one token more. Inside the
-class of rare words a word has (c + 0.1) / (C + 0.1 (V' + 1)), V' its different training words, so
+class of other words a word has (c + 0.1) / (C + 0.1 (V' + 1)), V' its different training words, so
 that all unknown words together share 0.1.
 
 Work. Documents are packed into blocks (some thousand tokens' ids by a list of the block's words),
-written once. Each block sends its distinct words, later its distinct pairs, with training counts to
-hash partitions; a partition adds up all blocks' counts, keeps its part of the count table and sends
-every block the totals of what it asked for, in the order of the question. So the tables grow with
-the corpus and stay partitioned; only classes (at most 1 / rare of them) and their backoff weights
-are sent to all tasks. A very common word is one entry of each block's list, so that no partition
-gets more than its share.
+written once. Each block sends its distinct words, then its distinct pairs, with training counts to
+hash partitions; a partition adds up all blocks' counts of its part of the table and sends every block the totals of what it asked for, in the order of the question. A pair's partition is
+that of both its words, and names one of the asking blocks as the pair's owner. A block adds up its
+own pairs by context, and the contexts' sums are exchanged in the same way, for C(g) and alpha(g).
+So all tables grow with the corpus and stay partitioned; only some numbers (tokens, words, counts of
+counts) are sent to all tasks. A very common word or context is one entry of each block's list, so
+that no partition gets more than its share.
 
 Defined cases: a null or empty text is its end token alone; ids may be null or repeated, a null id is
 in training; without training documents all words are unknown; an empty table gives no rows.
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 from tessella.llm.storage import bounded_batches, small_batches, written
 from tessella.llm.wordhash import U, mix, text_words
 
-END, OTHER = 0, 1  # classes
+END, OTHER = 0, 1  # classes, and their hashes
 KATZ = 5
 BASE_PRIOR = 0.1
 BLOCK_TOKENS = 1 << 18
@@ -52,7 +54,7 @@ BLOCK_ROWS = 4
 
 @dataclass(frozen=True)
 class Settings:
-    rare: float = 1e-5
+    rare: float = 0.0
     held_out_of: int = 10
 
 
@@ -83,8 +85,8 @@ def from_gaps(data: bytes) -> np.ndarray:
 
 
 def small(values: np.ndarray) -> bytes:
-    """Numbers from 0."""
-    return planes(values)
+    """Numbers from 0 (of several rows, one after the other)."""
+    return planes(np.ascontiguousarray(values))
 
 
 def from_small(data: bytes) -> np.ndarray:
@@ -143,7 +145,7 @@ def _ids(ids: pa.Array) -> bytes:
 def ask(found: DataFrame, questions, n: int) -> DataFrame:
     """Rows (part, block, keys, counts): each block's ascending keys with counts, by hash part.
 
-    questions(block row) gives (ascending keys, counts).
+    questions(block row) gives (ascending keys, counts); counts may have several rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +155,7 @@ def ask(found: DataFrame, questions, n: int) -> DataFrame:
                 part = part_of(keys, n)
                 for p in np.unique(part).tolist():
                     mine = part == p
-                    yield pa.record_batch([pa.array([p], pa.int32()), pa.array([row["block"]]), pa.array([gaps(keys[mine])]), pa.array([small(counts[mine])])], ["part", "block", "keys", "counts"])
+                    yield pa.record_batch([pa.array([p], pa.int32()), pa.array([row["block"]]), pa.array([gaps(keys[mine])]), pa.array([small(counts[..., mine])])], ["part", "block", "keys", "counts"])
 
     return found.mapInArrow(run, "part int, block string, keys binary, counts binary")
 
@@ -162,28 +164,40 @@ def part_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (mix(keys) % U(n)).astype(np.int32)
 
 
-def totals(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(distinct keys, their counts over all blocks, each block's places among the keys)."""
+def totals(group: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(rows of the distinct keys' counts over all blocks, each block's places among the keys)."""
     keys = [from_gaps(k) for k in group["keys"]]
     every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.bincount(place, np.concatenate([from_small(c) for c in group["counts"]]), len(every)).astype(np.int64)
-    return every, counts, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+    counts = np.concatenate([from_small(c).reshape(-1, len(k)) for k, c in zip(keys, group["counts"])], axis=1)
+    counts = np.stack([np.bincount(place, c, len(every)) for c in counts]).astype(np.int64)
+    return counts, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
 
 
-ANSWER = "kind string, part int, block string, keys binary, counts binary"
+ANSWER = "kind string, part int, block string, counts binary"
 
 
-def answered(asked: DataFrame, summary, n: int) -> DataFrame:
-    """Kind table: a part's keys and totals. Kind answer: a block's totals in the order it asked. Kind summary: summary(keys, totals)."""
+def answered(asked: DataFrame, summary, n: int, reply=lambda group, counts, places: [small(counts[0][p]) for p in places], table: bool = False) -> DataFrame:
+    """Kind answer: a block's totals in the order it asked. Kind summary: summary(totals). Kind table, if asked for: a part's totals.
 
-    def reply(group: pd.DataFrame) -> pd.DataFrame:
-        keys, counts, places = totals(group)
+    reply(the blocks' questions, rows of totals, each block's places) gives the answers.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        counts, places = totals(group)
         part = int(group["part"].iloc[0])
-        rows = [("answer", part, b, None, small(counts[p])) for b, p in zip(group["block"], places)]
-        rows += [("table", part, None, gaps(keys[counts > 0]), small(counts[counts > 0])), ("summary", part, None, None, summary(keys, counts))]
-        return pd.DataFrame(rows, columns=["kind", "part", "block", "keys", "counts"])
+        rows = [("answer", part, b, a) for b, a in zip(group["block"], reply(group, counts, places))]
+        rows += [("table", part, None, small(counts[0][counts[0] > 0]))] if table else []
+        return pd.DataFrame([*rows, ("summary", part, None, summary(counts[0]))], columns=["kind", "part", "block", "counts"])
+
+    return asked.repartition(n, "part").groupBy("part").applyInPandas(run, ANSWER)
 
-    return asked.repartition(n, "part").groupBy("part").applyInPandas(reply, ANSWER)
+
+def with_owner(group: pd.DataFrame, counts: np.ndarray, places: list[np.ndarray]) -> list[bytes]:
+    """The totals, times 2, and 1 more in the answer to one of the blocks that asked."""
+    first, place = np.empty(counts.shape[1], np.int64), np.concatenate(places)
+    first[place[::-1]] = np.arange(len(place))[::-1]
+    own = 2 * counts[0][place] + (first[place] == np.arange(len(place)))
+    return [small(a) for a in np.split(own, np.cumsum([len(p) for p in places])[:-1])]
 
 
 def gathered(answers: DataFrame) -> DataFrame:
@@ -191,46 +205,68 @@ def gathered(answers: DataFrame) -> DataFrame:
     return answers.where("kind = 'answer'").groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("answers"))
 
 
-def in_order(answers: list[dict], keys: np.ndarray, n: int) -> np.ndarray:
-    """The totals of the ascending keys, from the answers of all parts."""
-    out, part = np.zeros(len(keys), np.int64), part_of(keys, n)
-    for a in answers or []:
-        out[part == a["part"]] = from_small(a["counts"])
+def in_order(answers: list[dict], keys: np.ndarray, n: int, decoded=from_small) -> np.ndarray:
+    """The answers of all parts to the ascending keys (or rows of answers)."""
+    part, found = part_of(keys, n), [(a["part"], decoded(a["counts"])) for a in answers or []]
+    out = np.zeros((*(found[0][1].shape[:-1] if found else ()), len(keys)), found[0][1].dtype if found else np.int64)
+    for p, values in found:
+        out[..., part == p] = values
     return out
 
 
 @dataclass(frozen=True)
-class Classes:
-    """Hashes (sorted) and classes of the common words; all classes' training counts."""
+class Model:
+    """What is known of all words together."""
 
-    hashes: np.ndarray
-    ids: np.ndarray
-    counts: np.ndarray
+    least: float  # the training count of a word with a class of its own
     tokens: int
+    ends: int
     different: int  # V, with the end
+    classes: int  # K
     rare_tokens: int
     rare_words: int
 
-    @property
-    def p(self) -> np.ndarray:
-        return (self.counts + BASE_PRIOR) / (self.counts.sum() + BASE_PRIOR * len(self.counts))
-
-    def of(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(words), OTHER, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, self.ids[at], OTHER)
-
-
-def pairs_of(row: dict, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct pairs, training counts, each token's pair, whether it is in training), the end tokens in their places."""
-    own = classes.of(from_gaps(row["words"]))
-    ends, training = from_small(row["ends"]), unpacked(row["training"], bool)
-    tokens = np.insert(own[from_small(row["tokens"])], np.cumsum(ends), END)
-    before = np.concatenate([[END], tokens[:-1]]) if len(tokens) else tokens
-    learned = np.repeat(training, ends + 1)
-    pair, place = np.unique((before.astype(U) << U(32)) | tokens.astype(U), return_inverse=True)
-    return pair, np.bincount(place[learned], minlength=len(pair)), place, learned
+    def p(self, counts: np.ndarray, n: np.ndarray | int = 1) -> np.ndarray:
+        """P(k) of a class by its count; of n classes together by the sum of theirs."""
+        return (counts + BASE_PRIOR * n) / (self.tokens + BASE_PRIOR * self.classes)
+
+
+class Block:
+    """A block's words, classes and pairs, with the totals of its words."""
+
+    def __init__(self, row: dict, model: Model, n: int):
+        words, self.ends, self.training = from_gaps(row["words"]), from_small(row["ends"]), unpacked(row["training"], bool)
+        self.counts = in_order(row["word_totals"], words, n)
+        common = self.counts >= model.least
+        # Classes by number: the end, all other words, the block's words.
+        self.own = np.where(common, np.arange(2, 2 + len(words)), OTHER)
+        self.hashes = np.concatenate([np.array([END, OTHER], U), words])
+        self.totals = np.concatenate([[model.ends, model.rare_tokens], self.counts])
+        self.tokens = from_small(row["tokens"])
+        tokens = np.insert(self.own[self.tokens], np.cumsum(self.ends), END)
+        before = np.concatenate([[END], tokens[:-1]]) if len(tokens) else tokens
+        self.learned = np.repeat(self.training, self.ends + 1)
+        pair, place = np.unique(before * len(self.hashes) + tokens, return_inverse=True)
+        g, k = np.divmod(pair, len(self.hashes))
+        with np.errstate(over="ignore"):
+            keys = mix(mix(self.hashes[g] + U(0x9E3779B97F4A7C15)) + self.hashes[k] * U(0xD6E8FEB86659FD93))
+        order = np.argsort(keys)
+        #: Distinct pairs in the order of their keys: contexts, words; each token's pair.
+        self.keys, self.g, self.k = keys[order], g[order], k[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.place = rank[place]
+
+    def learned_pairs(self) -> np.ndarray:
+        return np.bincount(self.place[self.learned], minlength=len(self.keys))
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(contexts in the order of their hashes, each pair's place among them)."""
+        g = np.unique(self.g)
+        g = g[np.argsort(self.hashes[g])]
+        rank = np.zeros(len(self.hashes), np.int64)
+        rank[g] = np.arange(len(g))
+        return g, rank[self.g]
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -248,27 +284,32 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return d
 
 
-@dataclass(frozen=True)
-class Backoff:
-    d: np.ndarray
-    total: np.ndarray  # by context
-    alpha: np.ndarray  # by context
-
-
-def backoff(stats: pd.DataFrame, classes: Classes, n: np.ndarray) -> Backoff:
-    """stats by context g: n1..n5 (pairs by count), big (sum of larger counts), seen (sum of P(k) over seen k)."""
-    d, k = discounts(n), len(classes.counts)
-    total, alpha = np.zeros(k), np.ones(k)
-    g = stats["g"].to_numpy(np.int64)
-    small_counts = stats[[f"n{r}" for r in range(1, KATZ + 1)]].to_numpy(float)
-    tokens = small_counts @ np.arange(1, KATZ + 1) + stats["big"].to_numpy(float)
-    kept = small_counts @ (d[1:] * np.arange(1, KATZ + 1)) + stats["big"].to_numpy(float)
-    seen = stats["seen"].to_numpy(float)
-    full = seen >= 1 - 1e-12  # nothing is left to back off to
-    tokens = np.where((kept >= tokens) & ~full, tokens + 1, tokens)
-    total[g] = np.where(full, kept, tokens)
-    alpha[g] = np.where(full, 0.0, (1 - kept / tokens) / np.where(full, 1.0, 1 - seen))
-    return Backoff(d, total, alpha)
+def context_sums(block: Block, owned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the block's contexts, rows of sums over its own pairs), from the answers to its pairs.
+
+    Rows: pairs by count (1 to KATZ), pairs and tokens of larger counts, tokens of the second words; last
+    the number of pairs that aren't seen in training, for which the block needs alpha.
+    """
+    g, place = block.contexts()
+    seen = np.where(owned & 1, owned >> 1, 0)
+    yes, unseen = seen > 0, np.bincount(place[owned < 2], minlength=len(g))
+    place, seen, second = place[yes], seen[yes], block.totals[block.k[yes]]
+    add = lambda x: np.bincount(place, x, len(g)).astype(np.int64)
+    return block.hashes[g], np.stack([*(add(seen == r) for r in range(1, KATZ + 1)), add(seen > KATZ), add(np.where(seen > KATZ, seen, 0)), add(second), unseen])
+
+
+def backoff(sums: np.ndarray, model: Model, d: np.ndarray) -> np.ndarray:
+    """Rows C(g) less the context's tokens, alpha(g) from rows of contexts' sums."""
+    few, (many, big, second) = sums[:KATZ], sums[KATZ : KATZ + 3]
+    tokens = (np.arange(1, KATZ + 1) @ few + big).astype(float)
+    kept = (d[1:] * np.arange(1, KATZ + 1)) @ few + big
+    different = few.sum(axis=0) + many
+    seen = model.p(second, different)
+    full = different >= model.classes  # nothing is left to back off to
+    total = np.where(full, kept, np.where(kept >= tokens, tokens + 1, tokens))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        alpha = np.where(different == 0, 1.0, np.where(full, 0.0, (1 - kept / total) / (1 - seen)))
+    return np.stack([total - tokens, alpha])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -283,35 +324,38 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
 
 def _scored(docs: DataFrame, found: DataFrame, n: int, id_col: str, settings: Settings) -> DataFrame:
     spark = docs.sparkSession
-    word_answers = written(answered(ask(found, lambda row: (from_gaps(row["words"]), from_small(row["counts"])), n), _word_summary, n), "lm-words")
-    ends = _end_count(docs, id_col, settings)
-    classes = _classes(word_answers, ends, settings)
-    shared = spark.sparkContext.broadcast(classes)
+    share = spark.sparkContext.broadcast
+    word_answers = written(answered(ask(found, lambda row: (from_gaps(row["words"]), from_small(row["counts"])), n), _word_summary, n, table=True), "lm-words")
+    model = share(_model(word_answers, _end_count(docs, id_col, settings), settings))
+    known = found.drop("counts").join(gathered(word_answers).withColumnRenamed("answers", "word_totals"), "block", "left")
 
     def pair_question(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        return pairs_of(row, shared.value)[:2]
+        block = Block(row, model.value, n)
+        return block.keys, block.learned_pairs()
+
+    def pair_summary(counts: np.ndarray) -> bytes:
+        return packed(np.array([0, *((counts == r).sum() for r in range(1, KATZ + 2))], np.int64))
+
+    pair_answers = written(answered(ask(known.drop("ids"), pair_question, n), pair_summary, n, with_owner), "lm-pairs")
+    d = share(discounts(_summed(pair_answers, KATZ + 2)))
+    known = known.join(gathered(pair_answers).withColumnRenamed("answers", "pair_totals"), "block", "left")
 
-    def pair_summary(keys: np.ndarray, counts: np.ndarray) -> bytes:
-        keys, counts = keys[counts > 0], counts[counts > 0]
-        g, place = np.unique((keys >> U(32)).astype(np.int64), return_inverse=True)
-        p = shared.value.p[(keys & U(0xFFFFFFFF)).astype(np.int64)]
-        columns = [np.bincount(place, counts == r, len(g)) for r in range(1, KATZ + 2)]
-        columns += [np.bincount(place, np.where(counts > KATZ, counts, 0), len(g)), np.bincount(place, p, len(g))]
-        return packed(np.stack([g.astype(float), *columns]))
+    def context_question(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        block = Block(row, model.value, n)
+        return context_sums(block, in_order(row["pair_totals"], block.keys, n))
 
-    pair_answers = written(answered(ask(found, pair_question, n), pair_summary, n), "lm-pairs")
-    stats = _pair_stats(pair_answers)
-    table = stats.toPandas()
-    weights = backoff(table, classes, np.array([0, *(table[f"n{r}"].sum() for r in range(1, KATZ + 2))]))
-    shared_weights = spark.sparkContext.broadcast(weights)
+    def weights(group: pd.DataFrame, counts: np.ndarray, places: list[np.ndarray]) -> list[bytes]:
+        more, alpha = backoff(counts, model.value, d.value)
+        needed = [from_small(c).reshape(-1, len(p))[-1] > 0 for c, p in zip(group["counts"], places)]
+        return [packed(np.stack([more[p], np.where(yes, alpha[p], 0.0)])) for p, yes in zip(places, needed)]
 
-    ready = found.join(gathered(word_answers).withColumnRenamed("answers", "word_totals"), "block", "left").join(gathered(pair_answers).withColumnRenamed("answers", "pair_totals"), "block", "left")
-    ready = ready.select("ids", "training", "ends", "tokens", "words", "word_totals", "pair_totals")
+    context_answers = written(answered(ask(known.drop("ids"), context_question, n), lambda counts: b"", n, weights), "lm-contexts")
+    ready = known.join(gathered(context_answers).withColumnRenamed("answers", "weights"), "block", "left").drop("block")
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield _scores(batch.slice(i, 1).to_pylist()[0], shared.value, shared_weights.value, n)
+                yield _scores(batch.slice(i, 1).to_pylist()[0], model.value, d.value, n)
 
     out = ready.mapInArrow(evaluate, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return written(out, "lm-scores").withColumnRenamed("id", id_col)
@@ -322,65 +366,56 @@ def _end_count(docs: DataFrame, id_col: str, settings: Settings) -> int:
     return docs.where(~held).count()
 
 
-def _word_summary(keys: np.ndarray, counts: np.ndarray) -> bytes:
+def _word_summary(counts: np.ndarray) -> bytes:
     return packed(np.array([(counts > 0).sum(), counts.sum()], np.int64))
 
 
-def _classes(answers: DataFrame, ends: int, settings: Settings) -> Classes:
-    """Common words, from the partitioned counts: at most 1 / rare of them."""
-    sums = np.array([unpacked(r.counts, np.int64) for r in answers.where("kind = 'summary'").select("counts").collect()]).reshape(-1, 2).sum(axis=0)
-    different, tokens = int(sums[0]), int(sums[1]) + ends
-    least = max(1, settings.rare * tokens)
-
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, counts = from_gaps(keys), from_small(counts)
-                yield pa.record_batch([pa.array(keys[counts >= least].view(np.int64)), pa.array(counts[counts >= least])], ["h", "n"])
-
-    rows = answers.where("kind = 'table'").select("keys", "counts").mapInArrow(common, "h long, n long").toPandas()
-    h, c = rows["h"].to_numpy(np.int64).view(U), rows["n"].to_numpy(np.int64)
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    rare = int(sums[1] - c.sum())
-    return Classes(h, np.arange(2, 2 + len(h)), np.concatenate([[ends, rare], c]), tokens, different + (ends > 0), rare, different - len(h))
+def _summed(answers: DataFrame, n: int) -> np.ndarray:
+    """The sum of all parts' summaries, of n numbers each."""
+    rows = answers.where("kind = 'summary'").select("counts").collect()
+    return np.array([unpacked(r.counts, np.int64) for r in rows], np.int64).reshape(-1, n).sum(axis=0)
 
 
-def _pair_stats(answers: DataFrame) -> DataFrame:
-    """By context, added up over the parts."""
-    names = ["g", *(f"n{r}" for r in range(1, KATZ + 2)), "big", "seen"]
+def _model(answers: DataFrame, ends: int, settings: Settings) -> Model:
+    """Sums over the partitioned counts of words."""
+    different, tokens = _summed(answers, 2).tolist()
+    least = max(1, settings.rare * (tokens + ends))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                yield pa.record_batch([pa.array(c) for c in unpacked(data, np.float64).reshape(len(names), -1)], names)
+            counts = [from_small(c) for c in batch.column(0).to_pylist()]
+            counts = [c[c >= least] for c in counts]
+            yield pa.record_batch([pa.array([len(c) for c in counts], pa.int64()), pa.array([c.sum() for c in counts], pa.int64())], ["words", "tokens"])
 
-    each = answers.where("kind = 'summary'").select("counts").mapInArrow(rows, ", ".join(f"{c} double" for c in names))
-    return each.groupBy("g").agg(*(F.sum(c).alias(c) for c in names[1:]))
+    own = answers.where("kind = 'table'").select("counts").mapInArrow(common, "words long, tokens long").agg(F.sum("words"), F.sum("tokens")).first()
+    words, own_tokens = own[0] or 0, own[1] or 0
+    return Model(least, tokens + ends, ends, different + (ends > 0), words + 2, tokens - own_tokens, different - words)
 
 
-def _scores(row: dict, classes: Classes, weights: Backoff, n: int) -> pa.RecordBatch:
-    words, ends = from_gaps(row["words"]), from_small(row["ends"])
+def _scores(row: dict, model: Model, d: np.ndarray, n: int) -> pa.RecordBatch:
+    block = Block(row, model, n)
     # By word, and last the end.
-    counts = np.append(in_order(row["word_totals"], words, n), classes.counts[END])
-    own = np.append(classes.of(words), END)
-    base = np.log10((counts + BASE_PRIOR) / (classes.tokens + BASE_PRIOR * (classes.different + 1)))
-    inside = np.where(own == OTHER, np.log10((counts + BASE_PRIOR) / (classes.rare_tokens + BASE_PRIOR * (classes.rare_words + 1))), 0.0)
-
-    pair, _, place, _ = pairs_of(row, classes)
-    seen = in_order(row["pair_totals"], pair, n)
-    g, k = (pair >> U(32)).astype(np.int64), (pair & U(0xFFFFFFFF)).astype(np.int64)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        direct = weights.d[np.where(seen > KATZ, 0, seen)] * seen / weights.total[g]
-        p = np.log10(np.where(seen > 0, direct, weights.alpha[g] * classes.p[k]))
-
-    tokens = from_small(row["tokens"])
+    counts = np.append(block.counts, model.ends)
+    base = np.log10((counts + BASE_PRIOR) / (model.tokens + BASE_PRIOR * (model.different + 1)))
+    other = np.append(block.own, END) == OTHER
+    inside = np.where(other, np.log10((counts + BASE_PRIOR) / (model.rare_tokens + BASE_PRIOR * (model.rare_words + 1))), 0.0)
+
+    seen = in_order(row["pair_totals"], block.keys, n) >> 1
+    g, place = block.contexts()
+    more, alpha = in_order(row["weights"], block.hashes[g], n, lambda b: unpacked(b, np.float64).reshape(2, -1))[:, place]
+    # Each training token is the context of one more, so that a context's tokens are its own count.
+    total = block.totals[block.g] + more
+    with np.errstate(divide="ignore", invalid="ignore"):  # of pairs that are of the other kind
+        direct = d[np.where(seen > KATZ, 0, seen)] * seen / total
+        p = np.log10(np.where(seen > 0, direct, alpha * model.p(block.totals[block.k])))
+
+    ends = block.ends
     stops = np.cumsum(ends)  # the end tokens' places
-    at = np.insert(tokens, stops, -1)
+    at = np.insert(block.tokens, stops, -1)
     begins = np.concatenate([[0], np.cumsum(ends + 1)[:-1]])
     ids, valid = unpacked(row["ids"], np.int64).reshape(2, -1)
     add = lambda x, t: np.add.reduceat(x.astype(t), begins)
     return pa.record_batch(
-        [pa.array(ids, mask=valid == 0), pa.array(~unpacked(row["training"], bool)), pa.array(ends + 1), pa.array(add(counts[at] > 0, np.int64)), pa.array(np.full(len(ids), classes.tokens)), pa.array(add(base[at], float)), pa.array(add(p[place] + inside[at], float))],
+        [pa.array(ids, mask=valid == 0), pa.array(~block.training), pa.array(ends + 1), pa.array(add(counts[at] > 0, np.int64)), pa.array(np.full(len(ids), model.tokens)), pa.array(add(base[at], float)), pa.array(add(p[block.place] + inside[at], float))],
         ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     )

@@ -105,6 +105,17 @@ def test_equals_plain_and_sums_to_one(spark, rare, monkeypatch):
         assert abs(sum(plain.p(g, k) for k in plain.classes) - 1) < 1e-9
 
 
+def test_counts_pairs_of_rare_words(spark):
+    """In a corpus where a hundred-thousandth of the tokens is more than one, pairs of words seen once count."""
+    rng = random.Random(14)
+    docs = [(i, " ".join(rng.choices("abcdefgh", k=2200)) + f" zig{i} zag{i} zig{i}") for i in range(120)]
+    held = next(i for i in range(200, 300) if is_held(i))
+    docs += [(held, "zig1 zag1 zig1 other")]
+    rows = lm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    plain = check(rows, docs, 0)
+    assert plain.n > 200_000 and plain.k("zag1")[1]
+
+
 def test_packing():
     rng = np.random.default_rng(13)
     keys = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
