@@ -33,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents without a window of a benchmark item."""
-    found = find_leaks(whole_rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row")
+    found = find_leaks(whole_rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row", null_items=True)
     return found.where("size(spans) = 0").select("row.*")
 
 

@@ -6,9 +6,11 @@ fingerprints misses no shared span; each join hit is then extended word by word
 themselves. Items of fewer words than a window are one span: for these lengths every position of a
 document is a fingerprint (w = 1).
 
-Defined cases: a null text has no words; null ids are ids like others; repeated rows get equal rows;
-an item without words hits nothing; empty tables give empty results or documents without hits. Only
-the named columns are read, so that other columns may have any name.
+Defined cases: a null text has no words; null ids of documents are ids like others; repeated rows get
+equal rows; an item without words hits nothing; empty tables give empty results or documents without
+hits. With null_items, items with a null id hit like others and are one null in the documents' items
+(the last one), so that it counts as an item; without, they are left out. Only the named columns are
+read, so that other columns may have any name.
 """
 
 from __future__ import annotations
@@ -67,7 +69,7 @@ def every(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, n
 class Items:
     """The benchmark's words and sorted fingerprints, by n-gram length."""
 
-    def __init__(self, rows: list[tuple[str, bytes]], window: int, k: int):
+    def __init__(self, rows: list[tuple[str | None, bytes]], window: int, k: int):
         self.window, self.k = window, k
         kept = [(name, WORD.findall(text.lower()), text.lower()) for name, text in rows]
         kept = [x for x in kept if x[1]]
@@ -97,7 +99,7 @@ class Items:
                     found[int(text[j])].add((int(item[i]), int(at[j]) - int(pos[i])))
         return found
 
-    def hits(self, text: bytes, found: set[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[str]]:
+    def hits(self, text: bytes, found: set[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[str | None]]:
         """Word spans of the text inside windows of items, joined, and the items' names."""
         words, spans, names = WORD.findall(text), [], set()
         for item, shift in found:
@@ -112,7 +114,7 @@ class Items:
                         spans.append((begin + shift, i + shift))
                         names.add(self.names[item])
                     begin = None
-        return joined(spans), sorted(names)
+        return joined(spans), sorted(names, key=lambda x: (x is None, x or ""))
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -137,7 +139,7 @@ def as_spans(spans: list[tuple[int, int]]) -> list[dict]:
     return [{"start": a, "end": b} for a, b in spans]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 5, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 5, broadcast_bytes: int = 64 << 20, null_items: bool = False) -> DataFrame:
     """Per document (id_col): n_words long, spans (hit words, joined, end exclusive), items (their ids as strings).
 
     The items' fingerprints go to every task while the items have at most broadcast_bytes of text;
@@ -145,7 +147,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    items = items.select(F.col(item_id_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
+    items = items.select(F.col(item_id_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
+    if not null_items:
+        items = items.where("item is not null")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= broadcast_bytes:
         out = _by_broadcast(docs, items, window, k)
@@ -174,7 +178,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, window: int, k: int) -> Dat
 def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
     """Rows are told apart by (id, text): equal rows have equal results."""
     docs = docs.withColumn("key", F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.coalesce("text", F.lit(""))), 256))
-    items = items.distinct()
+    items = items.distinct().select(F.sha2(F.concat(F.coalesce(F.concat(F.lit(":"), "item"), F.lit("")), F.lit(":"), "text"), 256).alias("own_key"), "item", "text")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,9 +202,9 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataF
         return run
 
     left = docs.select("key", "text").mapInArrow(prints(False), "key string, n int, h long").distinct()
-    right = items.select("item", "text").mapInArrow(prints(True), "item string, n int, h long").distinct()
-    pairs = left.join(right, ["n", "h"]).select("key", "item").distinct()
-    both = pairs.join(items.withColumnRenamed("text", "own"), "item").join(docs.dropDuplicates(["key"]).select("key", "text"), "key")
+    right = items.select("own_key", "text").mapInArrow(prints(True), "key string, n int, h long").withColumnRenamed("key", "own_key").distinct()
+    pairs = left.join(right, ["n", "h"]).select("key", "own_key").distinct()
+    both = pairs.join(items.withColumnRenamed("text", "own"), "own_key").join(docs.dropDuplicates(["key"]).select("key", "text"), "key")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,14 +213,14 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataF
             for _, item, own, text in rows:
                 index = Items([(item, own)], window, k)
                 spans.append(index.hits(text, index.candidates(*text_words([text])).get(0, set()))[0])
-            yield pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([as_spans(s) for s in spans], SPAN_TYPE)], ["key", "item", "spans"])
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([as_spans(s) for s in spans], SPAN_TYPE)], ["key", "item", "spans"])
 
     hits = both.select("key", "item", "own", "text").mapInArrow(extend, f"key string, item string, spans {SPANS}").where("size(spans) > 0")
     union = F.expr("""aggregate(array_sort(flatten(all)), cast(array() as array<struct<start:int,end:int>>), (acc, s) -> case
         when size(acc) > 0 and s.start <= element_at(acc, -1).end
         then concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(s.end, element_at(acc, -1).end) as end)))
         else concat(acc, array(s)) end)""")
-    hits = hits.groupBy("key").agg(F.collect_list("spans").alias("all"), F.array_sort(F.collect_set("item")).alias("items")).select("key", union.alias("spans"), "items")
+    hits = hits.groupBy("key").agg(F.collect_list("spans").alias("all"), F.array_sort(F.collect_set(F.struct("item"))["item"]).alias("items")).select("key", union.alias("spans"), "items")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

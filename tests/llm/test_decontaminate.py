@@ -3,8 +3,11 @@
 import random
 import re
 
+import corpus_pipeline
+import duckdb
 import pytest
 
+from tessella.llm import queries
 from tessella.llm.decontaminate import decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -48,6 +51,35 @@ def test_equals_brute_force(spark, limit):
     assert sorted(got, key=str) == brute(docs, [x for x in items if x[0] is not None])
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_items_without_id(spark, limit):
+    items = [(None, "one two three"), (None, "four five"), (7, "four five"), (8, "six")]
+    docs = [(1, "zero one two three"), (2, "four five"), (3, "six one two three"), (4, "one two")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: ([tuple(s) for s in r.spans], r["items"]) for r in decontaminate(d, b, broadcast_bytes=limit, null_items=True).collect()}
+    assert got == {1: ([(1, 4)], [None]), 2: ([(0, 2)], ["7", None]), 3: ([(0, 4)], ["8", None]), 4: ([], [])}
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """Documents with a window of an item without an id, and the benchmark."""
+    window = " ".join("abcdefghijkl")
+    docs = [(1, f"x {window} y"), (2, "x y"), (3, f"{window} of another")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, window), (5, f"{window} of")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_query_and_pipeline_with_items_without_id(spark, tables):
+    want = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        want.execute(f"create view {name} as select * from '{tables}/{name}.parquet/*.parquet'")
+    got = queries.op8_decontaminate(spark, tables)
+    assert sorted(map(tuple, got.collect())) == sorted(want.sql(f"select {', '.join(got.columns)} from ({queries.ORACLE_SQL['op8_decontaminate']})").fetchall())
+    kept = corpus_pipeline.decontaminate(spark, spark.read.parquet(f"{tables}/documents.parquet"), tables)
+    assert [r.doc_id for r in kept.collect()] == [2]
+
+
 def test_odd(spark, odd, none):
     items = spark.createDataFrame([(1, "word " * 12)], "item_id long, text string")
     got = decontaminate(odd, items).collect()
