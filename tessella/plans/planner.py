@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.tiles import archive_time, done_fields, output_name, version_of
+from tessella.llm.storage import written
 
 
 def listing(entries: DataFrame, folder: str) -> DataFrame:
@@ -35,12 +36,32 @@ def done_days(rows: DataFrame) -> DataFrame:
 
 
 def done_by_major(rows: DataFrame) -> DataFrame:
-    """Per major its base (the last listed) and its diffs in listing order."""
+    """Per major its base (the last listed) and its diffs in listing order: a list for a major of few archives.
+
+    done_bases and done_diffs give the same as rows.
+    """
     base = F.max(F.when(F.col("is_base"), F.struct("ord", "name")))["name"]
     diffs = F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_base"), F.struct("ord", "name")))), lambda d: d["name"])
     return rows.groupBy("major").agg(base.alias("base"), diffs.alias("diffs"))
 
 
+def done_bases(rows: DataFrame) -> DataFrame:
+    """Per major with a base the last listed one."""
+    return rows.where("is_base").groupBy("major").agg(F.max(F.struct("ord", "name"))["name"].alias("base"))
+
+
+def done_diffs(rows: DataFrame) -> DataFrame:
+    """Diffs (major, position, name), from 1 in listing order: ranked in ranges of (major, ord), so that a major may have any number."""
+    spark = rows.sparkSession
+    n = max(rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    diffs = rows.where(~F.col("is_base")).select("major", "ord", "name").repartitionByRange(n, "major", "ord", "name")
+    diffs = written(diffs.withColumn("part", F.spark_partition_id()), "done-diffs")
+    sizes = diffs.groupBy("major", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("major").orderBy("part")) - F.col("n")
+    own = F.row_number().over(Window.partitionBy("major", "part").orderBy("ord", "name"))
+    return diffs.withColumn("own", own).join(sizes.select("major", "part", before.alias("before")), ["major", "part"]).select("major", (F.col("before") + F.col("own")).alias("position"), "name")
+
+
 def plan(archives: DataFrame, finished: DataFrame) -> DataFrame:
     """Jobs (dt, major, minor, is_diff, base, name), for archives (dt, major, minor) against done().
 

@@ -440,9 +440,13 @@ _DONE = f"""{_V}, n AS (SELECT event_id AS ord, ts, major, minor, event_id % 7 =
 d AS (SELECT ord, name, major, minor, is_base, date_trunc('hour', ts) AS dt FROM n WHERE name LIKE '%.db')"""
 
 
-def finished(spark: SparkSession, sf: str) -> DataFrame:
-    """Done archives: names made from the events of every seventh day, read back."""
-    v, own = F.col("v"), archives(spark, sf).where(F.dayofmonth("dt") % 7 == 3)
+_DONE_ALL = _DONE.replace(" WHERE day(ts) % 7 = 3", "")
+
+
+def finished(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    """Done archives: names made from the events of every seventh day (or of all days), read back."""
+    v, own = F.col("v"), archives(spark, sf)
+    own = own if every else own.where(F.dayofmonth("dt") % 7 == 3)
     version = F.struct(v["major"].alias("major"), v["minor"].alias("minor"), (F.col("event_id") % 7 == 0).alias("is_base"))
     name = tf.output_name(version, F.col("dt"))
     name = F.when(F.col("event_id") % 11 == 0, F.regexp_replace(name, r"\.db$", ".png")).otherwise(name)
@@ -464,6 +468,26 @@ def done_by_major(spark: SparkSession, sf: str) -> DataFrame:
     return planner.done_by_major(finished(spark, sf)).withColumn("diffs", F.array_join("diffs", ","))
 
 
+@query(f"{_DONE_ALL} SELECT name, ord, epoch_us(dt) AS us FROM d ORDER BY dt DESC, ord LIMIT 1")
+def done_all_latest(spark: SparkSession, sf: str) -> DataFrame:
+    return planner.done_latest(finished(spark, sf, every=True)).select("name", "ord", F.unix_micros("dt").alias("us"))
+
+
+@query(f"{_DONE_ALL} SELECT DISTINCT CAST(dt AS DATE) AS day FROM d")
+def done_all_days(spark: SparkSession, sf: str) -> DataFrame:
+    return planner.done_days(finished(spark, sf, every=True))
+
+
+@query(f"{_DONE_ALL} SELECT major, arg_max(name, ord) AS base FROM d WHERE is_base GROUP BY major")
+def done_all_bases(spark: SparkSession, sf: str) -> DataFrame:
+    return planner.done_bases(finished(spark, sf, every=True))
+
+
+@query(f"{_DONE_ALL} SELECT major, row_number() OVER (PARTITION BY major ORDER BY ord) AS position, name FROM d WHERE NOT is_base")
+def done_all_diffs(spark: SparkSession, sf: str) -> DataFrame:
+    return planner.done_diffs(finished(spark, sf, every=True))
+
+
 _PLAN = f"""{_DONE}, f AS (SELECT * FROM d WHERE major < 2),
 a AS (SELECT ts, major, minor FROM (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, major, minor) AS rn FROM v) WHERE rn = 1 AND CAST(ts AS DATE) NOT IN (SELECT CAST(dt AS DATE) FROM f)),
 b AS (SELECT major, arg_max(name, ord) FILTER (is_base) AS done_base FROM f GROUP BY major),

@@ -44,6 +44,13 @@ def test_done_summary(spark):
     assert by == {0: (DONE[0], DONE[1:3]), 1: (DONE[7], DONE[5:7])}
 
 
+def test_done_as_rows(spark):
+    rows = done(spark, DONE + [f"v2.{i % 168:03d}_2025-01-{15 + i % 7}T{i % 24:02d}.db" for i in range(500)] + ["v2_2025-01-15T00.db", "v2_2025-01-15T01.db"]).repartition(5)
+    want = {r.major: (r.base, r.diffs) for r in planner.done_by_major(rows).collect()}
+    assert {r.major: r.base for r in planner.done_bases(rows).collect()} == {k: b for k, (b, _) in want.items()}
+    assert sorted(map(tuple, planner.done_diffs(rows).collect())) == sorted((k, i, d) for k, (_, diffs) in want.items() for i, d in enumerate(diffs, 1))
+
+
 def test_plan(spark):
     jobs = planner.plan(archives(spark), done(spark, DONE[:3])).orderBy("dt").collect()
     assert [(j.dt.day, j.is_diff, j.base) for j in jobs] == [(7, False, None), (8, True, "v1_2025-01-07T00.db"), (9, True, "v1_2025-01-07T00.db")]

@@ -32,6 +32,12 @@ def test_query(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
+def test_done_of_all_events(spark, duck):
+    """One name in eleven is no archive; all others are done, whatever their day."""
+    want = duck.sql("select count(*) filter (event_id % 7 <> 0), count(distinct cast(ts as date)) from events where event_id % 11 <> 0").fetchall()[0]
+    assert (queries.done_all_diffs(spark, SMALL).count(), queries.done_all_days(spark, SMALL).count()) == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert entry.queries().keys() >= entry.oracle_sql().keys()
