@@ -2,8 +2,9 @@
 
 An Aho-Corasick automaton finds the anchors: at-signs, plus signs, digits, schemes and identifier
 cues. At each anchor a deterministic parser grows the span to its boundaries on both sides and
-validates it (label structure, octets, Luhn, digit counts, IBAN remainder). A parser is called once
-per span: anchors inside what it has consumed are skipped.
+validates it (label structure, octets, Luhn, digit counts, IBAN remainder). Anchors inside what a
+parser has consumed are skipped, and a parser that fails has walked no further than to the next place
+where another of its kind could begin (or over 35 letters and digits), so that time is linear in the text.
 
 Kinds email, ip, card and phone follow fixed rules (leftmost, non-overlapping per kind, failing
 matches dropped without a retry). The method adds url (scheme and authority up to white space) and
@@ -33,6 +34,8 @@ LOCAL, LABEL, PHONE = ALNUM | set("._%+-"), ALNUM | {"-"}, DIGIT | set(" ().-")
 SCHEMES = ("http", "https", "ftp", "ssh", "sftp", "postgres", "mysql", "mongodb", "redis", "amqp")
 CUES = ("iban", "account", "acct", "ssn", "passport")
 END_OF_URL = frozenset(" \t\r\n\x0b\x0c\"'<>`")
+LONGEST_SCHEME = max(map(len, SCHEMES))
+CUE_GAP = frozenset(" :=#")
 Span = tuple[int, int]
 
 
@@ -125,28 +128,41 @@ def phone(text: str, at: int) -> tuple[Span | None, int]:
 
 
 def url(text: str, at: int, floor: int) -> Span | None:
-    """Around the :// at `at`: a known scheme before it, anything but white space and quotes behind it."""
+    """Around the :// at `at`: a known scheme before it, anything but white space and quotes behind it.
+
+    The scheme is looked at first, so that only what becomes a span (or has nothing but punctuation) is walked.
+    """
     begin = at
-    while begin > floor and text[begin - 1] in ALNUM:
+    while begin > max(floor, at - LONGEST_SCHEME - 1) and text[begin - 1] in ALNUM:
         begin -= 1
+    if text[begin:at].lower() not in SCHEMES:
+        return None
     end = at + 3
     while end < len(text) and text[end] not in END_OF_URL:
         end += 1
     while end > at + 3 and text[end - 1] in ".,;:!?)":
         end -= 1
-    return (begin, end) if text[begin:at].lower() in SCHEMES and end > at + 3 else None
+    return (begin, end) if end > at + 3 else None
 
 
 def account(text: str, at: int, cue: str) -> Span | None:
-    """The identifier behind a cue that ends at `at`: 6 to 34 letters and digits, 4 digits at least."""
+    """The identifier behind a cue that ends at `at`: 6 to 34 letters and digits, 4 digits at least.
+
+    The walk ends at the 35th letter or digit, whatever follows.
+    """
     if at < len(text) and text[at] in ALNUM:
         return None
-    begin = run(text, at, frozenset(" :=#"))
-    end = run(text, begin, LABEL)
+    begin = end = run(text, at, CUE_GAP)
+    n = 0
+    while end < len(text) and text[end] in LABEL:
+        n += text[end] != "-"
+        if n > 34:
+            return None
+        end += 1
     while end > begin and text[end - 1] == "-":
         end -= 1
     plain = text[begin:end].replace("-", "")
-    if not 6 <= len(plain) <= 34 or sum(c in DIGIT for c in plain) < 4:
+    if len(plain) < 6 or sum(c in DIGIT for c in plain) < 4:
         return None
     if cue == "iban":
         moved = (plain[4:] + plain[:4]).upper()

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -51,6 +52,48 @@ def test_pii_added_kinds():
     assert [k for k, _, _ in found if k not in pii.BASE] == ["url", "account", "account", "account"]
 
 
+URL = re.compile(r"(?<![A-Za-z0-9])(?:http|https|ftp|ssh|sftp|postgres|mysql|mongodb|redis|amqp)://[^ \t\r\n\x0b\x0c\"'<>`]+", re.I)
+CUE = re.compile(r"(?=((iban|IBAN|Iban|account|ACCOUNT|Account|acct|ACCT|Acct|ssn|SSN|Ssn|passport|PASSPORT|Passport)(?![A-Za-z0-9])[ :=#]*([A-Za-z0-9-]*)))")
+
+
+def brute_added(text):
+    out, done = [], 0
+    for m in URL.finditer(text):
+        kept = m[0].rstrip(".,;:!?)")
+        if not kept.endswith("://") or len(kept) > m[0].index("://") + 3:
+            out.append(("url", m.start(), m.start() + len(kept)))
+    for m in sorted(CUE.finditer(text), key=lambda m: m.start() + len(m[2])):
+        value = m[3].rstrip("-")
+        plain, begin = value.replace("-", ""), m.start(3)
+        good = 6 <= len(plain) <= 34 and len(re.findall("[0-9]", plain)) >= 4 and (m[2].lower() != "ssn" or len(plain) == 9)
+        if good and m[2].lower() == "iban":
+            good = plain[:2].isalpha() and int("".join(str("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(c)) for c in (plain[4:] + plain[:4]).upper())) % 97 == 1
+        if good and m.start() + len(m[2]) - 1 >= done:
+            out.append(("account", begin, begin + len(value)))
+            done = begin + len(value)
+    return sorted((a, k != "url", b) for k, a, b in out)
+
+
+def test_pii_added_equals_regexes():
+    rng = random.Random(4)
+    parts = ["http", "https", "ftp", "x", "://", "HTTP://", "a.b/c", "?", ".", ",", ")", " ", "\n", '"', "é", "ssn", "SSN", "account", "Acct", "iban", "IBAN", "GB82WEST12345698765432", "078-05-1120", "-", ":", " = ", "#", "12345678", "1234", "passport", "Z", "a" * 30]
+    found = 0
+    for _ in range(20_000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        own = [(a, k != "url", b) for k, a, b in pii.find(text) if k not in pii.BASE]
+        assert sorted(own) == brute_added(text), text
+        found += len(own)
+    assert found > 1500
+
+
+@pytest.mark.parametrize("unit", ["x://", "ssn-", "@", "+1", "http://,", "ssn ", "1.", "1-", "a@a.", "iban----", "+1("])
+def test_pii_time_is_linear(unit):
+    text = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    pii.find(text)
+    assert time.process_time() - began < 8  # a megabyte; a second or so each on an idle machine
+
+
 def test_pii_query(spark, texts):
     got = {r.doc_id: r for r in queries.op2_pii(spark, SMALL).collect()}
     assert len(got) == len(texts)
