@@ -45,7 +45,9 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.compare_with_next(table(spark, sf_dir, "documents"))
+    """The contract's columns, and the edited spans as start:end, comma-joined."""
+    edits = F.array_join(F.transform("edits", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return merkle.compare_with_next(table(spark, sf_dir, "documents")).withColumn("edits", edits)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
