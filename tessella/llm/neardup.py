@@ -1,21 +1,25 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A shingle is five consecutive words (all words of a shorter text). Its weight is its count in the
-text times 1 + ln((1 + N) / (1 + max(df, rare * N))): idf is exact for shingles in a share `rare` of
-the documents at least and constant below, so only those heavy shingles (their number is bounded by
-shingles per document / rare, whatever N) need a count. Each text gets bands * rows samples
-(element, t), each a minimum over its weighted shingles; a band hashes `rows` of them. Two texts of
-one band are candidates. They are first held against all samples, then verified: weighted Jaccard
-similarity of `threshold` or more of the whole texts links them. Classes are connected components.
+text times 1 + ln((1 + N) / (1 + df)), df the number of the N rows that have it. All shingles are
+counted: blocks of documents send theirs to hash partitions and get the totals back (see exchange).
+Each text gets bands * rows samples (element, t), each a minimum over its weighted shingles; a band
+hashes `rows` of them. Two texts of one band are candidates. They are first held against all samples,
+then verified: weighted Jaccard similarity of `threshold` or more of the whole texts links them. Classes
+are connected components. For the samples alone weights are rounded to powers of GRID (by 3 percent at
+most), so that the variates are looked up; verification takes the weights themselves.
 
 No bucket's pairs are listed. Equal texts are one node. In each bucket every text meets the bucket's
 most central text (the one with most bucket mates over all bands); after the classes of these links
-are known, texts outside a bucket's largest class visit the bucket's blocks, where samples are compared
-in memory and only pairs near the threshold are emitted.
-
-Defined cases: a null text counts as empty; texts without words are only copies of equal texts; a
-null id makes a class of its own with its copies; rows with equal ids are one document (one class);
-an empty table gives no rows.
+are known, texts outside a bucket's largest class visit the bucket's texts. Both are dealt in blocks of
+`block` texts, of which a group holds one of either kind; samples are compared in memory and only pairs
+near the threshold are emitted. Verification streams the texts' weighted shingles, at most `members`
+texts behind one copy of their common partner's.
+
+Defined cases: a null text counts as empty; texts without words are only copies of equal texts; rows
+with equal ids and texts are one document; rows with equal ids and different texts are documents of
+their own (classes may then have equal class_id: `first_digest` tells them apart); a class without any
+id has a negative number from its texts; an empty table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -27,19 +31,18 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tessella.llm.exchange import BLOCK_ROWS, answered, ask, from_gaps, from_small, gaps, gathered, in_order, packed_ids, parts_of, small, token_blocks, unpacked_ids
 from tessella.llm.graph import components
-from tessella.llm.storage import bounded_batches, written
+from tessella.llm.storage import bounded_batches, discard, small_batches, written
 from tessella.llm.wordhash import U, grams, mix, text_words
 
 TABLE_BITS = 16
-BITSET_BITS = 22
-LISTED = 2_000_000
+GRID, LEVELS = 1.06, 80
+NO_ID = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
@@ -48,9 +51,9 @@ class Settings:
     words: int = 5
     bands: int = 28
     rows: int = 8
-    rare: float = 0.01
-    block: int = 2048
+    block: int = 512
     fine: int = 1024
+    members: int = 256
 
     @property
     def samples(self) -> int:
@@ -61,21 +64,8 @@ class Settings:
         return self.threshold - 3 * math.sqrt(self.threshold * (1 - self.threshold) / n)
 
 
-@dataclass(frozen=True)
-class Weights:
-    """Heavy shingles' idf (sorted by hash) and the constant of all others."""
-
-    hashes: np.ndarray
-    idf: np.ndarray
-    base: float
-
-    def of(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        idf = np.full(len(shingles), self.base)
-        if len(self.hashes) and len(shingles):
-            at = np.minimum(np.searchsorted(self.hashes, shingles), len(self.hashes) - 1)
-            yes = self.hashes[at] == shingles
-            idf[yes] = self.idf[at[yes]]
-        return counts * idf
+def idf(df: np.ndarray | float, total: int) -> np.ndarray:
+    return 1 + np.log((1 + total) / (1 + np.asarray(df)))
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -97,12 +87,11 @@ def shingles(texts: list[bytes], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: Weights) -> float:
-    """Weighted Jaccard similarity of two texts' shingles."""
-    x, y = weights.of(*a), weights.of(*b)
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two texts' (ascending shingles, weights)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = np.minimum(x[i], y[j]).sum()
-    union = x.sum() + y.sum() - common
+    common = np.minimum(a[1][i], b[1][j]).sum()
+    union = a[1].sum() + b[1].sum() - common
     return float(common / union) if union else 0.0
 
 
@@ -129,24 +118,32 @@ def _multipliers(n: int) -> np.ndarray:
 
 
 @cache
-def _default_keys(weight: float) -> np.ndarray:
-    return _sample_keys(np.arange(1 << TABLE_BITS), np.log(weight))
-
-
-def samples(texts: list[tuple[np.ndarray, np.ndarray]], weights: Weights, n: int) -> np.ndarray:
-    """n samples (32-bit hashes of element and t) of each text; every text has a shingle at least."""
-    h = np.concatenate([t[0] for t in texts])
-    w = np.concatenate([weights.of(*t) for t in texts])
-    begins = np.cumsum([0, *(len(t[0]) for t in texts[:-1])])
-    low, usual = h & U(0xFFFFFFFF), _default_keys(weights.base)
-    odd = np.flatnonzero(w != weights.base)
-    log_odd, shift = np.log(w[odd]), U(64 - TABLE_BITS)
-    out = np.empty((len(texts), n), np.uint32)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Sample keys by level of the weight and table index, and which levels are filled in."""
+    return np.empty(LEVELS << TABLE_BITS, U), np.zeros(LEVELS, bool)
+
+
+def _level_keys(levels: np.ndarray) -> np.ndarray:
+    keys, filled = _tables()
+    for level in np.unique(levels[levels < LEVELS]).tolist():
+        if not filled[level]:
+            keys[level << TABLE_BITS : (level + 1) << TABLE_BITS] = _sample_keys(np.arange(1 << TABLE_BITS), level * math.log(GRID))
+            filled[level] = True
+    return keys
+
+
+def samples(hashes: np.ndarray, weights: np.ndarray, begins: np.ndarray, n: int) -> np.ndarray:
+    """n samples (32-bit hashes of element and t) of each text, whose shingles begin at begins; every text has one at least."""
+    levels = np.rint(np.log(weights) / math.log(GRID)).astype(np.int64)
+    tables, low = _level_keys(levels), hashes & U(0xFFFFFFFF)
+    rare = np.flatnonzero(levels >= LEVELS)  # weights over 100
+    base, shift = np.where(levels < LEVELS, levels, 0) << TABLE_BITS, U(64 - TABLE_BITS)
+    out = np.empty((len(begins), n), np.uint32)
     for k, m in enumerate(_multipliers(n)):
-        index = (h * m) >> shift
-        keys = usual[index]
-        if len(odd):
-            keys[odd] = _sample_keys(index[odd], log_odd)
+        index = ((hashes * m) >> shift).view(np.int64)
+        keys = tables[index + base]
+        if len(rare):
+            keys[rare] = _sample_keys(index[rare], levels[rare] * math.log(GRID))
         keys ^= low
         out[:, k] = np.minimum.reduceat(keys, begins) & U(0xFFFFFFFF)
     return out
@@ -161,91 +158,125 @@ def band_hashes(found: np.ndarray, bands: int) -> np.ndarray:
     return h
 
 
-def heavy_shingles(docs: DataFrame, settings: Settings) -> Weights:
-    """Document counts of the shingles in a share `rare` of all documents.
+BLOCK = "block long, rows long, ids binary, digests binary, ends binary, tokens binary, words binary"
 
-    Such a shingle is in a share `rare` of some block of documents. The first pass lists each block's;
-    the second counts what was listed, everywhere. A list over LISTED is replaced by counts of all.
-    """
-    spark, rare = docs.sparkSession, settings.rare
-    total = docs.count()
-    text = docs.select("text")
 
-    def local(known: np.ndarray | None, least: float):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, n = [], 0
+def blocks(docs: DataFrame) -> DataFrame:
+    """A row per block: ids, digests and lengths of its documents (id, text), tokens (places in words) and the words' hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, parts, words, ends in token_blocks(batches, "alnum", lambda b: as_bytes(b.column(1))):
+            different, tokens = np.unique(words, return_inverse=True)
+            digests = b"".join(hashlib.sha256(t).digest() for part in parts for t in part.column(1).cast(pa.binary()).to_pylist())
+            data = {"block": number, "rows": len(ends), "ids": packed_ids(pa.concat_arrays([p.column(0) for p in parts])), "digests": digests, "ends": small(ends), "tokens": small(tokens), "words": gaps(different)}
+            yield pa.record_batch([pa.array([v]) for v in data.values()], list(data))
+
+    return docs.select("id", "text").mapInArrow(run, BLOCK)
+
+
+class Block:
+    """A block's distinct shingles (keys), and each document's, ascending: places among keys and counts."""
+
+    def __init__(self, row: dict, n: int):
+        words, tokens, ends = from_gaps(row["words"]), from_small(row["tokens"]), from_small(row["ends"])
+        hashes = words[tokens]
+        doc = np.repeat(np.arange(len(ends)), ends)
+        whole = grams(hashes, n)
+        within = doc[: len(whole)] == doc[n - 1 :] if len(whole) else np.zeros(0, bool)
+        offsets = np.concatenate([[0], np.cumsum(ends)])
+        short = np.flatnonzero((ends > 0) & (ends < n))
+        few = [grams(hashes[offsets[i] : offsets[i + 1]], int(ends[i])) for i in short]
+        h, doc = np.concatenate([whole[within], *few]), np.concatenate([doc[: len(whole)][within], short])
+        self.keys, place = np.unique(h, return_inverse=True)
+        each, self.counts = np.unique(doc * max(1, len(self.keys)) + place, return_counts=True)
+        self.doc, self.place = np.divmod(each, max(1, len(self.keys)))
+        self.begins = np.searchsorted(self.doc, np.arange(len(ends) + 1))
+        self.ids, self.digests, self.rows = row["ids"], row["digests"], len(ends)
+
+    def weights(self, answers: list[dict], parts: int, total: int) -> np.ndarray:
+        return self.counts * idf(in_order(answers, self.keys, parts), total)[self.place]
+
+    def digest(self, i: int) -> bytes:
+        return self.digests[32 * i : 32 * i + 32]
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """The blocks with the document counts of their shingles (dfs)."""
+
+    known: DataFrame
+    parts: int
+    total: int
+    settings: Settings
+
+    @classmethod
+    def of(cls, docs: DataFrame, settings: Settings) -> Corpus:
+        found = written(blocks(docs), "shingle-blocks")
+        n, total = parts_of(found), found.agg({"rows": "sum"}).first()[0] or 0
+
+        def question(row: dict) -> tuple[np.ndarray, np.ndarray]:
+            block = Block(row, settings.words)
+            return block.keys, np.bincount(block.place, minlength=len(block.keys))
+
+        with small_batches(docs.sparkSession, BLOCK_ROWS):
+            answers = written(answered(ask(found, question, n), n), "shingle-counts")
+        known = written(found.join(gathered(answers).withColumnRenamed("answers", "dfs"), "block", "left"), "shingles")
+        discard(found, answers)
+        return cls(known, n, total, settings)
 
-            def flush() -> pa.RecordBatch:
-                h, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U), np.zeros(0, np.int64))
-                yes = c >= least * n
-                return pa.record_batch([pa.array(h[yes].view(np.int64)), pa.array(c[yes])], ["h", "n"])
+    def sketches(self) -> DataFrame:
+        """Per row: id, digest (of the text), block and at (its place there), samples (one byte each) and bands (hashes); both empty without words."""
+        parts, total, settings = self.parts, self.total, self.settings
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for s, _ in shingles(as_bytes(batch.column(0)), settings.words):
-                    held.append(s if known is None else known[np.isin(known, s, assume_unique=True)] if len(known) < len(s) // 8 else s[np.isin(s, known, assume_unique=True)])
-                n += batch.num_rows
-                if n >= 2048 or sum(map(len, held)) > 2_000_000:
-                    yield flush()
-                    held, n = [], 0
-            if n:
-                yield flush()
-
-        return text.mapInArrow(run, "h long, n long")
-
-    listed = written(local(None, rare).select("h").distinct(), "shingles")
-    if listed.count() <= LISTED:
-        known = np.sort(np.array(listed.toPandas()["h"], np.int64).view(U))
-        counts = local(known, 0.0)
-    else:
-        counts = local(None, 0.0)
-    found = counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= rare * total).toPandas()
-    h, n = np.array(found["h"], np.int64).view(U), np.array(found["n"], np.float64)
-    order = np.argsort(h)
-    idf = lambda df: 1 + np.log((1 + total) / (1 + df))
-    return Weights(h[order], idf(n[order]), float(idf(rare * total)))
-
-
-def sketches(docs: DataFrame, weights: Weights, settings: Settings) -> DataFrame:
-    """Per row: id, digest (of the text), samples (one byte each) and bands (hashes); both empty without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+                for row in batch.to_pylist():
+                    block = Block(row, settings.words)
+                    weights = block.weights(row["dfs"], parts, total)
+                    bytes_, bands = [b""] * block.rows, [[]] * block.rows
+                    for docs, begins, a, b in block_groups(block):
+                        own = samples(block.keys[block.place[a:b]], weights[a:b], begins, settings.samples)
+                        hashes = band_hashes(own, settings.bands).view(np.int64)
+                        for j, i in enumerate(docs.tolist()):
+                            bytes_[i], bands[i] = own[j].astype(np.uint8).tobytes(), hashes[j]
+                    digests = [block.digest(i) for i in range(block.rows)]
+                    columns = [unpacked_ids(block.ids), pa.array(digests, pa.binary()), pa.array(np.full(block.rows, row["block"])), pa.array(np.arange(block.rows, dtype=np.int32)), pa.array(bytes_, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                    yield pa.record_batch(columns, ["id", "digest", "block", "at", "samples", "bands"])
+
+        return self.known.mapInArrow(run, "id long, digest binary, block long, at int, samples binary, bands array<long>")
+
+    def profiles(self, wanted: DataFrame, fine: int = 0) -> DataFrame:
+        """Of the wanted (node, block, at): node, its shingles and weights, or with fine so many samples."""
+        parts, total, settings = self.parts, self.total, self.settings
+        lists = wanted.groupBy("block").agg(F.collect_list(F.struct("at", "node")).alias("wanted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            found = shingles([t.lower() for t in raw], settings.words)
-            bytes_, bands = [b""] * len(raw), [[]] * len(raw)
-            full = [i for i, (s, _) in enumerate(found) if len(s)]
-            at = 0
-            while at < len(full):  # groups that fit the processor's cache
-                to, size = at, 0
-                while to < len(full) and (to == at or size + len(found[full[to]][0]) <= 1 << 16):
-                    size += len(found[full[to]][0])
-                    to += 1
-                own = samples([found[i] for i in full[at:to]], shared.value, settings.samples)
-                hashes = band_hashes(own, settings.bands).view(np.int64)
-                for j, i in enumerate(full[at:to]):
-                    bytes_[i], bands[i] = own[j].astype(np.uint8).tobytes(), hashes[j]
-                at = to
-            digests = [hashlib.sha256(t).digest() for t in raw]
-            yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(bytes_, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "digest", "samples", "bands"])
-
-    return docs.select("id", "text").mapInArrow(run, "id long, digest binary, samples binary, bands array<long>")
-
-
-def among(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """df's rows whose id may be among ids (a table of one column): a bitset of fixed size tells most others."""
-    mask = (1 << BITSET_BITS) - 1
-    bits = ids.select(F.xxhash64(F.col(ids.columns[0]).cast("long")).bitwiseAND(mask).cast("int").alias("b")).distinct().toPandas()["b"]
-    table = np.zeros(1 << BITSET_BITS, bool)
-    table[np.array(bits, np.int64)] = True
-    packed = df.sparkSession.sparkContext.broadcast(np.packbits(table))
-
-    @F.pandas_udf(T.BooleanType())
-    def maybe(b: pd.Series) -> pd.Series:
-        b = b.to_numpy()
-        return pd.Series((packed.value[b >> 3] >> (7 - (b & 7)) & 1).astype(bool))
-
-    return df.where(maybe(F.xxhash64(F.col(id_col)).bitwiseAND(mask).cast("int")))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    block = Block(row, settings.words)
+                    weights = block.weights(row["dfs"], parts, total)
+                    found = []
+                    for x in row["wanted"]:
+                        a, b = block.begins[x["at"]], block.begins[x["at"] + 1]
+                        own, w = block.keys[block.place[a:b]], weights[a:b]
+                        found.append((own.tobytes(), w.tobytes()) if not fine else (samples(own, w, np.zeros(1, np.int64), fine).astype(np.uint8).tobytes(), b""))
+                    yield pa.record_batch([pa.array([x["node"] for x in row["wanted"]], pa.int64()), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["node", "own", "weights"])
+
+        return self.known.join(lists, "block").mapInArrow(run, "node long, own binary, weights binary")
+
+
+def block_groups(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """Documents with shingles in groups that fit the processor's cache: their numbers, begins in the group, the group's range."""
+    full = np.flatnonzero(np.diff(block.begins))
+    sizes, at = np.diff(block.begins)[full], 0
+    while at < len(full):
+        to, size = at, 0
+        while to < len(full) and (to == at or size + sizes[to] <= 1 << 16):
+            size += sizes[to]
+            to += 1
+        begin = block.begins[full[at]]
+        yield full[at:to], block.begins[full[at:to]] - begin, int(begin), int(begin + size)
+        at = to
 
 
 def like(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
@@ -263,49 +294,78 @@ def like(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def finer(docs: DataFrame, ids: DataFrame, weights: Weights, settings: Settings) -> DataFrame:
-    """(node, samples) of the texts of ids (a table of one column, node), with more samples each."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-    texts = among(docs.select("id", "text"), "id", ids).join(ids.select(F.col("node").alias("id")), "id", "left_semi")
+def verified(pairs: DataFrame, corpus: Corpus, nodes: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (a, b) whose whole texts are similar, with the similarity.
+
+    Texts that share a partner b come in a row behind b's shingles; of many, `members` at a time, so
+    that a common partner's texts are spread over all tasks.
+    """
+    pairs = written(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    with small_batches(pairs.sparkSession, BLOCK_ROWS):
+        profiles = written(corpus.profiles(nodes.select("node", "block", "at").join(ids, "node")), "profiles")
+    turns = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / settings.members).alias("turns"))
+    own = profiles.withColumnRenamed("node", "b").join(turns, "b").select("b", F.explode(F.sequence(F.lit(1), F.col("turns"))).alias("turn"), F.lit(None).cast("long").alias("a"), "own", "weights")
+    theirs = pairs.join(turns, "b").join(profiles.withColumnRenamed("node", "a"), "a").select("b", (F.pmod(F.xxhash64("a"), "turns") + 1).alias("turn"), "a", "own", "weights")
+    rows = own.unionByName(theirs).repartition("b", "turn").sortWithinPartitions("b", "turn", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partner = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found = samples(shingles(as_bytes(part.column(1)), settings.words), shared.value, settings.fine)
-                yield pa.record_batch([part.column(0), pa.array([x.astype(np.uint8).tobytes() for x in found], pa.binary())], ["node", "samples"])
+            out = []
+            for b, a, own, weights in zip(*(batch.column(c).to_pylist() for c in ("b", "a", "own", "weights"))):
+                text = np.frombuffer(own, U), np.frombuffer(weights, np.float64)
+                if a is None:
+                    partner = text
+                elif (score := similarity(text, partner)) >= settings.threshold:
+                    out.append((a, b, score))
+            yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
 
-    return texts.select("id", "text").mapInArrow(run, "node long, samples binary")
+    links = written(rows.mapInArrow(run, "a long, b long, similarity double"), "verified")
+    discard(pairs, profiles)
+    return links
 
 
-def verified(pairs: DataFrame, docs: DataFrame, weights: Weights, settings: Settings) -> DataFrame:
-    """The pairs (a, b) whose whole texts are similar, with the similarity."""
-    pairs = written(pairs, "pairs")
-    ids = pairs.select("a").union(pairs.select("b")).distinct()
-    texts = written(among(docs.select("id", "text"), "id", ids), "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+VISIT = "band long, home int, guest int, node long, label long, minor boolean, visitor boolean, samples binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                x, y = (shingles(as_bytes(part.column(i)), settings.words) for i in (2, 3))
-                score = np.array([similarity(a, b, shared.value) for a, b in zip(x, y)])
-                yes = pa.array(score >= settings.threshold)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(score)], ["a", "b", "similarity"]).filter(yes)
 
-    return written(both.mapInArrow(run, "a long, b long, similarity double"), "verified")
+def visits(mixed: DataFrame, settings: Settings) -> DataFrame:
+    """Rows of mixed (band, n, rest, node, label, minor, samples) dealt to groups (band, home, guest).
 
+    A group has one block of a bucket's texts, and one block of its visitors: the `rest` texts outside its largest class.
+    """
+    homes, guests = (F.ceil(F.col(c) / settings.block).cast("int") for c in ("n", "rest"))
+    place = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ["band", "home", "guest", "node", "label", "minor", "visitor", "samples"]
+    stay = mixed.withColumn("home", place(homes, 1)).withColumn("guest", every(guests)).withColumn("visitor", F.lit(False))
+    come = mixed.where("minor").withColumn("guest", place(guests, 2)).withColumn("home", every(homes)).withColumn("visitor", F.lit(True))
+    return stay.select(*columns).unionByName(come.select(*columns))
 
-def _across(group: pd.DataFrame, settings: Settings) -> pd.DataFrame:
-    """Pairs of a visitor and a resident of a block whose classes differ and whose samples are alike.
 
-    A pair whose both texts visit is taken once, by the visitor with the lesser node.
-    """
-    x = np.frombuffer(b"".join(group["samples"]), np.uint8).reshape(len(group), -1)
-    node, label, minor = group["node"].to_numpy(), group["label"].to_numpy(), group["minor"].to_numpy()
-    visitor = group["visitor"].to_numpy()
+def across(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs of a visitor and a resident of a group whose classes differ and whose samples are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the rows of a group that may go on
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = np.stack([table.column(c).to_numpy() for c in ("band", "home", "guest")])
+            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *edges[:-1]], edges):
+                yield _across(table.slice(a, b - a), settings)
+            held = table.slice(edges[-1]) if len(edges) else table
+        if held is not None and held.num_rows:
+            yield _across(held, settings)
+
+    dealt = rows.repartition("band", "home", "guest").sortWithinPartitions("band", "home", "guest")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _across(group: pa.Table, settings: Settings) -> pa.RecordBatch:
+    """A pair whose both texts visit is taken once, by the visitor with the lesser node."""
+    node, label, minor, visitor = (group.column(c).to_numpy() for c in ("node", "label", "minor", "visitor"))
+    x = np.frombuffer(b"".join(group.column("samples").to_pylist()), np.uint8).reshape(len(node), -1)
     residents = np.flatnonzero(~visitor)
     out = []
     for i in np.flatnonzero(visitor):
@@ -313,55 +373,76 @@ def _across(group: pd.DataFrame, settings: Settings) -> pd.DataFrame:
         for size in (settings.samples, settings.fine):
             others = others[(x[others, :size] == x[i, :size]).mean(axis=1) >= settings.least(size)] if len(others) else others
         out += [(min(node[i], node[j]), max(node[i], node[j])) for j in others]
-    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+    return pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """Per row: id_col, class_id (the least id of its class), text_id (the least id of its text) and the text's digest."""
-    bounded_batches(docs.sparkSession)
+    """Per row: id_col, class_id (the least id of its class), text_id (the least id of its text), digest (of its text), first_id and first_digest.
+
+    The latter two are the class's first document: the one with the least id, of several the one with the least digest.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    weights = heavy_shingles(docs, settings)
-    rows = written(sketches(docs, weights, settings), "sketches")
-    # Equal texts are one node; without an id, the node is a number from the text's digest.
-    number = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
-    nodes = written(rows.groupBy("digest").agg(F.coalesce(F.min("id"), -1 - F.min(number)).alias("node"), F.first("samples").alias("samples"), F.first("bands").alias("bands")), "nodes")
+    corpus = Corpus.of(docs, settings)
+    with small_batches(spark, BLOCK_ROWS):
+        rows = written(corpus.sketches(), "sketches")
+    # Equal texts are one node; nodes are numbered.
+    known = rows.withColumn("id", F.coalesce("id", F.lit(NO_ID)))
+    nodes = known.groupBy("digest").agg(F.min("id").alias("least"), F.min(F.struct("block", "at")).alias("place"), F.first("samples").alias("samples"), F.first("bands").alias("bands"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "place.block", "place.at", "samples", "bands"), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("band"))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(bands.join(sizes, "band"), "buckets")
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
     central = shared.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("b"))
-    stars = shared.join(central, "band").where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    links = verified(like(stars, nodes, settings), docs, weights, settings)
+    stars = shared.join(central, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    links = verified(like(stars, nodes, settings), corpus, nodes, settings)
     labels = components(links)
-    # Buckets that still hold several classes: texts outside the bucket's largest class visit all its
-    # blocks, each of which holds at most about `block` of the bucket's texts.
-    known = shared.join(labels, "node", "left").select("node", "band", "n", F.coalesce("label", "node").alias("label"))
-    largest = known.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max(F.struct("c", "label"))["label"].alias("largest"), F.count(F.lit(1)).alias("classes"))
-    rest = written(known.join(largest.where("classes > 1").select("band", "largest"), "band"), "mixed")
-    fine = written(finer(docs, rest.select("node").distinct(), weights, settings), "finer")
-    parts = F.ceil(F.col("n") / settings.block).cast("int")
-    rest = rest.join(fine, "node").withColumn("minor", F.col("label") != F.col("largest"))
-    home = F.pmod(F.xxhash64("node"), parts).cast("int")
-    stays = rest.select("band", home.alias("part"), "node", "label", "samples", "minor", F.lit(False).alias("visitor"))
-    visits = rest.where("minor").select("band", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", "label", "samples", "minor", F.lit(True).alias("visitor"))
-    rest = stays.unionByName(visits)
-
-    def across(group: pd.DataFrame) -> pd.DataFrame:
-        return _across(group, settings)
-
-    more = rest.groupBy("band", "part").applyInPandas(across, "a long, b long").distinct()
-    links = links.select("a", "b").union(verified(more, docs, weights, settings).select("a", "b"))
+    # Buckets that still hold several classes: texts outside the bucket's largest class visit all its blocks.
+    own = shared.join(labels, "node", "left").select("node", "band", "n", F.coalesce("label", "node").alias("label"))
+    largest = own.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max(F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("classes"))
+    mixed = written(own.join(largest.where("classes > 1").select("band", F.col("most.c").alias("c"), F.col("most.label").alias("most")), "band"), "mixed")
+    with small_batches(spark, BLOCK_ROWS):
+        wanted = nodes.select("node", "block", "at").join(mixed.select("node").distinct(), "node")
+        fine = written(corpus.profiles(wanted, settings.fine).select("node", F.col("own").alias("samples")), "finer")
+    mixed = mixed.join(fine, "node").select("band", "n", (F.col("n") - F.col("c")).alias("rest"), "node", "label", (F.col("label") != F.col("most")).alias("minor"), "samples")
+    links = links.select("a", "b").union(verified(across(visits(mixed, settings), settings), corpus, nodes, settings).select("a", "b"))
     labels = components(links)
-    classes = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"), F.col("node").alias("text_id"))
-    return rows.select(F.col("id").alias(id_col), "digest").join(classes, "digest").select(id_col, "class_id", "text_id", "digest")
+    own = nodes.join(labels, "node", "left").select("digest", "least", F.coalesce("label", "node").alias("label"))
+    first = own.groupBy("label").agg(F.min(F.struct("least", "digest")).alias("first"))
+    classes = own.join(first, "label").select("digest", "first", "least")
+    discard(corpus.known, fine)
+
+    def named(least: Column, digest: Column) -> Column:
+        number = F.conv(F.substring(F.hex(digest), 1, 15), 16, 10).cast("long")
+        return F.when(least == NO_ID, -1 - number).otherwise(least)
+
+    out = rows.select("id", "digest").join(classes, "digest")
+    return out.select(
+        F.col("id").alias(id_col),
+        named(F.col("first.least"), F.col("first.digest")).alias("class_id"),
+        named(F.col("least"), F.col("digest")).alias("text_id"),
+        "digest",
+        F.when(F.col("first.least") != NO_ID, F.col("first.least")).alias("first_id"),
+        F.col("first.digest").alias("first_digest"),
+    )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """docs with one row of each class: that with the least id (of a class without ids, any)."""
+    """docs with one row of each class: its first document (of repeated rows of it, any).
+
+    Rows go by id and digest of the text. Spark decides by the list's size whether docs are shuffled for it.
+    """
     found = written(near_duplicates(docs, id_col, text_col, settings), "classes")
-    kept = found.where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).cast("long").alias("__kept")).distinct()
-    with_id = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    alone = found.where(F.col(id_col).isNull() & (F.col("class_id") < 0)).select(F.col("digest").alias("__digest")).distinct()
-    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    without = docs.where(F.col(id_col).isNull()).withColumn("__digest", digest).join(alone, "__digest", "left_semi").dropDuplicates(["__digest"])
-    return with_id.unionByName(without.select(*docs.columns))
+    first = (F.col(id_col).eqNullSafe(F.col("first_id"))) & (F.col("digest") == F.col("first_digest"))
+    key = lambda c, name: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID)).alias(name)
+    i, d = ("_" * (1 + max(map(len, docs.columns))) + x for x in "id")  # no column of docs
+    listed = found.groupBy(key(id_col, i), F.col("digest").alias(d)).agg(F.count(F.lit(1)).alias("n"), F.first(first).alias("first"))
+    listed = written(listed.where("n > 1 or not first"), "classes-left")
+    keyed = docs.withColumns({i: key(id_col, i), d: F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))})
+    out = keyed.join(listed.select(i, d), [i, d], "left_anti")
+    repeated = listed.where("first").select(i, d)
+    if repeated.limit(1).count():
+        out = out.unionByName(keyed.join(repeated, [i, d], "left_semi").dropDuplicates([i, d]))
+    return out.select(*docs.columns)

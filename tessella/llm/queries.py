@@ -51,7 +51,7 @@ def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "text_id")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

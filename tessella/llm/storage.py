@@ -6,17 +6,21 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset (a local session)."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one in a local session and an error on a cluster."""
     found = spark.sparkContext.getConf().get(_KEY) or spark.conf.get(_KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {_KEY} to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         found = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tessella-"))
     return found.rstrip("/")
@@ -34,14 +38,31 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     if partition_by:
         out = out.partitionBy(*partition_by)
     out.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    _paths[found] = path
+    return found
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches of at most so many rows, so that a worker's memory follows the batch."""
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no result still to be computed reads."""
+    for df in tables:
+        spark, path = df.sparkSession, _paths.pop(df, None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1024, size: int = 16 << 20) -> None:
+    """Arrow batches of at most so many rows and about so many bytes, so that a worker's memory follows the batch.
+
+    The session keeps these bounds: plans are made when a result is asked for, which may be any time later.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, rows)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= size:
+        spark.conf.set(key, f"{size}b")
 
 
 @contextmanager

@@ -1,14 +1,18 @@
 """Near-duplicates against all pairs; samples against their collision law; components against a union-find."""
 
+import hashlib
+import math
 import random
+import re
+from collections import Counter
 from dataclasses import replace
 
 import numpy as np
 import pytest
 
-from tessella.llm import neardup, queries
+from tessella.llm import exchange, neardup, queries
 from tessella.llm.graph import components
-from tessella.llm.neardup import Settings, Weights, near_duplicates, samples, shingles, similarity
+from tessella.llm.neardup import Settings, near_duplicates, samples, similarity
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -27,26 +31,33 @@ def classes_of(edges, nodes):
     return {n: find(n) for n in nodes}
 
 
+def plain_weights(docs, n_words=5):
+    """TF-IDF by id and shingle, from words alone."""
+    own = {}
+    for i, t in docs:
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower())
+        n = min(n_words, len(words))
+        own[i] = Counter(tuple(words[j : j + n]) for j in range(len(words) - n + 1)) if n else Counter()
+    df = Counter(s for c in own.values() for s in c)
+    return {i: {s: c * (1 + math.log((1 + len(docs)) / (1 + df[s]))) for s, c in count.items()} for i, count in own.items()}
+
+
+def plain_similarity(x, y):
+    common = sum(min(w, y[s]) for s, w in x.items() if s in y)
+    return common / (sum(x.values()) + sum(y.values()) - common) if common else 0.0
+
+
+def brute_links(docs, settings=Settings()):
+    """Pairs of different texts that are alike, all pairs compared."""
+    own = plain_weights(docs, settings.words)
+    distinct = list({t or "": i for i, t in reversed(docs)}.values())
+    return [(i, j) for x, i in enumerate(distinct) for j in distinct[:x] if plain_similarity(own[i], own[j]) >= settings.threshold]
+
+
 def brute(docs, settings=Settings()):
-    """Classes by id, and how near to the threshold any pair comes."""
-    own = {i: shingles([(t or "").encode().lower()], settings.words)[0] for i, t in docs}
-    n, count = len(docs), {}
-    for h, _ in own.values():
-        for s in h.tolist():
-            count[s] = count.get(s, 0) + 1
-    idf = lambda df: 1 + np.log((1 + n) / (1 + max(df, settings.rare * n)))
-    heavy = sorted(s for s, c in count.items() if c >= settings.rare * n)
-    weights = Weights(np.array(heavy, np.uint64), np.array([idf(count[s]) for s in heavy]), float(idf(0)))
-    edges, ids = [], [i for i, _ in docs]
+    """Classes by id."""
     first = {}
-    for i, t in docs:
-        edges.append((first.setdefault(t or "", i), i))
-    distinct = list(first.values())
-    for x, i in enumerate(distinct):
-        for j in distinct[:x]:
-            if len(np.intersect1d(own[i][0], own[j][0])) and similarity(own[i], own[j], weights) >= settings.threshold:
-                edges.append((i, j))
-    return classes_of(edges, ids)
+    return classes_of(brute_links(docs, settings) + [(first.setdefault(t or "", i), i) for i, t in docs], [i for i, _ in docs])
 
 
 def got(df):
@@ -77,7 +88,7 @@ def corpus(rng):
     return [(i, " ".join(d)) for i, d in enumerate(docs)]
 
 
-@pytest.mark.parametrize("block", [2048, 7])
+@pytest.mark.parametrize("block", [512, 7])
 def test_groups_and_chains(spark, block):
     docs = corpus(random.Random(6))
     want = brute(docs)
@@ -87,24 +98,76 @@ def test_groups_and_chains(spark, block):
     assert found <= want and len(found) >= 0.97 * len(want)
 
 
-def test_counts_of_all_equal_listed(spark, texts, monkeypatch):
-    docs = spark.createDataFrame(texts, "id long, text string").repartition(3)
-    a = neardup.heavy_shingles(docs, Settings())
-    monkeypatch.setattr(neardup, "LISTED", 0)
-    b = neardup.heavy_shingles(docs, Settings())
-    assert a.hashes.tolist() == b.hashes.tolist() and np.allclose(a.idf, b.idf) and len(a.hashes)
+def test_document_counts(spark, texts):
+    """Every shingle's count over all blocks and partitions comes back to each block that has it."""
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(9)
+    corpus = neardup.Corpus.of(docs, Settings())
+    assert corpus.total == len(texts) and corpus.known.count() > 3
+    found = {}
+    for row in corpus.known.collect():
+        row = row.asDict(recursive=True)
+        block = neardup.Block(row, 5)
+        weights = block.weights(row["dfs"], corpus.parts, corpus.total)
+        for i, own in enumerate(exchange.unpacked_ids(block.ids).to_pylist()):
+            found[own] = sorted(weights[block.begins[i] : block.begins[i + 1]].tolist())
+    want = {i: sorted(w.values()) for i, w in plain_weights(texts).items()}
+    assert found.keys() == want.keys() and all(np.allclose(found[i], want[i]) for i in want)
 
 
 def test_collision_share_is_weighted_jaccard():
     rng = np.random.default_rng(8)
     common, x, y = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (300, 60, 90))
-    weights = Weights(np.sort(common[:50]), np.full(50, 1.3), 5.0)
+    weight = {h: 1.3 + (i % 7) for i, h in enumerate(common.tolist())}
     texts = []
     for own in (x, y):
         h = np.sort(np.concatenate([common, own]))
-        texts.append((h, np.where(h % np.uint64(3) == 0, 2, 1) if own is x else np.ones(len(h), int)))
-    found = samples(texts, weights, 4000)
-    assert abs((found[0] == found[1]).mean() - similarity(*texts, weights)) < 0.03
+        texts.append((h, np.array([weight.get(v, 5.0) for v in h.tolist()]) * np.where((h % np.uint64(3) == 0) & (own is x), 2, 1)))
+    begins = np.array([0, len(texts[0][0])])
+    found = samples(np.concatenate([t[0] for t in texts]), np.concatenate([t[1] for t in texts]), begins, 4000)
+    assert abs((found[0] == found[1]).mean() - similarity(*texts)) < 0.03
+    heavy = [(t[0], t[1] * 1000) for t in texts]  # weights above the tables
+    found = samples(np.concatenate([t[0] for t in heavy]), np.concatenate([t[1] for t in heavy]), begins, 4000)
+    assert abs((found[0] == found[1]).mean() - similarity(*texts)) < 0.03
+
+
+def test_visits_bring_all_pairs_together(spark):
+    """Blocks of residents and visitors: each pair of which one is outside the largest class meets in a group."""
+    rows = [(b, n, n - n // 2, b * 1000 + i, i % 7 if i >= n // 2 else 0, i >= n // 2, bytes(8)) for b, n in ((1, 40), (2, 9), (3, 3)) for i in range(n)]
+    mixed = spark.createDataFrame(rows, "band long, n long, rest long, node long, label long, minor boolean, samples binary")
+    groups = {}
+    for r in neardup.visits(mixed, replace(Settings(), block=4)).collect():
+        groups.setdefault((r.band, r.home, r.guest), []).append(r)
+    met = {(v.node, r.node) for g in groups.values() for v in g if v.visitor for r in g if not r.visitor}
+    assert met == {(a[3], b[3]) for a in rows for b in rows if a[0] == b[0] and a[5]}
+    assert len(groups) > 30 and max(map(len, groups.values())) < 25
+
+
+def test_recall_of_near_copies(spark):
+    """Links found among texts with random word edits, by the similarity of the pair (independently computed weights)."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    docs = []
+    for _ in range(150):
+        own = [word() for _ in range(rng.randint(60, 400))]
+        copy = [word() if rng.random() < 0.012 else w for w in own]
+        docs += [" ".join(own), " ".join(copy)]
+    docs = list(enumerate(docs))
+    links, found = brute_links(docs), got(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert len(links) > 60 and sum(found[i] == found[j] for i, j in links) >= 0.98 * len(links)
+    equal = sum(docs[2 * i][1] == docs[2 * i + 1][1] for i in range(150))
+    assert sum(found[2 * i] == found[2 * i + 1] for i in range(150)) <= len(links) + equal
+
+
+def test_equal_ids_with_different_texts_stay(spark):
+    rows = [(1, "one text of its own about a river and a mill"), (1, "quite another text on the price of salt in spring"), (2, "a third text, unlike both"), (2, "a third text, unlike both"), (3, "a third text, unlike both"), (-5, "x y z"), (None, "x y z"), (None, "alone"), (None, "alone"), (None, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, digest string")
+    left = [(r.doc_id, r.text) for r in neardup.deduplicated(docs).collect()]
+    assert sorted(left, key=str) == sorted([(1, rows[0][1]), (1, rows[1][1]), (2, rows[2][1]), (-5, "x y z"), (None, "alone"), (9, "")], key=str)
+    found = near_duplicates(docs).collect()
+    assert len(found) == len(rows) and len({bytes(r.first_digest) for r in found}) == 6
+    assert {r.class_id for r in found if r.doc_id == -5} == {-5}
+    alone = -1 - int(hashlib.sha256(b"alone").hexdigest()[:15], 16)
+    assert [r.class_id for r in found if r.class_id < -5] == [alone, alone]
 
 
 def test_components(spark):
