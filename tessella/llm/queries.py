@@ -82,7 +82,8 @@ def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    """Owners are the sources; the table names no repositories, so that each document counts as one."""
+    out = secrets.scan_secrets(table(spark, sf_dir, "documents"), repo_col="doc_id")
     verdict = lambda v: F.size(F.filter("spans", lambda s: s["verdict"] == v)).cast("long").alias(f"n_{v}")
     return out.select("doc_id", *map(verdict, ("live", "example")), *_span_columns(secrets.BASE))
 
@@ -117,10 +118,10 @@ def _secrets_sql() -> str:
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(0)) AS owner, coalesce(text, '') AS t FROM documents),
 a AS ({' UNION ALL '.join(_secret_rule_sql(i, *r) for i, r in enumerate(secrets.RULES))}),
 e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM a WHERE len(m) > 0),
-x AS (SELECT rid, owner, rank, kind, v[i] AS value, length(m[i]) AS n, CAST(list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS pos FROM e WHERE length(v[i]) >= least),
+x AS (SELECT rid, owner, rank, kind, v[i] AS value, kind = 'assign' AND regexp_matches(m[i], '{secrets.PASSWORD}') AS password, length(m[i]) AS n, CAST(list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS pos FROM e WHERE length(v[i]) >= least),
 o AS (SELECT value, count(DISTINCT owner) AS owners FROM x GROUP BY value),
 w AS (SELECT x.*, CASE WHEN owners >= 2 OR regexp_matches(value, '{secrets.PLACEHOLDER}') THEN 'example'
- WHEN (length(value) >= 12 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')) OR kind IN ('pem', 'github', 'jwt') THEN 'live' ELSE 'weak' END AS verdict FROM x JOIN o USING (value))
+ WHEN (length(value) >= CASE WHEN password THEN {secrets.SHORT} ELSE {secrets.LONG} END AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')) OR kind IN ('pem', 'github', 'jwt') THEN 'live' ELSE 'weak' END AS verdict FROM x JOIN o USING (value))
 SELECT doc_id, {', '.join(columns)}, sha256({text("kind IN ('assign', 'access', 'hex')")}) AS base_sha256, {text('kind IS NOT NULL')} AS spans
 FROM d LEFT JOIN w USING (rid) GROUP BY rid, doc_id"""
 

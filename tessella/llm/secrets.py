@@ -6,10 +6,13 @@ distinct owners and repositories. A value that several owners have is a copied e
 single owner has and that looks random is reported as live.
 
 Kinds assign, access and hex follow fixed rules (leftmost, non-overlapping per kind, failing matches
-dropped without a retry). The method adds jwt, github and pem spans.
+dropped without a retry). The method adds jwt, github and pem spans; pem is the whole key block, to its
+END line or, without one, as far as lines of base64 go. Each regex but that of hex runs only on texts that
+contain a literal which all its matches contain.
 
 Defined cases: null and empty texts have no spans; a null owner counts as one owner of its own; ids
-may be null or repeated (rows are joined by a key of their content); an empty table gives no rows.
+may be null or repeated (rows are joined by a key of their content); an empty table gives no rows; other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.storage import written
 
+_PEM = r"[A-Za-z0-9+/=:,.\s]"
 #: kind, regex, group with the secret value, least length of that value.
 RULES = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -28,10 +32,21 @@ RULES = (
     ("hex", r"[0-9a-f]+", 0, 24),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
     ("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
+    ("pem", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_PEM}*(?:-{_PEM}+)*-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\r\n]*)", 0, 20),
 )
+#: Literals of which each match has one (assign: in lower case).
+LITERALS = {
+    "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
+    "access": ("AKIA",),
+    "jwt": ("eyJ",),
+    "github": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
+    "pem": ("-----BEGIN ",),
+}
 KINDS = tuple(r[0] for r in RULES)
 BASE = KINDS[:3]
+#: A password is live from this length on, as people choose it; other values look random from LONG on.
+SHORT, LONG = 6, 12
+PASSWORD = r"(?i)^passw"
 #: Words of documentation that mark a value as a placeholder.
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0000"
 
@@ -42,23 +57,27 @@ def _scanned(kind: str, regex: str, least: int) -> str:
 
 
 def _matches(rank: int, kind: str, regex: str, group: int, least: int) -> Column:
-    """Array of (start, rank, end, kind, value) of one rule over the column text."""
+    """Array of (start, rank, end, kind, value, password) of one rule over the columns text and low (in lower case)."""
     regex = _scanned(kind, regex, least)
     text, pattern = F.col("text"), F.lit(regex)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     value = F.regexp_extract_all(text, pattern, F.lit(group)) if group else whole
     found = F.arrays_zip(whole.alias("m"), value.alias("v"), F.split(text, regex, -1).alias("gap"))
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
+    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string,password:boolean>>")
     begin = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value"))
+        password = F.coalesce(x["m"].rlike(PASSWORD), F.lit(False)) if kind == "assign" else F.lit(False)
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value"), password.alias("password"))
         keep = F.coalesce(F.length(x["v"]) >= least, F.lit(False))
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(regex), F.aggregate(found, begin, step)["out"]).otherwise(empty)
+    likely = text.rlike(regex)
+    if kind in LITERALS:
+        likely = reduce(lambda a, b: a | b, (F.col("low" if kind == "assign" else "text").contains(x) for x in LITERALS[kind])) & likely
+    return F.when(likely, F.aggregate(found, begin, step)["out"]).otherwise(empty)
 
 
 def _row_key(id_col: str, text_col: str, owner_col: str) -> Column:
@@ -66,14 +85,24 @@ def _row_key(id_col: str, text_col: str, owner_col: str) -> Column:
     return F.sha2(F.to_json(F.struct(F.col(id_col).cast("string").alias("a"), F.col(owner_col).cast("string").alias("b"), F.coalesce(F.col(text_col), F.lit("")).alias("c"))), 256)
 
 
+def spans_of(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """docs with the column name: spans (start, rank, end, kind, value, password) by start and kind."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.lower(text).alias("low"))
+    spans = F.array_sort(F.concat(*(_matches(i, *rule) for i, rule in enumerate(RULES))))
+    return whole.select("row.*", spans.alias(name))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
-    """Per row: id, key, owner, repo and spans (start, rank, end, kind, value), by start and kind."""
+    """Per row: id, key, owner, repo and spans."""
+    own = docs.select(F.col(id_col).alias("id"), *_names(id_col, text_col, owner_col, repo_col), F.col(text_col).alias("text"))
+    return spans_of(own, "text", "spans").drop("text")
+
+
+def _names(id_col: str, text_col: str, owner_col: str, repo_col: str | None) -> list[Column]:
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("\x00"))
     repo = F.coalesce(F.col(repo_col).cast("string"), F.lit("\x00")) if repo_col else owner
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col, owner_col).alias("key"), owner.alias("owner"), repo.alias("repo"), text.alias("text"))
-    spans = F.array_sort(F.concat(*(_matches(i, *rule) for i, rule in enumerate(RULES))))
-    return docs.select("id", "key", "owner", "repo", spans.alias("spans"))
+    return [_row_key(id_col, text_col, owner_col).alias("key"), owner.alias("owner"), repo.alias("repo")]
 
 
 def judged(found: DataFrame, common_owners: int) -> DataFrame:
@@ -83,7 +112,7 @@ def judged(found: DataFrame, common_owners: int) -> DataFrame:
     # Two steps, so that one very common value is first reduced to a row for each owner and repository.
     stats = each.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count_distinct("owner").cast("long").alias("owners"), F.count_distinct("repo").cast("long").alias("repositories"))
     value = F.col("s.value")
-    random = (F.length(value) >= 12) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    random = (F.length(value) >= F.when(F.col("s.password"), SHORT).otherwise(LONG)) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     verdict = F.when((F.col("owners") >= common_owners) | value.rlike(PLACEHOLDER), "example").when(random | F.col("s.kind").isin("pem", "github", "jwt"), "live").otherwise("weak")
     span = F.struct(F.col("s.start").alias("start"), F.col("s.rank").alias("rank"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"), value.alias("value"), F.col("owners"), F.col("repositories"), verdict.alias("verdict"))
     return each.dropDuplicates(["key", "s"]).join(stats, "hash").groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("spans"))
@@ -93,7 +122,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: id_col and spans (kind, start, end, value, owners, repositories, verdict).
 
     verdict: example (common_owners owners at least, or a placeholder word), live (one owner, and at
-    least a digit and a letter among 12 characters or more) or weak.
+    least a digit and a letter among 12 characters or more; of what is assigned to a password 6) or weak.
+    Without repo_col an owner is one repository.
     """
     found = written(candidates(docs, id_col, text_col, owner_col, repo_col), "secrets")
     by_row = judged(found, common_owners)
@@ -102,25 +132,30 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, common_owners: int = 2) -> DataFrame:
-    """docs, each live secret's value replaced by [SECRET] in text_col (and n_chars, if there, counted anew)."""
-    found = written(candidates(docs, id_col, text_col, owner_col, repo_col).where("size(spans) > 0"), "secrets")
+    """docs, each live secret's value replaced by [SECRET] in text_col (and n_chars, if there, counted anew).
+
+    Texts are scanned once, and only rows with spans are joined to their verdicts.
+    """
+    row = F.struct(*docs.columns)
+    own = docs.select(row.alias("row"), *_names(id_col, text_col, owner_col, repo_col), F.col(text_col).alias("text"))
+    found = spans_of(own, "text", "spans").drop("text").withColumn("n", F.size("spans"))
+    found = written(found, "secrets")
     live = F.filter("spans", lambda s: s["verdict"] == "live")
-    spans = judged(found, common_owners).select(F.col("key").alias("__key"), live.alias("__live")).where("size(__live) > 0")
-    # Only rows with a match of some rule are joined, so that other texts aren't shuffled.
-    some = F.coalesce(reduce(lambda a, b: a | b, (F.col(text_col).rlike(_scanned(kind, regex, least)) for kind, regex, _, least in RULES)), F.lit(False))
-    out = docs.where(some).withColumn("__key", _row_key(id_col, text_col, owner_col)).join(spans, "__key", "left")
-    begin, text = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), F.col(text_col)
+    spans = judged(found.where("n > 0"), common_owners).select("key", live.alias("live"))
+    out = found.where("n > 0").select("row", "key").join(spans, "key", "left")
+    begin, text = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), F.col("row")[text_col]
 
     def step(acc: Column, s: Column) -> Column:
-        first = s["end"] - F.length(s["value"])  # a value ends its match
-        again = first < acc["at"]  # inside what an earlier span has covered
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, first - acc["at"]), F.lit("[SECRET]"))
+        again = s["first"] < acc["at"]  # inside what an earlier span has covered
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["first"] - acc["at"]), F.lit("[SECRET]"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(again, acc["out"]).otherwise(more).alias("out"))
 
-    by_value = F.array_sort(F.transform("__live", lambda s: F.struct((s["end"] - F.length(s["value"])).alias("first"), s["end"].alias("end"), s["value"].alias("value"))))
+    # A value ends its match.
+    by_value = F.array_sort(F.transform("live", lambda s: F.struct((s["end"] - F.length(s["value"])).alias("first"), s["end"].alias("end"))))
     done = F.aggregate(by_value, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    clean = F.col("__live").isNull()
+    out = out.select("row", F.when(F.size("live") > 0, done).alias("done"))
+    new = {text_col: F.coalesce("done", text)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length(done)).cast(docs.schema["n_chars"].dataType))
-    out = out.withColumn(text_col, F.when(clean, text).otherwise(done)).select(*docs.columns)
-    return docs.where(~some).unionByName(out)
+        new["n_chars"] = F.coalesce(F.length("done"), F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    columns = [new.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
+    return found.where("n = 0").select("row.*").unionByName(out.select(*columns))
