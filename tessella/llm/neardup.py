@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.exchange import BLOCK_ROWS, answered, ask, from_gaps, from_small, gaps, gathered, in_order, packed_ids, parts_of, small, token_blocks, unpacked_ids
 from tessella.llm.graph import components
+from tessella.llm.skew import split_join
 from tessella.llm.storage import bounded_batches, discard, small_batches, written
 from tessella.llm.wordhash import U, grams, mix, text_words
 
@@ -389,8 +390,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = written(corpus.sketches(), "sketches")
     # Equal texts are one node; nodes are numbered.
     known = rows.withColumn("id", F.coalesce("id", F.lit(NO_ID)))
-    nodes = known.groupBy("digest").agg(F.min("id").alias("least"), F.min(F.struct("block", "at")).alias("place"), F.first("samples").alias("samples"), F.first("bands").alias("bands"))
-    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "place.block", "place.at", "samples", "bands"), "nodes")
+    nodes = known.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("block", "at")).alias("place"), F.first("samples").alias("samples"), F.first("bands").alias("bands"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "copies", "place.block", "place.at", "samples", "bands"), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("band"))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(bands.join(sizes, "band"), "buckets")
@@ -409,16 +410,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = mixed.join(fine, "node").select("band", "n", (F.col("n") - F.col("c")).alias("rest"), "node", "label", (F.col("label") != F.col("most")).alias("minor"), "samples")
     links = links.select("a", "b").union(verified(across(visits(mixed, settings), settings), corpus, nodes, settings).select("a", "b"))
     labels = components(links)
-    own = nodes.join(labels, "node", "left").select("digest", "least", F.coalesce("label", "node").alias("label"))
-    first = own.groupBy("label").agg(F.min(F.struct("least", "digest")).alias("first"))
-    classes = own.join(first, "label").select("digest", "first", "least")
+    own = nodes.join(labels, "node", "left").select("digest", "least", "copies", F.coalesce("label", "node").alias("label"))
+    first = own.groupBy("label").agg(F.min(F.struct("least", "digest")).alias("first"), F.count(F.lit(1)).alias("texts"))
+    classes = split_join(own, first, "label", "texts", "digest").select("digest", "first", "least", "copies")
     discard(corpus.known, fine)
 
     def named(least: Column, digest: Column) -> Column:
         number = F.conv(F.substring(F.hex(digest), 1, 15), 16, 10).cast("long")
         return F.when(least == NO_ID, -1 - number).otherwise(least)
 
-    out = rows.select("id", "digest").join(classes, "digest")
+    out = split_join(rows.select("id", "digest"), classes, "digest", "copies", "id")
     return out.select(
         F.col("id").alias(id_col),
         named(F.col("first.least"), F.col("first.digest")).alias("class_id"),

@@ -58,11 +58,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_warc(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
     # Written, so that the archives are read once and the planner knows the records' size.
     records = written(warc.read_records(spark, [r.file for r in files.collect()], payloads=False), "records")
-    captures = warc.assemble(records)
-    fields = F.col("metadata")[0]["fields"]
-    number = lambda k: F.try_element_at(fields, F.lit(k)).cast("long")
+    page = F.try_element_at(F.col("metadata")[0]["fields"], F.lit("page-id")).cast("long")
+    captures = written(warc.assemble(records), "captures")
     response = F.col("response")
-    return captures.select(number("page-id").alias("page_id"), number("payload-bytes").alias("payload_bytes"), response["payload_digest"].alias("payload_digest"), response["type"].alias("record_type"), F.when(response["type"] == "revisit", number("original-page-id")).alias("refers_to"))
+    found = warc.resolve(captures, {"page_id": page})
+    return found.select(page.alias("page_id"), response["payload_bytes"].alias("payload_bytes"), response["payload_digest"].alias("payload_digest"), response["type"].alias("record_type"), F.col("original.page_id").alias("refers_to"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.skew import split_join
 from tessella.llm.storage import written
 
 _PEM = r"[A-Za-z0-9+/=:,.\s]"
@@ -110,12 +111,13 @@ def judged(found: DataFrame, common_owners: int) -> DataFrame:
     each = found.where("size(spans) > 0").select("key", "owner", "repo", F.explode("spans").alias("s"))
     each = each.withColumn("hash", F.sha2("s.value", 256))
     # Two steps, so that one very common value is first reduced to a row for each owner and repository.
-    stats = each.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count_distinct("owner").cast("long").alias("owners"), F.count_distinct("repo").cast("long").alias("repositories"))
+    each = each.dropDuplicates(["key", "s"])
+    stats = each.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.sum("n").alias("n"), F.count_distinct("owner").cast("long").alias("owners"), F.count_distinct("repo").cast("long").alias("repositories"))
     value = F.col("s.value")
     random = (F.length(value) >= F.when(F.col("s.password"), SHORT).otherwise(LONG)) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     verdict = F.when((F.col("owners") >= common_owners) | value.rlike(PLACEHOLDER), "example").when(random | F.col("s.kind").isin("pem", "github", "jwt"), "live").otherwise("weak")
     span = F.struct(F.col("s.start").alias("start"), F.col("s.rank").alias("rank"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"), value.alias("value"), F.col("owners"), F.col("repositories"), verdict.alias("verdict"))
-    return each.dropDuplicates(["key", "s"]).join(stats, "hash").groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    return split_join(each, stats, "hash", "n", "key").groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, common_owners: int = 2) -> DataFrame:

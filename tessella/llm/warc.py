@@ -24,9 +24,10 @@ from typing import BinaryIO
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.skew import split_join
 from tessella.llm.storage import bounded_batches
 
 CRLF = b"\r\n"
@@ -47,11 +48,11 @@ def one_line(value: str | None) -> str:
 
 def with_originals(pages: DataFrame, id_col: str, payload_col: str, min_revisit: int) -> DataFrame:
     """id, uri, payload, digest and original: the least id with an equal payload, if it isn't the row's own."""
-    slim = pages.select(F.col("id"), F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n")).where(f"n >= {min_revisit}")
-    least = slim.groupBy("digest").agg(F.min("id").alias("original"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "original")
-    later = slim.join(least, "digest").where("id > original").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("digest", "original"))).alias("originals"))
-    out = pages.repartition("id").withColumn("digest", F.sha2("payload", 256)).join(later, "id", "left")
-    return out.withColumn("original", F.try_element_at("originals", F.col("digest"))).drop("originals")
+    slim = pages.select(F.col("id"), F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n")).where(f"n >= {min_revisit}").drop("n")
+    least = slim.groupBy("digest").agg(F.min("id").alias("original"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    later = split_join(slim, least, "digest", "c", "id", "inner").where("id > original").distinct()
+    # Rows go by id and digest, so that pages without ids are spread, too.
+    return pages.withColumn("digest", F.sha2("payload", 256)).join(later, ["id", "digest"], "left")
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_revisit: int = 100) -> DataFrame:
@@ -83,7 +84,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: st
                     out.write(record("revisit", said, http))
                 link = common | {"WARC-Concurrent-To": me + "response>"}
                 out.write(record("request", link | {"WARC-Record-ID": me + "request>", "Content-Type": "application/http;msgtype=request"}, b"GET / HTTP/1.1\r\n\r\n"))
-                fields = {"payload-bytes": len(payload)} | ({} if page is None else {"page-id": page}) | ({} if original is None else {"original-page-id": original})
+                fields = {} if page is None else {"page-id": page}
                 out.write(record("metadata", link | {"WARC-Record-ID": me + "metadata>", "Content-Type": "application/warc-fields"}, "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode()))
                 n += 1
         if out:
@@ -133,6 +134,9 @@ def parse(data: bytes) -> Iterator[dict]:
             if said and found != said:
                 raise ValueError(f"{out['record_id']}: the payload's digest is {found}")
             out |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": found}
+        elif kind == "revisit":  # the length of the payload that isn't repeated
+            length = fields_of(block.partition(2 * CRLF)[0]).get("content-length")
+            out["payload_bytes"] = int(length) if length else None
         elif kind == "metadata":
             out["fields"] = fields_of(block)
         yield out
@@ -166,14 +170,33 @@ def read_records(spark: SparkSession, files: list[str], payloads: bool = True) -
 
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: capture, request, response (also a revisit) and metadata (an array)."""
-    via = records.where("concurrent_to is not null").select(F.col("record_id").alias("via"), F.col("concurrent_to").alias("target"))
-    linked = records.join(via, F.col("concurrent_to") == F.col("via"), "left")
+    linked = records.where("concurrent_to is not null")
+    via = linked.select(F.col("record_id").alias("via"), F.col("concurrent_to").alias("target"))
     capture = (
-        F.when(F.col("concurrent_to").isNull(), F.col("record_id"))
-        .when(F.col("target").isNull(), F.col("concurrent_to"))
+        F.when(F.col("target").isNull(), F.col("concurrent_to"))
         .when(F.col("target") == F.col("record_id"), F.least("record_id", "concurrent_to"))  # each names the other
         .otherwise(F.col("target"))
     )
-    row = F.struct(*(c for c in records.columns if c not in ("concurrent_to", "fields")), "fields")
-    pick = lambda *kinds: F.first(F.when(F.col("type").isin(*kinds), row), ignorenulls=True)
-    return linked.groupBy(capture.alias("capture")).agg(pick("request").alias("request"), pick("response", "revisit").alias("response"), F.collect_list(F.when(F.col("type") == "metadata", row)).alias("metadata"))
+    row = F.struct(*(c for c in records.columns if c not in ("concurrent_to", "fields")), "fields").alias("row")
+    linked = linked.join(via, F.col("concurrent_to") == F.col("via"), "left").select(capture.alias("capture"), "type", row)
+    every = linked.unionByName(records.where("concurrent_to is null").select(F.col("record_id").alias("capture"), "type", row))
+    pick = lambda *kinds: F.first(F.when(F.col("type").isin(*kinds), F.col("row")), ignorenulls=True)
+    return every.groupBy("capture").agg(pick("request").alias("request"), pick("response", "revisit").alias("response"), F.collect_list(F.when(F.col("type") == "metadata", F.col("row"))).alias("metadata"))
+
+
+def resolve(captures: DataFrame, carried: dict[str, Column]) -> DataFrame:
+    """captures with original: for a revisit the carried values of the capture whose response it refers to, else null.
+
+    A revisit refers to a response's record id (WARC-Refers-To); of repeated record ids any is taken. A reference
+    that isn't in the archives, or to a payload of another digest or length, fails the job.
+    """
+    response = F.col("response")
+    kept = captures.withColumn("refers_to", F.when(response["type"] == "revisit", response["refers_to"]))
+    values = F.struct(response["payload_digest"].alias("digest"), response["payload_bytes"].alias("bytes"), F.struct(*(c.alias(n) for n, c in carried.items())).alias("values"))
+    named = kept.where("refers_to is not null").groupBy("refers_to").agg(F.count(F.lit(1)).alias("n"))
+    originals = captures.where(response["type"] == "response").groupBy(response["record_id"].alias("refers_to")).agg(F.first(values).alias("original"))
+    revisits = split_join(kept.where("refers_to is not null"), named.join(originals, "refers_to", "left"), "refers_to", "n", "capture")
+    same = (F.col("original.digest") == response["payload_digest"]) & (F.col("original.bytes") == response["payload_bytes"])
+    checked = F.when(F.coalesce(same, F.lit(False)), F.col("original.values")).otherwise(F.raise_error(F.concat(F.lit("no such payload: "), "refers_to")).cast(originals.schema["original"].dataType["values"].dataType))
+    rest = kept.where("refers_to is null").withColumn("original", F.lit(None).cast(originals.schema["original"].dataType["values"].dataType))
+    return revisits.withColumn("original", checked).unionByName(rest.select(*revisits.columns)).drop("refers_to")

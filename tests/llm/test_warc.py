@@ -4,8 +4,10 @@ import hashlib
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import queries, warc
+from tessella.llm.skew import split_join
 from tessella.llm.storage import new_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -43,6 +45,28 @@ def test_round_trip(spark):
     assert sorted(map(str, found)) == sorted(map(str, want))
 
 
+def test_revisits_resolve(spark):
+    """A revisit's original is found by its record id alone, checked by digest and length."""
+    big = "é" * 80
+    rows = [(3, "u", big), (1, "u", big), (2, "u", big), (9, "u", "x" * 100), (None, "u", "x" * 100), (10, "u", "x" * 100)]
+    files, _ = captures(spark, rows)
+    page = F.try_element_at(F.col("metadata")[0]["fields"], F.lit("page-id")).cast("long")
+    found = warc.resolve(warc.assemble(warc.read_records(spark, files)), {"page": page}).select(page.alias("page"), "original.page", "response.payload_bytes").collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(3, 1, 160), (1, None, 160), (2, 1, 160), (9, None, 100), (None, None, 100), (10, 9, 100)], key=str)
+    lost = warc.assemble(warc.read_records(spark, files).where(F.col("type") != "response"))
+    with pytest.raises(Exception, match="no such payload"):
+        warc.resolve(lost, {"page": page}).collect()
+
+
+@pytest.mark.parametrize("per", [3, 1000])
+def test_split_join(spark, per):
+    left = [(k, i) for k, n in (("a", 20), ("b", 3), ("c", 1), (None, 5)) for i in range(n)]
+    right = [("a", 20, "x"), ("b", 3, "y"), ("d", 0, "z")]
+    got = split_join(spark.createDataFrame(left, "k string, i long"), spark.createDataFrame(right, "k string, n long, v string"), "k", "n", "i", rows_per_turn=per)
+    want = {"a": "x", "b": "y"}
+    assert sorted(map(str, ((r.k, r.i, r.v) for r in got.collect()))) == sorted(map(str, ((k, i, want.get(k)) for k, i in left)))
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string, payload int, digest int")
     files = warc.write_warc(empty, new_path(spark, "warc")).collect()
