@@ -2,9 +2,11 @@
 
 Each text's k-word hashes are thinned to the minimum of every w = window - k + 1 consecutive ones.
 Two texts that share `window` consecutive words share such a minimum, so the join of the kept
-fingerprints misses no shared span; each join hit is then extended word by word on the texts
-themselves. Items of fewer words than a window are one span: for these lengths every position of a
-document is a fingerprint (w = 1).
+fingerprints misses no shared span. A join hit is extended over the windows that contain it: each of
+these windows of the text is looked up among the items' windows once, however many items and places
+have the fingerprint, so that time is linear in texts of repeated words, too. Items of fewer words than a
+window are one span: for these lengths every position of a document is a fingerprint (w = 1).
+Words and windows are compared by 64-bit hashes.
 
 Defined cases: a null text has no words; null ids of documents are ids like others; repeated rows get
 equal rows; an item without words hits nothing; empty tables give empty results or documents without
@@ -15,8 +17,7 @@ read, so that other columns may have any name.
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.storage import bounded_batches, written
-from tessella.llm.wordhash import grams, starts_of_grams, text_words
+from tessella.llm.skew import split_join
+from tessella.llm.storage import bounded_batches, discard, written
+from tessella.llm.wordhash import U, grams, starts_of_grams, text_words
 
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPANS = "array<struct<start:int,end:int>>"
+WINDOWS = "array<struct<at:int,h:long>>"
+WINDOW_TYPE = pa.list_(pa.struct([("at", pa.int32()), ("h", pa.int64())]))
 
 
 def winnowed(hashes: np.ndarray, w: int) -> np.ndarray:
@@ -66,65 +69,70 @@ def every(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, n
     return grams(words, n)[at], text, at - offsets[text]
 
 
+def around(at: np.ndarray, text: np.ndarray, offsets: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Where, among all words, the windows of the texts begin that contain the n words from position at, each once."""
+    begins = offsets[text][:, None] + at[:, None] - np.arange(window - n + 1)
+    yes = (begins >= offsets[text][:, None]) & (begins + window <= offsets[text + 1][:, None])
+    return np.unique(begins[yes])
+
+
 class Items:
-    """The benchmark's words and sorted fingerprints, by n-gram length."""
+    """The benchmark's fingerprints and windows, by window length: sorted hashes, and the items of each window."""
 
     def __init__(self, rows: list[tuple[str | None, bytes]], window: int, k: int):
         self.window, self.k = window, k
-        kept = [(name, WORD.findall(text.lower()), text.lower()) for name, text in rows]
-        kept = [x for x in kept if x[1]]
-        self.names, self.words = [x[0] for x in kept], [x[1] for x in kept]
-        hashes, offsets = text_words([x[2] for x in kept])
+        self.names = [name for name, _ in rows]
+        words, offsets = text_words([text.lower() for _, text in rows])
         sizes = np.diff(offsets)
-        self.tables = {}
-        for n, w in [(k, True), *((int(s), False) for s in np.unique(sizes[sizes < window]))]:
-            h, item, pos = fingerprints(hashes, offsets, window, k) if w else every(hashes, offsets, n)
-            yes = sizes[item] >= window if w else sizes[item] == n
-            h, item, pos = h[yes], item[yes], pos[yes]
-            order = np.argsort(h, kind="stable")
-            self.tables[(n, w)] = (h[order], item[order], pos[order])
-
-    def candidates(self, hashes: np.ndarray, offsets: np.ndarray) -> dict[int, set[tuple[int, int]]]:
-        """Per text with a common fingerprint: (item, text position minus item position)."""
-        found: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for (n, w), (keys, item, pos) in self.tables.items():
-            if not len(keys):
+        #: window length, gram length: fingerprints, windows, where each one's items begin, items.
+        self.tables: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for length, n in [(window, k), *((int(s), int(s)) for s in np.unique(sizes[(sizes > 0) & (sizes < window)]))]:
+            prints, item, _ = fingerprints(words, offsets, window, n) if length == window else every(words, offsets, n)
+            windows, own, _ = every(words, offsets, length)
+            mine = (lambda i: sizes[i] >= window) if length == window else (lambda i: sizes[i] == length)  # noqa: B023
+            pairs = np.unique(np.stack([windows[mine(own)], own[mine(own)].astype(U)]), axis=1)
+            keys, begins = np.unique(pairs[0], return_index=True)
+            if len(keys):
+                self.tables.append((length, n, np.unique(prints[mine(item)]), keys, np.append(begins, pairs.shape[1]), pairs[1].astype(np.int64)))
+
+    def hits(self, words: np.ndarray, offsets: np.ndarray) -> tuple[list[list[tuple[int, int]]], list[list[str | None]]]:
+        """Per text: word spans inside windows of items, joined, and the items' names."""
+        n = len(offsets) - 1
+        gapped = offsets + np.arange(n + 1)  # where texts begin with a place left free between two
+        change, found = np.zeros(gapped[-1] + 1, np.int64), []
+        for length, gram, prints, keys, first, items in self.tables:
+            h, text, at = fingerprints(words, offsets, self.window, gram) if length == self.window else every(words, offsets, gram)
+            hit = members(h, prints)
+            begins = around(at[hit], text[hit], offsets, gram, length)
+            if not len(begins):
                 continue
-            h, text, at = fingerprints(hashes, offsets, self.window, n) if w else every(hashes, offsets, n)
-            lo = np.searchsorted(keys, h)
-            hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == h)
-            hi = np.searchsorted(keys, h[hit], "right")
-            for j, a, b in zip(hit, lo[hit], hi):
-                for i in range(a, b):
-                    found[int(text[j])].add((int(item[i]), int(at[j]) - int(pos[i])))
-        return found
-
-    def hits(self, text: bytes, found: set[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[str | None]]:
-        """Word spans of the text inside windows of items, joined, and the items' names."""
-        words, spans, names = WORD.findall(text), [], set()
-        for item, shift in found:
-            own = self.words[item]
-            least, begin = min(self.window, len(own)), None
-            for i in range(max(0, -shift), min(len(own), len(words) - shift) + 1):
-                same = i < len(own) and i + shift < len(words) and own[i] == words[i + shift]
-                if same and begin is None:
-                    begin = i
-                elif not same and begin is not None:
-                    if i - begin >= least:
-                        spans.append((begin + shift, i + shift))
-                        names.add(self.names[item])
-                    begin = None
-        return joined(spans), sorted(names, key=lambda x: (x is None, x or ""))
-
-
-def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+            with_grams = grams(words, length)[begins]
+            yes = members(with_grams, keys)
+            begins, window = begins[yes], np.searchsorted(keys, with_grams[yes])
+            text = np.searchsorted(offsets, begins, "right") - 1
+            np.add.at(change, begins + text, 1)
+            np.add.at(change, begins + text + length, -1)
+            # Each window of a text once, and then each of its items.
+            each = np.unique(np.stack([text, window]), axis=1)
+            many = first[each[1] + 1] - first[each[1]]
+            place = np.repeat(first[each[1]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            found.append(np.unique(np.stack([np.repeat(each[0], many), items[place]]), axis=1))
+        inside = (np.cumsum(change) > 0).astype(np.int8)
+        spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        names: list[list[str | None]] = [[] for _ in range(n)]
+        edge = np.diff(inside, prepend=np.int8(0))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        own = np.searchsorted(gapped, starts, "right") - 1
+        for t, a, b in zip(own.tolist(), (starts - gapped[own]).tolist(), (ends - gapped[own]).tolist()):
+            spans[t].append((a, b))
+        for t, i in (np.unique(np.concatenate(found, axis=1), axis=1).T.tolist() if found else []):
+            names[t].append(self.names[i])
+        return spans, [sorted(set(x), key=lambda x: (x is None, x or "")) for x in names]
+
+
+def members(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted keys."""
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values if len(keys) else np.zeros(len(values), bool)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -139,11 +147,12 @@ def as_spans(spans: list[tuple[int, int]]) -> list[dict]:
     return [{"start": a, "end": b} for a, b in spans]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 5, broadcast_bytes: int = 64 << 20, null_items: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 5, broadcast_bytes: int = 16 << 20, null_items: bool = False) -> DataFrame:
     """Per document (id_col): n_words long, spans (hit words, joined, end exclusive), items (their ids as strings).
 
-    The items' fingerprints go to every task while the items have at most broadcast_bytes of text;
-    beyond that, both sides' fingerprints are joined by a shuffle.
+    The items go to every worker, which keeps their index, while they have at most broadcast_bytes of text
+    (the index takes about 40 bytes a word, some 7 times the text); beyond that, both sides' fingerprints and
+    then their windows are joined by a shuffle.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -158,69 +167,96 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return out.withColumnRenamed("id", id_col)
 
 
+_indexes: dict[str, Items] = {}
+
+
+def _index(name: str, rows: list[tuple[str | None, bytes]], window: int, k: int) -> Items:
+    """The worker's index of the job's items: made by its first task and kept for the others, one job's at a time."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = Items(rows, window, k)
+    return _indexes[name]
+
+
 def _by_broadcast(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
     spark = docs.sparkSession
-    rows = spark.sparkContext.broadcast([(r.item, r.text.encode()) for r in items.collect()])
+    rows, name = spark.sparkContext.broadcast([(r.item, r.text.encode()) for r in items.collect()]), uuid.uuid4().hex
     kind = docs.schema["id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Items(rows.value, window, k)
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            hashes, offsets = text_words(texts)
-            found = index.candidates(hashes, offsets)
-            both = [index.hits(t, found[i]) if i in found else ([], []) for i, t in enumerate(texts)]
-            yield pa.record_batch([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array([as_spans(s) for s, _ in both], SPAN_TYPE), pa.array([n for _, n in both], pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
+            words, offsets = text_words(as_bytes(batch.column(1)))
+            spans, names = _index(name, rows.value, window, k).hits(words, offsets)
+            yield pa.record_batch([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array([as_spans(s) for s in spans], SPAN_TYPE), pa.array(names, pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
 
     return docs.mapInArrow(scan, f"id {kind}, n_words long, spans {SPANS}, items array<string>")
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
-    """Rows are told apart by (id, text): equal rows have equal results."""
-    docs = docs.withColumn("key", F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.coalesce("text", F.lit(""))), 256))
-    items = items.distinct().select(F.sha2(F.concat(F.coalesce(F.concat(F.lit(":"), "item"), F.lit("")), F.lit(":"), "text"), 256).alias("own_key"), "item", "text")
+    """Rows are told apart by (id, text): equal rows have equal results.
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    First the documents' fingerprints are joined to the items', then the windows that contain a hit to the
+    items' windows; only hashes and places are shuffled. Hashes that many documents have are dealt over tasks.
+    """
+    key = F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.coalesce("text", F.lit(""))), 256)
+    docs = docs.withColumn("key", key)
+    once = docs.dropDuplicates(["key"]).select("key", "text")
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.diff(text_words(as_bytes(batch.column(0)))[1])
             yield pa.record_batch([pa.array(n, pa.int64())], ["n"])
 
-    lengths = sorted(r.n for r in items.select("text").mapInArrow(short, "n long").where(f"n > 0 and n < {window}").distinct().collect())
-
-    def prints(own: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hashes, offsets = text_words(as_bytes(batch.column(1)))
-                sizes, keys = np.diff(offsets), np.array(batch.column(0).to_pylist(), object)
-                for n, w in [(k, True), *((s, False) for s in lengths)]:
-                    h, text, _ = fingerprints(hashes, offsets, window, n) if w else every(hashes, offsets, n)
-                    if own:
-                        yes = sizes[text] >= window if w else sizes[text] == n
-                        h, text = h[yes], text[yes]
-                    yield pa.record_batch([pa.array(keys[text], pa.string()), pa.array(np.full(len(h), 0 if w else n), pa.int32()), pa.array(h.view(np.int64))], ["key", "n", "h"])
+    short = sorted(r.n for r in items.select("text").mapInArrow(sized, "n long").where(f"n > 0 and n < {window}").distinct().collect())
+    lengths = [(window, k), *((n, n) for n in short)]
 
-        return run
-
-    left = docs.select("key", "text").mapInArrow(prints(False), "key string, n int, h long").distinct()
-    right = items.select("own_key", "text").mapInArrow(prints(True), "key string, n int, h long").withColumnRenamed("key", "own_key").distinct()
-    pairs = left.join(right, ["n", "h"]).select("key", "own_key").distinct()
-    both = pairs.join(items.withColumnRenamed("text", "own"), "own_key").join(docs.dropDuplicates(["key"]).select("key", "text"), "key")
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(length, hash, item) of fingerprints (item: null, whole false) and windows."""
+        for batch in batches:
+            words, offsets = text_words(as_bytes(batch.column(1)))
+            sizes, names = np.diff(offsets), np.array(batch.column(0).to_pylist(), object)
+            for length, n in lengths:
+                for whole in (False, True):
+                    h, text, _ = every(words, offsets, length) if whole or length != window else fingerprints(words, offsets, window, n)
+                    yes = sizes[text] >= window if length == window else sizes[text] == length
+                    h, text = h[yes], text[yes]
+                    yield pa.record_batch([pa.array(np.full(len(h), length), pa.int32()), pa.array(h.view(np.int64)), pa.array(np.full(len(h), whole)), pa.array(names[text] if whole else [None] * len(h), pa.string())], ["length", "h", "whole", "item"])
+
+    known = written(items.select("item", "text").mapInArrow(of_items, "length int, h long, whole boolean, item string").distinct(), "benchmark-windows")
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Fingerprints with the hashes and places of the windows around them."""
         for batch in batches:
-            rows = [(key, item, own.encode(), text.encode().lower()) for key, item, own, text in zip(*(batch.column(c).to_pylist() for c in ("key", "item", "own", "text")))]
-            spans = []
-            for _, item, own, text in rows:
-                index = Items([(item, own)], window, k)
-                spans.append(index.hits(text, index.candidates(*text_words([text])).get(0, set()))[0])
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([as_spans(s) for s in spans], SPAN_TYPE)], ["key", "item", "spans"])
-
-    hits = both.select("key", "item", "own", "text").mapInArrow(extend, f"key string, item string, spans {SPANS}").where("size(spans) > 0")
-    union = F.expr("""aggregate(array_sort(flatten(all)), cast(array() as array<struct<start:int,end:int>>), (acc, s) -> case
+            words, offsets = text_words(as_bytes(batch.column(1)))
+            keys = np.array(batch.column(0).to_pylist(), object)
+            for length, n in lengths:
+                h, text, at = fingerprints(words, offsets, window, n) if length == window else every(words, offsets, n)
+                whole, reach = grams(words, length).view(np.int64), np.arange(length - n + 1)
+                begins = offsets[text][:, None] + at[:, None] - reach
+                yes = (begins >= offsets[text][:, None]) & (begins + length <= offsets[text + 1][:, None])
+                windows = [[{"at": int(b - o), "h": int(whole[b])} for b in row[y]] for row, y, o in zip(begins, yes, offsets[text])]
+                yield pa.record_batch([pa.array(keys[text], pa.string()), pa.array(np.full(len(h), length), pa.int32()), pa.array(h.view(np.int64)), pa.array(windows, WINDOW_TYPE)], ["key", "length", "h", "windows"])
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        """left's rows whose (length, h) right has, with right's items."""
+        both = lambda df: df.withColumn("lh", F.struct("length", "h")).drop("length", "h")
+        n = left.groupBy("length", "h").agg(F.count(F.lit(1)).alias("n"))
+        return split_join(both(left), both(right.join(n, ["length", "h"])), "lh", "n", "key", "inner").select("*", "lh.length", "lh.h").drop("lh")
+
+    prints = written(once.mapInArrow(of_docs, f"key string, length int, h long, windows {WINDOWS}"), "fingerprints")
+    hit = met(prints, known.where("not whole").select("length", "h"))
+    windows = hit.select("key", "length", F.explode("windows").alias("w")).select("key", "length", "w.at", "w.h").distinct()
+    windows = met(written(windows, "windows"), known.where("whole").groupBy("length", "h").agg(F.collect_set(F.struct("item")).alias("names")))
+    windows = written(windows, "leak-windows")
+    discard(prints)
+    span = F.struct(F.col("at").alias("start"), (F.col("at") + F.col("length")).alias("end"))
+    union = F.expr("""aggregate(array_sort(all), cast(array() as array<struct<start:int,end:int>>), (acc, s) -> case
         when size(acc) > 0 and s.start <= element_at(acc, -1).end
         then concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(s.end, element_at(acc, -1).end) as end)))
         else concat(acc, array(s)) end)""")
-    hits = hits.groupBy("key").agg(F.collect_list("spans").alias("all"), F.array_sort(F.collect_set(F.struct("item"))["item"]).alias("items")).select("key", union.alias("spans"), "items")
+    spans = windows.groupBy("key").agg(F.collect_set(span).alias("all")).select("key", union.alias("spans"))
+    names = windows.select("key", F.explode("names").alias("name")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("name"))["item"].alias("items"))
+    names = names.select("key", F.concat(F.filter("items", lambda x: x.isNotNull()), F.filter("items", lambda x: x.isNull())).alias("items"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,4 +266,4 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataF
     kind = docs.schema["id"].dataType.simpleString()
     counts = docs.select("id", "key", "text").mapInArrow(counted, f"id {kind}, key string, n_words long")
     none = lambda c, t: F.coalesce(F.col(c), F.array().cast(t)).alias(c)
-    return counts.join(written(hits, "leaks"), "key", "left").select("id", "n_words", none("spans", SPANS), none("items", "array<string>"))
+    return counts.join(spans, "key", "left").join(names, "key", "left").select("id", "n_words", none("spans", SPANS), none("items", "array<string>"))

@@ -2,13 +2,15 @@
 
 import random
 import re
+import time
 
 import corpus_pipeline
 import duckdb
 import pytest
 
 from tessella.llm import queries
-from tessella.llm.decontaminate import decontaminate
+from tessella.llm.decontaminate import Items, decontaminate
+from tessella.llm.wordhash import text_words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -60,6 +62,15 @@ def test_items_without_id(spark, limit):
     assert got == {1: ([(1, 4)], [None]), 2: ([(0, 2)], ["7", None]), 3: ([(0, 4)], ["8", None]), 4: ([], [])}
 
 
+def test_repeated_words_take_linear_time():
+    texts = [b"a " * 60_000, b"b c " * 30_000]
+    index = Items([("x", b"a " * 3_000), ("y", b"b c " * 1_500), *((str(i), b"a " * 40) for i in range(300))], 10, 5)
+    began = time.process_time()
+    spans, names = index.hits(*text_words(texts))
+    assert spans == [[(0, 60_000)], [(0, 60_000)]] and len(names[0]) == 301 and names[1] == ["y"]
+    assert time.process_time() - began < 5
+
+
 @pytest.fixture
 def tables(spark, tmp_path):
     """Documents with a window of an item without an id, and the benchmark."""
