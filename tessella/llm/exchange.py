@@ -10,6 +10,7 @@ and a partition gets about PART_BLOCKS blocks' worth of keys however many blocks
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -107,70 +108,108 @@ def part_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (mix(keys) % U(n)).astype(np.int32)
 
 
-def ask(blocks: DataFrame, questions: Callable[[dict], tuple[np.ndarray, np.ndarray]], n: int) -> DataFrame:
+Question = tuple[np.ndarray, np.ndarray]
+
+
+def ask(blocks: DataFrame, questions: Callable[[dict], list[Question]], n: int) -> DataFrame:
     """Rows (part, block, keys, counts): each block's ascending keys with counts, by hash part.
 
-    questions(block row) gives (ascending keys, counts); counts may have several rows.
+    questions(block row) gives a list of (ascending keys, counts); counts may have several rows. The parts of
+    the i-th question are i * n to (i + 1) * n - 1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, counts = questions(row)
-                part = part_of(keys, n)
-                own = np.unique(part)
-                order = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[order], own, "right")
-                mine = np.split(order, edges[:-1])
-                yield pa.record_batch(
-                    [pa.array(own, pa.int32()), pa.array([row["block"]] * len(own), pa.int64()), pa.array([gaps(keys[i]) for i in mine] if len(own) else [], pa.binary()), pa.array([small(counts[..., i]) for i in mine] if len(own) else [], pa.binary())],
-                    ["part", "block", "keys", "counts"],
-                )
+                for i, (keys, counts) in enumerate(questions(row)):
+                    part = part_of(keys, n)
+                    own = np.unique(part)
+                    order = np.argsort(part, kind="stable")
+                    mine = np.split(order, np.searchsorted(part[order], own, "right")[:-1]) if len(own) else []
+                    columns = [pa.array(own + np.int32(i * n), pa.int32()), pa.array([row["block"]] * len(own), pa.int64()), pa.array([gaps(keys[x]) for x in mine], pa.binary()), pa.array([small(counts[..., x]) for x in mine], pa.binary())]
+                    yield pa.record_batch(columns, ["part", "block", "keys", "counts"])
 
     return blocks.mapInArrow(run, "part int, block long, keys binary, counts binary")
 
 
-def totals(group: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(rows of the distinct keys' counts over all blocks, each block's places among the keys)."""
-    keys = [from_gaps(k) for k in group["keys"]]
-    every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.concatenate([from_small(c).reshape(-1, len(k)) for k, c in zip(keys, group["counts"])], axis=1)
-    counts = np.stack([np.bincount(place, c, len(every)) for c in counts]).astype(np.int64)
-    return counts, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+@dataclass(frozen=True)
+class Totals:
+    """A part's question from all blocks: rows of the distinct keys' totals, each block's places among the keys."""
 
+    part: int
+    keys: np.ndarray
+    counts: np.ndarray
+    blocks: list[int]
+    places: list[np.ndarray]
+    own: list[np.ndarray]  # the blocks' counts as asked
 
-ANSWER = "kind string, part int, block long, counts binary"
+    @classmethod
+    def of(cls, group: pd.DataFrame) -> Totals:
+        group = group.sort_values("block")
+        keys = [from_gaps(k) for k in group["keys"]]
+        own = [from_small(c).reshape(-1, len(k)) for k, c in zip(keys, group["counts"])]
+        every, place = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.concatenate(own, axis=1)
+        counts = np.stack([np.bincount(place, c, len(every)) for c in counts]).astype(np.int64)
+        return cls(int(group["part"].iloc[0]), every, counts, group["block"].tolist(), np.split(place, np.cumsum([len(k) for k in keys])[:-1]), own)
 
+    def askers(self) -> np.ndarray:
+        """How many blocks asked for each key."""
+        return np.bincount(np.concatenate(self.places), minlength=len(self.keys))
 
-def own_totals(group: pd.DataFrame, counts: np.ndarray, places: list[np.ndarray]) -> list[bytes]:
-    return [small(counts[0][p]) for p in places]
+    def first_asks(self) -> list[np.ndarray]:
+        """Which of each block's keys no block before it asked for: every key has one such block."""
+        place = np.concatenate(self.places)
+        first = np.empty(len(self.keys), np.int64)
+        first[place[::-1]] = np.arange(len(place))[::-1]
+        return np.split(first[place] == np.arange(len(place)), np.cumsum([len(p) for p in self.places])[:-1])
 
 
-def answered(asked: DataFrame, n: int, summary: Callable[[np.ndarray], bytes] | None = None, reply=own_totals, table: bool = False) -> DataFrame:
-    """Kind answer: a block's totals in the order it asked. Kind summary, if asked for: summary(totals). Kind table: a part's totals.
+ANSWER = "kind string, part int, block long, counts binary"
+
+
+def own_totals(found: Totals) -> list[bytes]:
+    return [small(found.counts[0][p]) for p in found.places]
 
-    reply(the blocks' questions, rows of totals, each block's places) gives the answers.
-    """
+
+def answered(asked: DataFrame, n: int, summary: Callable[[Totals], bytes] | None = None, reply: Callable[[Totals], list[bytes]] = own_totals) -> DataFrame:
+    """Kind answer: reply's for each block, in the order it asked. Kind summary, if asked for: of a part's totals."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        counts, places = totals(group)
-        part = int(group["part"].iloc[0])
-        rows = [("answer", part, b, a) for b, a in zip(group["block"], reply(group, counts, places))]
-        rows += [("table", part, None, small(counts[0][counts[0] > 0]))] if table else []
-        rows += [("summary", part, None, summary(counts[0]))] if summary else []
+        found = Totals.of(group)
+        rows = [("answer", found.part, b, a) for b, a in zip(found.blocks, reply(found))]
+        rows += [("summary", found.part, None, summary(found))] if summary else []
         return pd.DataFrame(rows, columns=["kind", "part", "block", "counts"]).astype({"block": "Int64"})
 
     return asked.repartition(n, "part").groupBy("part").applyInPandas(run, ANSWER)
 
 
-def gathered(answers: DataFrame) -> DataFrame:
-    """Per block its answers by part."""
-    return answers.where("kind = 'answer'").groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("answers"))
+def summed(answers: DataFrame, n: int) -> np.ndarray:
+    """The sum of all parts' summaries, of n numbers each, added up by the tasks first."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n, np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                total += unpacked(data, np.int64)
+        yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.int64()))], ["sums"])
+
+    sums = answers.where("kind = 'summary'").select("counts").mapInArrow(add, "sums array<long>")
+    row = sums.agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(n))).first()
+    return np.array([x or 0 for x in row], np.int64)
+
+
+def gathered(answers: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Per block its answers by part; partitions: of how many a table of blocks is bucketed."""
+    answers = answers.where("kind = 'answer'")
+    answers = answers.repartition(partitions, "block") if partitions else answers
+    return answers.groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("answers"))
 
 
-def in_order(answers: list[dict] | None, keys: np.ndarray, n: int, decoded=from_small) -> np.ndarray:
-    """The answers of all parts to the ascending keys (or rows of answers)."""
-    part, found = part_of(keys, n), [(a["part"], decoded(a["counts"])) for a in answers or []]
+def in_order(answers: list[dict] | None, keys: np.ndarray, n: int, question: int = 0, decoded=from_small) -> np.ndarray:
+    """The answers of all parts to the ascending keys of a question (or rows of answers)."""
+    part = part_of(keys, n)
+    found = [(a["part"] - question * n, decoded(a["counts"])) for a in answers or [] if a["part"] // n == question]
     out = np.zeros((*(found[0][1].shape[:-1] if found else ()), len(keys)), found[0][1].dtype if found else np.int64)
     order = np.argsort(part, kind="stable")
     at = np.searchsorted(part[order], np.arange(n + 1)) if found else []

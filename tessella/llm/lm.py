@@ -1,28 +1,25 @@
-"""A Katz backoff bigram model: Good-Turing discounted counts, exactly normalised backoff weights.
+"""A Katz backoff trigram model: Good-Turing discounted counts, exactly normalised backoff weights.
 
 Text. A-Z is lower-cased; words are runs of characters other than white space; each document ends
-with an end token, which is also the context of its first word.
-
-Probability of a token w after h, over classes k(.): every training word is a class, as are the end
-and all other words together. (With `rare` above 0, so are only words in that share of the training
-tokens at least; by default no word is left out.)
-    P(w | h) = P(k(w) | k(h)) * P(w | k(w))
-    P(k | g) = d(c) c / C(g)          for a pair (g, k) seen c times in training, C(g) its context's total
-             = alpha(g) P(k)          otherwise
-    P(k)     = (C(k) + 0.1) / (N + 0.1 K)
-d is Katz's discount with Good-Turing counts for c up to 5 and 1 above; alpha(g) makes the sum over
-all K classes 1. A context whose pairs leave nothing (all above 5) counts one token more. Inside the
-class of other words a word has (c + 0.1) / (C + 0.1 (V' + 1)), V' its different training words, so
-that all unknown words together share 0.1.
-
-Work. Documents are packed into blocks (some thousand tokens' ids by a list of the block's words),
-written once. Each block sends its distinct words, then its distinct pairs, with training counts to
-hash partitions; a partition adds up all blocks' counts of its part of the table and sends every block the totals of what it asked for, in the order of the question. A pair's partition is
-that of both its words, and names one of the asking blocks as the pair's owner. A block adds up its
-own pairs by context, and the contexts' sums are exchanged in the same way, for C(g) and alpha(g).
-So all tables grow with the corpus and stay partitioned; only some numbers (tokens, words, counts of
-counts) are sent to all tasks. A very common word or context is one entry of each block's list, so
-that no partition gets more than its share.
+with an end token, which also stands for the two tokens before its first word.
+
+Probability of a token w after u, v, recursively (P2 after v, P1 without a context):
+    P3(w | u, v) = d3(c) c / T(u, v)            for c = c(u, v, w) > 0 in training
+                 = alpha(u, v) P2(w | v)         otherwise; P2(w | v) itself where u, v was no context
+    P2 likewise from the counts of pairs, with P1 below it
+    P1(w) = d1(c) c / T for words of training and the end; what that leaves is one class of all other words
+d are Katz's discounts with Good-Turing counts of counts for c up to 5, of each order, and 1 above;
+T is the context's count (one token more if no count of it is discounted), alpha makes the sum over all
+words and the unknown class 1.
+
+Tables. Documents are packed into blocks (some hundred thousand tokens), written once, bucketed by block, so
+that joins move the answers only. Each block sends its distinct words, then pairs, then trigrams with training
+counts to hash partitions, which add them up and answer (see exchange). An answer tells the total, whether
+several blocks have the n-gram, and names one block as its owner. If a context was seen once and only one
+block has it, its single continuation is known there, and nothing is sent for it. The sums over a context's
+continuations, by which a partition computes the stored weights T and alpha of its contexts, are sent by the
+owners of the continuations and exchanged in the same way. So all tables grow with the corpus and stay
+partitioned; only some numbers for each order (counts of counts) are sent to all tasks.
 
 Defined cases: a null or empty text is its end token alone; ids may be null or repeated, a null id is
 in training; without training documents all words are unknown; an empty table gives no rows.
@@ -30,392 +27,375 @@ in training; without training documents all words are unknown; an empty table gi
 
 from __future__ import annotations
 
-import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.storage import bounded_batches, small_batches, written
-from tessella.llm.wordhash import U, mix, text_words
+from tessella.llm.exchange import BLOCK_ROWS, Question, Totals, answered, ask, from_gaps, from_small, gaps, gathered, in_order, packed, packed_ids, parts_of, small, summed, token_blocks, unpacked, unpacked_ids
+from tessella.llm.storage import bounded_batches, bucketed, discard, small_batches, written
+from tessella.llm.wordhash import U, mix
 
-END, OTHER = 0, 1  # classes, and their hashes
+END = 0  # its place among a block's words, and its hash
 KATZ = 5
 BASE_PRIOR = 0.1
-BLOCK_TOKENS = 1 << 18
-#: Rows of a batch that holds blocks, of about a MB each.
-BLOCK_ROWS = 4
 
 
 @dataclass(frozen=True)
 class Settings:
-    rare: float = 0.0
     held_out_of: int = 10
 
 
-def packed(values: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
-
-
-def unpacked(data: bytes, dtype: type) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), dtype)
-
-
-def planes(values: np.ndarray) -> bytes:
-    """64-bit numbers as all their first bytes, all second ones and so on: the high ones, mostly 0, pack to little."""
-    return packed(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
-
-
-def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(unpacked(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-
-
-def gaps(values: np.ndarray) -> bytes:
-    """Ascending unsigned numbers, by their differences."""
-    return planes(np.diff(values, prepend=U(0)))
-
-
-def from_gaps(data: bytes) -> np.ndarray:
-    return np.cumsum(from_planes(data), dtype=np.uint64)
-
-
-def small(values: np.ndarray) -> bytes:
-    """Numbers from 0 (of several rows, one after the other)."""
-    return planes(np.ascontiguousarray(values))
-
-
-def from_small(data: bytes) -> np.ndarray:
-    return from_planes(data).astype(np.int64)
-
-
-BLOCK = "block string, ids binary, training binary, ends binary, tokens binary, words binary, counts binary"
+BLOCK = "block long, ids binary, training binary, ends binary, tokens binary, words binary, counts binary"
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
     """A row per block: ids and lengths of its documents, tokens (places in words) and the words' hashes and training counts."""
-    held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % settings.held_out_of == 0, F.lit(False))
+    held = _held_out(id_col, settings)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (~held).alias("training"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            words = np.concatenate([h[2] for h in held])
-            ends = np.concatenate([h[3] for h in held])
-            training = np.concatenate([h[1] for h in held])
+        for number, parts, words, ends in token_blocks(batches, "nonspace", lambda b: [(t or b"").lower() for t in b.column(1).cast(pa.binary()).to_pylist()]):
+            training = np.concatenate([p.column(2).to_numpy(zero_copy_only=False) for p in parts])
             different, tokens = np.unique(words, return_inverse=True)
             learned = np.bincount(tokens[np.repeat(training, ends)], minlength=len(different))
-            ids = pa.concat_arrays([h[0] for h in held])
-            data = {"block": uuid.uuid4().hex, "ids": _ids(ids), "training": packed(training), "ends": small(ends), "tokens": small(tokens), "words": gaps(different), "counts": small(learned)}
-            return pa.record_batch([pa.array([v]) for v in data.values()], list(data))
-
-        for batch in batches:
-            texts = [(t or b"").lower() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            train = batch.column(2).to_numpy(zero_copy_only=False)
-            at = 0
-            while at < len(texts):
-                to, n = at, 0
-                while to < len(texts) and (to == at or n + len(texts[to]) <= BLOCK_TOKENS):
-                    n += len(texts[to])
-                    to += 1
-                words, offsets = text_words(texts[at:to], "nonspace")
-                held.append((batch.column(0).slice(at, to - at), train[at:to], words, np.diff(offsets)))
-                size += len(words)
-                at = to
-                if size >= BLOCK_TOKENS:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+            ids = packed_ids(pa.concat_arrays([p.column(0) for p in parts]))
+            data = {"block": number, "ids": ids, "training": packed(training), "ends": small(ends), "tokens": small(tokens), "words": gaps(different), "counts": small(learned)}
+            yield pa.record_batch([pa.array([v]) for v in data.values()], list(data))
 
     return rows.mapInArrow(pack, BLOCK)
 
 
-def _ids(ids: pa.Array) -> bytes:
-    known = ids.is_valid().to_numpy(zero_copy_only=False)
-    return packed(np.stack([ids.fill_null(0).to_numpy(), known.astype(np.int64)]))
+def _held_out(id_col: str, settings: Settings) -> Column:
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % settings.held_out_of == 0, F.lit(False))
 
 
-def ask(found: DataFrame, questions, n: int) -> DataFrame:
-    """Rows (part, block, keys, counts): each block's ascending keys with counts, by hash part.
+def discounts(n: np.ndarray) -> np.ndarray:
+    """d(0..KATZ) from n[r], the number of n-grams seen r times (r up to KATZ + 1).
 
-    questions(block row) gives (ascending keys, counts); counts may have several rows.
+    Where Good-Turing gives no ratio in (0, 1), absolute discounting by a half is used.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, counts = questions(row)
-                part = part_of(keys, n)
-                for p in np.unique(part).tolist():
-                    mine = part == p
-                    yield pa.record_batch([pa.array([p], pa.int32()), pa.array([row["block"]]), pa.array([gaps(keys[mine])]), pa.array([small(counts[..., mine])])], ["part", "block", "keys", "counts"])
-
-    return found.mapInArrow(run, "part int, block string, keys binary, counts binary")
-
-
-def part_of(keys: np.ndarray, n: int) -> np.ndarray:
-    return (mix(keys) % U(n)).astype(np.int32)
-
-
-def totals(group: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(rows of the distinct keys' counts over all blocks, each block's places among the keys)."""
-    keys = [from_gaps(k) for k in group["keys"]]
-    every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.concatenate([from_small(c).reshape(-1, len(k)) for k, c in zip(keys, group["counts"])], axis=1)
-    counts = np.stack([np.bincount(place, c, len(every)) for c in counts]).astype(np.int64)
-    return counts, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+    d = np.ones(KATZ + 1)
+    n = n.astype(float)
+    tail = (KATZ + 1) * n[KATZ + 1] / n[1] if n[1] else 1.0
+    for r in range(1, KATZ + 1):
+        ratio = (r + 1) * n[r + 1] / (r * n[r]) if n[r] else 0.0
+        value = (ratio - tail) / (1 - tail) if tail < 1 else 0.0
+        d[r] = value if 0 < value < 1 else (r - 0.5) / r
+    return d
 
 
-ANSWER = "kind string, part int, block string, counts binary"
+def kept(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Discounted counts."""
+    return counts * d[np.where(counts > KATZ, 0, counts)]
 
 
-def answered(asked: DataFrame, summary, n: int, reply=lambda group, counts, places: [small(counts[0][p]) for p in places], table: bool = False) -> DataFrame:
-    """Kind answer: a block's totals in the order it asked. Kind summary: summary(totals). Kind table, if asked for: a part's totals.
+@dataclass(frozen=True)
+class Unigrams:
+    """What is known of all words together."""
 
-    reply(the blocks' questions, rows of totals, each block's places) gives the answers.
+    tokens: int
+    ends: int
+    different: int  # with the end
+    d: np.ndarray
+    total: int
+    unknown: float  # the probability of all words that aren't in training
+
+    @classmethod
+    def of(cls, sums: np.ndarray, ends: int) -> Unigrams:
+        """sums: words by count (0 to KATZ + 1), different words, tokens."""
+        n, (different, tokens) = sums[: KATZ + 2].copy(), sums[KATZ + 2 : KATZ + 4]
+        if 0 < ends <= KATZ + 1:
+            n[ends] += 1
+        d = discounts(n)
+        r = np.arange(KATZ + 1)
+        left = (n[: KATZ + 1] * r * (1 - d)).sum()
+        every = int(tokens) + ends
+        total = every + (left <= 0)
+        return cls(every, ends, int(different) + (ends > 0), d, int(total), float((total - every + left) / total))  # without training 1
+
+    def p(self, counts: np.ndarray) -> np.ndarray:
+        return np.where(counts > 0, kept(counts, self.d) / self.total, self.unknown)
+
+
+@dataclass
+class Grams:
+    """A block's n-grams of one order.
+
+    keys: hashes. context, low: places of an n-gram's context and of the n-gram without its first word among
+    the order below (for contexts that stand at a document's begin: the last place). local: training counts.
+    Then, as they become known, counts (totals), own (this block is the owner) and shared (other blocks may have it).
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        counts, places = totals(group)
-        part = int(group["part"].iloc[0])
-        rows = [("answer", part, b, a) for b, a in zip(group["block"], reply(group, counts, places))]
-        rows += [("table", part, None, small(counts[0][counts[0] > 0]))] if table else []
-        return pd.DataFrame([*rows, ("summary", part, None, summary(counts[0]))], columns=["kind", "part", "block", "counts"])
+    keys: np.ndarray
+    context: np.ndarray
+    low: np.ndarray
+    local: np.ndarray
+    counts: np.ndarray | None = None
+    own: np.ndarray | None = None
+    shared: np.ndarray | None = None
 
-    return asked.repartition(n, "part").groupBy("part").applyInPandas(run, ANSWER)
 
+@dataclass
+class Contexts:
+    """What may be a context of an order: keys, counts C, and whether other blocks may have it."""
 
-def with_owner(group: pd.DataFrame, counts: np.ndarray, places: list[np.ndarray]) -> list[bytes]:
-    """The totals, times 2, and 1 more in the answer to one of the blocks that asked."""
-    first, place = np.empty(counts.shape[1], np.int64), np.concatenate(places)
-    first[place[::-1]] = np.arange(len(place))[::-1]
-    own = 2 * counts[0][place] + (first[place] == np.arange(len(place)))
-    return [small(a) for a in np.split(own, np.cumsum([len(p) for p in places])[:-1])]
+    keys: np.ndarray
+    counts: np.ndarray
+    shared: np.ndarray
+    total: np.ndarray | None = None  # T
+    alpha: np.ndarray | None = None
 
 
-def gathered(answers: DataFrame) -> DataFrame:
-    """Per block its answers by part."""
-    return answers.where("kind = 'answer'").groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("answers"))
+def ascending(keys: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The places of which (a mask), by their keys."""
+    at = np.flatnonzero(which)
+    return at[np.argsort(keys[at])]
 
 
-def in_order(answers: list[dict], keys: np.ndarray, n: int, decoded=from_small) -> np.ndarray:
-    """The answers of all parts to the ascending keys (or rows of answers)."""
-    part, found = part_of(keys, n), [(a["part"], decoded(a["counts"])) for a in answers or []]
-    out = np.zeros((*(found[0][1].shape[:-1] if found else ()), len(keys)), found[0][1].dtype if found else np.int64)
-    for p, values in found:
-        out[..., part == p] = values
-    return out
+def hashed(context: np.ndarray, word: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The key of an n-gram; its last bit tells whether it ends with the end token, so that it is no context."""
+    with np.errstate(over="ignore"):
+        h = mix(mix(context + U(0x9E3779B97F4A7C15)) + word * U(0xD6E8FEB86659FD93))
+    return h & ~U(1) | end.astype(U)
 
 
-@dataclass(frozen=True)
-class Model:
-    """What is known of all words together."""
+class Block:
+    """A block's tokens, pairs and trigrams, with what the answers so far tell of them."""
+
+    def __init__(self, row: dict, unigrams: Unigrams, n: int):
+        hashes, self.ends, self.training = from_gaps(row["words"]), from_small(row["ends"]), unpacked(row["training"], bool)
+        self.number, self.ids, self.parts = row["block"], row.get("ids"), n
+        answer = in_order(row["words_known"], hashes, n)
+        words = np.concatenate([[U(END)], hashes])
+        self.words = Contexts(words, np.concatenate([[unigrams.ends], answer >> 2]), np.concatenate([[True], answer & 1 > 0]))
+        tokens = np.insert(from_small(row["tokens"]) + 1, np.cumsum(self.ends), END)
+        learned = np.repeat(self.training, self.ends + 1)
+        self.first = np.concatenate([[0], np.cumsum(self.ends + 1)[:-1]]) if len(self.ends) else np.zeros(0, np.int64)
+        before = np.concatenate([[END], tokens[:-1]]) if len(tokens) else tokens
+        self.tokens = tokens
+        pair, self.pair_of, self.pairs = self._distinct(before, tokens, learned, words, words, tokens)
+        # A trigram's context is the pair before; at a document's begin the place after all pairs.
+        context = np.concatenate([[len(pair)], self.pair_of[:-1]]) if len(tokens) else tokens
+        context[self.first] = len(pair)
+        _, self.trigram_of, self.trigrams = self._distinct(context, tokens, learned, words, np.append(self.pairs.keys, U(END)), self.pair_of)
+
+        if "pairs_known" in row:
+            self._learn(self.pairs, self.words, in_order(row["pairs_known"], self._asked_keys(self.pairs, self.words), n))
+            self.before = Contexts(np.append(self.pairs.keys, U(END)), np.append(self.pairs.counts, unigrams.ends), np.append(self.pairs.shared, True))
+
+    @staticmethod
+    def _distinct(context: np.ndarray, word: np.ndarray, learned: np.ndarray, words: np.ndarray, context_keys: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, Grams]:
+        """(the distinct n-grams' numbers, each token's n-gram, the n-grams); word: places among words."""
+        gram, first, place = np.unique(context * len(words) + word, return_index=True, return_inverse=True)
+        return gram, place, Grams(hashed(context_keys[context[first]], words[word[first]], word[first] == END), context[first], low[first], np.bincount(place[learned], minlength=len(gram)))
+
+    @staticmethod
+    def _asked(grams: Grams, contexts: Contexts) -> np.ndarray:
+        """The places of the n-grams that are asked for, by their keys: those whose context others may have, too."""
+        return ascending(grams.keys, contexts.shared[grams.context] & (contexts.counts[grams.context] > 0))
+
+    def _asked_keys(self, grams: Grams, contexts: Contexts) -> np.ndarray:
+        return grams.keys[self._asked(grams, contexts)]
+
+    def question(self, grams: Grams, contexts: Contexts) -> Question:
+        at = self._asked(grams, contexts)
+        return grams.keys[at], grams.local[at]
+
+    def singles(self, grams: Grams, contexts: Contexts) -> Question:
+        """Under the block's number: how many n-grams were seen that aren't asked for."""
+        asked = contexts.shared[grams.context] & (contexts.counts[grams.context] > 0)
+        return np.array([self.number], U), np.array([(grams.local[~asked] > 0).sum()])
+
+    def _learn(self, grams: Grams, contexts: Contexts, answer: np.ndarray) -> None:
+        """Takes in the answers to question(); all that wasn't asked for is in this block alone."""
+        at = self._asked(grams, contexts)
+        grams.counts, grams.own, grams.shared = grams.local.copy(), np.ones(len(grams.keys), bool), np.zeros(len(grams.keys), bool)
+        grams.counts[at], grams.own[at], grams.shared[at] = answer >> 2, answer & 2 > 0, answer & 1 > 0
+
+    def learn_trigrams(self, answers: list[dict]) -> None:
+        self._learn(self.trigrams, self.before, in_order(answers, self._asked_keys(self.trigrams, self.before), self.parts))
+
+    def sums(self, grams: Grams, contexts: Contexts, low: np.ndarray) -> np.ndarray:
+        """Rows of sums by context over the block's own n-grams, low being the counts of the order below.
+
+        Rows: seen ones by count (1 to KATZ), tokens of larger counts, the same of their low counts; last the
+        number of n-grams that aren't seen in training, for which the block needs alpha.
+        """
+        seen = grams.own & (grams.counts > 0)
+        place, n = grams.context[seen], len(contexts.keys)
+        add = lambda x: np.bincount(place, x, n).astype(np.int64)
+        rows = []
+        for counts in (grams.counts[seen], low[grams.low[seen]]):
+            rows += [*(add(counts == r) for r in range(1, KATZ + 1)), add(np.where(counts > KATZ, counts, 0))]
+        return np.stack([*rows, np.bincount(grams.context[grams.counts == 0], minlength=n)])
+
+    def context_question(self, grams: Grams, contexts: Contexts, low: np.ndarray) -> Question:
+        at = self._asked_contexts(grams, contexts)
+        return contexts.keys[at], self.sums(grams, contexts, low)[:, at]
+
+    @staticmethod
+    def _asked_contexts(grams: Grams, contexts: Contexts) -> np.ndarray:
+        used = np.zeros(len(contexts.keys), bool)
+        used[grams.context] = True
+        return ascending(contexts.keys, used & contexts.shared & (contexts.counts > 0))
+
+    def weigh(self, grams: Grams, contexts: Contexts, low: np.ndarray, low_total: np.ndarray | int, d: np.ndarray, low_d: np.ndarray, answers: list[dict], question: int) -> None:
+        """Sets T and alpha of the contexts, from the answers to context_question() and from the block's own n-grams."""
+        more, kept_, below = masses(self.sums(grams, contexts, low), d, low_d)
+        at = self._asked_contexts(grams, contexts)
+        known = in_order(answers, contexts.keys[at], self.parts, question, lambda b: unpacked(b, np.float64).reshape(3, -1))
+        if len(at):
+            more[at], kept_[at], below[at] = known
+        contexts.total = contexts.counts + more
+        with np.errstate(divide="ignore", invalid="ignore"):  # of what was never a context
+            alpha = (1 - kept_ / contexts.total) / (1 - below / low_total)
+        contexts.alpha = np.where(contexts.counts > 0, alpha, 1.0)
+
+
+def masses(sums: np.ndarray, d: np.ndarray, low_d: np.ndarray) -> np.ndarray:
+    """From rows of contexts' sums: whether T is one token more, the discounted counts, those of the order below."""
+    r = np.arange(1, KATZ + 1)
+    of = lambda rows, d: (d[1:] * r) @ rows[:KATZ] + rows[KATZ]
+    tokens, kept_ = of(sums, np.ones(KATZ + 1)), of(sums, d)
+    return np.stack([((kept_ >= tokens) & (tokens > 0)).astype(float), kept_, of(sums[KATZ + 1 :], low_d)])
+
+
+def probability(grams: Grams, contexts: Contexts, d: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Of each n-gram's last word after its context; below: of the order below."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        seen = kept(grams.counts, d) / contexts.total[grams.context]
+    return np.where(grams.counts > 0, seen, contexts.alpha[grams.context] * below[grams.low])
 
-    least: float  # the training count of a word with a class of its own
-    tokens: int
-    ends: int
-    different: int  # V, with the end
-    classes: int  # K
-    rare_tokens: int
-    rare_words: int
 
-    def p(self, counts: np.ndarray, n: np.ndarray | int = 1) -> np.ndarray:
-        """P(k) of a class by its count; of n classes together by the sum of theirs."""
-        return (counts + BASE_PRIOR * n) / (self.tokens + BASE_PRIOR * self.classes)
+def told(found: Totals) -> list[bytes]:
+    """Answers: the total times 4, and 2 for the owner, and 1 where it was seen twice or several blocks asked."""
+    every = found.counts[0] * 4 + ((found.askers() > 1) | (found.counts[0] > 1))
+    return [small(every[p] + 2 * own) for p, own in zip(found.places, found.first_asks())]
 
 
-class Block:
-    """A block's words, classes and pairs, with the totals of its words."""
-
-    def __init__(self, row: dict, model: Model, n: int):
-        words, self.ends, self.training = from_gaps(row["words"]), from_small(row["ends"]), unpacked(row["training"], bool)
-        self.counts = in_order(row["word_totals"], words, n)
-        common = self.counts >= model.least
-        # Classes by number: the end, all other words, the block's words.
-        self.own = np.where(common, np.arange(2, 2 + len(words)), OTHER)
-        self.hashes = np.concatenate([np.array([END, OTHER], U), words])
-        self.totals = np.concatenate([[model.ends, model.rare_tokens], self.counts])
-        self.tokens = from_small(row["tokens"])
-        tokens = np.insert(self.own[self.tokens], np.cumsum(self.ends), END)
-        before = np.concatenate([[END], tokens[:-1]]) if len(tokens) else tokens
-        self.learned = np.repeat(self.training, self.ends + 1)
-        pair, place = np.unique(before * len(self.hashes) + tokens, return_inverse=True)
-        g, k = np.divmod(pair, len(self.hashes))
-        with np.errstate(over="ignore"):
-            keys = mix(mix(self.hashes[g] + U(0x9E3779B97F4A7C15)) + self.hashes[k] * U(0xD6E8FEB86659FD93))
-        order = np.argsort(keys)
-        #: Distinct pairs in the order of their keys: contexts, words; each token's pair.
-        self.keys, self.g, self.k = keys[order], g[order], k[order]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.place = rank[place]
-
-    def learned_pairs(self) -> np.ndarray:
-        return np.bincount(self.place[self.learned], minlength=len(self.keys))
-
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """(contexts in the order of their hashes, each pair's place among them)."""
-        g = np.unique(self.g)
-        g = g[np.argsort(self.hashes[g])]
-        rank = np.zeros(len(self.hashes), np.int64)
-        rank[g] = np.arange(len(g))
-        return g, rank[self.g]
+def nothing(found: Totals) -> list[bytes]:
+    return [b""] * len(found.blocks)
 
 
-def discounts(n: np.ndarray) -> np.ndarray:
-    """d(0..KATZ) from n[r], the number of pairs seen r times (r up to KATZ + 1).
+SUMS = KATZ + 4
 
-    Where Good-Turing gives no ratio in (0, 1), absolute discounting by a half is used.
-    """
-    d = np.ones(KATZ + 1)
-    n = n.astype(float)
-    tail = (KATZ + 1) * n[KATZ + 1] / n[1] if n[1] else 1.0
-    for r in range(1, KATZ + 1):
-        ratio = (r + 1) * n[r + 1] / (r * n[r]) if n[r] else 0.0
-        value = (ratio - tail) / (1 - tail) if tail < 1 else 0.0
-        d[r] = value if 0 < value < 1 else (r - 0.5) / r
-    return d
 
+def sums_of(found: Totals) -> bytes:
+    """Keys by count (0 to KATZ + 1), different ones, tokens."""
+    n = found.counts[0]
+    return packed(np.array([0, *((n == r).sum() for r in range(1, KATZ + 2)), (n > 0).sum(), n.sum()], np.int64))
 
-def context_sums(block: Block, owned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the block's contexts, rows of sums over its own pairs), from the answers to its pairs.
 
-    Rows: pairs by count (1 to KATZ), pairs and tokens of larger counts, tokens of the second words; last
-    the number of pairs that aren't seen in training, for which the block needs alpha.
-    """
-    g, place = block.contexts()
-    seen = np.where(owned & 1, owned >> 1, 0)
-    yes, unseen = seen > 0, np.bincount(place[owned < 2], minlength=len(g))
-    place, seen, second = place[yes], seen[yes], block.totals[block.k[yes]]
-    add = lambda x: np.bincount(place, x, len(g)).astype(np.int64)
-    return block.hashes[g], np.stack([*(add(seen == r) for r in range(1, KATZ + 1)), add(seen > KATZ), add(np.where(seen > KATZ, seen, 0)), add(second), unseen])
-
-
-def backoff(sums: np.ndarray, model: Model, d: np.ndarray) -> np.ndarray:
-    """Rows C(g) less the context's tokens, alpha(g) from rows of contexts' sums."""
-    few, (many, big, second) = sums[:KATZ], sums[KATZ : KATZ + 3]
-    tokens = (np.arange(1, KATZ + 1) @ few + big).astype(float)
-    kept = (d[1:] * np.arange(1, KATZ + 1)) @ few + big
-    different = few.sum(axis=0) + many
-    seen = model.p(second, different)
-    full = different >= model.classes  # nothing is left to back off to
-    total = np.where(full, kept, np.where(kept >= tokens, tokens + 1, tokens))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        alpha = np.where(different == 0, 1.0, np.where(full, 0.0, (1 - kept / total) / (1 - seen)))
-    return np.stack([total - tokens, alpha])
+def singles(found: Totals) -> bytes:
+    """The same of n-grams that blocks haven't asked for, of which they tell the number that was seen: once each."""
+    n = found.counts[0].sum()
+    return packed(np.array([0, n, *[0] * KATZ, n, n], np.int64))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """Per row: id_col, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = written(blocks(docs, id_col, text_col, settings), "lm-blocks")
+    buckets = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = bucketed(blocks(docs, id_col, text_col, settings), "lm-blocks", "block", buckets)
+    ends = docs.where(~_held_out(id_col, settings)).count()
     with small_batches(spark, BLOCK_ROWS):
-        return _scored(docs, found, n, id_col, settings)
-
-
-def _scored(docs: DataFrame, found: DataFrame, n: int, id_col: str, settings: Settings) -> DataFrame:
-    spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
-    word_answers = written(answered(ask(found, lambda row: (from_gaps(row["words"]), from_small(row["counts"])), n), _word_summary, n, table=True), "lm-words")
-    model = share(_model(word_answers, _end_count(docs, id_col, settings), settings))
-    known = found.drop("counts").join(gathered(word_answers).withColumnRenamed("answers", "word_totals"), "block", "left")
-
-    def pair_question(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        block = Block(row, model.value, n)
-        return block.keys, block.learned_pairs()
-
-    def pair_summary(counts: np.ndarray) -> bytes:
-        return packed(np.array([0, *((counts == r).sum() for r in range(1, KATZ + 2))], np.int64))
-
-    pair_answers = written(answered(ask(known.drop("ids"), pair_question, n), pair_summary, n, with_owner), "lm-pairs")
-    d = share(discounts(_summed(pair_answers, KATZ + 2)))
-    known = known.join(gathered(pair_answers).withColumnRenamed("answers", "pair_totals"), "block", "left")
-
-    def context_question(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        block = Block(row, model.value, n)
-        return context_sums(block, in_order(row["pair_totals"], block.keys, n))
+        out = _scored(found, buckets, ends)
+    return out.withColumnRenamed("id", id_col)
+
+
+def _scored(found: DataFrame, buckets: int, ends: int) -> DataFrame:
+    n, share = parts_of(found), found.sparkSession.sparkContext.broadcast
+
+    def exchanged(rows: DataFrame, question, label: str, **how) -> tuple[DataFrame, np.ndarray]:
+        """(the answers by block, the sums of the parts' summaries)."""
+        answers = written(answered(ask(rows, question, n), n, **how), f"lm-{label}")
+        sums = summed(answers, SUMS)  # none without a summary
+        by_block = bucketed(gathered(answers, buckets).withColumnRenamed("answers", label), f"lm-{label}", "block", buckets)
+        discard(answers)
+        return by_block, sums
+
+    def joined(*tables: DataFrame) -> DataFrame:
+        rows = found.drop("counts")
+        for t in tables:
+            rows = rows.join(t.hint("merge"), "block", "left")
+        return rows
+
+    words, sums = exchanged(found.select("block", "words", "counts"), lambda row: [(from_gaps(row["words"]), from_small(row["counts"]))], "words_known", summary=sums_of, reply=told)
+    unigrams = share(Unigrams.of(sums, ends))
+
+    def ask_pairs(row: dict) -> list[Question]:
+        block = Block(row, unigrams.value, n)
+        return [block.question(block.pairs, block.words), block.singles(block.pairs, block.words)]
+
+    pairs, sums = exchanged(joined(words).drop("ids"), ask_pairs, "pairs_known", summary=lambda t: sums_of(t) if t.part < n else singles(t), reply=lambda t: told(t) if t.part < n else nothing(t))
+    d2 = share(discounts(sums[: KATZ + 2]))
+
+    def ask_trigrams(row: dict) -> list[Question]:
+        block = Block(row, unigrams.value, n)
+        return [block.question(block.trigrams, block.before), block.context_question(block.pairs, block.words, block.words.counts), block.singles(block.trigrams, block.before)]
+
+    def weights(d, low_d):
+        def reply(totals: Totals) -> list[bytes]:
+            more, kept_, below = masses(totals.counts, d.value, low_d())
+            need = [own[-1] > 0 for own in totals.own]
+            return [packed(np.stack([more[p], np.where(yes, kept_[p], 0.0), np.where(yes, below[p], 0.0)])) for p, yes in zip(totals.places, need)]
+
+        return reply
+
+    after_word = weights(d2, lambda: unigrams.value.d)
+    trigrams, sums = exchanged(
+        joined(words, pairs).drop("ids"),
+        ask_trigrams,
+        "trigrams_known",
+        summary=lambda t: (sums_of, lambda t: packed(np.zeros(SUMS, np.int64)), singles)[t.part // n](t),
+        reply=lambda t: (told, after_word, nothing)[t.part // n](t),
+    )
+    d3 = share(discounts(sums[: KATZ + 2]))
 
-    def weights(group: pd.DataFrame, counts: np.ndarray, places: list[np.ndarray]) -> list[bytes]:
-        more, alpha = backoff(counts, model.value, d.value)
-        needed = [from_small(c).reshape(-1, len(p))[-1] > 0 for c, p in zip(group["counts"], places)]
-        return [packed(np.stack([more[p], np.where(yes, alpha[p], 0.0)])) for p, yes in zip(places, needed)]
+    def ask_contexts(row: dict) -> list[Question]:
+        block = Block(row, unigrams.value, n)
+        block.learn_trigrams(row["trigrams_known"])
+        return [block.context_question(block.trigrams, block.before, block.pairs.counts)]
 
-    context_answers = written(answered(ask(known.drop("ids"), context_question, n), lambda counts: b"", n, weights), "lm-contexts")
-    ready = known.join(gathered(context_answers).withColumnRenamed("answers", "weights"), "block", "left").drop("block")
+    contexts, _ = exchanged(joined(words, pairs, trigrams).drop("ids"), ask_contexts, "contexts_known", reply=weights(d3, lambda: d2.value))
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                yield _scores(batch.slice(i, 1).to_pylist()[0], model.value, d.value, n)
-
-    out = ready.mapInArrow(evaluate, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return written(out, "lm-scores").withColumnRenamed("id", id_col)
-
-
-def _end_count(docs: DataFrame, id_col: str, settings: Settings) -> int:
-    held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % settings.held_out_of == 0, F.lit(False))
-    return docs.where(~held).count()
-
-
-def _word_summary(counts: np.ndarray) -> bytes:
-    return packed(np.array([(counts > 0).sum(), counts.sum()], np.int64))
-
-
-def _summed(answers: DataFrame, n: int) -> np.ndarray:
-    """The sum of all parts' summaries, of n numbers each."""
-    rows = answers.where("kind = 'summary'").select("counts").collect()
-    return np.array([unpacked(r.counts, np.int64) for r in rows], np.int64).reshape(-1, n).sum(axis=0)
+            for row in batch.to_pylist():
+                yield _scores(row, unigrams.value, d2.value, d3.value, n)
 
+    rows = joined(words, pairs, trigrams, contexts)
+    out = written(rows.mapInArrow(evaluate, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
+    discard(found, words, pairs, trigrams, contexts)
+    return out
 
-def _model(answers: DataFrame, ends: int, settings: Settings) -> Model:
-    """Sums over the partitioned counts of words."""
-    different, tokens = _summed(answers, 2).tolist()
-    least = max(1, settings.rare * (tokens + ends))
 
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [from_small(c) for c in batch.column(0).to_pylist()]
-            counts = [c[c >= least] for c in counts]
-            yield pa.record_batch([pa.array([len(c) for c in counts], pa.int64()), pa.array([c.sum() for c in counts], pa.int64())], ["words", "tokens"])
-
-    own = answers.where("kind = 'table'").select("counts").mapInArrow(common, "words long, tokens long").agg(F.sum("words"), F.sum("tokens")).first()
-    words, own_tokens = own[0] or 0, own[1] or 0
-    return Model(least, tokens + ends, ends, different + (ends > 0), words + 2, tokens - own_tokens, different - words)
-
-
-def _scores(row: dict, model: Model, d: np.ndarray, n: int) -> pa.RecordBatch:
-    block = Block(row, model, n)
-    # By word, and last the end.
-    counts = np.append(block.counts, model.ends)
-    base = np.log10((counts + BASE_PRIOR) / (model.tokens + BASE_PRIOR * (model.different + 1)))
-    other = np.append(block.own, END) == OTHER
-    inside = np.where(other, np.log10((counts + BASE_PRIOR) / (model.rare_tokens + BASE_PRIOR * (model.rare_words + 1))), 0.0)
-
-    seen = in_order(row["pair_totals"], block.keys, n) >> 1
-    g, place = block.contexts()
-    more, alpha = in_order(row["weights"], block.hashes[g], n, lambda b: unpacked(b, np.float64).reshape(2, -1))[:, place]
-    # Each training token is the context of one more, so that a context's tokens are its own count.
-    total = block.totals[block.g] + more
-    with np.errstate(divide="ignore", invalid="ignore"):  # of pairs that are of the other kind
-        direct = d[np.where(seen > KATZ, 0, seen)] * seen / total
-        p = np.log10(np.where(seen > 0, direct, alpha * model.p(block.totals[block.k])))
-
-    ends = block.ends
-    stops = np.cumsum(ends)  # the end tokens' places
-    at = np.insert(block.tokens, stops, -1)
-    begins = np.concatenate([[0], np.cumsum(ends + 1)[:-1]])
-    ids, valid = unpacked(row["ids"], np.int64).reshape(2, -1)
-    add = lambda x, t: np.add.reduceat(x.astype(t), begins)
+def weighed(row: dict, unigrams: Unigrams, d2: np.ndarray, d3: np.ndarray, n: int) -> Block:
+    """A block with all it needs to know."""
+    block = Block(row, unigrams, n)
+    block.learn_trigrams(row["trigrams_known"])
+    words, before = block.words, block.before
+    block.weigh(block.pairs, words, words.counts, unigrams.total, d2, unigrams.d, row["trigrams_known"], 1)
+    last = np.append(block.pairs.low, END)  # the last word of a pair that is a context
+    with np.errstate(invalid="ignore"):
+        block.weigh(block.trigrams, before, block.pairs.counts, words.total[last], d3, d2, row["contexts_known"], 0)
+    return block
+
+
+def _scores(row: dict, unigrams: Unigrams, d2: np.ndarray, d3: np.ndarray, n: int) -> pa.RecordBatch:
+    block = weighed(row, unigrams, d2, d3, n)
+    counts = block.words.counts
+    base = np.log10((counts + BASE_PRIOR) / (unigrams.tokens + BASE_PRIOR * (unigrams.different + 1)))
+    p = probability(block.pairs, block.words, d2, unigrams.p(counts))
+    p = np.log10(probability(block.trigrams, block.before, d3, p))
+    add = lambda x, t: np.add.reduceat(x.astype(t), block.first)
+    size = len(block.ends)
     return pa.record_batch(
-        [pa.array(ids, mask=valid == 0), pa.array(~block.training), pa.array(ends + 1), pa.array(add(counts[at] > 0, np.int64)), pa.array(np.full(len(ids), model.tokens)), pa.array(add(base[at], float)), pa.array(add(p[block.place] + inside[at], float))],
+        [unpacked_ids(block.ids), pa.array(~block.training), pa.array(block.ends + 1), pa.array(add(counts[block.tokens] > 0, np.int64)), pa.array(np.full(size, unigrams.tokens)), pa.array(add(base[block.tokens], float)), pa.array(add(p[block.trigram_of], float))],
         ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     )

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.exchange import BLOCK_ROWS, answered, ask, from_gaps, from_small, gaps, gathered, in_order, packed_ids, parts_of, small, token_blocks, unpacked_ids
+from tessella.llm.exchange import BLOCK_ROWS, Question, answered, ask, from_gaps, from_small, gaps, gathered, in_order, packed_ids, parts_of, small, token_blocks, unpacked_ids
 from tessella.llm.graph import components
 from tessella.llm.skew import split_join
 from tessella.llm.storage import bounded_batches, discard, small_batches, written
@@ -215,9 +215,9 @@ class Corpus:
         found = written(blocks(docs), "shingle-blocks")
         n, total = parts_of(found), found.agg({"rows": "sum"}).first()[0] or 0
 
-        def question(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        def question(row: dict) -> list[Question]:
             block = Block(row, settings.words)
-            return block.keys, np.bincount(block.place, minlength=len(block.keys))
+            return [(block.keys, np.bincount(block.place, minlength=len(block.keys)))]
 
         with small_batches(docs.sparkSession, BLOCK_ROWS):
             answers = written(answered(ask(found, question, n), n), "shingle-counts")

@@ -43,6 +43,16 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return found
 
 
+def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
+    """df, written once in the shared folder in buckets of a column, so that joins on it don't shuffle it."""
+    spark = df.sparkSession
+    path, name = new_path(spark, label), f"tessella_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    found = spark.table(name)
+    _paths[found] = path
+    return found
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of written() that no result still to be computed reads."""
     for df in tables:
