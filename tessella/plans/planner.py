@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.tiles import archive_time, done_fields, output_name, version_of
-from tessella.llm.storage import written
+from tessella.sources.scratch import written
+
+
+def read_listing(spark: SparkSession, path: str) -> DataFrame:
+    """Entries (path, size, type) of remote listings stored as JSON: an array of objects for each file."""
+    return spark.read.schema("path string, size long, type string").json(path, multiLine=True)
 
 
 def listing(entries: DataFrame, folder: str) -> DataFrame:
@@ -26,6 +31,18 @@ def done(names: DataFrame) -> DataFrame:
     return rows.where("major is not null and dt is not null")
 
 
+def catalog(names: DataFrame) -> DataFrame:
+    """Versions to serve (version, description, name) of a folder's entries (name, is_dir, ord): files v*.db.
+
+    Of a stem version_description the two parts; with no or several underscores the description is empty. Of
+    several files of one version the last listed one.
+    """
+    stem = F.split(F.regexp_replace("name", r"\.db$", ""), "_")
+    files = names.where("not is_dir and name like 'v%.db'")
+    rows = files.select(stem[0].alias("version"), F.struct("ord", F.when(F.size(stem) == 2, F.get(stem, F.lit(1))).otherwise("").alias("description"), "name").alias("file"))
+    return rows.groupBy("version").agg(F.max("file").alias("file")).select("version", "file.description", "file.name")
+
+
 def done_latest(rows: DataFrame) -> DataFrame:
     """The finished archive with the largest time; of several the first."""
     return rows.orderBy(F.desc("dt"), "ord").limit(1)
