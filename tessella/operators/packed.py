@@ -34,8 +34,11 @@ def difference(base: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, bool]:
 
 
 def merged(quads: list[np.ndarray | None]) -> np.ndarray | None:
-    """Four children (top left, top right, bottom left, bottom right; None: empty) to their parent."""
-    if all(q is None for q in quads):
+    """Four children (top left, top right, bottom left, bottom right; None: empty) to their parent.
+
+    None if all are empty, or if they differ in size: such a parent fails, and is counted by merge_failures.
+    """
+    if len({q.shape for q in quads if q is not None}) != 1:
         return None
     shape = next(q.shape for q in quads if q is not None)
     half = [np.zeros((shape[0] // 2, shape[1] // 2), np.uint8) if q is None else majority(q) for q in quads]
@@ -106,18 +109,39 @@ def merge_quad(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def to_tiles(pixels: DataFrame, z: int, side: int) -> DataFrame:
-    """Pixels to tiles. A group has side * side pixels at most."""
-    at = F.struct(F.expr(f"cast(gx % {side} + gy % {side} * {side} as int)").alias("at"), F.col("color").alias("color"))
+    """Pixels to tiles: rows come sorted by tile, whose pixels are set in one array; memory holds one tile and a batch."""
+    xy = [F.expr(f"cast(g{c} div {side} as int)").alias(c) for c in "xy"]
+    rows = pixels.where("color <> 0").select(*xy, F.expr(f"cast(gx % {side} + gy % {side} * {side} as int)").alias("at"), F.col("color").cast("int").alias("color"))
 
-    def draw(cells: list) -> bytes:
-        own = np.zeros(side * side, np.uint8)
-        for c in cells:
-            own[c["at"]] = c["color"]
-        return png.encode(own.reshape(side, side))
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, own = None, np.zeros(side * side, np.uint8)
+        done: list[tuple] = []
 
-    rows = pixels.where("color <> 0").groupBy(F.expr(f"cast(gx div {side} as int)").alias("x"), F.expr(f"cast(gy div {side} as int)").alias("y")).agg(F.collect_list(at).alias("cells"))
-    data = _udf(T.BinaryType(), draw)(F.col("cells"))
-    return rows.select(F.lit(z).alias("z"), "x", "y", data.alias("data")).select(*KEYS, F.crc32("data").alias("crc32"), "data")
+        def flush() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["x", "y", "data"])
+            done.clear()
+            return out
+
+        for batch in batches:
+            x, y, at, color = (c.to_numpy() for c in batch.columns)
+            edges = np.flatnonzero((np.diff(x) != 0) | (np.diff(y) != 0)) + 1
+            for a, b in zip([0, *edges], [*edges, len(x)]):
+                if a == b:
+                    continue
+                if tile != (x[a], y[a]):
+                    if tile:
+                        done.append((*tile, png.encode(own.reshape(side, side))))
+                    tile = (x[a], y[a])
+                    own[:] = 0
+                own[at[a:b]] = color[a:b]
+            if len(done) > 64:
+                yield flush()
+        if tile:
+            done.append((*tile, png.encode(own.reshape(side, side))))
+            yield flush()
+
+    data = rows.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(draw, "x int, y int, data binary")
+    return data.select(F.lit(z).alias("z"), "x", "y", F.crc32("data").alias("crc32"), "data")
 
 
 def to_pixels(tiles: DataFrame, side: int) -> DataFrame:
@@ -145,6 +169,20 @@ def ingest_tiles(source: DataFrame, target: DataFrame, base: DataFrame | None =
     return rows.where("d.changed").select(*KEYS, "crc32", F.col("d.data").alias("data"))
 
 
+def children_of(tiles: DataFrame) -> DataFrame:
+    """Parents x, y with their children's images q0 to q3: each place is collected by itself, an image at most."""
+    place = F.col("x").bitwiseAND(1) + F.col("y").bitwiseAND(1) * 2
+    quads = [F.get(F.collect_list(F.when(place == i, F.col("data"))), F.lit(0)).alias(f"q{i}") for i in range(4)]
+    return tiles.groupBy(F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y")).agg(*quads)
+
+
+def merge_failures(target: DataFrame, z: int) -> DataFrame:
+    """Parents at zoom z (x, y) that merge_level leaves out although they have a readable child: those whose children differ in size."""
+    rows = children_of(target.where(F.col("z") == z + 1).select("x", "y", "data"))
+    sizes = _udf(T.IntegerType(), lambda *quads: len({q.shape for q in map(_opened, quads) if q is not None}))
+    return rows.where(sizes(*(F.col(f"q{i}") for i in range(4))) > 1).select("x", "y")
+
+
 def merge_level(target: DataFrame, z: int, base: DataFrame | None = None, force: bool = False) -> DataFrame:
     """Parents at zoom z of target's tiles at z + 1; with a base, target holds deltas and so does the result.
 
@@ -155,9 +193,7 @@ def merge_level(target: DataFrame, z: int, base: DataFrame | None = None, force:
     if base is not None:
         old = base.where(F.col("z") == z + 1).select("x", "y", F.col("data").alias("old"))
         children = children.join(old, xy).select("x", "y", tile_undiff(F.col("old"), F.col("data")).alias("data"))
-    place = F.col("x").bitwiseAND(1) + F.col("y").bitwiseAND(1) * 2
-    quads = [F.max(F.when(place == i, F.col("data"))).alias(f"q{i}") for i in range(4)]
-    rows = children.groupBy(F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y")).agg(*quads)
+    rows = children_of(children)
     if not force:
         rows = rows.join(target.where(F.col("z") == z).select(*xy), xy, "left_anti")
     rows = rows.withColumn("data", merge_quad(*(F.col(f"q{i}") for i in range(4)))).where("data is not null").select(*xy, "data")

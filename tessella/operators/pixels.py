@@ -5,9 +5,10 @@ All are lazy DataFrame compositions. (gx, gy) is unique in each relation, as `la
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.model import color_channels, palette
@@ -170,12 +171,20 @@ def average_tiles(pixels: DataFrame, tiles: DataFrame, side: int) -> DataFrame:
     return tile_of(average(pixels), side).join(complete_parents(tiles), ["x", "y"], "left_semi").drop("x", "y")
 
 
-def pyramid(pixels: DataFrame, leaf_zoom: int, coarsest: int = 0, strategy: str = "majority", shuffle_zoom: int | None = None, side: int = 1000) -> DataFrame:
+def pyramid(pixels: DataFrame, leaf_zoom: int, coarsest: int = 0, strategy: str = "majority", shuffle_zoom: int | None = None, side: int = 1000, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All levels below leaf_zoom: z, gx, gy, color.
 
     Levels down to shuffle_zoom (halfway by default) are computed within a partitioning by that
     level's tiles, so that each of them needs no shuffle of its own; what is left there is dealt once more.
+    With keep (which writes a table and reads it again) each level starts from the one before, computed
+    once; without, the result is one lazy plan, in which the levels above a cut are computed for each below.
     """
+    if keep:
+        levels, now = [], pixels.select(*AT, "color")
+        for z in range(leaf_zoom - 1, coarsest - 1, -1):
+            now = keep(downsample(now, strategy))
+            levels.append(now.select(F.lit(z).alias("z"), *AT, "color"))
+        return reduce(DataFrame.unionAll, levels)
     cut = (leaf_zoom + coarsest) // 2 if shuffle_zoom is None else shuffle_zoom
     levels, now, z = [], pixels.select(*AT, "color"), leaf_zoom
     while z > coarsest:
@@ -216,17 +225,57 @@ def diff_level(target: DataFrame, target_tiles: DataFrame, base: DataFrame, base
     return pixels, changed.unionByName(fresh)
 
 
+def diff_pyramid(base: DataFrame, new: DataFrame, leaf_zoom: int, side: int, keep: Callable[[DataFrame], DataFrame], coarsest: int = 0) -> DataFrame:
+    """All levels below leaf_zoom of the delta between two maps: z, gx, gy, color; each as diff_level gives it.
+
+    One relation carries both maps: gx, gy, b (the base's colour), d (the delta's) and live (the pixel's tile is in
+    the delta and in the base, so that it counts as a child). A level is one aggregate of the quads and one window over
+    its tiles, dealt by tile once, and is written (keep) before the next one starts from it.
+    """
+    now = compared(base, new).select(*AT, "b", F.when((F.col("b") != F.col("n")) & (F.col("n") != 0), F.col("n")).otherwise(0).alias("d"), (F.col("b") != F.col("n")).alias("changed"))
+    levels = []
+    for z in range(leaf_zoom, coarsest - 1, -1):
+        tile = Window.partitionBy("x", "y")
+        own = now.withColumns({"x": F.expr(f"gx div {side}").cast("int"), "y": F.expr(f"gy div {side}").cast("int")})
+        has = F.max(F.col("b") != 0).over(tile)
+        if z == leaf_zoom:
+            own = own.select(*AT, "b", "d", (has & F.max("changed").over(tile)).alias("live"))
+        else:  # b: the base's parent, u: of the overlaid children; made: a child counted
+            own = own.withColumns({"has": has, "made": F.max("made").over(tile)})
+            differs = F.col("made") & (F.col("b") != F.col("u"))
+            own = own.select(*AT, "x", "y", "b", "has", F.when(F.col("made") & (F.col("u") != 0) & (~F.col("has") | (F.col("b") != F.col("u"))), F.col("u")).otherwise(0).alias("d"), "made", differs.alias("differs"))
+            own = keep(own.select(*AT, "b", "d", (F.col("has") & F.max("differs").over(tile)).alias("live")))
+            levels.append(own.where("d <> 0").select(F.lit(z).alias("z"), *AT, F.col("d").alias("color")))
+        now = _delta_parents(own)
+    return reduce(DataFrame.unionAll, levels)
+
+
+def _delta_parents(pixels: DataFrame) -> DataFrame:
+    """gx, gy, b, u and made of the level above: majorities of the base and of the base overlaid by the delta in live tiles."""
+    place = _quarter()
+    over = F.when(F.col("live"), F.when(F.col("d") != 0, F.col("d")).otherwise(F.col("b"))).otherwise(0)
+    cells = [F.coalesce(F.max(F.when(place == i, c)), F.lit(0)).cast("long").alias(f"{n}{i}") for n, c in (("b", F.col("b")), ("u", over)) for i in range(4)]
+    quads = pixels.groupBy(F.shiftright("gx", 1).alias("gx"), F.shiftright("gy", 1).alias("gy")).agg(*cells, F.max("live").alias("made"))
+    best = {n: _best([F.col(f"{n}{i}") for i in range(4)], False).cast("int").alias(n) for n in "bu"}
+    return quads.select(*AT, best["b"], best["u"], "made").where("b <> 0 or u <> 0 or made")
+
+
 def ingest(source: DataFrame, target: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Source tiles (keys z, x, y; crc32; any payload) still to store: absent in target and, with a base, of another crc32.
 
-    Only keys and checksums of target and base are read. A base row without a checksum never matches.
+    Keys and checksums decide first; only then is the payload of what is left looked up. Of source rows with equal
+    keys that with the least checksum is taken. A base row without a checksum never matches.
     """
     keys = ["z", "x", "y"]
-    fresh = source.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
-    if base is None:
-        return fresh
-    same = base.select(*keys, F.col("crc32").alias("crc32")).where("crc32 is not null")
-    return fresh.join(same, [*keys, "crc32"], "left_anti")
+    slim = source.groupBy(*keys, "crc32").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.min(F.struct("crc32", "n")).alias("least"), F.sum("n").alias("n"))
+    fresh = slim.select(*keys, "least.crc32", F.col("n").alias("__n")).join(target.select(*keys), keys, "left_anti")
+    if base is not None:
+        same = base.select(*keys, F.col("crc32").alias("crc32")).where("crc32 is not null")
+        fresh = fresh.join(same, [*keys, "crc32"], "left_anti")
+    wanted = fresh.select(*(F.col(k).alias(f"__{k}") for k in (*keys, "crc32")), "__n")
+    found = source.join(wanted, [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("crc32").eqNullSafe(F.col("__crc32"))])
+    alone = found.where("__n = 1").select(*source.columns)
+    return alone.unionByName(found.where("__n > 1").select(*source.columns).dropDuplicates(keys))
 
 
 def ingest_metrics(source: DataFrame, target: DataFrame, base: DataFrame) -> DataFrame:

@@ -7,16 +7,18 @@ there before BASE_DAY), archives and requests from events.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import tiles as tf
-from tessella.model import COLORS, color_channels
+from tessella.model import COLORS, LEAF_ZOOM, color_channels
 from tessella.operators import packed
 from tessella.operators import pixels as px
 from tessella.plans import planner
-from tessella.sources.scratch import scratch
+from tessella.sources import read_tiles, writers
+from tessella.sources.scratch import scratch, written
 from tessella.streaming import daily
 
 SIDE, LEAF = 8, 6  # tiles of 8 x 8 pixels: 64 x 64 tiles at zoom 6
@@ -242,7 +244,7 @@ def average_complete_tiles(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{NEW}, l6 AS (SELECT gx, gy, color FROM new), {', '.join(f"l{z} AS ({_majority(f'l{z + 1}')})" for z in range(5, -1, -1))}
 {' UNION ALL '.join(f"SELECT CAST({z} AS INTEGER) AS z, gx, gy, color FROM l{z}" for z in range(6))}""")
 def pyramid_all_levels(spark: SparkSession, sf: str) -> DataFrame:
-    return px.pyramid(state(spark, sf), LEAF, side=SIDE)
+    return px.pyramid(state(spark, sf), LEAF, side=SIDE, keep=lambda df: written(df, "level"))
 
 
 def _diff_step(z: int) -> str:
@@ -260,21 +262,35 @@ d{z} AS (SELECT gx, gy, n AS color FROM x{z} WHERE n <> 0 AND (NOT has OR b <> n
 dt{z} AS (SELECT DISTINCT x, y FROM x{z} WHERE has AND b <> n UNION SELECT x, y FROM p{z} ANTI JOIN bt{z} USING (x, y))"""
 
 
-@query(f"""{OLD}, {BOTH}, d6 AS (SELECT gx, gy, n AS color FROM c WHERE b <> n AND n <> 0), dt6 AS (SELECT DISTINCT {XY} FROM c WHERE b <> n),
-b6 AS (SELECT gx, gy, color FROM old), bt6 AS (SELECT DISTINCT {XY} FROM old), {_diff_step(5)}, {_diff_step(4)}
-SELECT CAST(5 AS INTEGER) AS z, gx, gy, color FROM d5 UNION ALL SELECT CAST(4 AS INTEGER) AS z, gx, gy, color FROM d4""")
-def pyramid_diff_levels(spark: SparkSession, sf: str) -> DataFrame:
-    """Two zoom steps of a delta map on its base."""
+_DIFF_LEVELS = f"""{OLD}, {BOTH}, d6 AS (SELECT gx, gy, n AS color FROM c WHERE b <> n AND n <> 0), dt6 AS (SELECT DISTINCT {XY} FROM c WHERE b <> n),
+b6 AS (SELECT gx, gy, color FROM old), bt6 AS (SELECT DISTINCT {XY} FROM old), {{steps}}
+{{select}}"""
+
+
+def _diff_sql(*zooms: int) -> str:
+    select = " UNION ALL ".join(f"SELECT CAST({z} AS INTEGER) AS z, gx, gy, color FROM d{z}" for z in zooms)
+    return _DIFF_LEVELS.format(steps=", ".join(_diff_step(z) for z in zooms), select=select)
+
+
+@query(_diff_sql(5, 4))
+def pyramid_diff_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Two zoom steps of a delta map on its base, by the operator of one step."""
     base, new = old(spark, sf), state(spark, sf)
     delta, changed, out = px.diff(base, new), px.changed_tiles(base, new, SIDE).select("x", "y"), []
     for z in (5, 4):
-        above = px.downsample(base)
+        above = written(px.downsample(base), "base")
         delta, changed = px.diff_level(delta, changed, base, px.tiles(base, SIDE), above, px.tiles(above, SIDE), SIDE)
-        base = above
+        delta, changed, base = written(delta, "delta"), written(changed, "changed"), above
         out.append(delta.select(F.lit(z).alias("z"), "gx", "gy", "color"))
     return out[0].unionAll(out[1])
 
 
+@query(_diff_sql(5, 4, 3, 2, 1, 0))
+def pyramid_diff_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """All zoom steps of a delta map on its base."""
+    return px.diff_pyramid(old(spark, sf), state(spark, sf), LEAF, SIDE, lambda df: written(df, "delta"))
+
+
 @query(f"{OLD} SELECT DISTINCT CAST(x // 2 AS INTEGER) AS x, CAST(y // 2 AS INTEGER) AS y FROM (SELECT {XY} FROM new) EXCEPT SELECT DISTINCT CAST(gx // 16 AS INTEGER), CAST(gy // 16 AS INTEGER) FROM old WHERE gx < 256")
 def merge_skip_existing(spark: SparkSession, sf: str) -> DataFrame:
     """Parents that a store doesn't have yet."""
@@ -345,7 +361,7 @@ def packed_diff_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return packed.to_pixels(packed.ingest_tiles(source, source.limit(0), base), SIDE)
 
 
-@query(ORACLE_SQL["pyramid_diff_levels"].rsplit("SELECT CAST(5 AS INTEGER)", 1)[0] + "SELECT CAST(5 AS INTEGER) AS z, gx, gy, color FROM d5")
+@query(_diff_sql(5))
 def packed_diff_merge(spark: SparkSession, sf: str) -> DataFrame:
     base, new = old(spark, sf), state(spark, sf)
     base_tiles = packed.to_tiles(base, LEAF, SIDE)
@@ -354,6 +370,40 @@ def packed_diff_merge(spark: SparkSession, sf: str) -> DataFrame:
     return packed.to_pixels(packed.merge_level(delta, 5, base_tiles), SIDE)
 
 
+@query(ORACLE_SQL["pyramid_all_levels"])
+def packed_pyramid(spark: SparkSession, sf: str) -> DataFrame:
+    """All levels merged as PNG tiles; each is written before the next one reads it."""
+    tiles, out = written(packed.to_tiles(state(spark, sf), LEAF, SIDE), "tiles"), []
+    for z in range(LEAF - 1, -1, -1):
+        tiles = written(packed.merge_level(tiles, z), "tiles")
+        out.append(packed.to_pixels(tiles, SIDE))
+    return reduce(DataFrame.unionAll, out)
+
+
+# --- archives: written from tiles, read back -----------------------------------------------------
+
+_LEAF_PIXELS = f"{NEW} SELECT CAST({LEAF_ZOOM} AS INTEGER) AS z, gx, gy, color FROM new"
+
+
+@query(_LEAF_PIXELS)
+def archive_folder(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "folder")
+    writers.write_folder(packed.to_tiles(state(spark, sf), LEAF_ZOOM, SIDE * 4), path)
+    return packed.to_pixels(read_tiles(spark, path), SIDE * 4)
+
+
+@query(_LEAF_PIXELS)
+def archive_tar(spark: SparkSession, sf: str) -> DataFrame:
+    files = writers.write_archives(packed.to_tiles(state(spark, sf), LEAF_ZOOM, SIDE), scratch(spark, "tar"), "tar.gz")
+    return packed.to_pixels(read_tiles(spark, ",".join(files)), SIDE)
+
+
+@query(_LEAF_PIXELS)
+def archive_sqlite(spark: SparkSession, sf: str) -> DataFrame:
+    files = writers.write_archives(packed.to_tiles(state(spark, sf), LEAF_ZOOM, SIDE).coalesce(2), scratch(spark, "sqlite"), "db")
+    return packed.to_pixels(reduce(DataFrame.unionAll, [read_tiles(spark, f) for f in files]), SIDE)
+
+
 # --- serving -------------------------------------------------------------------------------------
 
 _REQUESTS = """r AS (SELECT event_id, 'v' || CAST(user_id % 3 AS VARCHAR) AS version, CASE WHEN event_id % 3 = 0 THEN '6' ELSE CAST(event_id % 14 AS VARCHAR) END AS z,
@@ -376,6 +426,17 @@ def stored(spark: SparkSession, sf: str) -> DataFrame:
     return own.select(F.concat(F.lit("v"), F.col("x") % 2).alias("version"), F.lit(LEAF).alias("z"), "x", "y")
 
 
+@query(f"""WITH e AS (SELECT event_id AS ord, 'v' || (user_id % 40) || CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN '_d' || event_id ELSE '_a_' || event_id END || CASE WHEN event_id % 5 = 0 THEN '.png' ELSE '.db' END AS name FROM events WHERE event_id % 13 <> 0),
+p AS (SELECT ord, name, str_split(substr(name, 1, length(name) - 3), '_') AS s FROM e WHERE name LIKE '%.db')
+SELECT version, description, name FROM (SELECT s[1] AS version, CASE WHEN len(s) = 2 THEN s[2] ELSE '' END AS description, name, row_number() OVER (PARTITION BY s[1] ORDER BY ord DESC) AS rn FROM p) WHERE rn = 1""")
+def serving_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """Versions and descriptions from file names, which are made from events (a thirteenth are folders)."""
+    e = F.col("event_id")
+    tail = F.when(e % 3 == 0, "").when(e % 3 == 1, F.concat(F.lit("_d"), e)).otherwise(F.concat(F.lit("_a_"), e))
+    name = F.concat(F.lit("v"), F.col("user_id") % 40, tail, F.when(e % 5 == 0, ".png").otherwise(".db"))
+    return planner.catalog(table(spark, sf, "events").select(name.alias("name"), (e % 13 == 0).alias("is_dir"), e.alias("ord")))
+
+
 @query(f"""{NEW}, {_REQUESTS},
 t AS (SELECT DISTINCT 'v' || CAST(x % 2 AS VARCHAR) AS version, x, y FROM (SELECT {XY} FROM new WHERE gy < 400)), k AS (SELECT DISTINCT 'v' || CAST(gx % 2 AS VARCHAR) AS version FROM new),
 a AS (SELECT q.*, TRY_CAST(z AS INTEGER) AS iz, TRY_CAST(x AS INTEGER) AS ix, TRY_CAST(y AS INTEGER) AS iy FROM q),

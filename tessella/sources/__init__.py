@@ -9,10 +9,16 @@ from tessella.sources.sevenzip import SevenZipTiles
 
 
 def read_tiles(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """By the path's ending: .7z, .tar.gz, .tgz, .tar or .db, else a folder."""
+    """By the path's ending: .7z, .tar.gz, .tgz, .tar or .db; a directory, whatever its name, or else a folder."""
     for kind in (TarTiles, SqliteTiles, SevenZipTiles):
         spark.dataSource.register(kind)
     for endings, name in (((".7z",), "tessella_7z"), ((".tar.gz", ".tgz", ".tar"), "tessella_tar"), ((".db",), "tessella_sqlite")):
-        if path.endswith(endings):
+        if path.endswith(endings) and not _is_directory(spark, path):
             return spark.read.format(name).option("mode", mode).load(path)
     return read_folder(spark, path, mode)
+
+
+def _is_directory(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(at) and fs.getFileStatus(at).isDirectory()

@@ -1,17 +1,27 @@
-"""A tile store: Parquet partitioned by version and zoom, keyed by (version, z, x, y)."""
+"""A tile store: Parquet partitioned by version, zoom and area, keyed by (version, z, x, y).
+
+An area is 64 x 64 tiles of a zoom (1,024 areas at the leaf zoom), so that an upsert rewrites those with new tiles
+only and a lookup reads one.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.tiles import tile_key, version_sort_key
 from tessella.operators.pixels import upsert
+from tessella.sources.scratch import delete
 
 KEYS = ["version", "z", "x", "y"]
-DDL = "x int, y int, crc32 long, data binary, version string, z int"
+DDL = "x int, y int, crc32 long, data binary, version string, z int, area int"
+AREA = 6  # bits of x and y within an area
+
+
+def area(x: Column, y: Column) -> Column:
+    return F.shiftright(y, AREA) * (1 << 16) + F.shiftright(x, AREA)
 
 
 class TileStore:
@@ -22,18 +32,25 @@ class TileStore:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema(DDL).parquet(self.path) if self._exists() else self.spark.createDataFrame([], DDL)
+
     def tiles(self, version: str | None = None, z: int | None = None) -> DataFrame:
         """Rows of a version and zoom: only their partitions are read."""
-        rows = self.spark.read.schema(DDL).parquet(self.path) if self._exists() else self.spark.createDataFrame([], DDL)
+        rows = self._rows().drop("area")
         rows = rows if version is None else rows.where(F.col("version") == version)
         return rows if z is None else rows.where(F.col("z") == z)
 
+    def _tile(self, version: str, z: int, x: int, y: int) -> DataFrame:
+        own = (y >> AREA) * (1 << 16) + (x >> AREA)
+        return self._rows().where((F.col("version") == version) & (F.col("z") == z) & (F.col("area") == own) & (F.col("x") == x) & (F.col("y") == y))
+
     def get(self, version: str, z: int, x: int, y: int) -> DataFrame:
-        return self.tiles(version, z).where((F.col("x") == x) & (F.col("y") == y)).select("data")
+        return self._tile(version, z, x, y).select("data")
 
     def stat(self, version: str, z: int, x: int, y: int) -> DataFrame:
         """crc32 of the tile, no row without one; the image isn't read."""
-        return self.tiles(version, z).where((F.col("x") == x) & (F.col("y") == y)).select("crc32")
+        return self._tile(version, z, x, y).select("crc32")
 
     def addresses(self, version: str, z: int) -> DataFrame:
         return self.tiles(version, z).select("x", "y")
@@ -43,20 +60,24 @@ class TileStore:
         return self.tiles().groupBy("version").agg(F.count(F.lit(1)).alias("tiles")).orderBy(*version_sort_key(F.col("version")))
 
     def put(self, tiles: DataFrame, version: str, auto_crc: bool = False) -> None:
-        """Upserts tiles (z, x, y, crc32, data). Only partitions with new rows are rewritten, from a staged copy."""
+        """Upserts tiles (z, x, y, crc32, data). They are computed once, into a staged copy; only partitions with new
+        rows are rewritten, from a second one. A failed write leaves other partitions as they were."""
         if self.read_only:
             raise PermissionError("the store is read-only")
-        rows = tiles.withColumn("version", F.lit(version))
+        rows = tiles.withColumns({"version": F.lit(version), "area": area(F.col("x"), F.col("y"))})
         rows = rows.withColumn("crc32", F.crc32("data")) if auto_crc else rows
-        rows = rows.select("x", "y", "crc32", "data", "version", "z")
-        touched = [r.z for r in rows.select("z").distinct().collect()]  # zooms: 12 at most
-        old = self.tiles(version).where(F.col("z").isin(touched)) if touched else self.tiles().limit(0)
-        staged = f"{self.path}.staged-{uuid.uuid4().hex}"
-        upsert(old, rows, KEYS).write.parquet(staged)
-        new = self.spark.read.schema(DDL).parquet(staged)
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "z").parquet(self.path)
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        given, staged = (f"{self.path}.staged-{uuid.uuid4().hex}" for _ in range(2))
+        rows.select("x", "y", "crc32", "data", "version", "z", "area").write.parquet(given)
+        rows = self.spark.read.schema(DDL).parquet(given)
+        place = F.col("z") * (1 << 24) + F.col("area")
+        touched = [r.p for r in rows.select(place.alias("p")).distinct().collect()]  # 1,400 for all zooms' areas
+        if touched:
+            old = self._rows().where((F.col("version") == version) & place.isin(touched))
+            upsert(old, rows, KEYS).write.parquet(staged)
+            new = self.spark.read.schema(DDL).parquet(staged)
+            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "z", "area").parquet(self.path)
+        for path in (given, staged):
+            delete(self.spark, path)
 
     def set_crc(self, checksums: DataFrame, version: str) -> None:
         """Replaces crc32 of the tiles in checksums (z, x, y, crc32)."""

@@ -199,3 +199,20 @@ def test_serve(spark):
     store = spark.createDataFrame([("v1", 1, 1, 1)], "version string, z int, x int, y int")
     got = {tuple(x)[:5]: x.status for x in px.serve(r, store, store).collect()}
     assert [got[q] for q in requests] == [400, 400, 400, 404, 500, 304, 200, 400]
+
+
+def test_diff_pyramid_equals_steps(spark):
+    """All levels in one relation against the operator of one step, level by level."""
+    rng = random.Random(21)
+    base = world(rng, 160, 32)
+    new = {k: v for k, v in base.items() if rng.random() < 0.9} | world(rng, 60, 32)
+    b, n = frame(spark, base), frame(spark, new)
+    got = {}
+    for r in px.diff_pyramid(b, n, 3, 4, lambda df: df.cache()).collect():
+        got.setdefault(r.z, {})[r.gx, r.gy] = r.color
+    delta, changed = px.diff(b, n), px.changed_tiles(b, n, 4).select("x", "y")
+    for z in (2, 1, 0):
+        above = px.downsample(b)
+        delta, changed = (df.cache() for df in px.diff_level(delta, changed, b, px.tiles(b, 4), above, px.tiles(above, 4), 4))
+        b = above
+        assert got.get(z, {}) == plain(delta), z

@@ -1,5 +1,6 @@
 """Versions, names and plans: the published scenarios' data and the odd cases."""
 
+import json
 from datetime import datetime
 
 import pytest
@@ -83,3 +84,18 @@ def test_version_order_and_url(spark):
     assert [r.v for r in rows.orderBy(*tf.version_sort_key(F.col("v"))).collect()][1:] == ["v2", "v2.024", "v2.100", "v10"]
     url = rows.limit(1).select(tf.download_url(F.lit("https://h/a/tree/main/f"), F.lit("f/x.db")).alias("u")).first().u
     assert url == "https://h/a/resolve/f/x.db"
+
+
+def test_read_listing(spark, tmp_path):
+    rows = [{"path": "full/full_2026-06-03T22-11-00Z.db", "size": 5, "type": "file", "oid": "x"}, {"path": "full", "type": "directory"}]
+    (tmp_path / "a.json").write_text(json.dumps(rows, indent=1))
+    (tmp_path / "b.json").write_text("[]")
+    entries = planner.read_listing(spark, str(tmp_path))
+    assert [(r.path, r.size, r.type) for r in entries.orderBy("path").collect()] == [("full", None, "directory"), (rows[0]["path"], 5, "file")]
+    assert planner.listing(entries, "full/").count() == 1
+
+
+def test_catalog(spark):
+    names = [("v1_first.db", False), ("v2.db", False), ("v3_a_b.db", False), ("v4_x.db", True), ("w1_x.db", False), ("v1_second.db", False), ("v5.png", False)]
+    rows = spark.createDataFrame([(n, d, i) for i, (n, d) in enumerate(names)], "name string, is_dir boolean, ord long")
+    assert sorted(map(tuple, planner.catalog(rows).collect())) == [("v1", "second", "v1_second.db"), ("v2", "", "v2.db"), ("v3", "", "v3_a_b.db")]

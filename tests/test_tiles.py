@@ -7,6 +7,7 @@ import sqlite3
 import struct
 import tarfile
 import zlib
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -16,7 +17,8 @@ from tessella import api
 from tessella.functions import png
 from tessella.operators import packed
 from tessella.operators import pixels as px
-from tessella.sources import read_tiles, sevenzip
+from tessella.plans import planner
+from tessella.sources import read_tiles, sevenzip, writers
 from tessella.sources.store import TileStore
 from tessella.streaming import daily
 from test_pixels import frame, halved, majority, plain, world
@@ -235,6 +237,58 @@ def test_jobs(spark, tmp_path):
         api.build_pyramid(store, "v1", first=11)
 
 
+def test_run_plan(spark, tmp_path):
+    """A base and two diffs, in time order, each with its pyramid."""
+    rng = random.Random(5)
+    maps, now = {}, {}
+    for day in (7, 8, 9):
+        now = now | world(rng, 25, 16)
+        maps[datetime(2025, 1, day)] = now
+        for r in packed.to_tiles(frame(spark, now), 11, 8).collect():
+            path = tmp_path / str(day) / str(r.x) / f"{r.y}.png"
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(r.data)
+    archives = spark.createDataFrame([(d, 1, 24 * (d.day - 7)) for d in maps], "dt timestamp, major int, minor int")
+    jobs = planner.plan(archives, planner.done(spark.createDataFrame([], "name string, is_dir boolean, ord long")))
+    store = TileStore(spark, str(tmp_path / "store"))
+    assert api.run_plan(spark, jobs, {d: str(tmp_path / str(d.day)) for d in maps}, store) == 3
+    assert [r.version for r in store.catalog().collect()] == ["v1", "v1.024", "v1.048"]
+    first = maps[datetime(2025, 1, 7)]
+    for version, day in (("v1.024", 8), ("v1.048", 9)):
+        delta = plain(packed.to_pixels(store.tiles(version, 11), 8).drop("z"))
+        assert delta == {k: v for k, v in maps[datetime(2025, 1, day)].items() if first.get(k) != v}
+    assert plain(packed.to_pixels(store.tiles("v1", 10), 8).drop("z")) == halved(first) and store.tiles("v1", 0).count() == 1
+
+
+def test_children_of_other_sizes(spark):
+    """A parent whose children differ in size fails alone, and is counted."""
+    size = lambda n, seed: png.encode(np.random.default_rng(seed).integers(1, 64, (n, n), dtype=np.uint8))
+    rows = [(3, 0, 0, size(8, 1)), (3, 1, 0, size(4, 2)), (3, 2, 2, size(8, 3)), (3, 3, 3, size(8, 4)), (3, 4, 0, b"unreadable"), (3, 5, 0, size(4, 5))]
+    tiles = spark.createDataFrame([(z, x, y, 0, d) for z, x, y, d in rows], "z int, x int, y int, crc32 long, data binary")
+    assert sorted((r.x, r.y) for r in packed.merge_level(tiles, 2).collect()) == [(1, 1), (2, 0)]
+    assert [(r.x, r.y) for r in packed.merge_failures(tiles, 2).collect()] == [(0, 0)]
+
+
+def test_ingest_takes_one_of_repeated_keys(spark):
+    rows = [(1, 0, 0, 5, b"b"), (1, 0, 0, 3, b"a"), (1, 0, 0, 3, b"a"), (1, 1, 0, None, b"n"), (1, 2, 0, 7, b"c"), (1, 3, 0, 8, b"d")]
+    source = spark.createDataFrame(rows, "z int, x int, y int, crc32 long, data binary")
+    target, base = source.where("x = 3"), source.where("x = 2")
+    got = sorted((r.x, r.crc32 or 0, bytes(r.data)) for r in px.ingest(source, target, base).collect())
+    assert got == [(0, 3, b"a"), (1, 0, b"n")]
+    assert px.ingest(source, target).count() == 3 and px.ingest(source.limit(0), target, base).count() == 0
+
+
+def test_writers_and_directories(spark, tmp_path):
+    tiles = spark.createDataFrame([(11, i, i * 2, 0, image(i)) for i in range(9)], "z int, x int, y int, crc32 long, data binary").repartition(3)
+    want = {(i, i * 2): image(i) for i in range(9)}
+    assert writers.write_folder(tiles, str(tmp_path / "folder.db")) == 9  # a directory, whatever its name
+    for path in (str(tmp_path / "folder.db"), ",".join(writers.write_archives(tiles, str(tmp_path / "t"), "tar.gz"))):
+        assert {(r.x, r.y): bytes(r.data) for r in read_tiles(spark, path).collect()} == want
+    found = [r for f in writers.write_archives(tiles, str(tmp_path / "s"), "db") for r in read_tiles(spark, f).collect()]
+    assert {(r.x, r.y): bytes(r.data) for r in found} == want
+    assert writers.write_archives(tiles.limit(0), str(tmp_path / "e"), "db") == []
+
+
 def test_streams(spark, tmp_path):
     tiles = spark.createDataFrame([(11, i, 0, i, b"x") for i in range(6)], "z int, x int, y int, crc32 long, data binary")
     tiles.repartition(3).write.parquet(str(tmp_path / "in"))
