@@ -45,19 +45,36 @@ def letters(word: bytes) -> bool:
     return word.isalpha() or (not word.isascii() and unicodedata.normalize("NFC", word.decode()).lower().isalpha())
 
 
+#: Fixed value: a pre-tokenizer's pattern that takes no white space into its pieces and drops it between them.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(tokenizer: dict) -> tuple[bool, bool]:
+    """(whether a tokenizer's file says that texts may be encoded word by word, whether it lower-cases)."""
+    steps = tokenizer.get("normalizer") or {}
+    steps = steps["normalizers"] if steps.get("type") == "Sequence" else [steps] if steps else []
+    blanks = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    cut = tokenizer.get("pre_tokenizer") or {}
+    cut = cut["pretokenizers"][0] if cut.get("type") == "Sequence" else cut
+    split = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
+    plain = all(s["type"] in ("NFC", "Lowercase") or s == blanks for s in steps) and not tokenizer.get("post_processor")
+    return plain and cut == split, any(s["type"] == "Lowercase" for s in steps)
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, which is asked once for each distinct piece between white space.
 
-    That is exact for tokenizers whose pre-tokenizer never joins across white space and drops it, as
-    the default one's does; whole_words=False encodes whole texts instead.
+    That is exact for tokenizers whose pre-tokenizer never joins across white space and drops it, which is read
+    from the tokenizer's file; with others, or with whole_words=False, whole texts are encoded.
     """
 
-    def __init__(self, path: str, whole_words: bool = True, lower: bool = True):
+    def __init__(self, path: str, whole_words: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole_words, self.lower = whole_words, lower
+        fits, self.lower = by_words(json.loads(self.tokenizer.to_str()))
+        self.whole_words = whole_words and fits
         model = json.loads(self.tokenizer.to_str())["model"]
         self.ends = None  # by id: whether the token ends a word
         if suffix := model.get("end_of_word_suffix"):

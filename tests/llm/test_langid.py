@@ -75,3 +75,71 @@ def test_odd(odd, none, model):
     assert langid.predict(none, model).count() == 0
     empty = langid.fit(none)
     assert {r.lang_pred for r in langid.predict(odd, empty).collect()} == {"und"}
+
+
+def plain_words(text):
+    """(byte bounds, bytes with blanks around, script class) of runs of letters, character by character."""
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or ("À" <= c <= "Þ" and c != "×") else c for c in text)
+    out, run, at = [], [], 0
+    for c in [*lower, " "]:
+        if "a" <= c <= "z" or ord(c) >= 128:
+            run.append(c)
+        elif run:
+            word = "".join(run)
+            size = len(word.encode())
+            out.append((at - size, at, b" " + word.encode() + b" "))
+            run = []
+        at += len(c.encode())
+    return out
+
+
+def plain_grams(word):
+    """Hashes of the bytes up to each byte behind the first, four at most, a nought byte for what is missing."""
+    for i in range(1, len(word)):
+        code = word[i]
+        for k in (1, 2, 3):
+            code = (code * 0x01000193 & 0xFFFFFFFF) ^ (word[i - k] if i - k >= 0 else 0)
+        yield (code * 0x9E3779B1 & 0xFFFFFFFF) >> 16
+
+
+def test_label_equals_plain_version(spark, texts):
+    """Counts, log probabilities, candidates and the best path, from characters and dictionaries alone (Latin texts)."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    train = [(t, lang) for i, t, lang in rows if t and lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    model = langid.fit(spark.createDataFrame(train, "text string, lang string").selectExpr("0 as doc_id", "text", "lang"))
+    counts = {}
+    for t, lang in train:
+        for _, _, w in plain_words(t):
+            for g in plain_grams(w):
+                own = counts.setdefault(lang, {})
+                own[g] = own.get(g, 0) + 1
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    assert model.languages == tuple(sorted(total, key=lambda k: (-total[k], k)))
+    logs = {k: {g: np.log((n + 0.3) / (total[k] + 0.3 * 65536)) for g, n in c.items()} for k, c in counts.items()}
+    none = {k: np.log(0.3 / (total[k] + 0.3 * 65536)) for k in counts}
+    agree = 0
+    for _, t, _ in rows[:40]:
+        own = plain_words(t or "")
+        if not own:
+            continue
+        best, back = None, []
+        for _, _, w in own:
+            score = {k: 0.5 * sum(logs[k].get(g, none[k]) for g in plain_grams(w)) for k in model.languages}
+            if best is None:
+                best = score
+                continue
+            top = max(model.languages, key=lambda k: best[k])
+            came = {k: top if best[top] - 8 > best[k] else k for k in model.languages}
+            back.append(came)
+            best = {k: score[k] + max(best[k], best[top] - 8) for k in model.languages}
+        path = [max(model.languages, key=lambda k: best[k])]
+        for came in reversed(back):
+            path.append(came[path[-1]])
+        size = dict.fromkeys(model.languages, 0)
+        for (a, b, _), k in zip(own, reversed(path)):
+            size[k] += b - a
+        lang, score, spans = langid.label(model, [t])[0]
+        assert score == pytest.approx(size[lang] / sum(size.values()), abs=1e-9) and size[lang] == max(size.values())
+        assert sum(b - a for _, a, b in spans) > 0
+        agree += 1
+    assert agree > 30

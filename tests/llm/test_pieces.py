@@ -71,3 +71,9 @@ def test_cache_restarts(monkeypatch):
     a, b = pieces.Encoder(pieces.default_model()), pieces.Encoder(pieces.default_model())
     for t in ("a b c", "d e f g h i j", "a", ""):
         assert a.encode([t])[0].tolist() == b.encode([t, t])[0][: len(a.encode([t])[0])].tolist()
+
+
+def test_round_trip_is_exact(spark):
+    """A text with the sign that stands for blanks decodes to blanks, which is told."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "a\u2581b"), (3, None), (4, "")], "doc_id long, text string")
+    assert {r.doc_id: r.round_trip for r in pieces.round_trips(docs).collect()} == {1: True, 2: False, 3: None, 4: True}

@@ -27,6 +27,16 @@ def test_pieces_equal_whole_texts(texts):
         assert ids[begins[i] : begins[i + 1]].tolist() == own.encode(t, add_special_tokens=False).ids + [2], repr(t)
 
 
+def test_other_tokenizers_take_whole_texts(texts):
+    """Whether words may be encoded apart is read from the tokenizer's file."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, own = tokenfiles.Encoder(path), Tokenizer.from_file(path)
+    assert not encoder.whole_words and tokenfiles.Encoder(public_tokenizers.path("word_bpe_49k.json")).whole_words
+    cases = [t for _, t in texts[:20]] + ["  Two  blanks ", "UPPER lower", ""]
+    ids, begins = encoder.encode([t.encode() for t in cases], 2)
+    assert all(ids[begins[i] : begins[i + 1]].tolist() == own.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(cases))
+
+
 def test_cache_restarts(monkeypatch):
     monkeypatch.setattr(tokenfiles, "CACHED_WORDS", 5)
     encoder, own = tokenfiles.Encoder(public_tokenizers.path("word_bpe_49k.json")), library()
