@@ -29,38 +29,39 @@ def encode(indices: np.ndarray) -> bytes:
 
 def _unfilter(raw: np.ndarray, step: int) -> np.ndarray:
     """Rows with a filter byte in front to plain rows; step: bytes of a pixel (1 at least)."""
-    height, size = raw.shape[0], raw.shape[1] - 1
+    kinds, height, size = raw[:, 0], raw.shape[0], raw.shape[1] - 1
+    if (kinds > 4).any():
+        raise ValueError(f"filter {kinds.max()}")
+    if (kinds > 2).any():
+        return _by_diagonals(raw[:, 1:].reshape(height, -1, step), kinds).reshape(height, size)
     out = np.zeros((height, size), np.uint8)
     above = np.zeros(size, np.uint8)
     for y in range(height):
-        kind, row = raw[y, 0], raw[y, 1:]
-        if kind == 1:
-            now = np.empty(size, np.uint8)
-            for c in range(step):
-                now[c::step] = np.cumsum(row[c::step], dtype=np.uint8)
-        elif kind == 2:
-            now = row + above
-        elif kind in (3, 4):
-            now = _by_neighbours(row.tolist(), above.tolist(), step, kind == 4)
-        elif kind == 0:
-            now = row
-        else:
-            raise ValueError(f"filter {kind}")
+        now = raw[y, 1:]
+        if kinds[y] == 1:
+            now = np.cumsum(now.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
+        elif kinds[y] == 2:
+            now = now + above
         out[y] = above = now
     return out
 
 
-def _by_neighbours(row: list[int], above: list[int], step: int, paeth: bool) -> np.ndarray:
-    now = [0] * len(row)
-    for i, v in enumerate(row):
-        left, up, corner = (now[i - step], above[i], above[i - step]) if i >= step else (0, above[i], 0)
-        if paeth:
-            p = left + up - corner
-            guess = min((left, up, corner), key=lambda n: abs(p - n))
-        else:
-            guess = (left + up) // 2
-        now[i] = (v + guess) & 255
-    return np.array(now, np.uint8)
+def _by_diagonals(raw: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Pixels [y, x, byte] with any filters: those of one x + y need only pixels of the two diagonals before."""
+    height, width, step = raw.shape
+    out = np.zeros_like(raw)
+    # By row, below a row of noughts: the pixel on the last diagonal and on the one before it.
+    last, before = (np.zeros((height + 1, step), np.int16) for _ in range(2))
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        left, up, corner, kind = last[y + 1], last[y], before[y], kinds[y, None]
+        p = left + up - corner
+        a, b, c = abs(p - left), abs(p - up), abs(p - corner)
+        paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, (left + up) // 2, paeth], 0)
+        before, last = last, np.zeros_like(last)
+        last[y + 1] = out[y, d - y] = raw[y, d - y] + guess & 255
+    return out
 
 
 def decode(data: bytes) -> tuple[np.ndarray, np.ndarray | None]:

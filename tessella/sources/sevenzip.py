@@ -194,6 +194,23 @@ def decoder(block: Block):
     raise ValueError(f"coder {block.coder.hex()}")
 
 
+def pieces_of(tool, data: bytes) -> Iterator[bytes]:
+    """What some packed bytes unpack to, about CHUNK bytes at a time however well they were packed."""
+    if tool is None:
+        yield data
+    elif hasattr(tool, "unconsumed_tail"):
+        while True:
+            out = tool.decompress(data, CHUNK)
+            yield out
+            data = tool.unconsumed_tail
+            if not data and len(out) < CHUNK:
+                return
+    else:
+        yield tool.decompress(data, CHUNK)
+        while not tool.needs_input and not tool.eof:
+            yield tool.decompress(b"", CHUNK)
+
+
 def unpacked(stream: BinaryIO, block: Block) -> Iterator[bytes]:
     """A block's plain bytes, piece by piece."""
     stream.seek(block.at)
@@ -203,9 +220,10 @@ def unpacked(stream: BinaryIO, block: Block) -> Iterator[bytes]:
         if not data:
             raise ValueError("the archive ends inside a block")
         left -= len(data)
-        data = (tool.decompress(data) if tool else data)[: block.size - out]
-        out += len(data)
-        yield data
+        for piece in pieces_of(tool, data):
+            piece = piece[: block.size - out]
+            out += len(piece)
+            yield piece
     if out < block.size:
         raise ValueError("the archive ends inside a block")
 
