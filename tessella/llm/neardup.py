@@ -41,7 +41,7 @@ from tessella.llm.skew import split_join
 from tessella.llm.storage import bounded_batches, discard, small_batches, written
 from tessella.llm.wordhash import U, grams, mix, text_words
 
-TABLE_BITS = 16
+TABLE_BITS = 13  # so that the tables of the usual weights stay in the processor's cache
 GRID, LEVELS = 1.06, 80
 NO_ID = (1 << 63) - 1
 
@@ -138,14 +138,17 @@ def samples(hashes: np.ndarray, weights: np.ndarray, begins: np.ndarray, n: int)
     levels = np.rint(np.log(weights) / math.log(GRID)).astype(np.int64)
     tables, low = _level_keys(levels), hashes & U(0xFFFFFFFF)
     rare = np.flatnonzero(levels >= LEVELS)  # weights over 100
-    base, shift = np.where(levels < LEVELS, levels, 0) << TABLE_BITS, U(64 - TABLE_BITS)
-    out = np.empty((len(begins), n), np.uint32)
+    base, shift = (np.where(levels < LEVELS, levels, 0) << TABLE_BITS).astype(U), U(64 - TABLE_BITS)
+    out, at, keys = np.empty((len(begins), n), np.uint32), np.empty_like(base), np.empty_like(base)
+    place = at.view(np.int64)
     for k, m in enumerate(_multipliers(n)):
-        index = ((hashes * m) >> shift).view(np.int64)
-        keys = tables[index + base]
+        np.multiply(hashes, m, out=at)
+        np.right_shift(at, shift, out=at)
+        np.add(at, base, out=at)
+        np.take(tables, place, out=keys, mode="clip")
         if len(rare):
-            keys[rare] = _sample_keys(index[rare], levels[rare] * math.log(GRID))
-        keys ^= low
+            keys[rare] = _sample_keys(place[rare], levels[rare] * math.log(GRID))  # their base is 0
+        np.bitwise_xor(keys, low, out=keys)
         out[:, k] = np.minimum.reduceat(keys, begins) & U(0xFFFFFFFF)
     return out
 
@@ -256,12 +259,15 @@ class Corpus:
                 for row in batch.to_pylist():
                     block = Block(row, settings.words)
                     weights = block.weights(row["dfs"], parts, total)
-                    found = []
-                    for x in row["wanted"]:
-                        a, b = block.begins[x["at"]], block.begins[x["at"] + 1]
-                        own, w = block.keys[block.place[a:b]], weights[a:b]
-                        found.append((own.tobytes(), w.tobytes()) if not fine else (samples(own, w, np.zeros(1, np.int64), fine).astype(np.uint8).tobytes(), b""))
-                    yield pa.record_batch([pa.array([x["node"] for x in row["wanted"]], pa.int64()), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["node", "own", "weights"])
+                    at, nodes = np.array([x["at"] for x in row["wanted"]]), pa.array([x["node"] for x in row["wanted"]], pa.int64())
+                    begins, ends = block.begins[at], block.begins[at + 1]
+                    if fine:
+                        order = np.concatenate([np.arange(a, b) for a, b in zip(begins, ends)])
+                        own = samples(block.keys[block.place[order]], weights[order], np.cumsum(ends - begins) - (ends - begins), fine)
+                        columns = [[x.astype(np.uint8).tobytes() for x in own], [b""] * len(at)]
+                    else:
+                        columns = [[x[a:b].tobytes() for a, b in zip(begins, ends)] for x in (block.keys[block.place], weights)]
+                    yield pa.record_batch([nodes, *(pa.array(c, pa.binary()) for c in columns)], ["node", "own", "weights"])
 
         return self.known.join(lists, "block").mapInArrow(run, "node long, own binary, weights binary")
 
@@ -272,7 +278,7 @@ def block_groups(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray, int, in
     sizes, at = np.diff(block.begins)[full], 0
     while at < len(full):
         to, size = at, 0
-        while to < len(full) and (to == at or size + sizes[to] <= 1 << 16):
+        while to < len(full) and (to == at or size + sizes[to] <= 1 << 15):
             size += sizes[to]
             to += 1
         begin = block.begins[full[at]]
