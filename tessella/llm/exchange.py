@@ -4,7 +4,7 @@ A block is some hundred thousand tokens of consecutive documents in one row. It
 the keys that hash there, once each, with its own counts; the partition adds up all blocks' counts and
 sends every block the totals of what it asked for, in the order of the question. So the tables of
 counts grow with the corpus and stay partitioned, a very common key is one entry of each block's list,
-and a partition gets about PART_BLOCKS blocks' worth of keys however many blocks there are.
+and a partition gets about PART_TOKENS tokens' worth of keys however many blocks there are.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from tessella.llm.wordhash import U, mix, text_words
 
 BLOCK_TOKENS = 1 << 18
 #: Rows of a batch that holds blocks, of about a MB each.
-BLOCK_ROWS = 4
-PART_BLOCKS = 16
+BLOCK_ROWS = 2
+#: Tokens of the blocks that ask a part: with few keys for each block and part their rows' overhead would count.
+PART_TOKENS = 1 << 21
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -101,11 +102,13 @@ def token_blocks(batches: Iterator[pa.RecordBatch], kind: str, texts_of: Callabl
 
 def parts_of(blocks: DataFrame) -> int:
     """How many hash partitions a written table of blocks needs."""
-    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() // PART_BLOCKS))
+    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() * BLOCK_TOKENS // PART_TOKENS))
 
 
-def part_of(keys: np.ndarray, n: int) -> np.ndarray:
-    return (mix(keys) % U(n)).astype(np.int32)
+def by_part(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the keys by part, in order within a part; where each part begins there)."""
+    part = (mix(keys) % U(n)).astype(np.uint16 if n < 1 << 16 else np.uint32)  # 16 bits are sorted in linear time
+    return np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=n))])
 
 
 Question = tuple[np.ndarray, np.ndarray]
@@ -122,16 +125,26 @@ def ask(blocks: DataFrame, questions: Callable[[dict], list[Question]], n: int)
         for batch in batches:
             for row in batch.to_pylist():
                 for i, (keys, counts) in enumerate(questions(row)):
-                    part = part_of(keys, n)
-                    own = np.unique(part)
-                    order = np.argsort(part, kind="stable")
-                    mine = np.split(order, np.searchsorted(part[order], own, "right")[:-1]) if len(own) else []
+                    order, begins = by_part(keys, n)
+                    own = np.flatnonzero(np.diff(begins)).astype(np.int32)
+                    mine = [order[begins[p] : begins[p + 1]] for p in own]
                     columns = [pa.array(own + np.int32(i * n), pa.int32()), pa.array([row["block"]] * len(own), pa.int64()), pa.array([gaps(keys[x]) for x in mine], pa.binary()), pa.array([small(counts[..., x]) for x in mine], pa.binary())]
                     yield pa.record_batch(columns, ["part", "block", "keys", "counts"])
 
     return blocks.mapInArrow(run, "part int, block long, keys binary, counts binary")
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different values ascending, a place of each, which of them each value is)."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(values), np.int32)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
+
+
 @dataclass(frozen=True)
 class Totals:
     """A part's question from all blocks: rows of the distinct keys' totals, each block's places among the keys."""
@@ -141,17 +154,22 @@ class Totals:
     counts: np.ndarray
     blocks: list[int]
     places: list[np.ndarray]
-    own: list[np.ndarray]  # the blocks' counts as asked
+    last: list[np.ndarray]  # of each block's counts the last row, whether it is above 0
 
     @classmethod
     def of(cls, group: pd.DataFrame) -> Totals:
         group = group.sort_values("block")
         keys = [from_gaps(k) for k in group["keys"]]
-        own = [from_small(c).reshape(-1, len(k)) for k, c in zip(keys, group["counts"])]
-        every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.concatenate(own, axis=1)
-        counts = np.stack([np.bincount(place, c, len(every)) for c in counts]).astype(np.int64)
-        return cls(int(group["part"].iloc[0]), every, counts, group["block"].tolist(), np.split(place, np.cumsum([len(k) for k in keys])[:-1]), own)
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        every, place = distinct(np.concatenate(keys))[::2]
+        del keys
+        places, counts, last = np.split(place.astype(np.int32), ends), None, []
+        for c, at in zip(group["counts"], places):  # one block's counts at a time
+            own = from_small(c).reshape(-1, len(at)) if len(at) else np.zeros((0, 0), np.int64)
+            counts = np.zeros((len(own), len(every)), np.int64) if counts is None else counts
+            counts[:, at] += own
+            last.append(own[-1] > 0)
+        return cls(int(group["part"].iloc[0]), every, counts, group["block"].tolist(), places, last)
 
     def askers(self) -> np.ndarray:
         """How many blocks asked for each key."""
@@ -208,11 +226,10 @@ def gathered(answers: DataFrame, partitions: int | None = None) -> DataFrame:
 
 def in_order(answers: list[dict] | None, keys: np.ndarray, n: int, question: int = 0, decoded=from_small) -> np.ndarray:
     """The answers of all parts to the ascending keys of a question (or rows of answers)."""
-    part = part_of(keys, n)
     found = [(a["part"] - question * n, decoded(a["counts"])) for a in answers or [] if a["part"] // n == question]
     out = np.zeros((*(found[0][1].shape[:-1] if found else ()), len(keys)), found[0][1].dtype if found else np.int64)
-    order = np.argsort(part, kind="stable")
-    at = np.searchsorted(part[order], np.arange(n + 1)) if found else []
-    for p, values in found:
-        out[..., order[at[p] : at[p + 1]]] = values
+    if found:
+        order, begins = by_part(keys, n)
+        for p, values in found:
+            out[..., order[begins[p] : begins[p + 1]]] = values
     return out

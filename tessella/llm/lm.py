@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.exchange import BLOCK_ROWS, Question, Totals, answered, ask, from_gaps, from_small, gaps, gathered, in_order, packed, packed_ids, parts_of, small, summed, token_blocks, unpacked, unpacked_ids
+from tessella.llm.exchange import BLOCK_ROWS, Question, Totals, answered, ask, distinct, from_gaps, from_small, gaps, gathered, in_order, packed, packed_ids, parts_of, small, summed, token_blocks, unpacked, unpacked_ids
 from tessella.llm.storage import bounded_batches, bucketed, discard, small_batches, written
 from tessella.llm.wordhash import U, mix
 
@@ -172,35 +172,32 @@ class Block:
         answer = in_order(row["words_known"], hashes, n)
         words = np.concatenate([[U(END)], hashes])
         self.words = Contexts(words, np.concatenate([[unigrams.ends], answer >> 2]), np.concatenate([[True], answer & 1 > 0]))
-        tokens = np.insert(from_small(row["tokens"]) + 1, np.cumsum(self.ends), END)
+        tokens = np.insert((from_small(row["tokens"]) + 1).astype(np.int32), np.cumsum(self.ends), END)
         learned = np.repeat(self.training, self.ends + 1)
         self.first = np.concatenate([[0], np.cumsum(self.ends + 1)[:-1]]) if len(self.ends) else np.zeros(0, np.int64)
-        before = np.concatenate([[END], tokens[:-1]]) if len(tokens) else tokens
+        before = np.concatenate([np.array([END], np.int32), tokens[:-1]]) if len(tokens) else tokens
         self.tokens = tokens
         pair, self.pair_of, self.pairs = self._distinct(before, tokens, learned, words, words, tokens)
         # A trigram's context is the pair before; at a document's begin the place after all pairs.
-        context = np.concatenate([[len(pair)], self.pair_of[:-1]]) if len(tokens) else tokens
+        context = np.concatenate([np.array([len(pair)], np.int32), self.pair_of[:-1]]) if len(tokens) else tokens
         context[self.first] = len(pair)
         _, self.trigram_of, self.trigrams = self._distinct(context, tokens, learned, words, np.append(self.pairs.keys, U(END)), self.pair_of)
 
         if "pairs_known" in row:
-            self._learn(self.pairs, self.words, in_order(row["pairs_known"], self._asked_keys(self.pairs, self.words), n))
+            self._learn(self.pairs, self.words, row["pairs_known"])
             self.before = Contexts(np.append(self.pairs.keys, U(END)), np.append(self.pairs.counts, unigrams.ends), np.append(self.pairs.shared, True))
 
     @staticmethod
     def _distinct(context: np.ndarray, word: np.ndarray, learned: np.ndarray, words: np.ndarray, context_keys: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, Grams]:
         """(the distinct n-grams' numbers, each token's n-gram, the n-grams); word: places among words."""
-        gram, first, place = np.unique(context * len(words) + word, return_index=True, return_inverse=True)
-        return gram, place, Grams(hashed(context_keys[context[first]], words[word[first]], word[first] == END), context[first], low[first], np.bincount(place[learned], minlength=len(gram)))
+        gram, one, place = distinct(context.astype(np.int64) * len(words) + word)
+        return gram, place, Grams(hashed(context_keys[context[one]], words[word[one]], word[one] == END), context[one], low[one], np.bincount(place[learned], minlength=len(gram)))
 
     @staticmethod
     def _asked(grams: Grams, contexts: Contexts) -> np.ndarray:
         """The places of the n-grams that are asked for, by their keys: those whose context others may have, too."""
         return ascending(grams.keys, contexts.shared[grams.context] & (contexts.counts[grams.context] > 0))
 
-    def _asked_keys(self, grams: Grams, contexts: Contexts) -> np.ndarray:
-        return grams.keys[self._asked(grams, contexts)]
-
     def question(self, grams: Grams, contexts: Contexts) -> Question:
         at = self._asked(grams, contexts)
         return grams.keys[at], grams.local[at]
@@ -210,14 +207,15 @@ class Block:
         asked = contexts.shared[grams.context] & (contexts.counts[grams.context] > 0)
         return np.array([self.number], U), np.array([(grams.local[~asked] > 0).sum()])
 
-    def _learn(self, grams: Grams, contexts: Contexts, answer: np.ndarray) -> None:
+    def _learn(self, grams: Grams, contexts: Contexts, answers: list[dict] | None) -> None:
         """Takes in the answers to question(); all that wasn't asked for is in this block alone."""
         at = self._asked(grams, contexts)
+        answer = in_order(answers, grams.keys[at], self.parts)
         grams.counts, grams.own, grams.shared = grams.local.copy(), np.ones(len(grams.keys), bool), np.zeros(len(grams.keys), bool)
         grams.counts[at], grams.own[at], grams.shared[at] = answer >> 2, answer & 2 > 0, answer & 1 > 0
 
     def learn_trigrams(self, answers: list[dict]) -> None:
-        self._learn(self.trigrams, self.before, in_order(answers, self._asked_keys(self.trigrams, self.before), self.parts))
+        self._learn(self.trigrams, self.before, answers)
 
     def sums(self, grams: Grams, contexts: Contexts, low: np.ndarray) -> np.ndarray:
         """Rows of sums by context over the block's own n-grams, low being the counts of the order below.
@@ -342,7 +340,7 @@ def _scored(found: DataFrame, buckets: int, ends: int) -> DataFrame:
     def weights(d, low_d):
         def reply(totals: Totals) -> list[bytes]:
             more, kept_, below = masses(totals.counts, d.value, low_d())
-            need = [own[-1] > 0 for own in totals.own]
+            need = totals.last
             return [packed(np.stack([more[p], np.where(yes, kept_[p], 0.0), np.where(yes, below[p], 0.0)])) for p, yes in zip(totals.places, need)]
 
         return reply
