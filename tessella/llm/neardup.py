@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.exchange import BLOCK_ROWS, Question, answered, ask, from_gaps, from_small, gaps, gathered, in_order, packed_ids, parts_of, small, token_blocks, unpacked_ids
+from tessella.llm.exchange import BLOCK_ROWS, Question, answered, ask, distinct, from_gaps, from_small, gaps, gathered, in_order, packed_ids, parts_of, small, token_blocks, unpacked_ids
 from tessella.llm.graph import components
 from tessella.llm.skew import split_join
 from tessella.llm.storage import bounded_batches, discard, small_batches, written
@@ -52,7 +52,7 @@ class Settings:
     words: int = 5
     bands: int = 28
     rows: int = 8
-    block: int = 512
+    block: int = 256
     fine: int = 1024
     members: int = 256
 
@@ -191,7 +191,7 @@ class Block:
         short = np.flatnonzero((ends > 0) & (ends < n))
         few = [grams(hashes[offsets[i] : offsets[i + 1]], int(ends[i])) for i in short]
         h, doc = np.concatenate([whole[within], *few]), np.concatenate([doc[: len(whole)][within], short])
-        self.keys, place = np.unique(h, return_inverse=True)
+        self.keys, _, place = distinct(h)
         each, self.counts = np.unique(doc * max(1, len(self.keys)) + place, return_counts=True)
         self.doc, self.place = np.divmod(each, max(1, len(self.keys)))
         self.begins = np.searchsorted(self.doc, np.arange(len(ends) + 1))
@@ -313,7 +313,8 @@ def verified(pairs: DataFrame, corpus: Corpus, nodes: DataFrame, settings: Setti
         profiles = written(corpus.profiles(nodes.select("node", "block", "at").join(ids, "node")), "profiles")
     turns = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / settings.members).alias("turns"))
     own = profiles.withColumnRenamed("node", "b").join(turns, "b").select("b", F.explode(F.sequence(F.lit(1), F.col("turns"))).alias("turn"), F.lit(None).cast("long").alias("a"), "own", "weights")
-    theirs = pairs.join(turns, "b").join(profiles.withColumnRenamed("node", "a"), "a").select("b", (F.pmod(F.xxhash64("a"), "turns") + 1).alias("turn"), "a", "own", "weights")
+    partners = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners"))
+    theirs = split_join(pairs.join(turns, "b"), profiles.withColumnRenamed("node", "a").join(partners, "a"), "a", "partners", "b", "inner", 16 * settings.members).select("b", (F.pmod(F.xxhash64("a"), "turns") + 1).alias("turn"), "a", "own", "weights")
     rows = own.unionByName(theirs).repartition("b", "turn").sortWithinPartitions("b", "turn", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
