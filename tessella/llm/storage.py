@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
-_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_paths: WeakKeyDictionary[DataFrame, tuple[str, str | None]] = WeakKeyDictionary()  # and the table's name
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +39,7 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
         out = out.partitionBy(*partition_by)
     out.parquet(path)
     found = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
-    _paths[found] = path
+    _paths[found] = path, None
     return found
 
 
@@ -49,14 +49,16 @@ def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
     path, name = new_path(spark, label), f"tessella_{uuid.uuid4().hex}"
     df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
     found = spark.table(name)
-    _paths[found] = path
+    _paths[found] = path, name
     return found
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables of written() that no result still to be computed reads."""
+    """Deletes tables of written() and bucketed() that no result still to be computed reads."""
     for df in tables:
-        spark, path = df.sparkSession, _paths.pop(df, None)
+        spark, (path, name) = df.sparkSession, _paths.pop(df, (None, None))
+        if name:
+            spark.sql(f"drop table if exists {name}")
         if path:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

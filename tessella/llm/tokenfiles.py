@@ -22,6 +22,7 @@ import unicodedata
 import uuid
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -118,16 +119,18 @@ class Encoder:
 
     def _learn(self, words: list[bytes]) -> None:
         """Trailing punctuation behind letters is a pre-token of its own."""
-        pairs = []
-        for w in words:
-            stem = w.rstrip(PUNCTUATION) if self.ends is not None else w
-            pairs.append((stem, w[len(stem) :]) if len(stem) < len(w) and letters(stem) else (w, b""))
-        self._encode(list({p for pair in pairs for p in pair} - self.parts.keys()))
+        first, second = list(words), [b""] * len(words)
+        if self.ends is not None:
+            for i, w in enumerate(words):
+                stem = w.rstrip(PUNCTUATION)
+                if len(stem) < len(w) and letters(stem):
+                    first[i], second[i] = stem, w[len(stem) :]
+        self._encode(list({*first, *second} - self.parts.keys()))
         n = len(self.words)
         while n + len(words) > len(self.two):
             self.two = np.concatenate([self.two, np.zeros_like(self.two)])
-        if words:
-            self.two[n : n + len(words)] = [(self.parts[a], self.parts[b]) for a, b in pairs]
+        for i, own in enumerate((first, second)):
+            self.two[n : n + len(words), i] = np.fromiter(map(self.parts.__getitem__, own), np.int64, len(own))
         self.words.update(zip(words, range(n, n + len(words))))
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,10 +145,11 @@ class Encoder:
         if len(self.words) > CACHED_WORDS:
             self._clear()
         get = self.words.get
-        which = np.array([get(w, -1) for w in words], np.int64)
-        new = np.flatnonzero(which < 0).tolist()
-        self._learn(list({words[i] for i in new}))
-        which[new] = [get(words[i]) for i in new]
+        which = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(which < 0)
+        own = [words[i] for i in new.tolist()]
+        self._learn(list(set(own)))
+        which[new] = np.fromiter(map(get, own), np.int64, len(own))
         parts = self.two[which].ravel()
         stops = self.ends_at[parts]
         starts = self.ends_at[np.maximum(parts - 1, 0)]
