@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import langid, lm, merkle, neardup, pieces, pii, secrets, tokenfiles, warc
+from tessella.llm import centroids, langid, lattice, lm, merkle, neardup, pieces, pii, secrets, spelling, tokenfiles, warc
 from tessella.llm.decontaminate import decontaminate
 from tessella.llm.storage import new_path, written
 
@@ -88,6 +88,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(verdict, ("live", "example")), *_span_columns(secrets.BASE))
 
 
+def op11_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_pii": op2_pii,
@@ -99,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_katz": op9_katz,
     "op10_secrets": op10_secrets,
+    "op11_lattice": op11_lattice,
+    "op12_centroids": op12_centroids,
+    "op13_spelling": op13_spelling,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -126,7 +141,28 @@ SELECT doc_id, {', '.join(columns)}, sha256({text("kind IN ('assign', 'access',
 FROM d LEFT JOIN w USING (rid) GROUP BY rid, doc_id"""
 
 
+def _centroids_sql(s: centroids.Settings = centroids.Settings()) -> str:
+    most = centroids.LIMIT
+    apart = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    rounds = "".join(
+        f""",
+a{i} AS MATERIALIZED (SELECT id, v, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT id, v, k, {apart} AS d FROM x, c{i}) GROUP BY id, v),
+u{i} AS (SELECT k, p, CAST((sum(z) - (sum(z) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS z FROM (SELECT k, unnest(v) AS z, unnest(range(len(v))) AS p FROM a{i}) GROUP BY k, p),
+c{i + 1} AS MATERIALIZED (SELECT k, coalesce(w, c) AS c FROM c{i} LEFT JOIN (SELECT k, list(z ORDER BY p) AS w FROM u{i} GROUP BY k) USING (k))"""
+        for i in range(s.rounds)
+    )
+    return f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE len(embedding) = {s.length}),
+x AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(e, lambda x: CAST(floor(least(greatest(1024 * x, {-most}), {most})) AS BIGINT)) AS v
+ FROM e WHERE len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = {s.length}),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('{s.seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS k, v AS c FROM x QUALIFY k < {s.clusters}){rounds},
+f AS (SELECT id, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT id, k, {apart} AS d FROM x, c{s.rounds}) GROUP BY id)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM f JOIN x USING (id) JOIN c{s.rounds} USING (k)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_centroids": _centroids_sql(),
     "op10_secrets": _secrets_sql(),
     "op6_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
@@ -53,6 +53,14 @@ def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
     return found
 
 
+def columns_of(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """Columns of a table of written(), which discard() then takes for the table."""
+    found = df.select(*columns)
+    if df in _paths:
+        _paths[found] = _paths[df]
+    return found
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of written() and bucketed() that no result still to be computed reads."""
     for df in tables:
