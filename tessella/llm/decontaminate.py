@@ -31,7 +31,10 @@ from tessella.llm.wordhash import U, grams, starts_of_grams, text_words
 
 SPANS = "array<struct<start:int,end:int>>"
 WINDOWS = "array<struct<at:int,h:long>>"
-WINDOW_TYPE = pa.list_(pa.struct([("at", pa.int32()), ("h", pa.int64())]))
+#: A character of some word.
+HAS_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: What an item's row takes besides its text and id, where items are sent to all workers.
+ROW_BYTES = 128
 
 
 def winnowed(hashes: np.ndarray, w: int) -> np.ndarray:
@@ -150,9 +153,9 @@ def as_spans(spans: list[tuple[int, int]]) -> list[dict]:
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 5, broadcast_bytes: int = 16 << 20, null_items: bool = False) -> DataFrame:
     """Per document (id_col): n_words long, spans (hit words, joined, end exclusive), items (their ids as strings).
 
-    The items go to every worker, which keeps their index, while they have at most broadcast_bytes of text
-    (the index takes about 40 bytes a word, some 7 times the text); beyond that, both sides' fingerprints and
-    then their windows are joined by a shuffle.
+    The items with words go to every worker, which keeps their index, while they have at most broadcast_bytes of
+    text, ids and ROW_BYTES a row (the index takes about 40 bytes a word, some 7 times the text); beyond that, both
+    sides' fingerprints and then their windows are joined by a shuffle.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -160,7 +163,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     if not null_items:
         items = items.where("item is not null")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= broadcast_bytes:
+    items = items.where(F.col("text").rlike(HAS_WORD))
+    # An item's id and its row on the driver and in the index count, too.
+    each = F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)) + ROW_BYTES
+    if (items.agg(F.sum(each)).first()[0] or 0) <= broadcast_bytes:
         out = _by_broadcast(docs, items, window, k)
     else:
         out = _by_shuffle(docs, items, window, k)
@@ -198,7 +204,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataF
     First the documents' fingerprints are joined to the items', then the windows that contain a hit to the
     items' windows; only hashes and places are shuffled. Hashes that many documents have are dealt over tasks.
     """
-    key = F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.coalesce("text", F.lit(""))), 256)
+    key = F.sha2(F.to_json(F.struct(F.col("id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t"))), 256)  # a null id has no field
     docs = docs.withColumn("key", key)
     once = docs.dropDuplicates(["key"]).select("key", "text")
 
@@ -234,8 +240,10 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataF
                 whole, reach = grams(words, length).view(np.int64), np.arange(length - n + 1)
                 begins = offsets[text][:, None] + at[:, None] - reach
                 yes = (begins >= offsets[text][:, None]) & (begins + length <= offsets[text + 1][:, None])
-                windows = [[{"at": int(b - o), "h": int(whole[b])} for b in row[y]] for row, y, o in zip(begins, yes, offsets[text])]
-                yield pa.record_batch([pa.array(keys[text], pa.string()), pa.array(np.full(len(h), length), pa.int32()), pa.array(h.view(np.int64)), pa.array(windows, WINDOW_TYPE)], ["key", "length", "h", "windows"])
+                flat = begins[yes]
+                inner = pa.StructArray.from_arrays([pa.array(flat - np.repeat(offsets[text], yes.sum(1)), pa.int32()), pa.array(whole[flat], pa.int64())], names=["at", "h"])
+                windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(yes.sum(1))]), pa.int32()), inner)
+                yield pa.record_batch([pa.array(keys[text], pa.string()), pa.array(np.full(len(h), length), pa.int32()), pa.array(h.view(np.int64)), windows], ["key", "length", "h", "windows"])
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
         """left's rows whose (length, h) right has, with right's items."""

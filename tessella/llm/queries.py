@@ -82,10 +82,14 @@ def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Owners are the sources; the table names no repositories, so that each document counts as one."""
+    """Owners are the sources; the table names no repositories, so that each document counts as one.
+
+    ownership: owners:repositories of each span's value.
+    """
     out = secrets.scan_secrets(table(spark, sf_dir, "documents"), repo_col="doc_id")
     verdict = lambda v: F.size(F.filter("spans", lambda s: s["verdict"] == v)).cast("long").alias(f"n_{v}")
-    return out.select("doc_id", *map(verdict, ("live", "example")), *_span_columns(secrets.BASE))
+    counts = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["owners"], s["repositories"])), ",").alias("ownership")
+    return out.select("doc_id", *map(verdict, ("live", "example")), counts, *_span_columns(secrets.BASE))
 
 
 def op11_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,9 +124,9 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 def _secret_rule_sql(rank: int, kind: str, regex: str, group: int, least: int) -> str:
-    regex = regex.replace("'", "''")
+    regex = regex.replace("'", "''").replace("*+", "*").replace("++", "+").replace("}+", "}")  # RE2 never goes back
     parts = f"regexp_extract_all(t, '{regex}', 0) AS m, regexp_extract_all(t, '{regex}', {group}) AS v, string_split_regex(t, '{regex}') AS g"
-    return f"SELECT rid, owner, {rank} AS rank, '{kind}' AS kind, {least} AS least, {parts} FROM d"
+    return f"SELECT rid, owner, repo, {rank} AS rank, '{kind}' AS kind, {least} AS least, {parts} FROM d"
 
 
 def _secrets_sql() -> str:
@@ -130,14 +134,15 @@ def _secrets_sql() -> str:
     text = lambda cond: f"coalesce(string_agg(kind || ':' || pos || ':' || (pos + n), ',' ORDER BY pos, rank) FILTER ({cond}), '')"
     columns = [count(f"verdict = '{v}'", v) for v in ("live", "example")] + [count(f"kind = '{k}'", k) for k in secrets.BASE]
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(0)) AS owner, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(0)) AS owner, coalesce(CAST(doc_id AS VARCHAR), chr(0)) AS repo, coalesce(text, '') AS t FROM documents),
 a AS ({' UNION ALL '.join(_secret_rule_sql(i, *r) for i, r in enumerate(secrets.RULES))}),
 e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM a WHERE len(m) > 0),
-x AS (SELECT rid, owner, rank, kind, v[i] AS value, kind = 'assign' AND regexp_matches(m[i], '{secrets.PASSWORD}') AS password, length(m[i]) AS n, CAST(list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS pos FROM e WHERE length(v[i]) >= least),
-o AS (SELECT value, count(DISTINCT owner) AS owners FROM x GROUP BY value),
-w AS (SELECT x.*, CASE WHEN owners >= 2 OR regexp_matches(value, '{secrets.PLACEHOLDER}') THEN 'example'
+x AS (SELECT rid, owner, repo, rank, kind, v[i] AS value, kind = 'assign' AND regexp_matches(m[i], '{secrets.PASSWORD}') AS password, length(m[i]) AS n, CAST(list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS pos FROM e WHERE length(v[i]) >= least),
+o AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM x GROUP BY value),
+w AS (SELECT x.*, owners, repos, CASE WHEN owners >= 2 OR repos >= CASE WHEN regexp_matches(value, '{secrets.PLACEHOLDER}') THEN {secrets.HINTED} ELSE {secrets.REPOSITORIES} END THEN 'example'
  WHEN (length(value) >= CASE WHEN password THEN {secrets.SHORT} ELSE {secrets.LONG} END AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')) OR kind IN ('pem', 'github', 'jwt') THEN 'live' ELSE 'weak' END AS verdict FROM x JOIN o USING (value))
-SELECT doc_id, {', '.join(columns)}, sha256({text("kind IN ('assign', 'access', 'hex')")}) AS base_sha256, {text('kind IS NOT NULL')} AS spans
+SELECT doc_id, {', '.join(columns)}, sha256({text("kind IN ('assign', 'access', 'hex')")}) AS base_sha256, {text('kind IS NOT NULL')} AS spans,
+coalesce(string_agg(owners || ':' || repos, ',' ORDER BY pos, rank) FILTER (kind IS NOT NULL), '') AS ownership
 FROM d LEFT JOIN w USING (rid) GROUP BY rid, doc_id"""
 
 

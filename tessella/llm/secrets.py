@@ -2,8 +2,9 @@
 
 Each regex's matches come from regexp_extract_all, their places from the lengths of the pieces
 between them (split by the same regex). Candidate values are hashed; per hash the corpus counts
-distinct owners and repositories. A value that several owners have is a copied example; one that a
-single owner has and that looks random is reported as live.
+distinct owners and repositories. A value that several owners have, or one owner in many repositories, is a
+copied example; a rarer one that looks random is reported as live. A word of documentation in the value is a hint
+only: it lowers the number of repositories that make an example.
 
 Kinds assign, access and hex follow fixed rules (leftmost, non-overlapping per kind, failing matches
 dropped without a retry). The method adds jwt, github and pem spans; pem is the whole key block, to its
@@ -25,15 +26,18 @@ from pyspark.sql import functions as F
 from tessella.llm.skew import split_join
 from tessella.llm.storage import written
 
+#: Matches whose places are gathered at once.
+PART = 128
 _PEM = r"[A-Za-z0-9+/=:,.\s]"
-#: kind, regex, group with the secret value, least length of that value.
+#: kind, regex, group with the secret value, least length of that value. Loops that can't give anything back are possessive
+#: (a possessive group is repeated without recursion), and a jwt's header has a bound, so that each rule takes linear time.
 RULES = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
-    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{1,512}+\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+", 0, 30),
     ("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    ("pem", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_PEM}*(?:-{_PEM}+)*-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\r\n]*)", 0, 20),
+    ("pem", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_PEM}*+(?:-{_PEM}++)*+-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\r\n]*)", 0, 20),
 )
 #: Literals of which each match has one (assign: in lower case).
 LITERALS = {
@@ -48,7 +52,9 @@ BASE = KINDS[:3]
 #: A password is live from this length on, as people choose it; other values look random from LONG on.
 SHORT, LONG = 6, 12
 PASSWORD = r"(?i)^passw"
-#: Words of documentation that mark a value as a placeholder.
+#: Repositories of one owner that make a value an example, and as many if it has a word of documentation.
+REPOSITORIES, HINTED = 10, 2
+#: Words of documentation.
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0000"
 
 
@@ -57,6 +63,12 @@ def _scanned(kind: str, regex: str, least: int) -> str:
     return regex[:-1] + "{%d,}" % least if kind == "hex" else regex
 
 
+def in_parts(items: Column, size: int = PART) -> Column:
+    """An array as arrays of a few items: a list that grows by one item is copied each time, so that only short ones may."""
+    cut = lambda all: F.transform(F.sequence(F.lit(0), F.greatest(F.size(all) - 1, F.lit(0)), F.lit(size)), lambda at: F.slice(all, at + 1, size))
+    return F.transform(F.array(items), cut)[0]  # a variable's value is computed once, an expression's for each part
+
+
 def _matches(rank: int, kind: str, regex: str, group: int, least: int) -> Column:
     """Array of (start, rank, end, kind, value, password) of one rule over the columns text and low (in lower case)."""
     regex = _scanned(kind, regex, least)
@@ -65,7 +77,7 @@ def _matches(rank: int, kind: str, regex: str, group: int, least: int) -> Column
     value = F.regexp_extract_all(text, pattern, F.lit(group)) if group else whole
     found = F.arrays_zip(whole.alias("m"), value.alias("v"), F.split(text, regex, -1).alias("gap"))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string,password:boolean>>")
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    moved = lambda s, by: F.struct((s["start"] + by).alias("start"), s["rank"].alias("rank"), (s["end"] + by).alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), s["password"].alias("password"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -75,10 +87,16 @@ def _matches(rank: int, kind: str, regex: str, group: int, least: int) -> Column
         keep = F.coalesce(F.length(x["v"]) >= least, F.lit(False))
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
+    def add(acc: Column, some: Column) -> Column:
+        own = F.aggregate(some, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
+        return F.struct((acc["at"] + own["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(own["out"], lambda s: moved(s, acc["at"])))).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array(empty).alias("out"))
+    spans = F.aggregate(in_parts(found), begin, add, lambda acc: F.flatten(acc["out"]))
     likely = text.rlike(regex)
     if kind in LITERALS:
         likely = reduce(lambda a, b: a | b, (F.col("low" if kind == "assign" else "text").contains(x) for x in LITERALS[kind])) & likely
-    return F.when(likely, F.aggregate(found, begin, step)["out"]).otherwise(empty)
+    return F.when(likely, spans).otherwise(empty)
 
 
 def _row_key(id_col: str, text_col: str, owner_col: str) -> Column:
@@ -106,7 +124,7 @@ def _names(id_col: str, text_col: str, owner_col: str, repo_col: str | None) ->
     return [_row_key(id_col, text_col, owner_col).alias("key"), owner.alias("owner"), repo.alias("repo")]
 
 
-def judged(found: DataFrame, common_owners: int) -> DataFrame:
+def judged(found: DataFrame, common_owners: int, common_repositories: int) -> DataFrame:
     """Per key of candidates() with spans: the spans with owners, repositories and a verdict."""
     each = found.where("size(spans) > 0").select("key", "owner", "repo", F.explode("spans").alias("s"))
     each = each.withColumn("hash", F.sha2("s.value", 256))
@@ -115,25 +133,26 @@ def judged(found: DataFrame, common_owners: int) -> DataFrame:
     stats = each.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.sum("n").alias("n"), F.count_distinct("owner").cast("long").alias("owners"), F.count_distinct("repo").cast("long").alias("repositories"))
     value = F.col("s.value")
     random = (F.length(value) >= F.when(F.col("s.password"), SHORT).otherwise(LONG)) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    verdict = F.when((F.col("owners") >= common_owners) | value.rlike(PLACEHOLDER), "example").when(random | F.col("s.kind").isin("pem", "github", "jwt"), "live").otherwise("weak")
+    common = F.col("repositories") >= F.when(value.rlike(PLACEHOLDER), F.least(F.lit(HINTED), F.lit(common_repositories))).otherwise(common_repositories)
+    verdict = F.when((F.col("owners") >= common_owners) | common, "example").when(random | F.col("s.kind").isin("pem", "github", "jwt"), "live").otherwise("weak")
     span = F.struct(F.col("s.start").alias("start"), F.col("s.rank").alias("rank"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"), value.alias("value"), F.col("owners"), F.col("repositories"), verdict.alias("verdict"))
     return split_join(each, stats, "hash", "n", "key").groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, common_owners: int = 2) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, common_owners: int = 2, common_repositories: int = REPOSITORIES) -> DataFrame:
     """Per row: id_col and spans (kind, start, end, value, owners, repositories, verdict).
 
-    verdict: example (common_owners owners at least, or a placeholder word), live (one owner, and at
-    least a digit and a letter among 12 characters or more; of what is assigned to a password 6) or weak.
-    Without repo_col an owner is one repository.
+    verdict: example (common_owners owners at least, or common_repositories repositories, HINTED with a word of
+    documentation), live (rarer, and at least a digit and a letter among 12 characters or more; of what is assigned to
+    a password 6) or weak. Without repo_col an owner is one repository.
     """
     found = written(candidates(docs, id_col, text_col, owner_col, repo_col), "secrets")
-    by_row = judged(found, common_owners)
+    by_row = judged(found, common_owners, common_repositories)
     none = F.array().cast(by_row.schema["spans"].dataType)
     return found.drop("spans").join(by_row, "key", "left").select(F.col("id").alias(id_col), F.coalesce("spans", none).alias("spans"))
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, common_owners: int = 2) -> DataFrame:
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, common_owners: int = 2, common_repositories: int = REPOSITORIES) -> DataFrame:
     """docs, each live secret's value replaced by [SECRET] in text_col (and n_chars, if there, counted anew).
 
     Texts are scanned once, and only rows with spans are joined to their verdicts.
@@ -143,18 +162,29 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
     found = spans_of(own, "text", "spans").drop("text").withColumn("n", F.size("spans"))
     found = written(found, "secrets")
     live = F.filter("spans", lambda s: s["verdict"] == "live")
-    spans = judged(found.where("n > 0"), common_owners).select("key", live.alias("live"))
+    spans = judged(found.where("n > 0"), common_owners, common_repositories).select("key", live.alias("live"))
     out = found.where("n > 0").select("row", "key").join(spans, "key", "left")
-    begin, text = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), F.col("row")[text_col]
+    text = F.col("row")[text_col]
+
+    def replaced(acc: Column, some: Column) -> Column:
+        """Some values in a row: the text from the last end to theirs is cut out once, and the rest is done in there."""
+        base = acc["at"]
+        last = F.greatest(base, F.array_max(F.transform(some, lambda s: s["end"])))
+        part = F.substring(text, base + 1, last - base)
+
+        def step(own: Column, s: Column) -> Column:
+            again = s["first"] < own["at"]  # inside what an earlier span has covered
+            more = F.concat(own["out"], F.substring(own["part"], own["at"] - own["base"] + 1, s["first"] - own["at"]), F.lit("[SECRET]"))
+            return F.struct(F.greatest(own["at"], s["end"]).alias("at"), F.when(again, own["out"]).otherwise(more).alias("out"), own["part"].alias("part"), own["base"].alias("base"))
 
-    def step(acc: Column, s: Column) -> Column:
-        again = s["first"] < acc["at"]  # inside what an earlier span has covered
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["first"] - acc["at"]), F.lit("[SECRET]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(again, acc["out"]).otherwise(more).alias("out"))
+        own = F.aggregate(some, F.struct(base.alias("at"), F.lit("").alias("out"), part.alias("part"), base.alias("base")), step)
+        return F.struct(own["at"].alias("at"), F.concat(acc["out"], F.array(own["out"])).alias("out"))
 
     # A value ends its match.
     by_value = F.array_sort(F.transform("live", lambda s: F.struct((s["end"] - F.length(s["value"])).alias("first"), s["end"].alias("end"))))
-    done = F.aggregate(by_value, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), "")
+    done = F.aggregate(in_parts(by_value), begin, replaced, rest)
     out = out.select("row", F.when(F.size("live") > 0, done).alias("done"))
     new = {text_col: F.coalesce("done", text)}
     if "n_chars" in docs.columns:

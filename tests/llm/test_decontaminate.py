@@ -62,6 +62,31 @@ def test_items_without_id(spark, limit):
     assert got == {1: ([(1, 4)], [None]), 2: ([(0, 2)], ["7", None]), 3: ([(0, 4)], ["8", None]), 4: ([], [])}
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_rows_whose_id_and_text_could_be_mixed_up(spark, limit):
+    """A null id before "1:a b" is not id 1 before "a b"."""
+    own = " ".join(f"w{i}" for i in range(12))
+    docs = [(None, f"1:{own}"), (1, own), (1, f"1:{own}"), (None, own), (11, f":{own}"), (1, f"1:{own} x")]
+    items = [(None, own), (1, f"1 {own}"), (2, "1:w0"), (3, "!?"), (4, ""), (5, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.n_words, frozenset(p for s in r.spans for p in range(s.start, s.end)), tuple(r["items"])) for r in decontaminate(d, b, broadcast_bytes=limit).collect()]
+    assert sorted(got, key=str) == brute(docs, [x for x in items if x[0] is not None])
+
+
+def test_many_short_items_are_not_broadcast(spark, monkeypatch):
+    """Rows count, not only texts; rows without words don't."""
+    from tessella.llm import decontaminate as module
+
+    ways = []
+    for way in ("_by_broadcast", "_by_shuffle"):
+        monkeypatch.setattr(module, way, lambda docs, *rest, way=way: ways.append(way) or docs)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for text in ("a", " . "):
+        items = spark.range(1000).selectExpr("id as item_id", f"'{text}' as text")
+        module.decontaminate(docs, items, broadcast_bytes=50_000)
+    assert ways == ["_by_shuffle", "_by_broadcast"]
+
+
 def test_repeated_words_take_linear_time():
     texts = [b"a " * 60_000, b"b c " * 30_000]
     index = Items([("x", b"a " * 3_000), ("y", b"b c " * 1_500), *((str(i), b"a " * 40) for i in range(300))], 10, 5)
