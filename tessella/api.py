@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.model import TOP_MERGE_ZOOM
+from tessella.model import LEAF_ZOOM, TOP_MERGE_ZOOM
 from tessella.operators.packed import ingest_tiles, merge_level
+from tessella.operators.pixels import parents
 from tessella.plans.planner import execute
 from tessella.sources import read_tiles
+from tessella.sources.scratch import written
 from tessella.sources.store import TileStore
 
 
@@ -25,6 +28,27 @@ def build_pyramid(store: TileStore, version: str, base: str | None = None, first
         store.put(merge_level(store.tiles(version), z, store.tiles(base) if base else None, force), version)
 
 
+def update(store: TileStore, tiles: DataFrame, version: str, base: str | None = None, leaf: int = LEAF_ZOOM) -> int:
+    """Upserts leaf tiles (z, x, y, crc32, data) and rebuilds only their ancestors; how many of these changed.
+
+    A zoom's parents are made of the tiles that changed below; those whose bytes come out as they were are neither
+    written nor followed up.
+    """
+    tiles = written(tiles, "update")
+    store.put(tiles, version)
+    touched, n = tiles.select("x", "y").distinct(), 0
+    for z in range(leaf - 1, -1, -1):
+        made = merge_level(store.tiles(version), z, store.tiles(base) if base else None, only=parents(touched))
+        same = store.tiles(version, z).select("x", "y", F.col("crc32").alias("crc32"))
+        made = written(made.join(same, ["x", "y", "crc32"], "left_anti").select("z", "x", "y", "crc32", "data"), "update")
+        changed = made.count()
+        if not changed:
+            break
+        store.put(made, version)
+        touched, n = made.select("x", "y"), n + changed
+    return n
+
+
 def run_plan(spark: SparkSession, jobs: DataFrame, archive_of: dict, store: TileStore) -> int:
     """Ingests and merges the jobs of a plan; archive_of: path by time."""
     def run(job: dict) -> None:

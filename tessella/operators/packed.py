@@ -87,11 +87,6 @@ def _undiff(base: bytes | None, delta: bytes | None) -> bytes | None:
     return None if a is None or b is None or a.shape != b.shape else png.encode(np.where(b == 0, a, b))
 
 
-def _merge(a: bytes | None, b: bytes | None, c: bytes | None, d: bytes | None) -> bytes | None:
-    whole = merged([_opened(x) for x in (a, b, c, d)])
-    return None if whole is None else png.encode(whole)
-
-
 def requantise(data: Column) -> Column:
     return _udf(T.BinaryType(), _requantise)(data)
 
@@ -104,10 +99,6 @@ def tile_undiff(base: Column, delta: Column) -> Column:
     return _udf(T.BinaryType(), _undiff)(base, delta)
 
 
-def merge_quad(a: Column, b: Column, c: Column, d: Column) -> Column:
-    return _udf(T.BinaryType(), _merge)(a, b, c, d)
-
-
 def to_tiles(pixels: DataFrame, z: int, side: int) -> DataFrame:
     """Pixels to tiles: rows come sorted by tile, whose pixels are set in one array; memory holds one tile and a batch."""
     xy = [F.expr(f"cast(g{c} div {side} as int)").alias(c) for c in "xy"]
@@ -144,6 +135,12 @@ def to_tiles(pixels: DataFrame, z: int, side: int) -> DataFrame:
     return data.select(F.lit(z).alias("z"), "x", "y", F.crc32("data").alias("crc32"), "data")
 
 
+def blank_tiles(keys: DataFrame, z: int, side: int) -> DataFrame:
+    """Transparent tiles for keys (x, y): what an upsert needs where the last pixel has gone."""
+    data = F.lit(bytearray(png.encode(np.zeros((side, side), np.uint8))))
+    return keys.select(F.lit(z).alias("z"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.crc32(data).alias("crc32"), data.alias("data"))
+
+
 def to_pixels(tiles: DataFrame, side: int) -> DataFrame:
     """z, gx, gy, color of all visible pixels; unreadable tiles have none."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,35 +166,79 @@ def ingest_tiles(source: DataFrame, target: DataFrame, base: DataFrame | None =
     return rows.where("d.changed").select(*KEYS, "crc32", F.col("d.data").alias("data"))
 
 
-def children_of(tiles: DataFrame) -> DataFrame:
-    """Parents x, y with their children's images q0 to q3: each place is collected by itself, an image at most."""
-    place = F.col("x").bitwiseAND(1) + F.col("y").bitwiseAND(1) * 2
-    quads = [F.get(F.collect_list(F.when(place == i, F.col("data"))), F.lit(0)).alias(f"q{i}") for i in range(4)]
-    return tiles.groupBy(F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y")).agg(*quads)
+def parents_of(tiles: DataFrame) -> DataFrame:
+    """Parents (x, y) of tiles (x, y, data): data (null if none can be made) and sizes, how many different ones their children have.
+
+    Children come sorted by parent and place, so that a task holds four images. Of repeated tiles that with the
+    least hash is taken; unreadable ones count as absent.
+    """
+    place = (F.col("x").bitwiseAND(1) + F.col("y").bitwiseAND(1) * 2).cast("int")
+    rows = tiles.select(F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y"), place.alias("place"), F.xxhash64("data").alias("h"), "data")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent, quads = None, [None] * 4
+        done: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int32())
+            out = pa.record_batch([pa.array([d[i] for d in done], t) for i, t in enumerate(kinds)], ["x", "y", "data", "sizes"])
+            done.clear()
+            return out
+
+        def close() -> None:
+            whole = merged(quads)
+            done.append((*parent, None if whole is None else png.encode(whole), len({q.shape for q in quads if q is not None})))
+
+        for batch in batches:
+            x, y, place, _, data = batch.columns
+            for at, own, here in zip(zip(x.to_pylist(), y.to_pylist()), place.to_pylist(), data):
+                if at != parent:
+                    if parent:
+                        close()
+                    parent, quads, seen = at, [None] * 4, set()
+                if own not in seen:
+                    seen.add(own)
+                    quads[own] = _opened(here.as_buffer() if here.is_valid else None)
+            if len(done) > 64:
+                yield flush()
+        if parent:
+            close()
+            yield flush()
+
+    return rows.repartition("x", "y").sortWithinPartitions("x", "y", "place", "h").mapInArrow(merge, "x int, y int, data binary, sizes int")
 
 
 def merge_failures(target: DataFrame, z: int) -> DataFrame:
     """Parents at zoom z (x, y) that merge_level leaves out although they have a readable child: those whose children differ in size."""
-    rows = children_of(target.where(F.col("z") == z + 1).select("x", "y", "data"))
-    sizes = _udf(T.IntegerType(), lambda *quads: len({q.shape for q in map(_opened, quads) if q is not None}))
-    return rows.where(sizes(*(F.col(f"q{i}") for i in range(4))) > 1).select("x", "y")
+    return parents_of(target.where(F.col("z") == z + 1).select("x", "y", "data")).where("sizes > 1").select("x", "y")
 
 
-def merge_level(target: DataFrame, z: int, base: DataFrame | None = None, force: bool = False) -> DataFrame:
+def merge_level(target: DataFrame, z: int, base: DataFrame | None = None, force: bool = False, only: DataFrame | None = None) -> DataFrame:
     """Parents at zoom z of target's tiles at z + 1; with a base, target holds deltas and so does the result.
 
-    crc32 is of the stored bytes. Parents that target has already are left out unless forced.
+    crc32 is of the stored bytes. Parents that target has already are left out unless forced. With only (x, y), these
+    parents alone are made, whether target has them or not; a delta that comes to nothing then stays as an empty
+    one where target has its tile.
     """
-    children = target.where(F.col("z") == z + 1).select("x", "y", "data")
     xy = ["x", "y"]
+    children = target.where(F.col("z") == z + 1).select(*xy, "data")
+    if only is not None:
+        up = {f"__{c}": F.shiftright(c, 1) for c in xy}
+        named = only.select(*(F.col(c).alias(f"__{c}") for c in xy)).distinct()
+        children = children.withColumns(up).join(named, list(up), "left_semi").select(*xy, "data")
+    elif not force:
+        had = target.where(F.col("z") == z).select(*(F.col(c).alias(f"__{c}") for c in xy))
+        children = children.withColumns({f"__{c}": F.shiftright(c, 1) for c in xy}).join(had, ["__x", "__y"], "left_anti").select(*xy, "data")
     if base is not None:
-        old = base.where(F.col("z") == z + 1).select("x", "y", F.col("data").alias("old"))
-        children = children.join(old, xy).select("x", "y", tile_undiff(F.col("old"), F.col("data")).alias("data"))
-    rows = children_of(children)
-    if not force:
-        rows = rows.join(target.where(F.col("z") == z).select(*xy), xy, "left_anti")
-    rows = rows.withColumn("data", merge_quad(*(F.col(f"q{i}") for i in range(4)))).where("data is not null").select(*xy, "data")
+        old = base.where(F.col("z") == z + 1).select(*xy, F.col("data").alias("old"))
+        children = children.join(old, xy).select(*xy, tile_undiff(F.col("old"), F.col("data")).alias("data"))
+    rows = parents_of(children).where("data is not null").select(*xy, "data")
     if base is not None:
-        old = base.where(F.col("z") == z).select("x", "y", F.col("data").alias("old"))
-        rows = rows.join(old, xy, "left").withColumn("d", tile_diff(F.col("old"), F.col("data"))).where("d.changed").select(*xy, F.col("d.data").alias("data"))
+        old = base.where(F.col("z") == z).select(*xy, F.col("data").alias("old"))
+        rows = rows.join(old, xy, "left").withColumn("d", tile_diff(F.col("old"), F.col("data")))
+        kept = F.col("d.changed")
+        if only is not None:
+            rows = rows.join(target.where(F.col("z") == z).select(*xy, F.lit(True).alias("had")), xy, "left")
+            kept = kept | F.coalesce("had", F.lit(False))
+        rows = rows.where(kept).select(*xy, F.col("d.data").alias("data"))
     return rows.select(F.lit(z).alias("z"), *xy, F.crc32("data").alias("crc32"), "data")

@@ -198,6 +198,45 @@ def pyramid(pixels: DataFrame, leaf_zoom: int, coarsest: int = 0, strategy: str
     return reduce(DataFrame.unionAll, levels)
 
 
+def _within(pixels: DataFrame, tiles: DataFrame, side: int, how: str = "left_semi", up: int = 0) -> DataFrame:
+    """Pixels (gx, gy, color) in tiles (x, y); up: of how many zooms above the tiles are."""
+    span = side << up
+    own = pixels.withColumns({"x": F.expr(f"gx div {span}").cast("int"), "y": F.expr(f"gy div {span}").cast("int")})
+    return own.join(tiles.select("x", "y"), ["x", "y"], how).select(*AT, "color")
+
+
+def refreshed(pixels: DataFrame, touched: DataFrame, levels: DataFrame, leaf_zoom: int, side: int, keep: Callable[[DataFrame], DataFrame], coarsest: int = 0, strategy: str = "majority") -> tuple[DataFrame, DataFrame]:
+    """What a change of leaf tiles does to a pyramid: (pixels z, gx, gy, color of the rebuilt tiles, their z, x, y).
+
+    pixels is the new leaf map, touched (x, y) the leaf tiles that may have changed, levels (z, gx, gy, color) the pyramid
+    of the map before. Only parents of changed tiles are built, of their four children; one that comes out as it was
+    isn't rebuilt, and nothing above it is. Each zoom reads the level's pixels under these parents alone, and is written
+    (keep) before the next; it ends where no tile changes. `patched` puts the result in place.
+    """
+    now, dirty, new, keys = pixels.select(*AT, "color"), touched.select("x", "y").distinct(), [], []
+    for z in range(leaf_zoom - 1, coarsest - 1, -1):
+        above = parents(dirty)
+        children = _within(now, above, side, up=1)
+        if z < leaf_zoom - 1:  # now: the rebuilt tiles of the zoom below; the other children are as before
+            before = levels.where(F.col("z") == z + 1).select(*AT, "color")
+            children = children.unionByName(_within(_within(before, above, side, up=1), dirty, side, "left_anti"))
+        made = keep(downsample(children, strategy))
+        old = _within(levels.where(F.col("z") == z), above, side)
+        dirty = keep(tile_of(compared(old, made).where("b <> n"), side).select("x", "y").distinct())
+        now = keep(_within(made, dirty, side))
+        new.append(now.select(F.lit(z).alias("z"), *AT, "color"))
+        keys.append(dirty.select(F.lit(z).alias("z"), "x", "y"))
+        if dirty.isEmpty():
+            break
+    return reduce(DataFrame.unionAll, new), reduce(DataFrame.unionAll, keys)
+
+
+def patched(levels: DataFrame, pixels: DataFrame, tiles: DataFrame, side: int) -> DataFrame:
+    """levels (z, gx, gy, color) with the rebuilt tiles (z, x, y) replaced by their new pixels."""
+    kept = tile_of(levels, side).join(tiles.select("z", "x", "y"), ["z", "x", "y"], "left_anti").select("z", *AT, "color")
+    return kept.unionByName(pixels.select("z", *AT, "color"))
+
+
 def diff_level(target: DataFrame, target_tiles: DataFrame, base: DataFrame, base_tiles: DataFrame, base_parents: DataFrame, base_parent_tiles: DataFrame, side: int, existing: DataFrame | None = None, propagate_new: bool = False) -> tuple[DataFrame, DataFrame]:
     """One zoom step of a delta map: (pixels, tiles x, y) of the parents' delta.
 
@@ -250,6 +289,32 @@ def diff_pyramid(base: DataFrame, new: DataFrame, leaf_zoom: int, side: int, kee
     return reduce(DataFrame.unionAll, levels)
 
 
+def delta_levels(base: DataFrame, delta: DataFrame, touched: DataFrame, levels: DataFrame, leaf_zoom: int, side: int, keep: Callable[[DataFrame], DataFrame], coarsest: int = 0) -> DataFrame:
+    """diff_pyramid of a base whose own pyramid is stored: z, gx, gy, color, the same rows.
+
+    base: its leaf map; levels (z, gx, gy, color): its pyramid; delta: the leaf delta's pixels, touched (x, y) its tiles.
+    Each zoom reads of the base only what lies under parents of delta tiles, so that time follows the delta.
+    """
+    live, top, out = touched.select("x", "y").distinct(), base.select(*AT, "color"), []
+    for z in range(leaf_zoom - 1, coarsest - 1, -1):
+        # A delta tile counts if the base has the tile.
+        own = keep(_within(top, live, side))
+        live = live.join(tile_of(own, side).select("x", "y").distinct(), ["x", "y"], "left_semi")
+        made = keep(parents(live))
+        merged = downsample(undiff(own, _within(delta, live, side)))
+        top = levels.where(F.col("z") == z).select(*AT, "color")
+        old = keep(_within(top, made, side))
+        has = tile_of(old, side).select("x", "y").distinct().withColumn("has", F.lit(True))
+        both = keep(tile_of(compared(old, merged), side).join(has, ["x", "y"], "left").where("b <> n"))
+        delta = both.where("n <> 0").select(*AT, F.col("n").alias("color"))
+        fresh = made.join(has, ["x", "y"], "left_anti")
+        live = keep(both.where("has").select("x", "y").distinct().unionByName(fresh))
+        out.append(delta.select(F.lit(z).alias("z"), *AT, "color"))
+        if live.isEmpty():
+            break
+    return reduce(DataFrame.unionAll, out)
+
+
 def _delta_parents(pixels: DataFrame) -> DataFrame:
     """gx, gy, b, u and made of the level above: majorities of the base and of the base overlaid by the delta in live tiles."""
     place = _quarter()

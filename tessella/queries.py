@@ -17,12 +17,15 @@ from tessella.model import COLORS, LEAF_ZOOM, color_channels
 from tessella.operators import packed
 from tessella.operators import pixels as px
 from tessella.plans import planner
+from tessella import api
 from tessella.sources import read_tiles, writers
 from tessella.sources.scratch import scratch, written
+from tessella.sources.store import TileStore
 from tessella.streaming import daily
 
 SIDE, LEAF = 8, 6  # tiles of 8 x 8 pixels: 64 x 64 tiles at zoom 6
 BASE_DAY = "1995-06-01"
+LATE_DAY = "1998-06-01"  # a fourteenth of the writes come later
 ORDER = ["l_shipdate", "l_orderkey", "l_linenumber"]
 EPOCH = "2024-01-01"
 
@@ -291,6 +294,45 @@ def pyramid_diff_levels(spark: SparkSession, sf: str) -> DataFrame:
     return px.diff_pyramid(old(spark, sf), state(spark, sf), LEAF, SIDE, lambda df: written(df, "delta"))
 
 
+def late_update(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(map before LATE_DAY, its pyramid, map after it, leaf tiles that differ), written."""
+    keep = lambda df: written(df, "late")
+    base, new = keep(state(spark, sf, LATE_DAY)), keep(state(spark, sf))
+    return base, px.pyramid(base, LEAF, side=SIDE, keep=keep), new, keep(px.changed_tiles(base, new, SIDE))
+
+
+@query(ORACLE_SQL["pyramid_all_levels"])
+def pyramid_refreshed(spark: SparkSession, sf: str) -> DataFrame:
+    """The pyramid of the map before the last writes, brought up to date: only ancestors of changed tiles are rebuilt."""
+    _, levels, new, touched = late_update(spark, sf)
+    pixels, tiles = px.refreshed(new, touched, levels, LEAF, SIDE, lambda df: written(df, "refreshed"))
+    return px.patched(levels, pixels, tiles, SIDE)
+
+
+_LATE = f"WITH {LI},\n{_state_sql('new')},\n{_state_sql('old', LATE_DAY)}"
+
+
+@query(_diff_sql(5, 4, 3, 2, 1, 0).replace(OLD, _LATE))
+def pyramid_delta_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """All zoom steps of the delta of the last writes, on a base with a stored pyramid."""
+    base, levels, new, touched = late_update(spark, sf)
+    return px.delta_levels(base, px.diff(base, new), touched, levels, LEAF, SIDE, lambda df: written(df, "delta"))
+
+
+@query(ORACLE_SQL["pyramid_all_levels"])
+def packed_update(spark: SparkSession, sf: str) -> DataFrame:
+    """A store of PNG tiles and its pyramid, upserted with the tiles of the last writes: zooms below the leaf's, as pixels."""
+    base, _, new, touched = late_update(spark, sf)
+    store = TileStore(spark, scratch(spark, "store"))
+    store.put(packed.to_tiles(base, LEAF, SIDE), "v1")
+    for z in range(LEAF - 1, -1, -1):
+        store.put(packed.merge_level(store.tiles("v1"), z), "v1")
+    changed = written(packed.to_tiles(px.tile_of(new, SIDE).join(touched.select("x", "y"), ["x", "y"], "left_semi"), LEAF, SIDE), "changed")
+    gone = touched.join(changed, ["x", "y"], "left_anti")
+    api.update(store, changed.unionByName(packed.blank_tiles(gone, LEAF, SIDE)), "v1", leaf=LEAF)
+    return packed.to_pixels(store.tiles("v1").where(F.col("z") < LEAF), SIDE)
+
+
 @query(f"{OLD} SELECT DISTINCT CAST(x // 2 AS INTEGER) AS x, CAST(y // 2 AS INTEGER) AS y FROM (SELECT {XY} FROM new) EXCEPT SELECT DISTINCT CAST(gx // 16 AS INTEGER), CAST(gy // 16 AS INTEGER) FROM old WHERE gx < 256")
 def merge_skip_existing(spark: SparkSession, sf: str) -> DataFrame:
     """Parents that a store doesn't have yet."""
