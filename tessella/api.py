@@ -50,11 +50,25 @@ def update(store: TileStore, tiles: DataFrame, version: str, base: str | None =
 
 
 def run_plan(spark: SparkSession, jobs: DataFrame, archive_of: dict, store: TileStore) -> int:
-    """Ingests and merges the jobs of a plan; archive_of: path by time."""
+    """Ingests and merges the jobs of a plan; archive_of: path by time. How many were still to do.
+
+    A job works on a draft of the store and is published with its name at the end, in one step: readers see whole
+    jobs only. A plan that died is run again: jobs that the store has as done are left out, the one it died in
+    starts from what was published before it.
+    """
+    ran = 0
+
     def run(job: dict) -> None:
+        nonlocal ran
+        if job["name"] in store.head()["jobs"]:
+            return
         version = job["name"].partition("_")[0]
         base = job["base"].partition("_")[0] if job["is_diff"] else None
-        ingest(spark, archive_of[job["dt"]], store, version, base)
-        build_pyramid(store, version, base)
+        draft = store.begin()
+        ingest(spark, archive_of[job["dt"]], draft, version, base)
+        build_pyramid(draft, version, base)
+        draft.publish(job["name"])
+        ran += 1
 
-    return execute(jobs, run)
+    execute(jobs, run)
+    return ran

@@ -23,9 +23,10 @@ def latest(writes: DataFrame, order: list[str], keys: list[str] = AT, value: str
     return writes.groupBy(*keys).agg(last["__value"].alias(value))
 
 
-def upsert(store: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """store with incoming rows in place of those with equal keys; of several incoming ones any."""
-    return store.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming.dropDuplicates(keys))
+def upsert(store: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """store with incoming rows in place of those with equal keys; of several incoming ones the first by order, or any."""
+    first = incoming.dropDuplicates(keys) if order is None else incoming.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+    return store.join(incoming.select(*keys), keys, "left_anti").unionByName(first)
 
 
 def tile_of(pixels: DataFrame, side: int) -> DataFrame:

@@ -212,6 +212,102 @@ def test_store(spark, tmp_path):
         TileStore(spark, store.path, read_only=True).put(t((11, 1, 1, 1, b"x")), "v1")
 
 
+def test_snapshots(spark, tmp_path, monkeypatch):
+    """Readers see an upsert whole or not at all; a draft when it is published; what died leaves no trace."""
+    store = TileStore(spark, str(tmp_path / "store"))
+    t = lambda *rows: spark.createDataFrame([(z, x, y, c, d) for z, x, y, c, d in rows], "z int, x int, y int, crc32 long, data binary")
+    rows = lambda s: sorted((r.version, r.z, r.x, r.y, bytes(r.data)) for r in s.tiles().collect())
+    store.put(t((11, 1, 1, 1, b"a"), (11, 900, 1, 2, b"b")), "v1")
+    seen = store.tiles()
+    store.put(t((11, 1, 2, 3, b"c"), (11, 1, 1, 9, b"z"), (11, 1, 1, 4, b"d")), "v1")  # of two the least checksum
+    first = [("v1", 11, 1, 1, b"d"), ("v1", 11, 1, 2, b"c"), ("v1", 11, 900, 1, b"b")]
+    assert rows(store) == first and seen.count() == 2
+    draft = store.begin()
+    draft.put(t((11, 1, 1, 5, b"e")), "v1")
+    draft.put(t((11, 7, 7, 6, b"f")), "v2")
+    assert rows(store) == first and len(rows(draft)) == 4
+    draft.publish("job")
+    assert rows(store) == rows(draft) and store.head()["jobs"] == ["job"]
+    late = store.begin()
+    store.put(t((11, 2, 2, 1, b"g")), "v2")
+    late.put(t((11, 3, 3, 1, b"h")), "v2")
+    with pytest.raises(RuntimeError, match="another writer"):
+        late.publish()
+    before = rows(store)
+    monkeypatch.setattr(TileStore, "_add", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        store.put(t((11, 1, 1, 7, b"x")), "v1")
+    monkeypatch.undo()
+    assert rows(store) == before == rows(TileStore(spark, store.path))
+    assert store.vacuum() >= 2 and rows(store) == before and len(store._numbers()) == 1
+    store.put(t().limit(0), "v1")
+    assert rows(store) == before
+
+
+def test_restart(spark, tmp_path, monkeypatch):
+    """A plan that dies within a job, or between two, ends in the same store when it is run again."""
+    rng = random.Random(6)
+    maps = {datetime(2025, 1, d): world(rng, 12, 16) for d in (7, 8)}
+    for day, pixels in maps.items():
+        for r in packed.to_tiles(frame(spark, pixels), 11, 8).collect():
+            path = tmp_path / str(day.day) / str(r.x) / f"{r.y}.png"
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(r.data)
+    archives = spark.createDataFrame([(d, 1, 24 * (d.day - 7)) for d in maps], "dt timestamp, major int, minor int")
+    jobs = planner.plan(archives, planner.done(spark.createDataFrame([], "name string, is_dir boolean, ord long")))
+    where = {d: str(tmp_path / str(d.day)) for d in maps}
+    whole, store = (TileStore(spark, str(tmp_path / n)) for n in ("whole", "store"))
+    rows = lambda s: sorted((r.version, r.z, r.x, r.y, r.crc32, bytes(r.data)) for r in s.tiles().collect())
+    assert api.run_plan(spark, jobs, where, whole) == 2
+    real, left = api.build_pyramid, [1, 0]
+
+    def dies(draft, *rest, **more):
+        real(draft, *rest, first=9, **more)  # half a job
+        if not left.pop():
+            raise KeyboardInterrupt
+        real(draft, *rest, force=True, **more)
+
+    monkeypatch.setattr(api, "build_pyramid", dies)
+    with pytest.raises(KeyboardInterrupt):
+        api.run_plan(spark, jobs, where, store)
+    assert [r.version for r in store.catalog().collect()] == [] and store.head()["jobs"] == []
+    monkeypatch.setattr(api, "build_pyramid", real)
+    assert api.run_plan(spark, jobs.where("not is_diff"), where, store) == 1
+    assert len(store.head()["jobs"]) == 1 and api.run_plan(spark, jobs, where, store) == 1 and api.run_plan(spark, jobs, where, store) == 0
+    assert rows(store) == rows(whole)
+
+
+def test_update_rebuilds_ancestors_only(spark, tmp_path):
+    """Equal to a full rebuild, as a base and as a delta; a change that doesn't show above stops there."""
+    rng = random.Random(8)
+    base, new = world(rng, 60, 32), None
+    new = base | world(rng, 6, 32)
+    store = TileStore(spark, str(tmp_path / "store"))
+    z = 3
+    tiles = lambda pixels: packed.to_tiles(frame(spark, pixels), z, 4)
+    images = lambda s, v: {(r.z, r.x, r.y): bytes(r.data) for r in s.tiles(v).collect()}
+    for version, pixels in (("old", base), ("v1", base), ("full", new)):
+        store.put(tiles(pixels), version)
+        for level in range(z - 1, -1, -1):
+            store.put(packed.merge_level(store.tiles(version), level), version)
+    changed = {k[0] // 4 * 100 + k[1] // 4 for k in new if base.get(k) != new[k]}
+    some = tiles(new).where((F.col("x") * 100 + F.col("y")).isin(*changed))
+    n = api.update(store, some, "v1", leaf=z)
+    assert images(store, "v1") == images(store, "full") and 0 < n <= 3 * len(changed)
+    assert api.update(store, some, "v1", leaf=z) == 0
+    delta = packed.ingest_tiles(tiles(new), store.tiles("none"), store.tiles("old"))
+    store.put(delta, "d")
+    for level in range(z - 1, -1, -1):
+        store.put(packed.merge_level(store.tiles("d"), level, store.tiles("old")), "d")
+    want = packed.to_pixels(store.tiles("d"), 4).collect()
+    first = delta.orderBy("x", "y").limit(2)
+    store.put(delta.join(first, ["x", "y"], "left_anti"), "e")
+    for level in range(z - 1, -1, -1):
+        store.put(packed.merge_level(store.tiles("e"), level, store.tiles("old")), "e")
+    api.update(store, first, "e", base="old", leaf=z)
+    assert sorted(want) == sorted(packed.to_pixels(store.tiles("e"), 4).collect())
+
+
 def test_jobs(spark, tmp_path):
     rng = random.Random(4)
     base, new = world(rng, 40, 16), world(rng, 30, 16)
