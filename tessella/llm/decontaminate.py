@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.skew import split_join
-from tessella.llm.storage import bounded_batches, discard, written
+from tessella.llm.storage import bounded_batches, discard, trimmed, written
 from tessella.llm.wordhash import U, grams, starts_of_grams, text_words
 
 SPANS = "array<struct<start:int,end:int>>"
@@ -195,7 +195,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, window: int, k: int) -> Dat
             spans, names = _index(name, rows.value, window, k).hits(words, offsets)
             yield pa.record_batch([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array([as_spans(s) for s in spans], SPAN_TYPE), pa.array(names, pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
 
-    return docs.mapInArrow(scan, f"id {kind}, n_words long, spans {SPANS}, items array<string>")
+    return docs.mapInArrow(trimmed(scan), f"id {kind}, n_words long, spans {SPANS}, items array<string>")
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
@@ -251,7 +251,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataF
         n = left.groupBy("length", "h").agg(F.count(F.lit(1)).alias("n"))
         return split_join(both(left), both(right.join(n, ["length", "h"])), "lh", "n", "key", "inner").select("*", "lh.length", "lh.h").drop("lh")
 
-    prints = written(once.mapInArrow(of_docs, f"key string, length int, h long, windows {WINDOWS}"), "fingerprints")
+    prints = written(once.mapInArrow(trimmed(of_docs), f"key string, length int, h long, windows {WINDOWS}"), "fingerprints")
     hit = met(prints, known.where("not whole").select("length", "h"))
     windows = hit.select("key", "length", F.explode("windows").alias("w")).select("key", "length", "w.at", "w.h").distinct()
     windows = met(written(windows, "windows"), known.where("whole").groupBy("length", "h").agg(F.collect_set(F.struct("item")).alias("names")))

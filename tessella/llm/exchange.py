@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.storage import trimmed
 from tessella.llm.wordhash import U, mix, text_words
 
 BLOCK_TOKENS = 1 << 18
@@ -131,7 +132,7 @@ def ask(blocks: DataFrame, questions: Callable[[dict], list[Question]], n: int)
                     columns = [pa.array(own + np.int32(i * n), pa.int32()), pa.array([row["block"]] * len(own), pa.int64()), pa.array([gaps(keys[x]) for x in mine], pa.binary()), pa.array([small(counts[..., x]) for x in mine], pa.binary())]
                     yield pa.record_batch(columns, ["part", "block", "keys", "counts"])
 
-    return blocks.mapInArrow(run, "part int, block long, keys binary, counts binary")
+    return blocks.mapInArrow(trimmed(run), "part int, block long, keys binary, counts binary")
 
 
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.storage import bounded_batches
+from tessella.llm.storage import bounded_batches, trimmed
 
 GRAM_BITS = 16
 SHARPNESS, PENALTY, PRIOR = 0.5, 8.0, 0.3
@@ -240,7 +240,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             spans = [[{"lang": k, "start": a, "end": b} for k, a, b in s] for _, _, s in found]
             yield pa.record_batch([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array(spans, span)], ["id", "lang_pred", "score", "spans"])
 
-    return docs.mapInArrow(run, f"id {kind}, lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>").withColumnRenamed("id", id_col)
+    return docs.mapInArrow(trimmed(run), f"id {kind}, lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>").withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tessella.llm.exchange import BLOCK_ROWS, Question, answered, ask, distinct, from_gaps, from_small, gaps, gathered, in_order, packed_ids, parts_of, small, token_blocks, unpacked_ids
 from tessella.llm.graph import components
 from tessella.llm.skew import split_join
-from tessella.llm.storage import bounded_batches, discard, small_batches, written
+from tessella.llm.storage import bounded_batches, discard, small_batches, trimmed, written
 from tessella.llm.wordhash import U, grams, mix, text_words
 
 TABLE_BITS = 13  # so that the tables of the usual weights stay in the processor's cache
@@ -175,7 +175,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             data = {"block": number, "rows": len(ends), "ids": packed_ids(pa.concat_arrays([p.column(0) for p in parts])), "digests": digests, "ends": small(ends), "tokens": small(tokens), "words": gaps(different)}
             yield pa.record_batch([pa.array([v]) for v in data.values()], list(data))
 
-    return docs.select("id", "text").mapInArrow(run, BLOCK)
+    return docs.select("id", "text").mapInArrow(trimmed(run), BLOCK)
 
 
 class Block:
@@ -247,7 +247,7 @@ class Corpus:
                     columns = [unpacked_ids(block.ids), pa.array(digests, pa.binary()), pa.array(np.full(block.rows, row["block"])), pa.array(np.arange(block.rows, dtype=np.int32)), pa.array(bytes_, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
                     yield pa.record_batch(columns, ["id", "digest", "block", "at", "samples", "bands"])
 
-        return self.known.mapInArrow(run, "id long, digest binary, block long, at int, samples binary, bands array<long>")
+        return self.known.mapInArrow(trimmed(run), "id long, digest binary, block long, at int, samples binary, bands array<long>")
 
     def profiles(self, wanted: DataFrame, fine: int = 0) -> DataFrame:
         """Of the wanted (node, block, at): node, its shingles and weights, or with fine so many samples."""
@@ -269,7 +269,7 @@ class Corpus:
                         columns = [[x[a:b].tobytes() for a, b in zip(begins, ends)] for x in (block.keys[block.place], weights)]
                     yield pa.record_batch([nodes, *(pa.array(c, pa.binary()) for c in columns)], ["node", "own", "weights"])
 
-        return self.known.join(lists, "block").mapInArrow(run, "node long, own binary, weights binary")
+        return self.known.join(lists, "block").mapInArrow(trimmed(run), "node long, own binary, weights binary")
 
 
 def block_groups(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -298,7 +298,7 @@ def like(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
             yes = (x == y).mean(axis=1) >= least if batch.num_rows else np.zeros(0, bool)
             yield batch.select([0, 1]).filter(pa.array(yes))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(trimmed(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, corpus: Corpus, nodes: DataFrame, settings: Settings) -> DataFrame:
@@ -329,7 +329,7 @@ def verified(pairs: DataFrame, corpus: Corpus, nodes: DataFrame, settings: Setti
                     out.append((a, b, score))
             yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
 
-    links = written(rows.mapInArrow(run, "a long, b long, similarity double"), "verified")
+    links = written(rows.mapInArrow(trimmed(run), "a long, b long, similarity double"), "verified")
     discard(pairs, profiles)
     return links
 
@@ -367,7 +367,7 @@ def across(rows: DataFrame, settings: Settings) -> DataFrame:
             yield _across(held, settings)
 
     dealt = rows.repartition("band", "home", "guest").sortWithinPartitions("band", "home", "guest")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def _across(group: pa.Table, settings: Settings) -> pa.RecordBatch:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.storage import bounded_batches
+from tessella.llm.storage import bounded_batches, trimmed
 from tessella.llm.wordhash import U, mix
 
 META = "▁"
@@ -278,7 +278,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             mask = pa.array(batch.column(1).is_null().to_numpy(zero_copy_only=False))
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()), mask=mask)], ["id", "ids"])
 
-    return docs.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return docs.mapInArrow(trimmed(run), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def texts_of(model: Model, ids: np.ndarray, ends: np.ndarray) -> list[str]:
@@ -309,7 +309,7 @@ def decoded(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mo
             texts = pa.array(texts_of(load(model), ids, ends), pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False))
             yield pa.record_batch([batch.column(0), texts], ["id", "text"])
 
-    return encoded.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return encoded.mapInArrow(trimmed(run), f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
@@ -334,4 +334,4 @@ def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array(lost))
             yield pa.record_batch([batch.column(0), column, pa.array(same, pa.bool_(), mask=lost)], ["id", "ids", "round_trip"])
 
-    return docs.mapInArrow(run, f"id {kind}, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
+    return docs.mapInArrow(trimmed(run), f"id {kind}, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 
+_libc = ctypes.CDLL(None)
 _KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
 _paths: WeakKeyDictionary[DataFrame, tuple[str, str | None]] = WeakKeyDictionary()  # and the table's name
@@ -85,6 +88,25 @@ def bounded_batches(spark: SparkSession, rows: int = 1024, size: int = 16 << 20)
         spark.conf.set(key, f"{size}b")
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system: a worker is kept for the next tasks, whatever they do."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that releases what it has freed at its end."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return out
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """For actions on tables of large rows: Arrow batches of so many rows at most, until the block ends."""
