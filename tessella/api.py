@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.model import LEAF_ZOOM, TOP_MERGE_ZOOM
-from tessella.operators.packed import ingest_tiles, merge_level
+from tessella.operators.packed import ingest_tiles, merge_level, readable
 from tessella.operators.pixels import parents
 from tessella.plans.planner import execute
 from tessella.sources import read_tiles
@@ -14,10 +14,33 @@ from tessella.sources.scratch import written
 from tessella.sources.store import TileStore
 
 
-def ingest(spark: SparkSession, source: str, store: TileStore, version: str, base: str | None = None) -> None:
-    """Adds an archive's tiles as a version; with a base version, as a delta on it."""
-    rows = read_tiles(spark, source)
+def ingest(spark: SparkSession, source: str, store: TileStore, version: str, base: str | None = None, rejects: str | None = None) -> dict:
+    """Adds an archive's tiles as a version; with a base version, as a delta on it.
+
+    With rejects (a folder), the entries that are no tiles go there as Parquet (path, reason), and entries and images
+    are counted in the same scan of the archive: the result has tiles, rejected and bytes. Reasons: name, kind, size,
+    data, image (no image that can be decoded), damaged (an archive ends there).
+    """
+    found: dict = {}
+    if rejects is None:
+        rows = read_tiles(spark, source)
+    else:
+        rows, counters = scan(spark, source)
+        rows = written(rows, "scan")
+        found = counters.get
+        rows.where("reason is not null").select("path", "reason").write.mode("overwrite").parquet(rejects)
+        rows = rows.where("reason is null").drop("path", "reason")
     store.put(ingest_tiles(rows, store.tiles(version), store.tiles(base) if base else None), version)
+    return found
+
+
+def scan(spark: SparkSession, source: str) -> tuple[DataFrame, Observation]:
+    """(an archive's entries z, x, y, crc32, data, path and reason, counters of them): the counters are known once the rows have been written."""
+    rows, counters = read_tiles(spark, source, "REJECTS"), Observation()
+    bad = F.when(F.col("reason").isNull() & ~readable(F.col("data")), "image").otherwise(F.col("reason"))
+    rows = rows.withColumn("reason", bad)
+    count = lambda cond: F.count_if(cond)
+    return rows.observe(counters, count(F.col("reason").isNull()).alias("tiles"), count(F.col("reason").isNotNull()).alias("rejected"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("bytes")), counters
 
 
 def build_pyramid(store: TileStore, version: str, base: str | None = None, first: int = TOP_MERGE_ZOOM, force: bool = False) -> None:

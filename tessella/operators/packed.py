@@ -87,16 +87,37 @@ def _undiff(base: bytes | None, delta: bytes | None) -> bytes | None:
     return None if a is None or b is None or a.shape != b.shape else png.encode(np.where(b == 0, a, b))
 
 
+def requantise_udf() -> Callable:
+    return _udf(T.BinaryType(), _requantise)
+
+
+def tile_diff_udf() -> Callable:
+    return _udf(CHANGE, _diff)
+
+
+def tile_undiff_udf() -> Callable:
+    return _udf(T.BinaryType(), _undiff)
+
+
+def readable_udf() -> Callable:
+    return _udf(T.BooleanType(), lambda d: _opened(d) is not None)
+
+
 def requantise(data: Column) -> Column:
-    return _udf(T.BinaryType(), _requantise)(data)
+    return requantise_udf()(data)
+
+
+def readable(data: Column) -> Column:
+    """Whether an image can be decoded."""
+    return readable_udf()(data)
 
 
 def tile_diff(base: Column, new: Column) -> Column:
-    return _udf(CHANGE, _diff)(base, new)
+    return tile_diff_udf()(base, new)
 
 
 def tile_undiff(base: Column, delta: Column) -> Column:
-    return _udf(T.BinaryType(), _undiff)(base, delta)
+    return tile_undiff_udf()(base, delta)
 
 
 def to_tiles(pixels: DataFrame, z: int, side: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import tiles as tf
+from tessella.functions import udtf
 from tessella.model import COLORS, LEAF_ZOOM, color_channels
 from tessella.operators import packed
 from tessella.operators import pixels as px
@@ -442,8 +443,59 @@ def archive_tar(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_LEAF_PIXELS)
 def archive_sqlite(spark: SparkSession, sf: str) -> DataFrame:
-    files = writers.write_archives(packed.to_tiles(state(spark, sf), LEAF_ZOOM, SIDE).coalesce(2), scratch(spark, "sqlite"), "db")
-    return packed.to_pixels(reduce(DataFrame.unionAll, [read_tiles(spark, f) for f in files]), SIDE)
+    """A file for each task, read back as one source."""
+    files = writers.write_archives(packed.to_tiles(state(spark, sf), LEAF_ZOOM, SIDE), scratch(spark, "sqlite"), "db")
+    return packed.to_pixels(read_tiles(spark, ",".join(files)), SIDE)
+
+
+@query(f"{NEW} SELECT CAST({LEAF_ZOOM} AS INTEGER) AS z, gx, gy, color FROM new WHERE gx >= {SIDE * 10} AND gx < {SIDE * 21} AND gy // {SIDE} IN (3, 5, 40)")
+def archive_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Some columns and rows of tiles: the conditions reach SQLite."""
+    files = writers.write_archives(packed.to_tiles(state(spark, sf), LEAF_ZOOM, SIDE), scratch(spark, "sqlite"), "db")
+    return packed.to_pixels(read_tiles(spark, ",".join(files)).where("x >= 10 and x <= 20 and y in (3, 5, 40)"), SIDE)
+
+
+_ODD = f"""{NEW}, t AS (SELECT DISTINCT {XY} FROM new),
+r AS (SELECT CASE WHEN x % 7 = 0 THEN 'tiles/' || x || '/readme' || y || '.txt' ELSE 'tiles/' || x || '/' || y || '.png' END AS path, CASE WHEN x % 7 = 0 THEN 'name' WHEN y % 5 = 0 THEN 'image' END AS reason FROM t)"""
+
+
+def odd_archives(spark: SparkSession, sf: str) -> str:
+    """Archives of the map's tiles, in which some entries have no tile's name and some no image: their paths."""
+    tiles = packed.to_tiles(state(spark, sf), LEAF_ZOOM, SIDE)
+    name = F.when(F.col("x") % 7 == 0, F.concat(F.lit("tiles/"), "x", F.lit("/readme"), "y", F.lit(".txt"))).otherwise(F.concat(F.lit("tiles/"), "x", F.lit("/"), "y", F.lit(".png")))
+    tiles = tiles.select("x", "y", F.when(F.col("y") % 5 == 0, F.lit(b"no image")).otherwise(F.col("data")).alias("data"), name.alias("name"))
+    return ",".join(writers.write_archives(tiles, scratch(spark, "odd"), "tar.gz"))
+
+
+@query(f"{_ODD} SELECT path, reason FROM r WHERE reason IS NOT NULL")
+def archive_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries that are no tiles, and why, from an ingest into a store."""
+    path, store = scratch(spark, "rejects"), TileStore(spark, scratch(spark, "store"))
+    api.ingest(spark, odd_archives(spark, sf), store, "v1", rejects=path)
+    return spark.read.schema("path string, reason string").parquet(path)
+
+
+@query(f"{_ODD} SELECT count(*) FILTER (reason IS NULL) AS tiles, count(*) FILTER (reason IS NOT NULL) AS rejected FROM r")
+def ingest_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters that an ingest gathers while it scans."""
+    found = api.ingest(spark, odd_archives(spark, sf), TileStore(spark, scratch(spark, "store")), "v1", rejects=scratch(spark, "rejects"))
+    return spark.createDataFrame([(found["tiles"], found["rejected"])], "tiles long, rejected long")
+
+
+@query(f"{NEW} SELECT CAST({LEAF} AS INTEGER) AS z, gx, gy, color FROM new")
+def tile_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """PNG tiles to pixels in SQL text, by a table function."""
+    udtf.register(spark)
+    packed.to_tiles(state(spark, sf), LEAF, SIDE).createOrReplaceTempView("own_tiles")
+    return spark.sql(f"select t.z, t.x * {SIDE}L + p.px as gx, t.y * {SIDE}L + p.py as gy, p.color from own_tiles t, lateral tile_decode(t.data) p")
+
+
+@query(f"{NEW} SELECT CAST({LEAF} AS INTEGER) AS z, gx, gy, color FROM new")
+def tile_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by a table function over whole batches of tiles."""
+    udtf.register(spark)
+    packed.to_tiles(state(spark, sf), LEAF, SIDE).createOrReplaceTempView("own_tiles")
+    return spark.sql(f"select z, gx, gy, color from tile_pixels(table(select z, x, y, data, {SIDE} as side from own_tiles))")
 
 
 # --- serving -------------------------------------------------------------------------------------

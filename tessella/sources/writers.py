@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 
 from tessella.sources.archives import opened
 
-Rows = Iterator[tuple[int, int, bytes]]
+Rows = Iterator[tuple]
 
 
 def _tar(rows: Rows, out: str) -> None:
     with tarfile.open(out, "w:gz", compresslevel=1) as tar:
-        for x, y, data in rows:
-            entry = tarfile.TarInfo(f"tiles/{x}/{y}.png")
+        for x, y, data, *name in rows:
+            entry = tarfile.TarInfo(name[0] if name else f"tiles/{x}/{y}.png")
             entry.size = len(data)
             tar.addfile(entry, io.BytesIO(data))
 
@@ -30,14 +30,17 @@ def _tar(rows: Rows, out: str) -> None:
 def _sqlite(rows: Rows, out: str) -> None:
     with sqlite3.connect(out) as db:
         db.execute("create table tiles(x integer, y integer, data blob, primary key (x, y)) without rowid")
-        db.executemany("insert or replace into tiles values (?, ?, ?)", rows)
+        db.executemany("insert or replace into tiles values (?, ?, ?)", (r[:3] for r in rows))
 
 
 KINDS: dict[str, Callable[[Rows, str], None]] = {"tar.gz": _tar, "db": _sqlite}
 
 
 def write_archives(tiles: DataFrame, path: str, kind: str) -> list[str]:
-    """Writes x, y and data of tiles as one archive (kind tar.gz or db) for each partition; their paths."""
+    """Writes x, y and data of tiles as one archive (kind tar.gz or db) for each partition; their paths.
+
+    With a column name, that is the entries' name in a tar.gz.
+    """
     write = KINDS[kind]
     fs, folder = opened(path)
     fs.create_dir(folder, recursive=True)
@@ -57,7 +60,7 @@ def write_archives(tiles: DataFrame, path: str, kind: str) -> list[str]:
         where.move(own, f"{base}/{name}")
         yield pa.record_batch([pa.array([name])], ["name"])
 
-    names = tiles.select("x", "y", "data").mapInArrow(run, "name string").collect()
+    names = tiles.select("x", "y", "data", *(c for c in tiles.columns if c == "name")).mapInArrow(run, "name string").collect()
     return sorted(os.path.join(path, r.name) for r in names)
 
 
