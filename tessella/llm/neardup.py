@@ -287,9 +287,11 @@ def block_groups(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray, int, in
 
 
 def like(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) that have enough equal samples."""
+    """The pairs (a, b) that have enough equal samples. A text a has a pair for each band at most; a text b may have any number."""
     own = nodes.select("node", "samples")
-    rows = pairs.join(own.select(F.col("node").alias("a"), F.col("samples").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("samples").alias("y")), "b").select("a", "b", "x", "y")
+    partners = own.select(F.col("node").alias("b"), F.col("samples").alias("y")).join(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b")
+    rows = pairs.join(own.select(F.col("node").alias("a"), F.col("samples").alias("x")), "a")
+    rows = split_join(rows, partners, "b", "n", "a", "inner").select("a", "b", "x", "y")
     least = settings.least(settings.samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,10 +313,10 @@ def verified(pairs: DataFrame, corpus: Corpus, nodes: DataFrame, settings: Setti
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     with small_batches(pairs.sparkSession, BLOCK_ROWS):
         profiles = written(corpus.profiles(nodes.select("node", "block", "at").join(ids, "node")), "profiles")
-    turns = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / settings.members).alias("turns"))
+    turns = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / settings.members).alias("turns"), F.count(F.lit(1)).alias("n"))
     own = profiles.withColumnRenamed("node", "b").join(turns, "b").select("b", F.explode(F.sequence(F.lit(1), F.col("turns"))).alias("turn"), F.lit(None).cast("long").alias("a"), "own", "weights")
     partners = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners"))
-    theirs = split_join(pairs.join(turns, "b"), profiles.withColumnRenamed("node", "a").join(partners, "a"), "a", "partners", "b", "inner", 16 * settings.members).select("b", (F.pmod(F.xxhash64("a"), "turns") + 1).alias("turn"), "a", "own", "weights")
+    theirs = split_join(split_join(pairs, turns, "b", "n", "a", "inner"), profiles.withColumnRenamed("node", "a").join(partners, "a"), "a", "partners", "b", "inner", 16 * settings.members).select("b", (F.pmod(F.xxhash64("a"), "turns") + 1).alias("turn"), "a", "own", "weights")
     rows = own.unionByName(theirs).repartition("b", "turn").sortWithinPartitions("b", "turn", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,33 +403,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "copies", "place.block", "place.at", "samples", "bands"), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("band"))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(bands.join(sizes, "band"), "buckets")
+    shared = written(split_join(bands, sizes.withColumn("m", F.col("n")), "band", "m", "node", "inner"), "buckets")
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
-    central = shared.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("b"))
-    stars = shared.join(central, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    central = shared.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("top"), F.max("n").alias("m")).select("band", (-F.col("top.minus")).alias("b"), "m")
+    stars = split_join(shared, central, "band", "m", "node", "inner").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    stars = written(stars, "stars")
     links = verified(like(stars, nodes, settings), corpus, nodes, settings)
+    discard(stars)
     labels = components(links)
     # Buckets that still hold several classes: texts outside the bucket's largest class visit all its blocks.
     own = shared.join(labels, "node", "left").select("node", "band", "n", F.coalesce("label", "node").alias("label"))
-    largest = own.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max(F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("classes"))
-    mixed = written(own.join(largest.where("classes > 1").select("band", F.col("most.c").alias("c"), F.col("most.label").alias("most")), "band"), "mixed")
+    largest = own.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max(F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("classes"), F.sum("c").alias("m"))
+    largest = largest.where("classes > 1").select("band", F.col("most.c").alias("c"), F.col("most.label").alias("most"), "m")
+    mixed = written(split_join(own, largest, "band", "m", "node", "inner"), "mixed")
+    discard(shared, labels)
     with small_batches(spark, BLOCK_ROWS):
         wanted = nodes.select("node", "block", "at").join(mixed.select("node").distinct(), "node")
         fine = written(corpus.profiles(wanted, settings.fine).select("node", F.col("own").alias("samples")), "finer")
-    mixed = mixed.join(fine, "node").select("band", "n", (F.col("n") - F.col("c")).alias("rest"), "node", "label", (F.col("label") != F.col("most")).alias("minor"), "samples")
-    links = links.select("a", "b").union(verified(across(visits(mixed, settings), settings), corpus, nodes, settings).select("a", "b"))
-    labels = components(links)
+    found = mixed.join(fine, "node").select("band", "n", (F.col("n") - F.col("c")).alias("rest"), "node", "label", (F.col("label") != F.col("most")).alias("minor"), "samples")
+    more = verified(across(visits(found, settings), settings), corpus, nodes, settings)
+    labels = components(links.select("a", "b").union(more.select("a", "b")))
+    discard(links, more, mixed, fine)
     own = nodes.join(labels, "node", "left").select("digest", "least", "copies", F.coalesce("label", "node").alias("label"))
     first = own.groupBy("label").agg(F.min(F.struct("least", "digest")).alias("first"), F.count(F.lit(1)).alias("texts"))
     classes = split_join(own, first, "label", "texts", "digest").select("digest", "first", "least", "copies")
-    discard(corpus.known, fine)
+    discard(corpus.known)
 
     def named(least: Column, digest: Column) -> Column:
         number = F.conv(F.substring(F.hex(digest), 1, 15), 16, 10).cast("long")
         return F.when(least == NO_ID, -1 - number).otherwise(least)
 
     out = split_join(rows.select("id", "digest"), classes, "digest", "copies", "id")
-    return out.select(
+    out = out.select(
         F.col("id").alias(id_col),
         named(F.col("first.least"), F.col("first.digest")).alias("class_id"),
         named(F.col("least"), F.col("digest")).alias("text_id"),
@@ -435,6 +442,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(F.col("first.least") != NO_ID, F.col("first.least")).alias("first_id"),
         F.col("first.digest").alias("first_digest"),
     )
+    out = written(out, "classes")
+    discard(rows, nodes, labels)
+    return out
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -442,7 +452,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows go by id and digest of the text. Spark decides by the list's size whether docs are shuffled for it.
     """
-    found = written(near_duplicates(docs, id_col, text_col, settings), "classes")
+    found = near_duplicates(docs, id_col, text_col, settings)
     first = (F.col(id_col).eqNullSafe(F.col("first_id"))) & (F.col("digest") == F.col("first_digest"))
     key = lambda c, name: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID)).alias(name)
     i, d = ("_" * (1 + max(map(len, docs.columns))) + x for x in "id")  # no column of docs
