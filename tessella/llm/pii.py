@@ -148,9 +148,9 @@ def url(text: str, at: int, floor: int) -> Span | None:
 def account(text: str, at: int, cue: str) -> Span | None:
     """The identifier behind a cue that ends at `at`: 6 to 34 letters and digits, 4 digits at least.
 
-    The walk ends at the 35th letter or digit, whatever follows.
+    The cue is a word of its own: no letter or digit is before or behind it. The walk ends at the 35th letter or digit, whatever follows.
     """
-    if at < len(text) and text[at] in ALNUM:
+    if at < len(text) and text[at] in ALNUM or at > len(cue) and text[at - len(cue) - 1] in ALNUM:
         return None
     begin = end = run(text, at, CUE_GAP)
     n = 0

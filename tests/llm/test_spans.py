@@ -53,8 +53,14 @@ def test_pii_added_kinds():
     assert [k for k, _, _ in found if k not in pii.BASE] == ["url", "account", "account", "account"]
 
 
+def test_accounts_need_a_whole_cue():
+    kinds = lambda t: [s[0] for s in pii.find(t) if s[0] not in pii.BASE]
+    assert kinds("missn 123456789") == kinds("subaccount 1234567") == kinds("1ssn 123456789") == kinds("accounts 1234567") == []
+    assert kinds("ssn 123456789") == kinds("(account 1234567)") == kinds("é\nacct 1234567") == ["account"]
+
+
 URL = re.compile(r"(?<![A-Za-z0-9])(?:http|https|ftp|ssh|sftp|postgres|mysql|mongodb|redis|amqp)://[^ \t\r\n\x0b\x0c\"'<>`]+", re.I)
-CUE = re.compile(r"(?=((iban|IBAN|Iban|account|ACCOUNT|Account|acct|ACCT|Acct|ssn|SSN|Ssn|passport|PASSPORT|Passport)(?![A-Za-z0-9])[ :=#]*([A-Za-z0-9-]*)))")
+CUE = re.compile(r"(?<![A-Za-z0-9])(?=((iban|IBAN|Iban|account|ACCOUNT|Account|acct|ACCT|Acct|ssn|SSN|Ssn|passport|PASSPORT|Passport)(?![A-Za-z0-9])[ :=#]*([A-Za-z0-9-]*)))")
 
 
 def brute_added(text):
