@@ -1,6 +1,6 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-Leaves. A text is cut after each line break, and within lines after the blank behind a word at which
+Leaves. A text is cut after each line break (of several lines of white space in a row only after the last), and within lines after the blank behind a word at which
 the 8 bytes before it hash to a multiple of 8, so that a paragraph of one long line has leaves too and
 an edit moves no cut but its own. Leaves cover the text; a leaf's hash is the SHA-256 of its bytes.
 Sections. A section ends before a heading (a line that begins with #), after a line of white space and
@@ -56,7 +56,10 @@ def cuts(text: bytes) -> np.ndarray:
     for i, factor in enumerate(CUT_FACTORS):
         value += padded[after + CUT_BYTES - 1 - i] * factor
     own = after[(value >> np.uint64(20)) % np.uint64(CUT_ONE_IN) == 0] + 1
-    return np.union1d(np.append(own, len(buf)), np.flatnonzero(buf == 10) + 1)
+    ends = np.unique(np.append(np.flatnonzero(buf == 10) + 1, len(buf)))
+    words = np.concatenate([[0], np.cumsum(~blank)])
+    empty = np.diff(words[np.concatenate([[0], ends])]) == 0  # lines of white space
+    return np.union1d(own, ends[~(empty & np.append(empty[1:], False))])
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 from tessella.llm import merkle, queries
@@ -125,3 +126,16 @@ def test_frames(spark, odd, none):
     old = spark.createDataFrame([(1, "a\nb\nc"), (2, "same"), (3, None)], "doc_id long, text string")
     new = spark.createDataFrame([(1, "a\nX\nc"), (2, "same"), (3, "t")], "doc_id long, text string")
     assert {r.doc_id: [tuple(e) for e in r.edits] for r in merkle.locate_edits(old, new).collect()} == {1: [(2, 4)], 3: [(0, 1)]}
+
+
+def test_runs_of_blank_lines_are_one_leaf():
+    """Their tree doesn't grow with them, whatever white space they have, and time is linear."""
+    one = merkle.Tree.of(b"one line\n\n \t\n\n# head\nand more")
+    assert [sum(n for _, n in leaves) for _, leaves in one.sections] == [14, 15] or one.length == 29
+    began = time.process_time()
+    trees = [merkle.Tree.of(t) for t in (b"\n" * 1_000_000, b" \n\t" * 300_000, b"a\n" + b"\n" * 1_000_000 + b"b", b"\r\n" * 500_000)]
+    assert time.process_time() - began < 10
+    assert all(len(t.fingerprint) < 200 for t in trees) and [t.length for t in trees] == [1_000_000, 900_000, 1_000_003, 1_000_000]
+    old, new = "x y\n" + "\n" * 50 + "z", "x y\n" + "\n" * 60 + "z"
+    spans = merkle.changes(merkle.Tree.of(old.encode()).fingerprint, merkle.Tree.of(new.encode()).fingerprint)
+    assert spans == [(4, 64)] and merkle.likeness(merkle.Tree.of(old.encode()).fingerprint, merkle.Tree.of(new.encode()).fingerprint) < 1
