@@ -15,6 +15,7 @@ from tessella.model import color_channels, palette
 
 AT = ["gx", "gy"]
 STRATEGIES = ("majority", "mode", "weighted")
+WORD = 32  # bits of a block's pixels in one number
 
 
 def latest(writes: DataFrame, order: list[str], keys: list[str] = AT, value: str = "color") -> DataFrame:
@@ -137,17 +138,22 @@ def downsample(pixels: DataFrame, strategy: str = "majority", carry: list[str] |
 def block_mode(pixels: DataFrame, block: int) -> DataFrame:
     """Weighted mode of block x block pixels: a visible pixel weighs `block`, a transparent one 1.
 
-    Ties go to the colour whose last pixel in row order comes first. block is 7 at most (a bit for each pixel).
+    Ties go to the colour whose last pixel in row order comes first. Which pixels are there is kept in words of
+    WORD bits, so that both aggregates are hash aggregates; block is 32 at most (32 words).
     """
-    if not 2 <= block <= 7:
-        raise ValueError("block must be 2 to 7")
-    place = F.col("gx") % block + F.col("gy") % block * block
+    if not 2 <= block <= 32:
+        raise ValueError("block must be 2 to 32")
+    place = (F.col("gx") % block + F.col("gy") % block * block).cast("int")
     at = [F.expr(f"gx div {block}").alias("gx"), F.expr(f"gy div {block}").alias("gy")]
-    each = pixels.groupBy(*at, "color").agg(F.count(F.lit(1)).alias("n"), F.max(place).alias("last"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))).alias("bits"))
+    words = range(-(-block * block // WORD))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place % WORD)
+    bits = [F.bit_or(F.when(F.floor(place / WORD) == w, bit).otherwise(0)).alias(f"w{w}") for w in words]
+    each = pixels.groupBy(*at, "color").agg(F.count(F.lit(1)).alias("n"), F.max(place).alias("last"), *bits)
     best = F.max(F.struct((F.col("n") * block).alias("weight"), (-F.col("last")).alias("early"), F.col("color")))
-    whole = each.groupBy(*AT).agg(best.alias("best"), F.sum("n").alias("n"), F.bit_or("bits").alias("bits"))
-    missing = F.lit((1 << block * block) - 1).bitwiseXOR(F.col("bits"))
-    last_missing = F.floor(F.log2(missing.cast("double") + 0.5)).cast("long")
+    whole = each.groupBy(*AT).agg(best.alias("best"), F.sum("n").alias("n"), *(F.bit_or(f"w{w}").alias(f"w{w}") for w in words))
+    missing = [F.lit((1 << min(WORD, block * block - WORD * w)) - 1).cast("long").bitwiseXOR(F.col(f"w{w}")) for w in words]
+    # The highest word with a missing pixel, and its highest bit; a word is exact as a float.
+    last_missing = F.coalesce(*(F.when(m != 0, WORD * w + F.floor(F.log2(m.cast("double") + 0.5)).cast("long")) for w, m in reversed([*enumerate(missing)])))
     none = F.lit(block * block) - F.col("n")
     transparent = (none > F.col("best.weight")) | ((none == F.col("best.weight")) & (last_missing < -F.col("best.early")))
     return whole.where(~F.coalesce(transparent, F.lit(False))).select(*AT, F.col("best.color").alias("color"))

@@ -20,6 +20,7 @@ from tessella.operators import pixels as px
 from tessella.plans import planner
 from tessella import api
 from tessella.sources import read_tiles, writers
+from tessella.sources.listing import read_entries
 from tessella.sources.scratch import scratch, written
 from tessella.sources.store import TileStore
 from tessella.streaming import daily
@@ -230,6 +231,11 @@ def downsample_weighted4(spark: SparkSession, sf: str) -> DataFrame:
     return px.block_mode(state(spark, sf), 4)
 
 
+@query(_ranked(16, "sum(CASE WHEN color = 0 THEN 1 ELSE 16 END) DESC, max(p)"))
+def downsample_weighted16(spark: SparkSession, sf: str) -> DataFrame:
+    return px.block_mode(state(spark, sf), 16)
+
+
 @query(f"""{NEW}, p(idx, r, g, b) AS (VALUES {_RGB}),
 {_cells(2)}
 SELECT x AS gx, y AS gy, {', '.join(f"CAST((sum(coalesce({c}, 0) * 257) // 4) // 256 AS INTEGER) AS {c}" for c in 'rgb')}, CAST((count(idx) * 65535 // 4) // 256 AS INTEGER) AS a
@@ -643,6 +649,22 @@ def done_all_diffs(spark: SparkSession, sf: str) -> DataFrame:
     return planner.done_diffs(finished(spark, sf, every=True))
 
 
+@query(f"""{_DONE_ALL}, u AS (SELECT DISTINCT name, major, is_base FROM d)
+SELECT major, max(name) FILTER (is_base) AS base, count(*) FILTER (NOT is_base) AS diffs, max(name) FILTER (NOT is_base) AS last_diff FROM u GROUP BY major""")
+def done_listed(spark: SparkSession, sf: str) -> DataFrame:
+    """Per major its base and diffs, from a folder of files with the finished archives' names (and others) that is listed."""
+    v, own = F.col("v"), archives(spark, sf)
+    version = F.struct(v["major"].alias("major"), v["minor"].alias("minor"), (F.col("event_id") % 7 == 0).alias("is_base"))
+    name = tf.output_name(version, F.col("dt"))
+    name = F.when(F.col("event_id") % 11 == 0, F.regexp_replace(name, r"\.db$", ".png")).otherwise(name)
+    path = scratch(spark, "done")
+    writers.write_names(own.select(name.alias("name")).distinct(), path)
+    rows = planner.done(read_entries(spark, path))
+    diff = ~F.col("is_base")
+    counts = rows.groupBy("major").agg(F.count_if(diff).alias("diffs"), F.max(F.when(diff, F.col("name"))).alias("last_diff"))
+    return counts.join(planner.done_bases(rows), "major", "left").select("major", "base", "diffs", "last_diff")
+
+
 _PLAN = f"""{_DONE}, f AS (SELECT * FROM d WHERE major < 2),
 a AS (SELECT ts, major, minor FROM (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, major, minor) AS rn FROM v) WHERE rn = 1 AND CAST(ts AS DATE) NOT IN (SELECT CAST(dt AS DATE) FROM f)),
 b AS (SELECT major, arg_max(name, ord) FILTER (is_base) AS done_base FROM f GROUP BY major),

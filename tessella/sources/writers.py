@@ -86,3 +86,18 @@ def write_folder(tiles: DataFrame, path: str) -> int:
         yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
 
     return tiles.select("x", "y", "data").mapInArrow(run, "n long").agg({"n": "sum"}).first()[0] or 0
+
+
+def write_names(names: DataFrame, path: str) -> int:
+    """Writes an empty file for each name (a column), as placeholders of finished archives; how many."""
+    fs, folder = opened(path)
+    fs.create_dir(folder, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base = opened(path)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                where.open_output_stream(f"{base}/{name}").close()
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return names.select("name").mapInArrow(run, "n long").agg({"n": "sum"}).first()[0] or 0

@@ -51,14 +51,14 @@ def test_rgba_quads(spark):
     assert all(got.get(n, 0) == majority(q) for n, q in enumerate(wide))
 
 
-@pytest.mark.parametrize("block", [3, 5])
+@pytest.mark.parametrize("block", [3, 5, 8, 13])
 def test_weighted_blocks(spark, block):
     rng = random.Random(block)
     cells = [rng.choices([0, 0, 0, 0, 1, 2], k=block * block) for _ in range(1500)]
     got = {r.gy: r.color for r in px.block_mode(blocks(spark, cells, block), block).collect()}
     assert all(got.get(n, 0) == weighted(q, block) for n, q in enumerate(cells))
     with pytest.raises(ValueError):
-        px.block_mode(blocks(spark, cells[:1], 8), 8)
+        px.block_mode(blocks(spark, cells[:1], 33), 33)
 
 
 def test_average(spark):

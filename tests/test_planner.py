@@ -99,3 +99,21 @@ def test_catalog(spark):
     names = [("v1_first.db", False), ("v2.db", False), ("v3_a_b.db", False), ("v4_x.db", True), ("w1_x.db", False), ("v1_second.db", False), ("v5.png", False)]
     rows = spark.createDataFrame([(n, d, i) for i, (n, d) in enumerate(names)], "name string, is_dir boolean, ord long")
     assert sorted(map(tuple, planner.catalog(rows).collect())) == [("v1", "second", "v1_second.db"), ("v2", "", "v2.db"), ("v3", "", "v3_a_b.db")]
+
+
+def test_folder_entries(spark, tmp_path):
+    """Names, folders and sizes in name order; subfolders as tasks of their own; contents aren't read."""
+    from tessella.sources.listing import read_entries
+
+    files = [n for n in DONE if n != "tmp"]
+    for name in files:
+        (tmp_path / name).write_bytes(b"x" * 3)
+    (tmp_path / "tmp").mkdir()
+    (tmp_path / "tmp" / "v9_2025-03-01T00.db").write_bytes(b"")
+    rows = read_entries(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [r.name for r in rows] == sorted(DONE) and [r.name for r in rows if r.is_dir] == ["tmp"]
+    assert {r.size for r in rows if not r.is_dir} == {3}
+    assert planner.done_latest(planner.done(read_entries(spark, str(tmp_path)))).first().name == planner.done_latest(done(spark, DONE)).first().name
+    assert read_entries(spark, str(tmp_path), below=True).where("not is_dir").count() == len(files) + 1
+    with pytest.raises(Exception, match="FileNotFound|No such"):
+        read_entries(spark, str(tmp_path / "none")).collect()
