@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions import png
+from tessella.functions.tiles import version_sort_key
 from tessella.operators.pixels import ingest
 
 KEYS = ["z", "x", "y"]
@@ -263,3 +264,26 @@ def merge_level(target: DataFrame, z: int, base: DataFrame | None = None, force:
             kept = kept | F.coalesce("had", F.lit(False))
         rows = rows.where(kept).select(*xy, F.col("d.data").alias("data"))
     return rows.select(F.lit(z).alias("z"), *xy, F.crc32("data").alias("crc32"), "data")
+
+
+def latest_preview(catalog: DataFrame, tiles: DataFrame, background: bytes | None) -> DataFrame:
+    """The map of the latest version's base on a background image: version (the base's), status and data, one row.
+
+    The latest of catalog's versions in their order; its base is the version's part before the dot, whose tile 0/0/0
+    of tiles (version, z, x, y, data) is laid over background. status: overlaid; no background or other size (data: the
+    tile itself); no tile (data null). An empty catalog gives no row.
+    """
+    last = catalog.orderBy(*(c.desc() for c in version_sort_key(F.col("version")))).limit(1)
+    base = last.select(F.split("version", r"\.")[0].alias("version"))
+    rows = base.join(tiles.where("z = 0 and x = 0 and y = 0").select("version", "data"), "version", "left")
+
+    def lay(data: bytes | None) -> tuple[str, bytes | None]:
+        top, below = _opened(data), _opened(background)
+        if top is None:
+            return "no tile", None
+        if below is None or below.shape != top.shape:
+            return "no background" if below is None else "other size", bytes(data)
+        return "overlaid", png.encode(np.where(top == 0, below, top))
+
+    kind = T.StructType([T.StructField("status", T.StringType()), T.StructField("data", T.BinaryType())])
+    return rows.select("version", _udf(kind, lay)("data").alias("p")).select("version", "p.status", "p.data")

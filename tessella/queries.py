@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import png, udtf
 from tessella.functions import tiles as tf
-from tessella.functions import udtf
 from tessella.model import COLORS, LEAF_ZOOM, color_channels
 from tessella.operators import packed
 from tessella.operators import pixels as px
@@ -23,7 +24,7 @@ from tessella.sources import read_tiles, writers
 from tessella.sources.listing import read_entries
 from tessella.sources.scratch import scratch, written
 from tessella.sources.store import TileStore
-from tessella.streaming import daily
+from tessella.streaming import daily, rates
 
 SIDE, LEAF = 8, 6  # tiles of 8 x 8 pixels: 64 x 64 tiles at zoom 6
 BASE_DAY = "1995-06-01"
@@ -390,6 +391,16 @@ def stream_pixel_state(spark: SparkSession, sf: str) -> DataFrame:
     return daily.current(spark, f"{path}/state", ORDER).where("color <> 0")
 
 
+@query("SELECT count(*) AS rows, count(*) AS total, true AS timed FROM lineitem")
+def stream_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that a stream's batches took, as told while it ran; whether each has a rate."""
+    source, progress = table(spark, sf, "lineitem"), rates.Progress(spark)
+    stream = as_writes(spark.readStream.schema(source.schema).parquet(f"{sf}/lineitem.parquet*"))
+    path = scratch(spark, "stream")
+    found = rates.rates(progress.finish(daily.pixel_stream(stream, ORDER, f"{path}/state", f"{path}/checkpoint")))
+    return found.agg(F.sum("rows").alias("rows"), F.max("total").alias("total"), F.bool_and(F.col("rate") > 0).alias("timed"))
+
+
 # --- packed tiles --------------------------------------------------------------------------------
 
 
@@ -461,6 +472,26 @@ def archive_window(spark: SparkSession, sf: str) -> DataFrame:
     return packed.to_pixels(read_tiles(spark, ",".join(files)).where("x >= 10 and x <= 20 and y in (3, 5, 40)"), SIDE)
 
 
+_ZOOM_0 = ", ".join(f"b{z} AS ({_majority(f'b{z + 1}')})" for z in range(5, -1, -1))
+
+
+@query(f"""{OLD}, last AS (SELECT max(l_suppkey % 9) AS major FROM lineitem), b6 AS (SELECT gx, gy, color FROM old WHERE (SELECT major FROM last) % 2 = 0 UNION ALL SELECT gx, gy, color FROM new WHERE (SELECT major FROM last) % 2 = 1),
+{_ZOOM_0}, m AS (SELECT x AS gx, y AS gy, 63 - x % 2 AS color FROM (SELECT unnest(range({SIDE})) AS x) CROSS JOIN (SELECT unnest(range({SIDE})) AS y))
+SELECT 'v' || (SELECT major FROM last) AS version, CAST(m.gx AS INTEGER) AS gx, CAST(m.gy AS INTEGER) AS gy, CAST(coalesce(t.color, m.color) AS INTEGER) AS color FROM m LEFT JOIN b0 t ON t.gx = m.gx AND t.gy = m.gy""")
+def preview_latest_base(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole map of the latest version's base, at zoom 0, on a background. Bases of even weeks have the old map, of odd ones the new."""
+    major, minor = (F.col("l_suppkey") % n for n in (9, 4))
+    version = F.concat(F.lit("v"), major, F.when(minor == 0, "").otherwise(F.concat(F.lit("."), F.lpad(minor.cast("string"), 3, "0"))))
+    catalog = table(spark, sf, "lineitem").select(version.alias("version")).distinct()
+    small = [packed.to_tiles(px.pyramid(p, LEAF, side=SIDE).where("z = 0").select("gx", "gy", "color"), 0, SIDE).withColumn("k", F.lit(i)) for i, p in enumerate((old(spark, sf), state(spark, sf)))]
+    bases = spark.range(9).select(F.concat(F.lit("v"), F.col("id")).alias("version"), (F.col("id") % 2).cast("int").alias("k"))
+    tiles = bases.join(small[0].unionByName(small[1]), "k")
+    background = png.encode(np.tile((63 - np.arange(SIDE) % 2).astype(np.uint8), (SIDE, 1)))
+    udtf.register(spark)
+    packed.latest_preview(catalog, tiles, background).createOrReplaceTempView("preview")
+    return spark.sql("select version, p.px as gx, p.py as gy, p.color from preview, lateral tile_decode(data) p where status = 'overlaid'")
+
+
 _ODD = f"""{NEW}, t AS (SELECT DISTINCT {XY} FROM new),
 r AS (SELECT CASE WHEN x % 7 = 0 THEN 'tiles/' || x || '/readme' || y || '.txt' ELSE 'tiles/' || x || '/' || y || '.png' END AS path, CASE WHEN x % 7 = 0 THEN 'name' WHEN y % 5 = 0 THEN 'image' END AS reason FROM t)"""
 

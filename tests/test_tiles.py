@@ -493,3 +493,16 @@ def test_streams(spark, tmp_path):
     first = daily.first_of_day(spark.readStream.schema(days.schema).parquet(str(tmp_path / "d")))
     first.writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("firsts").count() == 2
+
+
+def test_latest_preview(spark):
+    top, below = image(1), image(2)
+    tiles = spark.createDataFrame([("v2", 0, 0, 0, top), ("v2", 1, 0, 0, below), ("v10", 1, 0, 0, top)], "version string, z int, x int, y int, data binary")
+    names = lambda *v: spark.createDataFrame([(x,) for x in v], "version string")
+    made = lambda catalog, background: [(r.version, r.status, r.data and bytes(r.data)) for r in packed.latest_preview(catalog, tiles, background).collect()]
+    (version, status, data), = made(names("v1.024", "v2", "v2.048"), below)
+    a, b = png.quantised(top), png.quantised(below)
+    assert (version, status) == ("v2", "overlaid") and (png.quantised(data) == np.where(a == 0, b, a)).all()
+    small = png.encode(np.ones((4, 4), np.uint8))
+    assert made(names("v2"), None) == [("v2", "no background", top)] and made(names("v2"), small) == [("v2", "other size", top)]
+    assert made(names("v10.024", "v2"), below) == [("v10", "no tile", None)] and made(names().limit(0), below) == []
