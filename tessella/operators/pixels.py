@@ -386,3 +386,14 @@ def serve(requests: DataFrame, catalog: DataFrame, store: DataFrame) -> DataFram
     good = F.coalesce(valid_tile(F.col("__z"), F.col("__x"), F.col("__y")), F.lit(False))
     status = F.when(~good, 400).when(F.col("__version").isNull(), 500).when(F.col("__v").isNull(), 404).when(F.col("if_none_match") == tag, 304).otherwise(200)
     return rows.select(*requests.columns, status.alias("status"), F.when(status.isin(200, 304), tag).alias("etag"))
+
+
+ROUTE = r"^/tiles/(v[0-9a-z.]+)/([0-9]+)/([0-9]+)/([0-9]+)\.png$"
+
+
+def serve_paths(requests: DataFrame, catalog: DataFrame, store: DataFrame) -> DataFrame:
+    """Requests (path, if_none_match) with status and etag: serve() of /tiles/version/z/x/y.png; other paths are 404."""
+    parts = {name: F.regexp_extract("path", ROUTE, i) for i, name in enumerate(("version", "z", "x", "y"), 1)}
+    routed = serve(requests.withColumns(parts), catalog, store)
+    known = F.col("path").rlike(ROUTE)
+    return routed.select(*requests.columns, F.when(known, F.col("status")).otherwise(404).alias("status"), F.when(known, F.col("etag")).alias("etag"))

@@ -103,6 +103,11 @@ def plan(archives: DataFrame, finished: DataFrame) -> DataFrame:
     return rows.select("dt", "major", "minor", "is_diff", base.alias("base"), output_name(own, F.col("dt")).alias("name"))
 
 
+def described(jobs: DataFrame) -> DataFrame:
+    """Jobs with a line for people: the name, and whether it is a whole archive or a diff on which base."""
+    return jobs.withColumn("line", F.concat_ws(" ", "name", F.when(F.col("is_diff"), F.concat(F.lit("DIFF from "), "base")).otherwise("FULL")))
+
+
 def plan_latest(archives: DataFrame, diff_style_name: bool = False) -> DataFrame:
     """A full job for the latest archive, whatever is done. diff_style_name keeps the name with the minor version."""
     last = archives.orderBy(F.desc("dt"), "major", "minor").limit(1)

@@ -578,6 +578,20 @@ def request_status(spark: SparkSession, sf: str) -> DataFrame:
     return px.serve(requests(spark, sf), versions(spark, sf), stored(spark, sf))
 
 
+@query(f"""{NEW}, {_REQUESTS},
+t AS (SELECT DISTINCT 'v' || CAST(x % 2 AS VARCHAR) AS version, x, y FROM (SELECT {XY} FROM new WHERE gy < 400)), k AS (SELECT DISTINCT 'v' || CAST(gx % 2 AS VARCHAR) AS version FROM new),
+a AS (SELECT *, '/tiles/' || CASE WHEN event_id % 23 = 0 THEN upper(version) ELSE version END || '/' || z || '/' || CASE WHEN event_id % 19 = 0 THEN '+' ELSE '' END || x || '/' || y || '.png' AS path,
+ event_id % 23 <> 0 AND event_id % 19 <> 0 AND event_id % 17 <> 0 AS routed, TRY_CAST(z AS INTEGER) AS iz, TRY_CAST(x AS INTEGER) AS ix, TRY_CAST(y AS INTEGER) AS iy FROM q)
+SELECT a.event_id, a.path, CAST(CASE WHEN NOT routed THEN 404 WHEN iz > 11 OR ix >= pow(2, iz) OR iy >= pow(2, iz) THEN 400 WHEN k.version IS NULL THEN 500 WHEN t.x IS NULL THEN 404
+ WHEN if_none_match IS NOT NULL THEN 304 ELSE 200 END AS INTEGER) AS status FROM a LEFT JOIN k ON k.version = a.version LEFT JOIN t ON t.version = a.version AND iz = {LEAF} AND t.x = ix AND t.y = iy""")
+def request_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Status of requests given as paths, some of which no route takes: a sign before a number, a version in capitals."""
+    e = F.col("event_id")
+    path = F.concat(F.lit("/tiles/"), F.when(e % 23 == 0, F.upper("version")).otherwise(F.col("version")), F.lit("/"), "z", F.lit("/"), F.when(e % 19 == 0, "+").otherwise(""), "x", F.lit("/"), "y", F.lit(".png"))
+    own = requests(spark, sf).select("event_id", path.alias("path"), "if_none_match")
+    return px.serve_paths(own, versions(spark, sf), stored(spark, sf)).select("event_id", "path", "status")
+
+
 @query(f"""{NEW}, {_REQUESTS}, t AS (SELECT x, y, count(*) AS pixels FROM (SELECT {XY} FROM new) GROUP BY x, y)
 SELECT event_id, t.x, t.y, t.pixels FROM q JOIN t ON q.z = '{LEAF}' AND q.x = CAST(t.x AS VARCHAR) AND q.y = CAST(t.y AS VARCHAR)""")
 def tile_point_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -710,6 +724,15 @@ def plan_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.select(F.unix_micros("dt").alias("us"), "major", "minor", "is_diff", "base", "name")
 
 
+@query(f"""{_PLAN}, j AS (SELECT done_base IS NOT NULL OR k > 1 AS is_diff, CASE WHEN done_base IS NOT NULL THEN done_base WHEN k > 1 THEN 'v' || major || '_' || strftime(first, '%Y-%m-%dT%H') || '.db' END AS base,
+CASE WHEN done_base IS NOT NULL OR k > 1 THEN {_VS} ELSE 'v' || major END || '_' || {_HOUR} || '.db' AS name FROM w)
+SELECT name || CASE WHEN is_diff THEN ' DIFF from ' || base ELSE ' FULL' END AS line FROM j""")
+def plan_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The plan as it is shown before it runs."""
+    jobs = planner.plan(archives(spark, sf).select("dt", "v.major", "v.minor"), finished(spark, sf).where("major < 2"))
+    return planner.described(jobs).select("line")
+
+
 @query(f"{_V} SELECT epoch_us(ts) AS us, major, minor, 'v' || major || '_' || {_HOUR} || '.db' AS name FROM v ORDER BY ts DESC, major, minor LIMIT 1")
 def plan_latest(spark: SparkSession, sf: str) -> DataFrame:
     last = planner.plan_latest(archives(spark, sf).select("dt", "v.major", "v.minor"))
