@@ -166,7 +166,33 @@ SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAS
 CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM f JOIN x USING (id) JOIN c{s.rounds} USING (k)"""
 
 
+def _spelling_sql(s: spelling.Settings = spelling.Settings()) -> str:
+    """The crc's table follows from its polynomial: a byte's entry is the register after its eight bits."""
+
+    def entry(value: int) -> int:
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        return value
+
+    crcs = [entry(i) for i in range(256)]
+    return f"""
+WITH RECURSIVE d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{{s.least_length},}}')) AS w FROM documents),
+r AS (SELECT id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM d GROUP BY ALL),
+c AS (SELECT w, n, flatten(list_transform(string_split(id || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64] END)) AS b FROM r),
+h AS (SELECT w, n, xor(list_reduce(b, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM c, (SELECT {crcs}::BIGINT[] AS t)),
+o AS (SELECT CASE WHEN h % {s.divisor} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+k AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM o WHERE length(word) >= {s.least_length} GROUP BY word HAVING sum(n) >= {s.least_count}),
+g AS MATERIALIZED (SELECT word, n, p, substr(word, 1, p - 1) AS a, substr(word, p + 1) AS z FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM k)),
+e AS (SELECT x.word, y.word AS other, y.n AS m FROM g x JOIN g y ON x.a = y.a AND x.z = y.z AND x.word <> y.word
+ UNION SELECT g.word, k.word, k.n FROM g JOIN k ON k.word = g.a || g.z UNION SELECT k.word, g.word, g.n FROM g JOIN k ON k.word = g.a || g.z),
+f AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS best, max(m) AS m FROM e GROUP BY word),
+v AS MATERIALIZED (SELECT k.word, CASE WHEN m >= {s.ratio} * n THEN best END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {s.ratio} * n THEN m END AS form_n FROM k LEFT JOIN f USING (word)),
+l AS (SELECT word, word AS root, 0 AS step FROM v UNION ALL SELECT l.word, v.form, step + 1 FROM l JOIN v ON v.word = l.root WHERE v.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM v JOIN (SELECT word, arg_max(root, step) AS root FROM l GROUP BY word) USING (word)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_spelling": _spelling_sql(),
     "op12_centroids": _centroids_sql(),
     "op10_secrets": _secrets_sql(),
     "op6_warc": """
