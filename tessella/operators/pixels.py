@@ -227,13 +227,13 @@ def refreshed(pixels: DataFrame, touched: DataFrame, levels: DataFrame, leaf_zoo
         if z < leaf_zoom - 1:  # now: the rebuilt tiles of the zoom below; the other children are as before
             before = levels.where(F.col("z") == z + 1).select(*AT, "color")
             children = children.unionByName(_within(_within(before, above, side, up=1), dirty, side, "left_anti"))
-        made = keep(downsample(children, strategy))
-        old = _within(levels.where(F.col("z") == z), above, side)
-        dirty = keep(tile_of(compared(old, made).where("b <> n"), side).select("x", "y").distinct())
-        now = keep(_within(made, dirty, side))
+        both = tile_of(compared(_within(levels.where(F.col("z") == z), above, side), downsample(children, strategy)), side)
+        changed = F.max(F.col("b") != F.col("n")).over(Window.partitionBy("x", "y"))
+        rebuilt = keep(both.withColumn("changed", changed).where("changed").select(*AT, "x", "y", F.col("n").alias("color")))
+        now, dirty = rebuilt.where("color <> 0").select(*AT, "color"), rebuilt.select("x", "y").distinct()
         new.append(now.select(F.lit(z).alias("z"), *AT, "color"))
         keys.append(dirty.select(F.lit(z).alias("z"), "x", "y"))
-        if dirty.isEmpty():
+        if rebuilt.isEmpty():
             break
     return reduce(DataFrame.unionAll, new), reduce(DataFrame.unionAll, keys)
 
@@ -303,21 +303,24 @@ def delta_levels(base: DataFrame, delta: DataFrame, touched: DataFrame, levels:
     Each zoom reads of the base only what lies under parents of delta tiles, so that time follows the delta.
     """
     live, top, out = touched.select("x", "y").distinct(), base.select(*AT, "color"), []
+    delta, tile, place = delta.select(*AT, "color"), Window.partitionBy("x", "y"), _quarter()
     for z in range(leaf_zoom - 1, coarsest - 1, -1):
-        # A delta tile counts if the base has the tile.
-        own = keep(_within(top, live, side))
-        live = live.join(tile_of(own, side).select("x", "y").distinct(), ["x", "y"], "left_semi")
-        made = keep(parents(live))
-        merged = downsample(undiff(own, _within(delta, live, side)))
+        # A delta tile counts as a child if the base has the tile, too.
+        own = tile_of(compared(_within(top, live, side), _within(delta, live, side)), side)
+        own = own.withColumn("has", F.max(F.col("b") != 0).over(tile)).where("has")
+        over = F.when(F.col("n") != 0, F.col("n")).otherwise(F.col("b"))
+        cells = [F.coalesce(F.max(F.when(place == i, over)), F.lit(0)).cast("long").alias(f"q{i}") for i in range(4)]
+        quads = own.groupBy(F.shiftright("gx", 1).alias("gx"), F.shiftright("gy", 1).alias("gy")).agg(*cells)
+        merged = quads.select(*AT, _best([F.col(f"q{i}") for i in range(4)], False).cast("int").alias("u"), F.lit(True).alias("made"))
         top = levels.where(F.col("z") == z).select(*AT, "color")
-        old = keep(_within(top, made, side))
-        has = tile_of(old, side).select("x", "y").distinct().withColumn("has", F.lit(True))
-        both = keep(tile_of(compared(old, merged), side).join(has, ["x", "y"], "left").where("b <> n"))
-        delta = both.where("n <> 0").select(*AT, F.col("n").alias("color"))
-        fresh = made.join(has, ["x", "y"], "left_anti")
-        live = keep(both.where("has").select("x", "y").distinct().unionByName(fresh))
+        old = _within(top, parents(live), side).withColumnRenamed("color", "b")
+        both = tile_of(old.join(merged, AT, "full_outer").select(*AT, F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("u", F.lit(0)).alias("u"), F.coalesce("made", F.lit(False)).alias("made")), side)
+        both = both.withColumns({"has": F.max(F.col("b") != 0).over(tile), "made": F.max("made").over(tile)})
+        changed = keep(both.where("made and b <> u").select(*AT, "x", "y", "u", "has"))
+        delta = changed.where("u <> 0").select(*AT, F.col("u").alias("color"))
+        live = changed.where("has").select("x", "y").distinct()
         out.append(delta.select(F.lit(z).alias("z"), *AT, "color"))
-        if live.isEmpty():
+        if changed.isEmpty():
             break
     return reduce(DataFrame.unionAll, out)
 
