@@ -216,3 +216,24 @@ def test_diff_pyramid_equals_steps(spark):
         delta, changed = (df.cache() for df in px.diff_level(delta, changed, b, px.tiles(b, 4), above, px.tiles(above, 4), 4))
         b = above
         assert got.get(z, {}) == plain(delta), z
+
+
+def test_refresh_rebuilds_ancestors_of_changes_only(spark):
+    """One changed tile of many: its ancestors, as far as the change shows; the rest is as it was."""
+    rng = random.Random(11)
+    old = {(x, y): rng.randint(1, 5) for x in range(64) for y in range(64) if rng.random() < 0.7}
+    frame = lambda m: spark.createDataFrame([(x, y, c) for (x, y), c in m.items()], "gx long, gy long, color int")
+    keep = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    levels = keep(px.pyramid(frame(old), 3, side=8))
+    new = old | {(x, y): 9 for x in range(16, 24) for y in range(40, 48)}
+    touched = spark.createDataFrame([(2, 5), (0, 0)], "x int, y int")  # the second one is as it was
+    pixels, tiles = px.refreshed(frame(new), touched, levels, 3, 8, keep)
+    assert {tuple(r) for r in tiles.collect()} == {(2, 1, 2), (1, 0, 1), (0, 0, 0)}
+    got = {(r.z, r.gx, r.gy): r.color for r in px.patched(levels, pixels, tiles, 8).collect()}
+    assert got == {(r.z, r.gx, r.gy): r.color for r in px.pyramid(frame(new), 3, side=8).collect()}
+    pixels, tiles = px.refreshed(frame(old), touched, levels, 3, 8, keep)
+    assert tiles.count() == pixels.count() == 0
+    gone = {k: v for k, v in old.items() if not (16 <= k[0] < 24 and 40 <= k[1] < 48)}
+    pixels, tiles = px.refreshed(frame(gone), touched.limit(1), levels, 3, 8, keep)
+    got = {(r.z, r.gx, r.gy): r.color for r in px.patched(levels, pixels, tiles, 8).collect()}
+    assert got == {(r.z, r.gx, r.gy): r.color for r in px.pyramid(frame(gone), 3, side=8).collect()}
