@@ -5,12 +5,17 @@ the keys that hash there, once each, with its own counts; the partition adds up
 sends every block the totals of what it asked for, in the order of the question. So the tables of
 counts grow with the corpus and stay partitioned, a very common key is one entry of each block's list,
 and a partition gets about PART_TOKENS tokens' worth of keys however many blocks there are.
+
+Blocks are dealt into slices of about SLICE_BLOCKS by a hash. A partition belongs to a slice and hears from its blocks
+alone; where there are several slices, its sums are asked for in the same way by finer partitions of the keys,
+which hear from slices. So a block sends rows to a bounded number of partitions, and a partition with a word
+of every block gets a row from each block of its slice, or from each slice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -20,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.storage import trimmed
+from tessella.llm.storage import discard, trimmed, written
 from tessella.llm.wordhash import U, mix, text_words
 
 BLOCK_TOKENS = 1 << 18
@@ -28,6 +33,10 @@ BLOCK_TOKENS = 1 << 18
 BLOCK_ROWS = 2
 #: Tokens of the blocks that ask a part: with few keys for each block and part their rows' overhead would count.
 PART_TOKENS = 1 << 21
+#: Blocks of a slice on average: a part hears from so many.
+SLICE_BLOCKS = 1 << 12
+#: Cells (parts of a slice) of a task.
+TASK_CELLS = 16
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -101,9 +110,24 @@ def token_blocks(batches: Iterator[pa.RecordBatch], kind: str, texts_of: Callabl
         yield whole()
 
 
-def parts_of(blocks: DataFrame) -> int:
-    """How many hash partitions a written table of blocks needs."""
-    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() * BLOCK_TOKENS // PART_TOKENS))
+@dataclass(frozen=True)
+class Shape:
+    """Hash parts that a block sends to, and slices that the blocks are dealt into."""
+
+    parts: int
+    slices: int = 1
+
+    @classmethod
+    def of(cls, blocks: DataFrame) -> Shape:
+        """For a written table of blocks."""
+        n, tasks = blocks.count(), int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slices = max(1, -(-n // SLICE_BLOCKS))
+        return cls(max(-(-tasks // slices), -(-n * BLOCK_TOKENS // (slices * PART_TOKENS))), slices)
+
+    @property
+    def finer(self) -> int:
+        """Parts of the slices' sums; those of part p are p, p + parts, p + 2 * parts and so on."""
+        return self.parts * self.slices
 
 
 def by_part(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,24 +139,33 @@ def by_part(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 Question = tuple[np.ndarray, np.ndarray]
 
 
+def dealt(number: int, question: int, keys: np.ndarray, counts: np.ndarray, n: int) -> tuple[list[int], list[int], list[bytes], list[bytes]]:
+    """Columns part, block (number), keys and counts of the i-th question to n parts."""
+    order, begins = by_part(keys, n)
+    own = np.flatnonzero(np.diff(begins))
+    mine = [order[begins[p] : begins[p + 1]] for p in own]
+    return (own + question * n).tolist(), [number] * len(own), [gaps(keys[x]) for x in mine], [small(counts[..., x]) for x in mine]
+
+
+ASKED = "part int, block long, keys binary, counts binary"
+
+
 def ask(blocks: DataFrame, questions: Callable[[dict], list[Question]], n: int) -> DataFrame:
     """Rows (part, block, keys, counts): each block's ascending keys with counts, by hash part.
 
     questions(block row) gives a list of (ascending keys, counts); counts may have several rows. The parts of
     the i-th question are i * n to (i + 1) * n - 1.
     """
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 for i, (keys, counts) in enumerate(questions(row)):
-                    order, begins = by_part(keys, n)
-                    own = np.flatnonzero(np.diff(begins)).astype(np.int32)
-                    mine = [order[begins[p] : begins[p + 1]] for p in own]
-                    columns = [pa.array(own + np.int32(i * n), pa.int32()), pa.array([row["block"]] * len(own), pa.int64()), pa.array([gaps(keys[x]) for x in mine], pa.binary()), pa.array([small(counts[..., x]) for x in mine], pa.binary())]
+                    columns = [pa.array(c, t) for c, t in zip(dealt(row["block"], i, keys, counts, n), types)]
                     yield pa.record_batch(columns, ["part", "block", "keys", "counts"])
 
-    return blocks.mapInArrow(trimmed(run), "part int, block long, keys binary, counts binary")
+    return blocks.mapInArrow(trimmed(run), ASKED)
 
 
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,17 +181,22 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Totals:
-    """A part's question from all blocks: rows of the distinct keys' totals, each block's places among the keys."""
+    """A part's question from its blocks: rows of the distinct keys' totals, each block's places among the keys."""
 
+    question: int
     part: int
     keys: np.ndarray
     counts: np.ndarray
     blocks: list[int]
     places: list[np.ndarray]
     last: list[np.ndarray]  # of each block's counts the last row, whether it is above 0
+    # Of a slice among others: how many blocks of all asked for a key, whether no slice before it did.
+    asked: np.ndarray | None = None
+    leads: np.ndarray | None = None
 
     @classmethod
-    def of(cls, group: pd.DataFrame) -> Totals:
+    def of(cls, group: pd.DataFrame, n: int) -> Totals:
+        """group: a part's rows of ask() to n parts."""
         group = group.sort_values("block")
         keys = [from_gaps(k) for k in group["keys"]]
         ends = np.cumsum([len(k) for k in keys])[:-1]
@@ -170,18 +208,22 @@ class Totals:
             counts = np.zeros((len(own), len(every)), np.int64) if counts is None else counts
             counts[:, at] += own
             last.append(own[-1] > 0)
-        return cls(int(group["part"].iloc[0]), every, counts, group["block"].tolist(), places, last)
+        part = int(group["part"].iloc[0])
+        return cls(part // n, part, every, counts, group["block"].tolist(), places, last)
 
     def askers(self) -> np.ndarray:
         """How many blocks asked for each key."""
-        return np.bincount(np.concatenate(self.places), minlength=len(self.keys))
+        return self.asked if self.asked is not None else np.bincount(np.concatenate(self.places), minlength=len(self.keys))
 
     def first_asks(self) -> list[np.ndarray]:
         """Which of each block's keys no block before it asked for: every key has one such block."""
         place = np.concatenate(self.places)
         first = np.empty(len(self.keys), np.int64)
         first[place[::-1]] = np.arange(len(place))[::-1]
-        return np.split(first[place] == np.arange(len(place)), np.cumsum([len(p) for p in self.places])[:-1])
+        found = first[place] == np.arange(len(place))
+        if self.leads is not None:
+            found &= self.leads[place]
+        return np.split(found, np.cumsum([len(p) for p in self.places])[:-1])
 
 
 ANSWER = "kind string, part int, block long, counts binary"
@@ -191,16 +233,61 @@ def own_totals(found: Totals) -> list[bytes]:
     return [small(found.counts[0][p]) for p in found.places]
 
 
-def answered(asked: DataFrame, n: int, summary: Callable[[Totals], bytes] | None = None, reply: Callable[[Totals], list[bytes]] = own_totals) -> DataFrame:
-    """Kind answer: reply's for each block, in the order it asked. Kind summary, if asked for: of a part's totals."""
+Summary = Callable[[Totals], bytes]
+Reply = Callable[[Totals], list[bytes]]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = Totals.of(group)
-        rows = [("answer", found.part, b, a) for b, a in zip(found.blocks, reply(found))]
-        rows += [("summary", found.part, None, summary(found))] if summary else []
-        return pd.DataFrame(rows, columns=["kind", "part", "block", "counts"]).astype({"block": "Int64"})
 
-    return asked.repartition(n, "part").groupBy("part").applyInPandas(run, ANSWER)
+def answered(asked: DataFrame, shape: Shape, label: str, summary: Summary | None = None, reply: Reply = own_totals) -> DataFrame:
+    """A written table. Kind answer: reply's for each block, in the order it asked. Kind summary, if asked for: of a part's totals of all blocks."""
+    if shape.slices > 1:
+        return _answered_by_slices(asked, shape, label, summary, reply)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = Totals.of(group, shape.parts)
+        return _rows(found, reply(found), summary)
+
+    return written(asked.repartition(shape.parts, "part").groupBy("part").applyInPandas(run, ANSWER), label)
+
+
+def _rows(found: Totals, answers: list[bytes], summary: Summary | None = None) -> pd.DataFrame:
+    rows = [("answer", found.part, b, a) for b, a in zip(found.blocks, answers)]
+    rows += [("summary", found.part, None, summary(found))] if summary else []
+    return pd.DataFrame(rows, columns=["kind", "part", "block", "counts"]).astype({"block": "Int64"})
+
+
+def _answered_by_slices(asked: DataFrame, shape: Shape, label: str, summary: Summary | None, reply: Reply) -> DataFrame:
+    parts, finer = shape.parts, shape.finer
+    tasks = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-finer // TASK_CELLS))
+    asked = written(asked.withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(shape.slices))), f"{label}-asked")
+    cells = asked.repartition(tasks, "part", "slice").groupBy("part", "slice")
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        """The slice asks as a block does, with a last row of how many blocks asked."""
+        found = Totals.of(group, parts)
+        columns = dealt(int(group["slice"].iloc[0]), found.question, found.keys, np.vstack([found.counts, found.askers()]), finer)
+        return pd.DataFrame(dict(zip(("part", "block", "keys", "counts"), columns)))
+
+    def total(group: pd.DataFrame) -> pd.DataFrame:
+        """To each slice the totals, and whether it is the first one that asked."""
+        found = Totals.of(group, finer)
+        answers = [small(np.vstack([found.counts[:, p], first])) for p, first in zip(found.places, found.first_asks())]
+        return _rows(replace(found, counts=found.counts[:-1], asked=found.counts[-1]), answers, summary)
+
+    def answer(group: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        found = Totals.of(group, parts)
+        size = len(found.counts) + 2
+        every = in_order(told[["finer", "counts"]].rename(columns={"finer": "part"}).to_dict("records"), found.keys, finer, found.question, lambda b: from_small(b).reshape(size, -1))
+        found = replace(found, counts=every[:-2], asked=every[-2], leads=every[-1] > 0)
+        return _rows(found, reply(found))
+
+    totals = cells.applyInPandas(add, ASKED).repartition(tasks, "part").groupBy("part").applyInPandas(total, ANSWER)
+    totals = written(totals, f"{label}-totals")
+    question, place = F.floor(F.col("part") / finer), F.col("part") % finer % parts
+    told = totals.where("kind = 'answer'").select((question * parts + place).cast("int").alias("part"), F.col("block").alias("slice"), F.col("part").alias("finer"), "counts")
+    told = told.repartition(tasks, "part", "slice").groupBy("part", "slice")
+    out = written(cells.cogroup(told).applyInPandas(answer, ANSWER).unionByName(totals.where("kind = 'summary'")), label)
+    discard(asked, totals)
+    return out
 
 
 def summed(answers: DataFrame, n: int) -> np.ndarray:

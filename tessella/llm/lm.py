@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.exchange import BLOCK_ROWS, Question, Totals, answered, ask, distinct, from_gaps, from_small, gaps, gathered, in_order, packed, packed_ids, parts_of, small, summed, token_blocks, unpacked, unpacked_ids
+from tessella.llm.exchange import BLOCK_ROWS, Question, Shape, Totals, answered, ask, distinct, from_gaps, from_small, gaps, gathered, in_order, packed, packed_ids, small, summed, token_blocks, unpacked, unpacked_ids
 from tessella.llm.storage import bounded_batches, bucketed, discard, small_batches, written
 from tessella.llm.wordhash import U, mix
 
@@ -299,6 +299,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
     spark = docs.sparkSession
     bounded_batches(spark)
     buckets = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     found = bucketed(blocks(docs, id_col, text_col, settings), "lm-blocks", "block", buckets)
     ends = docs.where(~_held_out(id_col, settings)).count()
     with small_batches(spark, BLOCK_ROWS):
@@ -307,11 +308,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
 
 
 def _scored(found: DataFrame, buckets: int, ends: int) -> DataFrame:
-    n, share = parts_of(found), found.sparkSession.sparkContext.broadcast
+    shape, share = Shape.of(found), found.sparkSession.sparkContext.broadcast
+    n = shape.parts
 
     def exchanged(rows: DataFrame, question, label: str, **how) -> tuple[DataFrame, np.ndarray]:
         """(the answers by block, the sums of the parts' summaries)."""
-        answers = written(answered(ask(rows, question, n), n, **how), f"lm-{label}")
+        answers = answered(ask(rows, question, n), shape, f"lm-{label}", **how)
         sums = summed(answers, SUMS)  # none without a summary
         by_block = bucketed(gathered(answers, buckets).withColumnRenamed("answers", label), f"lm-{label}", "block", buckets)
         discard(answers)
@@ -330,7 +332,7 @@ def _scored(found: DataFrame, buckets: int, ends: int) -> DataFrame:
         block = Block(row, unigrams.value, n)
         return [block.question(block.pairs, block.words), block.singles(block.pairs, block.words)]
 
-    pairs, sums = exchanged(joined(words).drop("ids"), ask_pairs, "pairs_known", summary=lambda t: sums_of(t) if t.part < n else singles(t), reply=lambda t: told(t) if t.part < n else nothing(t))
+    pairs, sums = exchanged(joined(words).drop("ids"), ask_pairs, "pairs_known", summary=lambda t: sums_of(t) if t.question == 0 else singles(t), reply=lambda t: told(t) if t.question == 0 else nothing(t))
     d2 = share(discounts(sums[: KATZ + 2]))
 
     def ask_trigrams(row: dict) -> list[Question]:
@@ -350,8 +352,8 @@ def _scored(found: DataFrame, buckets: int, ends: int) -> DataFrame:
         joined(words, pairs).drop("ids"),
         ask_trigrams,
         "trigrams_known",
-        summary=lambda t: (sums_of, lambda t: packed(np.zeros(SUMS, np.int64)), singles)[t.part // n](t),
-        reply=lambda t: (told, after_word, nothing)[t.part // n](t),
+        summary=lambda t: (sums_of, lambda t: packed(np.zeros(SUMS, np.int64)), singles)[t.question](t),
+        reply=lambda t: (told, after_word, nothing)[t.question](t),
     )
     d3 = share(discounts(sums[: KATZ + 2]))
 

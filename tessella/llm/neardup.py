@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.exchange import BLOCK_ROWS, Question, answered, ask, distinct, from_gaps, from_small, gaps, gathered, in_order, packed_ids, parts_of, small, token_blocks, unpacked_ids
+from tessella.llm.exchange import BLOCK_ROWS, Question, Shape, answered, ask, distinct, from_gaps, from_small, gaps, gathered, in_order, packed_ids, small, token_blocks, unpacked_ids
 from tessella.llm.graph import components
 from tessella.llm.skew import split_join
 from tessella.llm.storage import bounded_batches, discard, small_batches, trimmed, written
@@ -216,17 +216,17 @@ class Corpus:
     @classmethod
     def of(cls, docs: DataFrame, settings: Settings) -> Corpus:
         found = written(blocks(docs), "shingle-blocks")
-        n, total = parts_of(found), found.agg({"rows": "sum"}).first()[0] or 0
+        shape, total = Shape.of(found), found.agg({"rows": "sum"}).first()[0] or 0
 
         def question(row: dict) -> list[Question]:
             block = Block(row, settings.words)
             return [(block.keys, np.bincount(block.place, minlength=len(block.keys)))]
 
         with small_batches(docs.sparkSession, BLOCK_ROWS):
-            answers = written(answered(ask(found, question, n), n), "shingle-counts")
+            answers = answered(ask(found, question, shape.parts), shape, "shingle-counts")
         known = written(found.join(gathered(answers).withColumnRenamed("answers", "dfs"), "block", "left"), "shingles")
         discard(found, answers)
-        return cls(known, n, total, settings)
+        return cls(known, shape.parts, total, settings)
 
     def sketches(self) -> DataFrame:
         """Per row: id, digest (of the text), block and at (its place there), samples (one byte each) and bands (hashes); both empty without words."""

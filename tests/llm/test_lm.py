@@ -102,8 +102,9 @@ def test_query_and_held_out_gain(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-@pytest.mark.parametrize("seed", [12, 13])
-def test_equals_plain_and_sums_to_one(spark, seed):
+@pytest.mark.parametrize("seed, slice_blocks", [(12, 4096), (13, 4096), (12, 1), (13, 3)])
+def test_equals_plain_and_sums_to_one(spark, seed, slice_blocks, monkeypatch):
+    monkeypatch.setattr(exchange, "SLICE_BLOCKS", slice_blocks)
     rng = random.Random(seed)
     words = ["a", "B", "é", "the,", "x1", "y", "z", "#", "Q"]
     docs = [(i, rng.choice([" ", "\n", " \t "]).join(rng.choices(words, [2**-k for k in range(9)], k=rng.randint(0, 30)))) for i in range(150)]

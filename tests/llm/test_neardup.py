@@ -98,8 +98,10 @@ def test_groups_and_chains(spark, block):
     assert found <= want and len(found) >= 0.97 * len(want)
 
 
-def test_document_counts(spark, texts):
+@pytest.mark.parametrize("slice_blocks", [4096, 2])
+def test_document_counts(spark, texts, slice_blocks, monkeypatch):
     """Every shingle's count over all blocks and partitions comes back to each block that has it."""
+    monkeypatch.setattr(exchange, "SLICE_BLOCKS", slice_blocks)
     docs = spark.createDataFrame(texts, "id long, text string").repartition(9)
     corpus = neardup.Corpus.of(docs, Settings())
     assert corpus.total == len(texts) and corpus.known.count() > 3
