@@ -11,6 +11,8 @@ from tessella.model import rgb
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+#: The passes of an interlaced image, as first column, first row, step of columns, step of rows.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 PALETTE_RGB = np.array([rgb(i) for i in range(64)], np.uint8)
 
 
@@ -64,8 +66,20 @@ def _by_diagonals(raw: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return out
 
 
-def decode(data: bytes) -> tuple[np.ndarray, np.ndarray | None]:
-    """(indices, palette as RGBA) of a paletted PNG, else (pixels as RGBA of 8 bits, None). Interlaced files fail."""
+def _samples(raw: np.ndarray, width: int, height: int, n: int, depth: int, scaled: bool) -> np.ndarray:
+    """Filtered rows to samples [y, x, channel] of 8 bits; scaled: those of fewer bits are spread over all 8."""
+    flat = _unfilter(raw.reshape(height, -1), max(1, n * depth // 8))
+    if depth == 16:
+        flat = flat[:, ::2]
+    elif depth < 8:
+        bits = np.unpackbits(flat, axis=1).reshape(height, -1, depth)
+        flat = (bits @ (1 << np.arange(depth)[::-1]))[:, : width * n].astype(np.uint8)
+        flat = (flat.astype(int) * 255 // ((1 << depth) - 1)).astype(np.uint8) if scaled else flat
+    return flat.reshape(height, width, n)
+
+
+def _chunks(data: bytes) -> tuple[dict[bytes, bytes], bytes]:
+    """(the first chunk of each kind, the joined image data)."""
     if data[:8] != SIGNATURE:
         raise ValueError("not a PNG")
     at, found, body = 8, {}, []
@@ -76,22 +90,34 @@ def decode(data: bytes) -> tuple[np.ndarray, np.ndarray | None]:
         at += size + 12
         if kind == b"IEND":
             break
+    return found, b"".join(body)
+
+
+def decode_paletted(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, palette as RGBA) of a paletted PNG; any other one fails."""
+    pixels, table = decode(data)
+    if table is None:
+        raise ValueError("not paletted")
+    return pixels, table
+
+
+def decode(data: bytes) -> tuple[np.ndarray, np.ndarray | None]:
+    """(indices, palette as RGBA) of a paletted PNG, else (pixels as RGBA of 8 bits, None)."""
+    found, body = _chunks(data)
     width, height, depth, mode, _, _, interlaced = struct.unpack(">IIBBBBB", found[b"IHDR"])
-    if interlaced:
-        raise ValueError("interlaced")
+    if interlaced > 1:
+        raise ValueError(f"interlace method {interlaced}")
     n = CHANNELS[mode]
-    row = (width * n * depth + 7) // 8
-    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(height, row + 1)
-    flat = _unfilter(raw, max(1, n * depth // 8))
-    if depth == 16:
-        samples = flat.reshape(height, width * n, 2)[:, :, 0]
-    elif depth < 8:
-        bits = np.unpackbits(flat, axis=1).reshape(height, -1, depth)
-        samples = (bits @ (1 << np.arange(depth)[::-1]))[:, : width * n].astype(np.uint8)
-        samples = samples if mode == 3 else (samples.astype(int) * 255 // ((1 << depth) - 1)).astype(np.uint8)
-    else:
-        samples = flat
-    pixels = samples.reshape(height, width, n)
+    raw, at = np.frombuffer(zlib.decompress(body), np.uint8), 0
+    pixels = np.zeros((height, width, n), np.uint8)
+    for x, y, dx, dy in PASSES if interlaced else ((0, 0, 1, 1),):
+        w, h = -((x - width) // dx), -((y - height) // dy)
+        if w > 0 and h > 0:
+            end = at + h * (1 + (w * n * depth + 7) // 8)
+            pixels[y::dy, x::dx] = _samples(raw[at:end], w, h, n, depth, mode != 3)
+            at = end
+    if at != len(raw):
+        raise ValueError(f"{len(raw)} bytes of pixels, not {at}")
     clear = found.get(b"tRNS")
     if mode == 3:
         table = np.frombuffer(found[b"PLTE"], np.uint8).reshape(-1, 3)

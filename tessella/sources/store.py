@@ -147,6 +147,11 @@ class TileStore:
         """crc32 of the tile, no row without one; the image isn't read."""
         return self._tile(version, z, x, y).select("crc32")
 
+    def status(self, version: str, z: int, x: int, y: int) -> DataFrame:
+        """One row: exists, crc32 and error ("checksum" for a tile without one, else null)."""
+        found = self.stat(version, z, x, y).agg(F.count(F.lit(1)).alias("n"), F.max("crc32").alias("crc32"))
+        return found.select((F.col("n") > 0).alias("exists"), "crc32", F.when((F.col("n") > 0) & F.col("crc32").isNull(), "checksum").alias("error"))
+
     def addresses(self, version: str, z: int) -> DataFrame:
         return self.tiles(version, z).select("x", "y")
 

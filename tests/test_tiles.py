@@ -24,10 +24,8 @@ from tessella.streaming import daily
 from test_pixels import frame, halved, majority, plain, world
 
 
-def file(mode, depth, rows, filters, extra=b"", width=None):
-    """A PNG from raw sample bytes, filtered here with its own plain rules."""
-    channels = png.CHANNELS[mode]
-    step = max(1, channels * depth // 8)
+def filtered(rows, filters, step):
+    """Rows with their filter bytes, by plain rules."""
     out, above = b"", bytes(len(rows[0]))
     for row, kind in zip(rows, filters):
         line = bytearray()
@@ -37,9 +35,19 @@ def file(mode, depth, rows, filters, extra=b"", width=None):
             paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
             line.append((v - [0, a, b, (a + b) // 2, paeth][kind]) & 255)
         out, above = out + bytes([kind]) + line, row
-    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
-    head = struct.pack(">IIBBBBB", width or len(rows[0]) * 8 // (channels * depth), len(rows), depth, mode, 0, 0, 0)
-    return png.SIGNATURE + chunk(b"IHDR", head) + extra + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
+    return out
+
+
+def whole(mode, depth, width, height, body, extra=b"", interlaced=0):
+    head = struct.pack(">IIBBBBB", width, height, depth, mode, 0, 0, interlaced)
+    return png.SIGNATURE + part(b"IHDR", head) + extra + part(b"IDAT", zlib.compress(body)) + part(b"IEND", b"")
+
+
+def file(mode, depth, rows, filters, extra=b"", width=None):
+    """A PNG from raw sample bytes, filtered here with its own plain rules."""
+    channels = png.CHANNELS[mode]
+    body = filtered(rows, filters, max(1, channels * depth // 8))
+    return whole(mode, depth, width or len(rows[0]) * 8 // (channels * depth), len(rows), body, extra)
 
 
 def part(kind, data):
@@ -76,6 +84,43 @@ def test_png_depths_and_transparency():
         png.decode(b"nothing")
 
 
+def seven_passes(samples):
+    """The pixels of each pass: from a table of which pass the places of an 8 x 8 field are in."""
+    field = ["16462646", "77777777", "56565656", "77777777", "36463646", "77777777", "56565656", "77777777"]
+    for number in "1234567":
+        rows = [[samples[y, x] for x in range(samples.shape[1]) if field[y % 8][x % 8] == number] for y in range(samples.shape[0])]
+        yield [r for r in rows if r]
+
+
+@pytest.mark.parametrize("mode, depths", [(0, (1, 2, 4, 8, 16)), (2, (8, 16)), (3, (1, 2, 4, 8)), (4, (8, 16)), (6, (8, 16))])
+def test_png_interlaced(mode, depths):
+    """Interlaced images of all types are read as the same ones in one pass; only paletted ones as paletted."""
+    rng = np.random.default_rng(mode)
+    n = png.CHANNELS[mode]
+    for depth in depths:
+        extra = part(b"PLTE", bytes(rng.integers(0, 256, 3 << depth, dtype=np.uint8))) if mode == 3 else b""
+
+        def line(pixels):
+            bits = "".join(f"{v:0{depth}b}" for p in pixels for v in p)
+            return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+        for height, width in ((1, 1), (2, 3), (5, 4), (8, 8), (13, 19), (1, 9)):
+            samples = rng.integers(0, 1 << depth, (height, width, n))
+            step = max(1, n * depth // 8)
+            of = lambda rows: filtered([line(r) for r in rows], rng.integers(0, 5, len(rows)).tolist(), step) if rows else b""
+            plain_body, body = of(list(samples)), b"".join(of(p) for p in seven_passes(samples))
+            one, other = whole(mode, depth, width, height, plain_body, extra), whole(mode, depth, width, height, body, extra, 1)
+            assert (png.decode(one)[0] == png.decode(other)[0]).all() and (png.quantised(one) == png.quantised(other)).all()
+            if mode == 3:
+                assert (png.decode_paletted(other)[0] == samples[:, :, 0]).all()
+            else:
+                with pytest.raises(ValueError, match="not paletted"):
+                    png.decode_paletted(other)
+            for bad in (whole(mode, depth, width, height, body[:-1], extra, 1), whole(mode, depth, width, height, body + b"x", extra, 1), whole(mode, depth, width, height, body, extra, 2)):
+                with pytest.raises(ValueError):
+                    png.decode(bad)
+
+
 def test_numpy_majority():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 4, (40, 60), dtype=np.uint8)
@@ -207,6 +252,7 @@ def test_sqlite_ranges(spark, tmp_path):
     with sqlite3.connect(tmp_path / "t.db") as c:
         c.execute("create table tiles(x, y, data)")
         c.executemany("insert into tiles values (?, ?, x'00')", [(5, y) for y in range(50)] + [(x, 0) for x in range(6, 9)])
+    assert read_tiles(spark, str(tmp_path / "t.db")).count() == 53  # and the source is registered
     for ranges in (1, 4, 100):
         rows = spark.read.format("tessella_sqlite").option("ranges", ranges).load(str(tmp_path / "t.db"))
         assert rows.count() == 53 and rows.distinct().count() == 53
@@ -277,6 +323,7 @@ def test_store(spark, tmp_path):
     store.put(t((11, 5, 5, 0, b"e")), "v1.024", auto_crc=True)
     assert bytes(store.get("v1", 11, 1, 2).first().data) == b"c" and store.get("v1", 11, 9, 9).count() == 0
     assert store.stat("v1", 10, 0, 1).first().crc32 == 8 and store.stat("v1", 11, 1, 3).first().crc32 is None
+    assert [tuple(store.status("v1", *at).first()) for at in ((10, 0, 1), (11, 1, 3), (11, 9, 9))] == [(True, 8, None), (True, None, "checksum"), (False, None, None)]
     assert store.stat("v1.024", 11, 5, 5).first().crc32 == zlib.crc32(b"e")
     assert sorted(tuple(r) for r in store.addresses("v1", 11).collect()) == [(1, 2), (1, 3)]
     assert [tuple(r) for r in store.catalog().collect()] == [("v1", 3), ("v1.024", 1)]
