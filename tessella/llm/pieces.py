@@ -23,6 +23,7 @@ import struct
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -35,9 +36,11 @@ from tessella.llm.wordhash import U, mix
 
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 BYTE_SCORE = -1e6
 GROUP_CHARS = 1 << 16
+#: Characters of texts that are cut into words at once.
+GROUP_TEXT = 1 << 18
 
 
 def _wire(data: bytes) -> Iterator[tuple[int, object]]:
@@ -202,45 +205,78 @@ def prepared(model: Model, text: str) -> str:
 
 
 class Encoder:
-    """Ids of texts; distinct words are segmented once while they are remembered."""
+    """Ids of texts; distinct words are segmented once while they are remembered.
+
+    Texts are cut into words in groups of bounded size, of which only the words' numbers are kept. The new
+    words of all groups are segmented together. Beyond CACHED_WORDS only words that the last call met again are kept.
+    """
 
     def __init__(self, path: str):
         self.model = load(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.begins = np.zeros(1 << 20, np.int32), np.zeros(CACHED_WORDS + 1, np.int64)
+        self.known: dict[str, int] = {}  # numbers in order
+        self.flat, self.begins, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.uses > 1) if (self.uses > 1).sum() <= CACHED_WORDS // 2 else np.zeros(0, np.int64)
+        again = set(kept.tolist())
+        self.known = {w: i for i, w in enumerate([w for w, i in self.known.items() if i in again])}
+        begins, sizes = self.begins[kept], self.sizes[kept]
+        stops = np.cumsum(sizes, dtype=np.int64)
+        self.flat = self.flat[spread(begins, sizes)]
+        self.begins, self.sizes = stops - sizes, sizes
 
     def _learn(self, words: list[str]) -> None:
+        """The words that were numbered last."""
         words, ids, counts = segment(self.model, words)
-        n = len(self.known)
-        at = self.begins[n]
-        while at + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(words) + 1 > len(self.begins):
-            self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
-        self.flat[at : at + len(ids)] = ids
-        self.begins[n + 1 : n + 1 + len(words)] = at + np.cumsum(counts)
-        self.known.update(zip(words, range(n, n + len(words))))
+        at = [self.known[w] for w in words]
+        begins, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int32)
+        at = np.array(at, np.int64) - len(self.begins)
+        begins[at], sizes[at] = len(self.flat) + np.cumsum(counts) - counts, counts
+        self.flat = np.concatenate([self.flat, ids])
+        self.begins, self.sizes = np.concatenate([self.begins, begins]), np.concatenate([self.sizes, sizes])
+
+    def _numbered(self, texts: list[str]) -> tuple[np.ndarray, list[int], list[str]]:
+        """The texts' words by number, each text's number of words, and those that are new."""
+        parts = [self.model.part.findall(prepared(self.model, t)) for t in texts]
+        words = [w for p in parts for w in p]
+        which = np.array(list(map(self.known.get, words, repeat(-1))), np.int32)
+        at = np.flatnonzero(which < 0).tolist()
+        new = list({words[i]: None for i in at})
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        which[at] = [self.known[words[i]] for i in at]
+        return which, list(map(len, parts)), new
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one entry more)."""
-        cut = self.model.part.findall
-        parts = [cut(prepared(self.model, t)) for t in texts]
-        words = [w for p in parts for w in p]
         if len(self.known) > CACHED_WORDS:
-            self._clear()
-        get = self.known.get
-        which = np.array([get(w, -1) for w in words], np.int64)
-        new = np.flatnonzero(which < 0).tolist()
-        self._learn(list({words[i] for i in new}))
-        which[new] = [get(words[i]) for i in new]
-        sizes = self.begins[which + 1] - self.begins[which]
-        stops = np.cumsum(sizes)
-        places = np.repeat(self.begins[which] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)
-        ends = np.concatenate([[0], stops])[np.cumsum([0, *map(len, parts)])]
-        return self.flat[places], ends
+            self._forget()
+        groups, new, at = [], [], 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= GROUP_TEXT):
+                size += len(texts[to])
+                to += 1
+            which, counts, own = self._numbered(texts[at:to])
+            groups.append((which, counts))
+            new += own
+            at = to
+        self._learn(new)
+        ids, ends, last = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+        self.uses = np.zeros(len(self.known), np.int64)
+        for which, counts in groups:
+            self.uses += np.bincount(which, minlength=len(self.known))
+            sizes = self.sizes[which]
+            ids.append(self.flat[spread(self.begins[which], sizes)])
+            ends.append(last + np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[np.cumsum(counts)])
+            last += len(ids[-1])
+        return np.concatenate(ids), np.concatenate(ends)
+
+
+def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of ranges, one range after another."""
+    stops = np.cumsum(sizes, dtype=np.int64)
+    return np.repeat(begins - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)
 
 
 def decode(model: Model, ids: list[int]) -> str:

@@ -1,6 +1,7 @@
 """SentencePiece: best scores against a plain dynamic program, and an exact round trip."""
 
 import random
+import tracemalloc
 
 import pytest
 import sentencepiece
@@ -77,3 +78,32 @@ def test_round_trip_is_exact(spark):
     """A text with the sign that stands for blanks decodes to blanks, which is told."""
     docs = spark.createDataFrame([(1, "a b"), (2, "a\u2581b"), (3, None), (4, "")], "doc_id long, text string")
     assert {r.doc_id: r.round_trip for r in pieces.round_trips(docs).collect()} == {1: True, 2: False, 3: None, 4: True}
+
+
+def test_memory_follows_groups_of_texts(model):
+    """Of a batch's words only numbers are held: the words of all its texts at once would take some 100 bytes each."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=1000)) for _ in range(400)]
+    encoder = pieces.Encoder(pieces.default_model())
+    encoder.encode([" ".join(words)])
+    tracemalloc.start()
+    ids, ends = encoder.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6 + 2 * ids.nbytes
+    plain = pieces.Encoder(pieces.default_model())
+    assert all(ids[ends[i] : ends[i + 1]].tolist() == plain.encode([texts[i]])[0].tolist() for i in range(0, 400, 40))
+
+
+def test_words_met_again_are_kept(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHED_WORDS", 8)
+    monkeypatch.setattr(pieces, "GROUP_TEXT", 10)
+    encoder = pieces.Encoder(pieces.default_model())
+    texts = ["the the cat", "sat on a", "", "mat the cat one two", "three four"]
+    for again in range(3):
+        ids, ends = encoder.encode(texts)
+        for i, t in enumerate(texts):
+            assert ids[ends[i] : ends[i + 1]].tolist() == pieces.Encoder(pieces.default_model()).encode([t])[0].tolist()
+        encoder._forget()
+        assert list(encoder.known.items()) == [("▁the", 0), ("▁cat", 1)]
