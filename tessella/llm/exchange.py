@@ -258,7 +258,8 @@ def _rows(found: Totals, answers: list[bytes], summary: Summary | None = None) -
 def _answered_by_slices(asked: DataFrame, shape: Shape, label: str, summary: Summary | None, reply: Reply) -> DataFrame:
     parts, finer = shape.parts, shape.finer
     tasks = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-finer // TASK_CELLS))
-    asked = written(asked.withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(shape.slices))), f"{label}-asked")
+    # The questions are made anew for each of the two jobs: a table of them beside a job's shuffles would be the most of all on disk.
+    asked = asked.withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(shape.slices)))
     cells = asked.repartition(tasks, "part", "slice").groupBy("part", "slice")
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
@@ -286,7 +287,7 @@ def _answered_by_slices(asked: DataFrame, shape: Shape, label: str, summary: Sum
     told = totals.where("kind = 'answer'").select((question * parts + place).cast("int").alias("part"), F.col("block").alias("slice"), F.col("part").alias("finer"), "counts")
     told = told.repartition(tasks, "part", "slice").groupBy("part", "slice")
     out = written(cells.cogroup(told).applyInPandas(answer, ANSWER).unionByName(totals.where("kind = 'summary'")), label)
-    discard(asked, totals)
+    discard(totals)
     return out
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 _libc = ctypes.CDLL(None)
 _KEY = "spark.checkpoint.dir"
+#: Whether Spark deletes an action's shuffle files at its end; else they stay until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 _paths: WeakKeyDictionary[DataFrame, tuple[str, str | None]] = WeakKeyDictionary()  # and the table's name
 
@@ -33,14 +35,25 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _set(spark: SparkSession, key: str, value: str | int) -> Iterator[None]:
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: it cuts the lineage."""
+    """df, written once as Parquet in the shared folder and read again: it cuts the lineage. The shuffle files it took are deleted."""
     spark = df.sparkSession
     path = new_path(spark, label)
     out = df.write
     if partition_by:
         out = out.partitionBy(*partition_by)
-    out.parquet(path)
+    with _set(spark, _CLEANUP, "true"):
+        out.parquet(path)
     found = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
     _paths[found] = path, None
     return found
@@ -50,7 +63,8 @@ def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
     """df, written once in the shared folder in buckets of a column, so that joins on it don't shuffle it."""
     spark = df.sparkSession
     path, name = new_path(spark, label), f"tessella_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    with _set(spark, _CLEANUP, "true"):
+        df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
     found = spark.table(name)
     _paths[found] = path, name
     return found
@@ -111,9 +125,5 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """For actions on tables of large rows: Arrow batches of so many rows at most, until the block ends."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, min(rows, int(before)))
-    try:
+    with _set(spark, key, min(rows, int(spark.conf.get(key)))):
         yield
-    finally:
-        spark.conf.set(key, before)
