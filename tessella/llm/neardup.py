@@ -3,6 +3,9 @@
 A shingle is five consecutive words (all words of a shorter text). Its weight is its count in the
 text times 1 + ln((1 + N) / (1 + df)), df the number of the N rows that have it. All shingles are
 counted: blocks of documents send theirs to hash partitions and get the totals back (see exchange).
+A text's own copies would make what they share light and each one's edits heavy, the more so the more
+copies there are. So of a text's copies `copies` count at most, and no edit counts as rarer: where the
+median df m of a text's shingles is above `copies`, each counts as df - (m - copies), `copies` at least.
 Each text gets bands * rows samples (element, t), each a minimum over its weighted shingles; a band
 hashes `rows` of them. Two texts of one band are candidates. They are first held against all samples,
 then verified: weighted Jaccard similarity of `threshold` or more of the whole texts links them. Classes
@@ -55,6 +58,7 @@ class Settings:
     block: int = 256
     fine: int = 1024
     members: int = 256
+    copies: int = 32
 
     @property
     def samples(self) -> int:
@@ -69,6 +73,13 @@ def idf(df: np.ndarray | float, total: int) -> np.ndarray:
     return 1 + np.log((1 + total) / (1 + np.asarray(df)))
 
 
+def without_copies(df: np.ndarray, copies: int) -> np.ndarray:
+    """The row counts of a text's shingles with so many of its own copies at most; the median tells how many it has."""
+    middle = len(df) // 2
+    more = np.partition(df, middle)[middle] - copies
+    return np.maximum(df - more, copies) if more > 0 else df
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     return [(t or b"").lower() for t in column.cast(pa.binary()).to_pylist()]
 
@@ -197,8 +208,15 @@ class Block:
         self.begins = np.searchsorted(self.doc, np.arange(len(ends) + 1))
         self.ids, self.digests, self.rows = row["ids"], row["digests"], len(ends)
 
-    def weights(self, answers: list[dict], parts: int, total: int) -> np.ndarray:
-        return self.counts * idf(in_order(answers, self.keys, parts), total)[self.place]
+    def weights(self, answers: list[dict], parts: int, total: int, copies: int = Settings.copies) -> np.ndarray:
+        df = in_order(answers, self.keys, parts)
+        found = idf(df, total)[self.place]
+        often = np.bincount(self.doc[(df > copies)[self.place]], minlength=self.rows)
+        sizes = np.diff(self.begins)
+        for i in np.flatnonzero((sizes > 0) & (2 * often >= sizes)):  # the median is above copies
+            a, b = self.begins[i : i + 2]
+            found[a:b] = idf(without_copies(df[self.place[a:b]], copies), total)
+        return self.counts * found
 
     def digest(self, i: int) -> bytes:
         return self.digests[32 * i : 32 * i + 32]
@@ -236,7 +254,7 @@ class Corpus:
             for batch in batches:
                 for row in batch.to_pylist():
                     block = Block(row, settings.words)
-                    weights = block.weights(row["dfs"], parts, total)
+                    weights = block.weights(row["dfs"], parts, total, settings.copies)
                     bytes_, bands = [b""] * block.rows, [[]] * block.rows
                     for docs, begins, a, b in block_groups(block):
                         own = samples(block.keys[block.place[a:b]], weights[a:b], begins, settings.samples)
@@ -258,7 +276,7 @@ class Corpus:
             for batch in batches:
                 for row in batch.to_pylist():
                     block = Block(row, settings.words)
-                    weights = block.weights(row["dfs"], parts, total)
+                    weights = block.weights(row["dfs"], parts, total, settings.copies)
                     at, nodes = np.array([x["at"] for x in row["wanted"]]), pa.array([x["node"] for x in row["wanted"]], pa.int64())
                     begins, ends = block.begins[at], block.begins[at + 1]
                     if fine:

@@ -160,6 +160,49 @@ def test_recall_of_near_copies(spark):
     assert sum(found[2 * i] == found[2 * i + 1] for i in range(150)) <= len(links) + equal
 
 
+def weights_without_copies(docs, copies):
+    """plain_weights where of a text's own copies so many count at most and nothing in it is rarer: the median count of its shingles tells how many there are."""
+    own, total = plain_weights(docs), len(docs)
+    words = {i: [tuple(w[j : j + 5]) for j in range(len(w) - 4)] for i, w in ((i, re.findall(rb"[0-9a-z]+", t.encode())) for i, t in docs)}
+    df = Counter(s for i in words for s in set(words[i]))
+    out = {}
+    for i, found in own.items():
+        median = sorted(df[s] for s in found)[len(found) // 2]
+        less = {s: max(copies, df[s] - (median - copies)) if median > copies else df[s] for s in found}
+        out[i] = {s: words[i].count(s) * (1 + math.log((1 + total) / (1 + n))) for s, n in less.items()}
+    return out
+
+
+def test_copies_in_a_large_group(spark):
+    """However many copies a text has, edited ones are found: what they share counts as much as in a small group."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    original = [word() for _ in range(300)]
+    group = [original] * 50
+    for edits in [2, 4, 6] * 40 + [9, 14] * 30:
+        copy = list(original)
+        for at in rng.sample(range(5, 295), edits):
+            copy[at] = word()
+        group.append(copy)
+    docs = list(enumerate(" ".join(d) for d in group + [[word() for _ in range(60)] for _ in range(250)]))
+    found = got(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)))
+    assert all(found[i] == 0 for i in range(50 + 120))
+    own = weights_without_copies(docs, Settings().copies)
+    links = [(i, j) for i in range(49, len(group)) for j in range(49, i) if plain_similarity(own[i], own[j]) >= 0.8]
+    want = classes_of(links + [(i, 0) for i in range(50)], range(len(docs)))
+    assert sum(found[i] == found[0] for i in found) == sum(want[i] == want[0] for i in want) < len(group)
+    by_rows = plain_weights(docs)
+    assert sum(plain_similarity(by_rows[i], by_rows[0]) >= 0.8 for i in range(50, 50 + 120)) <= 40
+
+
+def test_without_copies():
+    df = np.array([1, 2, 40, 1000, 1003, 999, 1000, 70_000, 1000, 1])
+    assert neardup.without_copies(df, 32).tolist() == [32, 32, 32, 32, 35, 32, 32, 69_032, 32, 32]
+    for same in ([5, 9, 31, 32], [1, 1, 1, 500], [1]):  # no large group
+        assert neardup.without_copies(np.array(same), 32).tolist() == same
+    assert neardup.without_copies(np.array([33]), 32).tolist() == [32]
+
+
 def test_equal_ids_with_different_texts_stay(spark):
     rows = [(1, "one text of its own about a river and a mill"), (1, "quite another text on the price of salt in spring"), (2, "a third text, unlike both"), (2, "a third text, unlike both"), (3, "a third text, unlike both"), (-5, "x y z"), (None, "x y z"), (None, "alone"), (None, "alone"), (None, None), (9, "")]
     docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, digest string")
